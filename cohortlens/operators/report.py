@@ -198,3 +198,25 @@ def dropout_by_cluster(assign: DataFrame) -> DataFrame:
     return (assign.groupBy("cluster_id")
                   .agg(F.avg(F.col("dropout").cast("double")).alias("dropout_rate"),
                        F.count(F.lit(1)).alias("n_rows")))
+
+
+def lookup_first(students: DataFrame, ids: DataFrame) -> DataFrame:
+    """For each requested id, the student's first enrolment (by module,
+    presentation) with its actual label. Semi-join first, then one min_by per
+    student, so only requested students are aggregated."""
+    wanted = ids.select("id_student").distinct()
+    s = students.join(wanted, "id_student", "left_semi")
+    first = (s.groupBy("id_student")
+              .agg(F.min_by(F.struct("code_module", "code_presentation", "dropout"),
+                            F.struct("code_module", "code_presentation")).alias("_f"))
+              .select("id_student", "_f.code_module", "_f.code_presentation", "_f.dropout"))
+    return ids.join(first, "id_student").select("request_id", "id_student", "code_module",
+                                                "code_presentation", "dropout")
+
+
+def rank_rates(rates: DataFrame) -> DataFrame:
+    """O1: rank of each group within (model, attribute) by rate desc, value asc.
+    The input is already aggregated (one row per attribute value)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("display_model", "attribute").orderBy(F.desc("rate_pct"), "value")
+    return rates.withColumn("rank", F.row_number().over(w))

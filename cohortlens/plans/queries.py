@@ -59,3 +59,438 @@ def q_click_features(spark, sf_dir):
 def q_join_features(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return feat.join_features(t.students, feat.click_features(t.student_vle, 60))
+
+
+# ----------------------------------------------------------------------------
+# 2.2 projection / filter / scalar expressions
+# ----------------------------------------------------------------------------
+from cohortlens import functions as X  # noqa: E402
+from cohortlens.operators import cleaning, encode as enc, evaluate as ev, report as rep, split as sp  # noqa: E402
+from cohortlens.plans import sqlgen as G  # noqa: E402
+
+
+def _t(spark, sf_dir):
+    return Tables(spark, sf_dir)
+
+
+@query("derive_label", "F1",
+       "SELECT enrol_key, final_result, CASE WHEN final_result = 'Withdrawn' THEN 1 ELSE 0 END AS dropout "
+       "FROM raw_students", ("raw_students",))
+def q_derive_label(spark, sf_dir):
+    r = _t(spark, sf_dir).raw_students
+    return r.select("enrol_key", "final_result", X.derive_label().alias("dropout"))
+
+
+@query("project_students", "F2",
+       "SELECT {c}, CASE WHEN final_result = 'Withdrawn' THEN 1 ELSE 0 END AS dropout FROM raw_students".format(
+           c=", ".join(c for c in S.STUDENT_COLS if c != "dropout")), ("raw_students",))
+def q_project_students(spark, sf_dir):
+    return cleaning.project_students(_t(spark, sf_dir).raw_students)
+
+
+@query("clean_bands", "F3",
+       "SELECT enrol_key, imd_band AS raw_imd_band, "
+       "CASE imd_band WHEN '10-20' THEN '10-20%' WHEN '0' THEN NULL ELSE imd_band END AS imd_band, "
+       "CASE highest_education WHEN 'No Formal quals' THEN 'No Formal Quals' ELSE highest_education END "
+       "AS highest_education FROM raw_students", ("raw_students",))
+def q_clean_bands(spark, sf_dir):
+    r = _t(spark, sf_dir).raw_students
+    return r.select("enrol_key", F.col("imd_band").alias("raw_imd_band"),
+                    X.clean_imd_band().alias("imd_band"), X.clean_education().alias("highest_education"))
+
+
+@query("drop_leakage", "F5",
+       "SELECT {c}, enrol_key FROM students".format(c=", ".join(STATIC_COLS)), ("students",))
+def q_drop_leakage(spark, sf_dir):
+    return feat.drop_leakage(_t(spark, sf_dir).students)
+
+
+@query("fill_zero", "F6",
+       "SELECT s.enrol_key, {v} FROM students s LEFT JOIN vf USING (id_student, code_module, code_presentation)".format(
+           v=", ".join(f"coalesce(vf.{c}, 0) AS {c}" for c in S.VLE_COLS)),
+       ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
+def q_fill_zero(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    j = t.students.select("enrol_key", *feat.KEYS).join(feat.click_features(t.student_vle), feat.KEYS, "left")
+    return feat.fill_zero(j).select("enrol_key", *S.VLE_COLS)
+
+
+@query("map_binary", "F7",
+       "SELECT enrol_key, CASE gender WHEN 'M' THEN 1 WHEN 'F' THEN 0 END AS gender, "
+       "CASE disability WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS disability FROM students", ("students",))
+def q_map_binary(spark, sf_dir):
+    return enc.map_binaries(_t(spark, sf_dir).students).select("enrol_key", "gender", "disability")
+
+
+@query("fill_imd_default", "F8",
+       f"SELECT enrol_key, coalesce(imd_band, '{S.DEFAULT_IMD}') AS imd_band FROM students", ("students",))
+def q_fill_imd_default(spark, sf_dir):
+    return _t(spark, sf_dir).students.select("enrol_key", X.fill_imd_default().alias("imd_band"))
+
+
+@query("normalize_model_name", "F9",
+       f"SELECT DISTINCT model_name, {G.normalize_model_sql()} AS display_model FROM predictions", ("predictions",))
+def q_normalize_model_name(spark, sf_dir):
+    p = _t(spark, sf_dir).predictions
+    return p.select("model_name").distinct().select("model_name", X.normalize_model_name().alias("display_model"))
+
+
+@query("filter_model", "F10", "SELECT * EXCLUDE (display_model) FROM dj WHERE display_model = 'XGBoost'", ("dj",))
+def q_filter_model(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    j = rep.predictions_view(t.predictions, t.students)
+    return rep.with_display_model(j).where(F.col("display_model") == "XGBoost").drop("display_model")
+
+
+@query("display_values", "F11",
+       "SELECT enrol_key, {c} FROM students".format(c=", ".join(
+           f"{G.display_sql(a, a)} AS {a}" for a in S.GROUP_ATTRIBUTES)), ("students",))
+def q_display_values(spark, sf_dir):
+    s = _t(spark, sf_dir).students
+    return s.select("enrol_key", *[X.display_value(a).alias(a) for a in S.GROUP_ATTRIBUTES])
+
+
+@query("label_clusters", "F12",
+       f"SELECT id_student, cluster_id, {G.cluster_label_sql()} AS cluster FROM clusters", ("clusters",))
+def q_label_clusters(spark, sf_dir):
+    c = _t(spark, sf_dir).clusters
+    return c.select("id_student", "cluster_id", X.cluster_label().alias("cluster"))
+
+
+@query("risk_badge", "F13", f"SELECT cluster, dropout_rate, {G.risk_sql('dropout_rate')} AS risk FROM csum",
+       ("csum",))
+def q_risk_badge(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    s = rep.cluster_summary(rep.clusters_view(t.clusters, t.students))
+    return s.select("cluster", "dropout_rate", X.risk_badge("dropout_rate").alias("risk"))
+
+
+def _profile_sql():
+    hi, mid, lo = S.LEVEL_LABELS
+    return f"""
+SELECT cluster, n_students, dropout_rate,
+ CASE WHEN active_days < q_active * {S.ENGAGEMENT_LOW_FACTOR} OR total_clicks < q_clicks * {S.ENGAGEMENT_LOW_FACTOR} THEN '{lo}'
+      WHEN active_days >= q_active AND total_clicks >= q_clicks THEN '{hi}' ELSE '{mid}' END AS engagement,
+ CASE WHEN avg_score < q_score * {S.ACHIEVEMENT_LOW_FACTOR} THEN '{lo}' WHEN avg_score >= q_score THEN '{hi}'
+      ELSE '{mid}' END AS achievement,
+ {G.risk_sql('dropout_rate')} AS risk
+FROM csum, (SELECT quantile_cont(avg_score, 0.5) AS q_score, quantile_cont(active_days, 0.5) AS q_active,
+                   quantile_cont(total_clicks, 0.5) AS q_clicks FROM csum) q"""
+
+
+@query("profile_text", "F14", _profile_sql(), ("csum",))
+def q_profile_text(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return rep.cluster_profiles(rep.cluster_summary(rep.clusters_view(t.clusters, t.students)))
+
+
+@query("validate_student_id", "F15",
+       "SELECT request_id, student_id_text, "
+       "CASE WHEN regexp_full_match(trim(student_id_text), '[0-9]+') THEN TRY_CAST(trim(student_id_text) AS BIGINT) END "
+       "AS id_student, coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true) "
+       "AS id_valid FROM requests", ("requests",))
+def q_validate_student_id(spark, sf_dir):
+    r = _t(spark, sf_dir).requests
+    return r.select("request_id", "student_id_text", X.parse_student_id().alias("id_student"),
+                    X.student_id_valid().alias("id_valid"))
+
+
+def _bounds_sql(bounds):
+    checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
+                        for c, (lo, hi) in bounds.items())
+    return f"SELECT request_id, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM requests"
+
+
+@query("validate_ranges", "F16", _bounds_sql(S.REQUEST_BOUNDS_FULL), ("requests",))
+def q_validate_ranges(spark, sf_dir):
+    from cohortlens.operators.score import validate_ranges
+    return validate_ranges(_t(spark, sf_dir).requests, S.REQUEST_BOUNDS_FULL).select(
+        "request_id", "n_out_of_range", "in_range")
+
+
+@query("rounding", "F17",
+       "SELECT enrol_key, round_even(avg_score, 1) AS avg_score, round_even(total_weight / 7e0, 1) AS weight_7 "
+       "FROM students", ("students",))
+def q_rounding(spark, sf_dir):
+    s = _t(spark, sf_dir).students
+    return s.select("enrol_key", X.round1("avg_score").alias("avg_score"),
+                    X.round1(F.col("total_weight") / F.lit(7.0)).alias("weight_7"))
+
+
+# ----------------------------------------------------------------------------
+# 2.3 joins, 2.4 aggregations, 2.5 sorts / top-k
+# ----------------------------------------------------------------------------
+from cohortlens.operators import cluster as clu, score as sc  # noqa: E402
+
+
+def _pj(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return rep.predictions_view(t.predictions, t.students)
+
+
+def _cj(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return rep.clusters_view(t.clusters, t.students)
+
+
+@query("join_predictions_students", "J1", "SELECT * FROM pj", ("pj",))
+def q_join_predictions_students(spark, sf_dir):
+    return _pj(spark, sf_dir)
+
+
+@query("join_clusters_students", "J2", "SELECT * FROM cj", ("cj",))
+def q_join_clusters_students(spark, sf_dir):
+    return _cj(spark, sf_dir)
+
+
+@query("map_back_cluster_rate", "J4", "SELECT id_student, cluster_id, dropout_rate FROM clusters", ("clusters",))
+def q_map_back_cluster_rate(spark, sf_dir):
+    return _t(spark, sf_dir).clusters
+
+
+@query("lookup_first", "J5", """
+SELECT r.request_id, s.id_student, s.code_module, s.code_presentation, s.dropout FROM
+ (SELECT request_id, CAST(trim(student_id_text) AS BIGINT) AS id_student FROM requests
+  WHERE regexp_full_match(trim(student_id_text), '[0-9]+')) r
+ JOIN (SELECT * FROM (SELECT id_student, code_module, code_presentation, dropout, row_number() OVER
+   (PARTITION BY id_student ORDER BY code_module, code_presentation) AS rn FROM students) x WHERE rn = 1) s
+ ON r.id_student = s.id_student""", ("requests", "students"))
+def q_lookup_first(spark, sf_dir):
+    from cohortlens.operators.report import lookup_first
+    t = _t(spark, sf_dir)
+    ids = t.requests.select("request_id", X.parse_student_id().alias("id_student")).where(
+        F.col("id_student").isNotNull())
+    return lookup_first(t.students, ids)
+
+
+@query("dedup_students", "A1", "SELECT * FROM dedup_pred", ("dedup_pred",))
+def q_dedup_students(spark, sf_dir):
+    return rep.dedup_students(_t(spark, sf_dir).students)
+
+
+@query("model_kpis", "A3", """
+SELECT display_model, n_rows, predicted_dropout, CAST(predicted_dropout AS DOUBLE) / n_rows * 100 AS predicted_pct,
+ actual_dropout, CAST(actual_dropout AS DOUBLE) / n_rows * 100 AS actual_pct, avg_probability FROM (
+ SELECT display_model, count(*) AS n_rows, CAST(coalesce(sum(predicted), 0) AS BIGINT) AS predicted_dropout,
+  CAST(coalesce(sum(dropout), 0) AS BIGINT) AS actual_dropout, avg(probability) AS avg_probability
+ FROM dj GROUP BY display_model) x""", ("dj",))
+def q_model_kpis(spark, sf_dir):
+    return rep.model_kpis(_pj(spark, sf_dir))
+
+
+AUC_SQL = """
+SELECT {g}, sum(np * (below + nn / 2e0)) / nullif(CAST(sum(np) AS DOUBLE) * sum(nn), 0) AS auc FROM (
+ SELECT *, coalesce(sum(nn) OVER (PARTITION BY {g} ORDER BY {s} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+ FROM (SELECT {g}, {s}, sum(CAST({y} AS BIGINT)) AS np, sum(1 - CAST({y} AS BIGINT)) AS nn FROM {src}
+       WHERE {y} IS NOT NULL AND {s} IS NOT NULL GROUP BY {g}, {s}) a) b GROUP BY {g}"""
+
+COUNTS_SQL = """
+SELECT {g}, CAST(sum(CASE WHEN {y} = 1 AND {p} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+ CAST(sum(CASE WHEN {y} = 0 AND {p} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+ CAST(sum(CASE WHEN {y} = 1 AND {p} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+ CAST(sum(CASE WHEN {y} = 0 AND {p} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+FROM {src} WHERE {y} IS NOT NULL AND {p} IS NOT NULL GROUP BY {g}"""
+
+
+def _f1_sql(tp, fp, fn):
+    return f"coalesce(CAST(2 * {tp} AS DOUBLE) / nullif(2 * {tp} + {fp} + {fn}, 0), 0e0)"
+
+
+@query("model_scores", "A4", """
+SELECT c.display_model, round_even({f1}, 4) AS f1, round_even(a.auc, 4) AS auc,
+ round_even(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 4) AS accuracy
+FROM c LEFT JOIN a USING (display_model)""".format(f1=_f1_sql("tp", "fp", "fn")), ("dj",),
+       extra={"c": COUNTS_SQL.format(g="display_model", y="dropout", p="predicted", src="dj"),
+              "a": AUC_SQL.format(g="display_model", s="probability", y="dropout",
+                                  src="(SELECT * FROM dj WHERE predicted IS NOT NULL)")})
+def q_model_scores(spark, sf_dir):
+    return ev.model_scores(_pj(spark, sf_dir))
+
+
+@query("exact_auc", "A5", AUC_SQL.format(g="model_name", s="probability", y="dropout", src="pj"), ("pj",))
+def q_exact_auc(spark, sf_dir):
+    return ev.exact_auc(_pj(spark, sf_dir), ["model_name"], "probability", "dropout")
+
+
+@query("holdout_metrics", "A6", """
+SELECT c.model_name, CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0) AS accuracy, {f1} AS f1,
+ coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0e0) AS precision,
+ coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0e0) AS recall, tp + fp + fn + tn AS n_rows, a.auc
+FROM c LEFT JOIN a USING (model_name)""".format(f1=_f1_sql("tp", "fp", "fn")), ("pj",),
+       extra={"c": COUNTS_SQL.format(g="model_name", y="dropout", p="predicted", src="pj"),
+              "a": AUC_SQL.format(g="model_name", s="probability", y="dropout",
+                                  src="(SELECT * FROM pj WHERE predicted IS NOT NULL)")})
+def q_holdout_metrics(spark, sf_dir):
+    return ev.holdout_metrics(_pj(spark, sf_dir), ["model_name"], label="dropout")
+
+
+@query("confusion_matrix", "A7", """
+SELECT model_name, actual, predicted, n_rows FROM (
+ SELECT model_name, 0 AS actual, 0 AS predicted, tn AS n_rows FROM c UNION ALL
+ SELECT model_name, 0, 1, fp FROM c UNION ALL SELECT model_name, 1, 0, fn FROM c UNION ALL
+ SELECT model_name, 1, 1, tp FROM c) x""", ("pj",),
+       extra={"c": COUNTS_SQL.format(g="model_name", y="dropout", p="predicted", src="pj")})
+def q_confusion_matrix(spark, sf_dir):
+    return ev.confusion_matrix(_pj(spark, sf_dir), ["model_name"], label="dropout")
+
+
+def _report_sql():
+    z = lambda e: f"coalesce({e}, 0e0)"
+    d = lambda a, b: f"CAST({a} AS DOUBLE) / nullif({b}, 0)"
+    p1, r1, p0, r0 = z(d("tp", "tp + fp")), z(d("tp", "tp + fn")), z(d("tn", "tn + fn")), z(d("tn", "tn + fp"))
+    f1, f0 = _f1_sql("tp", "fp", "fn"), _f1_sql("tn", "fn", "fp")
+    s0, s1, n = "(tn + fp)", "(tp + fn)", "(tn + fp + tp + fn)"
+    w = lambda a, b: z(f"({a} * {s0} + {b} * {s1}) / nullif({n}, 0)")
+    acc = z(d("tp + tn", n))
+    rows = [("'0'", p0, r0, f0, s0), ("'1'", p1, r1, f1, s1), ("'accuracy'", acc, acc, acc, n),
+            ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+            ("'weighted avg'", w(p0, p1), w(r0, r1), w(f0, f1), n)]
+    return " UNION ALL ".join(
+        f"SELECT model_name, {c} AS class, {p} AS precision, {r} AS recall, {f} AS f1, CAST({s} AS BIGINT) AS support FROM c"
+        for c, p, r, f, s in rows)
+
+
+@query("classification_report", "A8", _report_sql(), ("pj",),
+       extra={"c": COUNTS_SQL.format(g="model_name", y="dropout", p="predicted", src="pj")})
+def q_classification_report(spark, sf_dir):
+    return ev.classification_report(_pj(spark, sf_dir), ["model_name"], label="dropout")
+
+
+def _group_rates_sql():
+    u = " UNION ALL ".join(f"SELECT display_model, predicted, '{a}' AS attribute, CAST({a} AS VARCHAR) AS value FROM dj"
+                           for a in S.GROUP_ATTRIBUTES)
+    return f"""
+SELECT display_model, attribute, value, {G.display_dynamic_sql('attribute', 'value')} AS display_value,
+ predicted_dropout, n_students, round_even(CAST(predicted_dropout AS DOUBLE) / n_students * 100, 1) AS rate_pct
+FROM (SELECT display_model, attribute, value, CAST(coalesce(sum(predicted), 0) AS BIGINT) AS predicted_dropout,
+       count(predicted) AS n_students FROM ({u}) x WHERE value IS NOT NULL GROUP BY 1, 2, 3) g"""
+
+
+@query("group_rates", "A9", _group_rates_sql(), ("dj",))
+def q_group_rates(spark, sf_dir):
+    return rep.group_rates(_pj(spark, sf_dir))
+
+
+@query("cluster_summary", "A10", "SELECT * FROM csum", ("csum",))
+def q_cluster_summary(spark, sf_dir):
+    return rep.cluster_summary(_cj(spark, sf_dir))
+
+
+@query("cluster_kpis", "A11", """
+SELECT CAST(sum(n_students) AS BIGINT) AS total_students, count(*) AS n_clusters, avg(dropout_rate) AS avg_dropout_rate,
+ first(cluster ORDER BY n_students DESC, cluster) AS largest_cluster,
+ first(cluster ORDER BY dropout_rate DESC, cluster) AS riskiest_cluster,
+ quantile_cont(avg_score, 0.5) AS median_avg_score, quantile_cont(active_days, 0.5) AS median_active_days,
+ quantile_cont(total_clicks, 0.5) AS median_total_clicks FROM csum""", ("csum",))
+def q_cluster_kpis(spark, sf_dir):
+    return rep.cluster_kpis(rep.cluster_summary(_cj(spark, sf_dir)))
+
+
+@query("cluster_profile_minmax", "A12", """
+SELECT cluster, {c} FROM (SELECT {l} AS cluster, avg(avg_score) AS avg_score, avg(active_days) AS active_days,
+ avg(total_clicks) AS total_clicks FROM cj GROUP BY 1) m""".format(
+    l=G.cluster_label_sql(),
+    c=", ".join(f"coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0e0) AS {f}"
+                for f in rep.CLUSTER_ATTRS)), ("cj",))
+def q_cluster_profile_minmax(spark, sf_dir):
+    return rep.profile_minmax(_cj(spark, sf_dir))
+
+
+@query("cluster_share", "A13", """
+SELECT cluster, n_students, n_students / sum(n_students) OVER () AS share FROM (
+ SELECT {l} AS cluster, count(id_student) AS n_students FROM cj GROUP BY 1) g""".format(l=G.cluster_label_sql()),
+       ("cj",))
+def q_cluster_share(spark, sf_dir):
+    return rep.cluster_share(_cj(spark, sf_dir))
+
+
+@query("prob_histogram", "A14", """
+SELECT display_model, bin, bin / 20e0 AS bin_start, (bin + 1) / 20e0 AS bin_end, count(*) AS n_rows FROM (
+ SELECT display_model, CAST(least(floor(probability * 20), 19) AS INTEGER) AS bin FROM dj
+ WHERE probability IS NOT NULL) x GROUP BY 1, 2""", ("dj",))
+def q_prob_histogram(spark, sf_dir):
+    return rep.prob_histogram(_pj(spark, sf_dir), 20)
+
+
+@query("predicted_counts", "A15", """
+SELECT display_model, predicted, CASE predicted WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE CAST(predicted AS VARCHAR) END
+ AS label, count(*) AS n_students FROM dj WHERE predicted IS NOT NULL GROUP BY 1, 2""".format(
+    a=S.PREDICTED_LABELS[0], b=S.PREDICTED_LABELS[1]), ("dj",))
+def q_predicted_counts(spark, sf_dir):
+    return rep.predicted_counts(_pj(spark, sf_dir))
+
+
+def _defaults_sql(src_cols, numeric, src="students"):
+    parts = []
+    for c in src_cols:
+        if c in numeric:
+            parts.append(f"(SELECT CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS DOUBLE) FROM {src}) AS {c}")
+        else:
+            parts.append(f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} "
+                         f"ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}")
+    return "SELECT " + ", ".join(parts)
+
+
+_NUMERIC_FULL = {"num_of_prev_attempts", "studied_credits", "module_presentation_length", *S.LEAKAGE_COLS}
+
+
+@query("defaults_profile", "A16", _defaults_sql(S.FEATURE_COLS, _NUMERIC_FULL), ("students",))
+def q_defaults_profile(spark, sf_dir):
+    return sc.defaults_profile(_t(spark, sf_dir).students, S.FEATURE_COLS)
+
+
+_CATEGORICAL = ["code_module", "code_presentation", "gender", "region", "highest_education", "imd_band",
+                "age_band", "disability"]
+
+
+@query("distinct_values", "A17", " UNION ".join(
+    f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM students WHERE {c} IS NOT NULL"
+    for c in _CATEGORICAL), ("students",))
+def q_distinct_values(spark, sf_dir):
+    return sc.distinct_values(_t(spark, sf_dir).students, _CATEGORICAL)
+
+
+@query("class_balance", "A18", """
+SELECT n_pos, n_neg, CAST(n_neg AS DOUBLE) / greatest(n_pos, 1) AS scale_pos_weight,
+ CAST(n_pos + n_neg AS DOUBLE) / nullif(2 * n_neg, 0) AS weight_neg, CAST(n_pos + n_neg AS DOUBLE) / nullif(2 * n_pos, 0) AS weight_pos
+FROM (SELECT CAST(sum(CASE WHEN dropout = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
+             CAST(sum(CASE WHEN dropout = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM students) c""", ("students",))
+def q_class_balance(spark, sf_dir):
+    return ev.class_balance(_t(spark, sf_dir).students)
+
+
+@query("dropout_by_cluster", "A19", """
+SELECT cluster_id, avg(CAST(dropout AS DOUBLE)) AS dropout_rate, count(*) AS n_rows FROM cluster_assign GROUP BY 1""",
+       ("cluster_assign",))
+def q_dropout_by_cluster(spark, sf_dir):
+    return rep.dropout_by_cluster(_t(spark, sf_dir).cluster_assign)
+
+
+_TABNET_CAT = ["region", "code_module", "code_presentation", "highest_education", "imd_band", "age_band"]
+
+
+@query("cardinalities", "A20", "SELECT {c} FROM (SELECT * REPLACE (coalesce(imd_band, '{d}') AS imd_band) FROM students) s".format(
+    c=", ".join(f"CAST(count(DISTINCT {c}) + 1 AS INTEGER) AS {c}" for c in _TABNET_CAT), d=S.DEFAULT_IMD),
+       ("students",))
+def q_cardinalities(spark, sf_dir):
+    s = _t(spark, sf_dir).students.withColumn("imd_band", X.fill_imd_default())
+    return sc.cardinalities(s, _TABNET_CAT)
+
+
+@query("sort_rates", "O1", """
+SELECT *, row_number() OVER (PARTITION BY display_model, attribute ORDER BY rate_pct DESC, value) AS rank FROM g""",
+       ("dj",), extra={"g": _group_rates_sql()})
+def q_sort_rates(spark, sf_dir):
+    from cohortlens.operators.report import rank_rates
+    return rank_rates(rep.group_rates(_pj(spark, sf_dir)))
+
+
+@query("latest_run", "O2", """
+SELECT experiment, run_id, start_time, artifact_uri FROM (
+ SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY rn) AS pick FROM (
+  SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY start_time DESC, run_id DESC) AS rn
+  FROM runs WHERE status = 'FINISHED') f
+ WHERE rn <= 20 AND starts_with(artifact_uri, 'server-artifacts:')) x WHERE pick = 1""", ("runs",))
+def q_latest_run(spark, sf_dir):
+    from cohortlens.operators.store import latest_run
+    return latest_run(_t(spark, sf_dir).runs)

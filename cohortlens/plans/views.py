@@ -139,3 +139,37 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     if not parts:
         return body.strip()
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def _register_report_views():
+    from cohortlens.plans.sqlgen import cluster_label_sql, normalize_model_sql, list_sql
+    from cohortlens.schemas import OFFICIAL_MODELS
+    pred_attrs = ["gender", "age_band", "region", "highest_education", "imd_band", "studied_credits"]
+    _view("dedup_pred", ["students"], """
+SELECT id_student, {a}, dropout FROM (
+ SELECT id_student, {a}, max(dropout) OVER (PARTITION BY id_student) AS dropout,
+  row_number() OVER (PARTITION BY id_student ORDER BY code_module, code_presentation) AS rn
+ FROM students) x WHERE rn = 1""".format(a=", ".join(pred_attrs)))
+    _view("pj", ["predictions", "dedup_pred"], """
+SELECT p.id_student, p.model_name, p.predicted, p.probability, p.run_id, s.gender, s.age_band, s.region,
+ s.highest_education, s.imd_band, s.studied_credits, s.dropout
+FROM predictions p LEFT JOIN dedup_pred s ON p.id_student = s.id_student""")
+    _view("dj", ["pj"], """
+SELECT * FROM (SELECT *, {n} AS display_model FROM pj) x WHERE display_model IN {m}""".format(
+        n=normalize_model_sql(), m=list_sql(OFFICIAL_MODELS)))
+    _view("dedup_cl", ["students"], """
+SELECT id_student, avg_score, active_days, total_clicks, dropout FROM (
+ SELECT id_student, avg_score, active_days, total_clicks, max(dropout) OVER (PARTITION BY id_student) AS dropout,
+  row_number() OVER (PARTITION BY id_student ORDER BY code_module, code_presentation) AS rn
+ FROM students) x WHERE rn = 1""")
+    _view("cj", ["clusters", "dedup_cl"], """
+SELECT c.id_student, c.cluster_id, s.avg_score, s.active_days, s.total_clicks, s.dropout
+FROM clusters c JOIN dedup_cl s ON c.id_student = s.id_student""")
+    _view("csum", ["cj"], """
+SELECT cluster, count(id_student) AS n_students, round_even(avg(avg_score), 1) AS avg_score,
+ round_even(avg(active_days), 1) AS active_days, round_even(avg(total_clicks), 1) AS total_clicks,
+ round_even(avg(CAST(dropout AS DOUBLE)) * 100, 1) AS dropout_rate
+FROM (SELECT *, {l} AS cluster FROM cj) x GROUP BY cluster""".format(l=cluster_label_sql()))
+
+
+_register_report_views()

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
-from cohortlens.functions import clean_education, clean_imd_band, derive_label
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -164,12 +163,8 @@ class Tables:
     def students(self) -> DataFrame:
         """Cleaned enrolments (F1-F3) plus the fixture-only ``enrol_key``."""
         def build():
-            r = self.raw_students
-            cols = [F.col(c) for c in S.STUDENT_COLS if c != "dropout"]
-            cols = [clean_education().alias(c) if c == "highest_education"
-                    else clean_imd_band().alias(c) if c == "imd_band"
-                    else F.col(c) for c in S.STUDENT_COLS if c != "dropout"]
-            return r.select(*cols, derive_label().alias("dropout"), "enrol_key")
+            from cohortlens.operators.cleaning import clean_students
+            return clean_students(self.raw_students, keep=("enrol_key",))
         return self._derived("students", build)
 
     @functools.cached_property
