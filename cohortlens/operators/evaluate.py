@@ -28,6 +28,8 @@ def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
     has only one class. Scores outside [0, 1] are clamped into the end buckets
     (ordering inside a bucket is still by exact score).
     """
+    if not group_cols:
+        return exact_auc(df.withColumn("_all", F.lit(1)), ["_all"], score, label, buckets).drop("_all")
     g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .groupBy(*group_cols, score)
            .agg(F.sum(F.col(label).cast("long")).alias("_np"),
@@ -62,6 +64,8 @@ def _f1(tp, fp, fn):
 def holdout_metrics(df: DataFrame, group_cols: list[str], label: str = "label",
                     pred: str = "predicted", score: str = "probability") -> DataFrame:
     """Accuracy, F1, precision, recall (undefined -> 0) and exact AUC per group."""
+    if not group_cols:
+        return holdout_metrics(df.withColumn("_all", F.lit(1)), ["_all"], label, pred, score).drop("_all")
     c = _counts(df, group_cols, label, pred)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     m = c.select(*group_cols,

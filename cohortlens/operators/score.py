@@ -73,10 +73,7 @@ def complete_requests(req: DataFrame, defaults: DataFrame, feature_cols: list[st
     x = req.withColumn("_one", F.lit(1)).join(F.broadcast(d), "_one", "left")
     filled = {}
     for c in feature_cols:
-        v = F.coalesce(F.col(c).cast(d.schema["_d_" + c].dataType), F.col("_d_" + c))
-        if c in req.columns and not isinstance(req.schema[c].dataType, T.StringType):
-            v = v.cast(req.schema[c].dataType) if not _is_numeric(d, "_d_" + c) else v
-        filled[c] = v
+        filled[c] = F.coalesce(F.col(c).cast(d.schema["_d_" + c].dataType), F.col("_d_" + c))
     x = x.withColumns(filled).drop("_one", *["_d_" + c for c in feature_cols])
     x = x.withColumns({"id_student": parse_student_id("student_id_text"),
                        "id_valid": student_id_valid("student_id_text")})

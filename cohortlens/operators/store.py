@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
-from cohortlens.session import delete_path, path_exists
+from cohortlens.session import path_exists
 
 SERVER_ARTIFACTS = "server-artifacts:"
 
@@ -105,12 +105,26 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
         inserted = n_cand
     else:
         inserted = done
-    for p in parts:
-        delete_path(spark, f"{pred_path.rstrip('/')}/model_name={p}")
+    drop_partitions(spark, pred_path, "model_name", parts)
     return spark.createDataFrame([(int(n_cand), int(inserted), int(n_cand))],
                                  "candidates long, inserted long, deleted long")
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, values) -> int:
+    """Delete the partition folders ``column=value`` of a parquet table.
+    Folder names are matched after undoing Spark's %XX path escaping."""
+    from urllib.parse import unquote
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted, n = set(values), 0
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(column + "=") and unquote(name[len(column) + 1:]) in wanted:
+            n += bool(fs.delete(st.getPath(), True))
+    return n
+
+
 def _batch_done(spark, marker, parts):
     if not path_exists(spark, marker):
         return None

@@ -494,3 +494,419 @@ SELECT experiment, run_id, start_time, artifact_uri FROM (
 def q_latest_run(spark, sf_dir):
     from cohortlens.operators.store import latest_run
     return latest_run(_t(spark, sf_dir).runs)
+
+
+# ----------------------------------------------------------------------------
+# 2.1 sources and sinks that write (into the shared checkpoint folder)
+# ----------------------------------------------------------------------------
+from cohortlens.operators import store as st  # noqa: E402
+from cohortlens.session import scratch_path  # noqa: E402
+
+RAW_COLS_SQL = ", ".join(f.name for f in S.RAW_STUDENTS_SCHEMA.fields)
+LIVE = list(S.LIVE_MODEL_NAMES)
+
+
+def _csv_roundtrip(spark, df, name, reader):
+    path = scratch_path(spark, name)
+    df.write.option("header", True).csv(path)
+    return reader(spark, path)
+
+
+@query("scan_enrolments", "S1", f"SELECT {RAW_COLS_SQL} FROM raw_students", ("raw_students",))
+def q_scan_enrolments(spark, sf_dir):
+    raw = _t(spark, sf_dir).raw_students.select(*[f.name for f in S.RAW_STUDENTS_SCHEMA.fields])
+    return _csv_roundtrip(spark, raw, "enrolments-csv", readers.scan_enrolments)
+
+
+@query("scan_sites", "S2", "SELECT * FROM vle", ("vle",))
+def q_scan_sites(spark, sf_dir):
+    return _csv_roundtrip(spark, _t(spark, sf_dir).vle, "sites-csv", readers.scan_sites)
+
+
+@query("scan_clicks", "S3", "SELECT * FROM studentVle", ("studentVle",))
+def q_scan_clicks(spark, sf_dir):
+    clicks = _csv_roundtrip(spark, _t(spark, sf_dir).student_vle, "clicks-csv", readers.scan_clicks)
+    out = scratch_path(spark, "clicks-parquet")
+    readers.ingest_clicks(clicks, out)
+    return readers.scan_table(spark, out)
+
+
+@query("sink_recreate", "K1", f"SELECT {STUDENT_COLS_SQL} FROM students", ("students",))
+def q_sink_recreate(spark, sf_dir):
+    s = _t(spark, sf_dir).students
+    path = scratch_path(spark, "students")
+    st.sink_recreate(s.where(F.lit(False)), path, S.STUDENTS_SCHEMA)  # an existing empty table ...
+    return st.sink_recreate(s, path, S.STUDENTS_SCHEMA)              # ... is dropped and re-created
+
+
+@query("sink_create_if_absent", "K2", "SELECT * FROM clusters", ("clusters",))
+def q_sink_create_if_absent(spark, sf_dir):
+    path = scratch_path(spark, "clusters")
+    st.sink_create_if_absent(spark, path, S.CLUSTERS_SCHEMA)
+    _t(spark, sf_dir).clusters.write.mode("append").parquet(path)
+    return st.sink_create_if_absent(spark, path, S.CLUSTERS_SCHEMA)  # second call keeps the rows
+
+
+def _rescored(p):
+    """The xgboost rows re-scored: same rows, decision rule '>' instead of '>='."""
+    return p.where(F.col("model_name") == "xgboost_dropout").withColumn(
+        "predicted", F.when(F.col("probability") > 0.5, 1).otherwise(0).cast("int")).withColumn(
+        "run_id", F.lit("run-xgboost_dropout-2"))
+
+
+@query("sink_replace_model", "K3", """
+SELECT * FROM predictions WHERE model_name <> 'xgboost_dropout' UNION ALL
+SELECT id_student, model_name, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS predicted, probability,
+ 'run-xgboost_dropout-2' AS run_id FROM predictions WHERE model_name = 'xgboost_dropout'""", ("predictions",))
+def q_sink_replace_model(spark, sf_dir):
+    p = _t(spark, sf_dir).predictions
+    path = scratch_path(spark, "predictions")
+    st.sink_replace_model(p, path)
+    st.sink_replace_model(_rescored(p), path)
+    return st.sink_replace_model(_rescored(p), path)                 # idempotent re-run
+
+
+@query("sink_replace_table", "K4", "SELECT id_student, cluster_id, dropout_rate FROM clusters", ("clusters",))
+def q_sink_replace_table(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    path = scratch_path(spark, "clusters-replace")
+    st.sink_recreate(t.cluster_assign, path)                         # older layout, other columns
+    return st.sink_recreate(t.clusters, path)
+
+
+@query("sink_append_live", "K5")
+def q_sink_append_live(spark, sf_dir):
+    p = _t(spark, sf_dir).predictions.where(F.col("model_name") == "Random Forest")
+    path = scratch_path(spark, "live")
+    st.sink_append_live(p, path)
+    return st.sink_append_live(p, path)
+
+
+@query("move_live_rows", "K6", """
+SELECT count(*) AS candidates, count(*) AS inserted, count(*) AS deleted FROM predictions
+WHERE model_name IN {n}""".format(n=G.list_sql(LIVE)), ("predictions",))
+def q_move_live_rows(spark, sf_dir):
+    pred_path, live_path = scratch_path(spark, "predictions"), scratch_path(spark, "live")
+    st.sink_replace_model(_t(spark, sf_dir).predictions, pred_path)
+    return st.move_live(spark, pred_path, live_path, LIVE)
+
+
+@query("ingest_checks", "K7", """
+SELECT 'students' AS table_name, count(*) AS n_rows, CAST(coalesce(sum(dropout), 0) AS BIGINT) AS n_dropout FROM students
+UNION ALL SELECT 'vle', count(*), NULL FROM vle UNION ALL SELECT 'studentVle', count(*), NULL FROM studentVle""",
+       ("students", "vle", "studentVle"))
+def q_ingest_checks(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return st.ingest_checks(t.students, t.vle, t.student_vle)
+
+
+# ----------------------------------------------------------------------------
+# 2.6 encoding and splitting
+# ----------------------------------------------------------------------------
+@query("ordinal_encode", "E1", "SELECT enrol_key, {c} FROM students".format(
+    c=", ".join(f"{G.ordinal_sql(c, enc.ORDERS[c])} AS {c}" for c in S.ORDINAL_FEATURES)), ("students",))
+def q_ordinal_encode(spark, sf_dir):
+    return enc.ordinal_encode(_t(spark, sf_dir).students).select("enrol_key", *S.ORDINAL_FEATURES)
+
+
+@query("label_encode", "E2", "SELECT enrol_key, {c} FROM students".format(
+    c=", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'None')) - 1 AS INTEGER) AS {c}"
+                for c in S.NOMINAL_FEATURES)), ("students",))
+def q_label_encode(spark, sf_dir):
+    return enc.label_encode(_t(spark, sf_dir).students).select("enrol_key", *S.NOMINAL_FEATURES)
+
+
+@query("one_hot", "E3")
+def q_one_hot(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    s = _t(spark, sf_dir).students
+    m = Pipeline(stages=enc.one_hot_stages()).fit(s)
+    return m.transform(s).select("enrol_key", *[vector_to_array(c + "_ohe").alias(c) for c in S.NOMINAL_FEATURES])
+
+
+def _md5_hash_sql(key, seed):
+    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT)"
+
+
+@query("stratified_split", "E4", f"""
+SELECT enrol_key, dropout, rn <= ceil(cnt * 0.2) AS is_test FROM (
+ SELECT enrol_key, dropout, row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 42)}, enrol_key) AS rn,
+  count(*) OVER (PARTITION BY dropout) AS cnt FROM students) x""", ("students",))
+def q_stratified_split(spark, sf_dir):
+    s = _t(spark, sf_dir).students.select("enrol_key", "dropout")
+    return sp.stratified_split(s, "enrol_key", "dropout", 0.2, 42, exact=True)
+
+
+@query("stratified_folds", "M6", f"""
+SELECT enrol_key, dropout, CAST({_md5_hash_sql('enrol_key', 43)} % 5 AS INTEGER) AS fold FROM students""",
+       ("students",))
+def q_stratified_folds(spark, sf_dir):
+    s = _t(spark, sf_dir).students.select("enrol_key", "dropout")
+    return sp.assign_folds(s, "enrol_key", 5, 42)
+
+
+_LOGISTIC_NUMERIC = enc.logistic_columns([c for c in S.STUDENT_COLS if c not in ("id_student", "dropout")])[2]
+
+
+@query("scale_numeric", "E5", "SELECT enrol_key, {c} FROM students, (SELECT {s} FROM students) st".format(
+    c=", ".join(f"{c} / coalesce(nullif(st.s_{c}, 0), 1) AS {c}" for c in _LOGISTIC_NUMERIC),
+    s=", ".join(f"stddev_pop({c}) AS s_{c}" for c in _LOGISTIC_NUMERIC)), ("students",))
+def q_scale_numeric(spark, sf_dir):
+    s = _t(spark, sf_dir).students.select("enrol_key", *_LOGISTIC_NUMERIC)
+    return enc.scale_numeric(s, _LOGISTIC_NUMERIC)
+
+
+@query("minmax_features", "E6", "SELECT enrol_key, {c} FROM students, (SELECT {s} FROM students) st".format(
+    c=", ".join(f"coalesce(({c} - st.lo_{c}) / nullif(st.hi_{c} - st.lo_{c}, 0), 0e0) AS {c}"
+                for c in S.CLUSTER_FEATURES),
+    s=", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in S.CLUSTER_FEATURES)), ("students",))
+def q_minmax_features(spark, sf_dir):
+    s = _t(spark, sf_dir).students.select("enrol_key", *S.CLUSTER_FEATURES)
+    return enc.minmax_features(s)
+
+
+def _assembled(df, stages):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    m = Pipeline(stages=stages).fit(df)
+    return m.transform(df).select("enrol_key", vector_to_array("features").alias("features"))
+
+
+@query("assemble_full_course", "E7")
+def q_assemble_full_course(spark, sf_dir):
+    from cohortlens.operators.train import tree_stages
+    return _assembled(_t(spark, sf_dir).students, tree_stages(S.FEATURE_COLS))
+
+
+@query("assemble_early", "E8")
+def q_assemble_early(spark, sf_dir):
+    from cohortlens.operators.train import tree_stages
+    t = _t(spark, sf_dir)
+    return _assembled(feat.early_frame(t.students, t.student_vle), tree_stages(S.EARLY_FEATURE_COLS))
+
+
+@query("feature_select_logistic", "E9")
+def q_feature_select_logistic(spark, sf_dir):
+    from cohortlens.operators.train import logistic_stages
+    s = _t(spark, sf_dir).students
+    cols = [c for c in s.columns if c not in ("id_student", "dropout", "enrol_key")]
+    return _assembled(s, logistic_stages(s, cols))
+
+
+# ----------------------------------------------------------------------------
+# 2.7 training (rows-only: model outputs cannot equal the reference's RNG)
+# ----------------------------------------------------------------------------
+from cohortlens.operators import train as tr  # noqa: E402
+
+# Registered queries run a reduced search budget (2 candidates x 2 folds,
+# tens of trees); the library defaults are the reference's full search.
+QUICK_SEARCH = (2, 2)
+QUICK_RF = {**tr.RF_SPACE, "n_estimators": ("int", 20, 40)}
+QUICK_A = {**tr.BOOSTED_A_SPACE, "n_estimators": [15, 20]}
+QUICK_B = {**tr.BOOSTED_B_SPACE, "iterations": [15, 20]}
+
+
+def _early(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return feat.early_frame(t.students, t.student_vle)
+
+
+def _train_and_emit(spark, kind, df, search=None, space=None):
+    r = tr.train_model(kind, df, search=search, space=space)
+    return tr.emit_predictions(r["test_scored"], tr.MODEL_NAMES[kind], f"run-{kind}")
+
+
+@query("train_logistic", "M1")
+def q_train_logistic(spark, sf_dir):
+    return _train_and_emit(spark, "logistic", _t(spark, sf_dir).students)
+
+
+@query("train_random_forest", "M2")
+def q_train_random_forest(spark, sf_dir):
+    return _train_and_emit(spark, "random_forest", _t(spark, sf_dir).students, QUICK_SEARCH, QUICK_RF)
+
+
+@query("train_boosted_a", "M3")
+def q_train_boosted_a(spark, sf_dir):
+    return _train_and_emit(spark, "boosted_a", _early(spark, sf_dir), QUICK_SEARCH, QUICK_A)
+
+
+@query("train_boosted_b", "M4")
+def q_train_boosted_b(spark, sf_dir):
+    return _train_and_emit(spark, "boosted_b", _early(spark, sf_dir), QUICK_SEARCH, QUICK_B)
+
+
+@query("random_search", "M5")
+def q_random_search(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+    d = tr.with_weights(_t(spark, sf_dir).students)
+    train, _ = tr.split(d)
+    est = RandomForestClassifier(seed=S.RANDOM_STATE)
+    _, best, cands, metrics = tr._fit_search(tr.tree_stages(S.FEATURE_COLS), est, tr.rf_params, QUICK_RF,
+                                             QUICK_SEARCH[0], QUICK_SEARCH[1], train, 2)
+    rows = [(i, str(sorted(c.items())), float(m), c == best) for i, (c, m) in enumerate(zip(cands, metrics))]
+    return spark.createDataFrame(rows, "candidate int, params string, cv_f1 double, is_best boolean")
+
+
+@query("decision_rule", "M7", """
+SELECT id_student, model_name, probability, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS predicted_ge,
+ CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS predicted_gt FROM predictions""", ("predictions",))
+def q_decision_rule(spark, sf_dir):
+    from cohortlens.operators.score import decision
+    p = _t(spark, sf_dir).predictions
+    return p.select("id_student", "model_name", "probability", decision("probability", ">=").alias("predicted_ge"),
+                    decision("probability", ">").alias("predicted_gt"))
+
+
+@query("emit_predictions", "M8")
+def q_emit_predictions(spark, sf_dir):
+    preds = _train_and_emit(spark, "logistic", _t(spark, sf_dir).students)
+    return st.sink_replace_model(preds, scratch_path(spark, "predictions"))
+
+
+@query("record_run", "M9")
+def q_record_run(spark, sf_dir):
+    r = tr.train_model("logistic", _t(spark, sf_dir).students)
+    path = scratch_path(spark, "runs")
+    metrics = {k: v for k, v in r["metrics"].items() if isinstance(v, float)}
+    st.record_run(spark, path, tr.EXPERIMENTS["logistic"], r["params"], metrics)
+    return spark.read.parquet(path)
+
+
+@query("save_load_model", "M10")
+def q_save_load_model(spark, sf_dir):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    r = tr.train_model("random_forest", _t(spark, sf_dir).students, (1, 2), QUICK_RF)
+    path = scratch_path(spark, "model-rf")
+    r["model"].write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    again = loaded.transform(r["test_scored"].select(*_t(spark, sf_dir).students.columns, "label", "w_balanced",
+                                                     "w_pos", "w_one"))
+    again = again.select("enrol_key", vector_to_array("probability").getItem(1).alias("reloaded_probability"))
+    first = r["test_scored"].select("enrol_key", "id_student", "probability")
+    return first.join(again, "enrol_key").withColumn(
+        "same", F.abs(F.col("probability") - F.col("reloaded_probability")) < 1e-12)
+
+
+@query("feature_importance", "M11")
+def q_feature_importance(spark, sf_dir):
+    r = tr.train_model("boosted_a", _early(spark, sf_dir), (1, 2), QUICK_A)
+    imp = spark.createDataFrame(tr.importances(r["model"], S.EARLY_FEATURE_COLS), "feature string, importance double")
+    test = r["test_scored"].select(*_early(spark, sf_dir).columns)
+    perm = tr.permutation_importance(r["model"], test, S.EARLY_FEATURE_COLS)
+    return imp.join(perm, "feature", "left")
+
+
+@query("train_neural", "M12")
+def q_train_neural(spark, sf_dir):
+    return _train_and_emit(spark, "neural", _t(spark, sf_dir).students)
+
+
+# ----------------------------------------------------------------------------
+# 2.8 clustering
+# ----------------------------------------------------------------------------
+@query("kmeans_fit", "C1")
+def q_kmeans_fit(spark, sf_dir):
+    out, _, _ = clu.fit_clusters(readers.scan_pruned(_t(spark, sf_dir).students))
+    return out
+
+
+@query("kmeans_elbow", "C2")
+def q_kmeans_elbow(spark, sf_dir):
+    return clu.elbow(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=range(1, 5))
+
+
+@query("kmeans_inertia_k1", "C2", "SELECT 1 AS k, ({s}) * count(*) AS inertia FROM ({x}) z".format(
+    s=" + ".join(f"coalesce(var_pop({c}), 0)" for c in S.CLUSTER_FEATURES),
+    x="SELECT {c} FROM students, (SELECT {m} FROM students) st".format(
+        c=", ".join(f"coalesce(({c} - st.lo_{c}) / nullif(st.hi_{c} - st.lo_{c}, 0), 0e0) AS {c}"
+                    for c in S.CLUSTER_FEATURES),
+        m=", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in S.CLUSTER_FEATURES))), ("students",))
+def q_kmeans_inertia_k1(spark, sf_dir):
+    return clu.inertia_k1(readers.scan_pruned(_t(spark, sf_dir).students))
+
+
+@query("clusters_table", "C3")
+def q_clusters_table(spark, sf_dir):
+    df = clu.clusters_table(readers.scan_pruned(_t(spark, sf_dir).students))
+    return st.sink_recreate(df, scratch_path(spark, "clusters"), S.CLUSTERS_SCHEMA)
+
+
+@query("cluster_scatter", "C4", "SELECT id_student, active_days, avg_score, total_clicks, {l} AS cluster, dropout FROM cj".format(
+    l=G.cluster_label_sql()), ("cj",))
+def q_cluster_scatter(spark, sf_dir):
+    return rep.cluster_scatter(_cj(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------
+# 2.9 scoring
+# ----------------------------------------------------------------------------
+def _complete_sql():
+    cols = []
+    for c in S.FEATURE_COLS:
+        cols.append(f"coalesce(CAST(r.{c} AS DOUBLE), d.{c}) AS {c}" if c in _NUMERIC_FULL
+                    else f"coalesce(r.{c}, d.{c}) AS {c}")
+    idv = ("coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true)")
+    checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
+                        for c, (lo, hi) in S.REQUEST_BOUNDS_FULL.items())
+    return f"""
+SELECT *, id_valid AND in_range AS accepted FROM (
+ SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
+  SELECT r.request_id, r.student_id_text, {', '.join(cols)},
+   CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
+   {idv} AS id_valid
+  FROM requests r, d) a) b"""
+
+
+@query("complete_requests", "I1", _complete_sql(), ("requests", "students"),
+       extra={"d": _defaults_sql(S.FEATURE_COLS, _NUMERIC_FULL)})
+def q_complete_requests(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    d = sc.defaults_profile(t.students, S.FEATURE_COLS)
+    return sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+
+
+def _scored_requests(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    r = tr.train_model("random_forest", t.students, (1, 2), QUICK_RF)
+    d = sc.defaults_profile(t.students, S.FEATURE_COLS)
+    req = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    return sc.score(r["model"], req, r["rule"]), r
+
+
+@query("score_requests", "I2")
+def q_score_requests(spark, sf_dir):
+    scored, _ = _scored_requests(spark, sf_dir)
+    return scored.select("request_id", "id_student", "accepted", "probability", "predicted")
+
+
+@query("save_scored", "I3")
+def q_save_scored(spark, sf_dir):
+    scored, _ = _scored_requests(spark, sf_dir)
+    out = scored.where(F.col("accepted")).select("id_student", F.lit("Random Forest").alias("model_name"),
+                                                 "predicted", "probability", F.lit("run-random_forest").alias("run_id"))
+    return st.sink_append_live(out, scratch_path(spark, "live"))
+
+
+@query("early_frame", "I4", JOIN_FEATURES_SQL, ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
+def q_early_frame(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return feat.early_frame(t.students, t.student_vle)
+
+
+@query("stream_requests", "I5")
+def q_stream_requests(spark, sf_dir):
+    from cohortlens.streaming import stream_requests
+    t = _t(spark, sf_dir)
+    src = scratch_path(spark, "requests-in")
+    t.requests.repartition(4).write.parquet(src)                       # request files landing
+    r = tr.train_model("random_forest", t.students, (1, 2), QUICK_RF)
+    d = sc.defaults_profile(t.students, S.FEATURE_COLS)
+    live = scratch_path(spark, "live")
+    q = stream_requests(spark, src, t.requests.schema, d, r["model"], S.FEATURE_COLS, live,
+                        scratch_path(spark, "stream-ckpt"), "Random Forest", "run-random_forest",
+                        S.REQUEST_BOUNDS_FULL, r["rule"])
+    q.awaitTermination()
+    return spark.read.parquet(live)
