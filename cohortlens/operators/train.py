@@ -35,7 +35,7 @@ MODEL_NAMES = {"logistic": "logistic_dropout", "random_forest": "random_forest",
 EXPERIMENTS = {"logistic": "logistic-regression-prediction", "random_forest": "random-forest-prediction-v2",
                "boosted_a": "xgboost_stu_vle_v2", "boosted_b": "catboost_stu_vle",
                "neural": "tabnet-dropout-prediction"}
-LOGISTIC_C, LOGISTIC_MAX_ITER = 0.5, 1000
+LOGISTIC_C, LOGISTIC_MAX_ITER, LOGISTIC_TOL = 0.5, 1000, 1e-4
 # random forest: ("int", lo, hi) is a uniform integer range, a list is a choice
 RF_SPACE = {"n_estimators": ("int", 100, 300), "max_depth": [5, 8, 10, 12, 15],
             "min_samples_split": ("int", 2, 20), "min_samples_leaf": ("int", 1, 10),
@@ -156,9 +156,20 @@ def with_weights(df: DataFrame, label: str = "dropout") -> DataFrame:
         "w_one": F.lit(1.0)})
 
 
-def split(df: DataFrame, key: str = "enrol_key", label: str = "dropout"):
-    """Exact 20% test per class, deterministic."""
+def split(df: DataFrame, key: str = "enrol_key", label: str = "dropout", materialize: bool = True):
+    """Exact 20% test per class, deterministic.
+
+    With ``materialize`` the labelled frame is written once as parquet in the
+    shared checkpoint folder and read back: every later fit, CV fold and
+    evaluation reads those files instead of recomputing the feature lineage,
+    and a lost executor only re-reads a file split."""
     s = stratified_split(df, key, label, S.TEST_SIZE, S.RANDOM_STATE, exact=True)
+    if materialize:
+        from cohortlens.session import scratch_path
+        spark = df.sparkSession
+        path = scratch_path(spark, "split")
+        s.write.parquet(path)
+        s = spark.read.parquet(path)
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
@@ -167,8 +178,10 @@ def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, par
     cands = sample_space(space, n_iter)
     maps = [param_fn(est, p) for p in cands]
     pipe = Pipeline(stages=[*pipeline_prefix, est])
+    if len(maps) == 1:  # a single candidate is the best one: no need to cross-validate
+        return pipe.fit(train, maps[0]), cands[0], cands, [float("nan")]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=f1_evaluator(),
-                        foldCol="fold", parallelism=parallelism, seed=S.RANDOM_STATE)
+                        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=S.RANDOM_STATE)
     tr = assign_folds(train, "enrol_key", folds, S.RANDOM_STATE)
     cvm = cv.fit(tr)
     best = max(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
@@ -190,7 +203,8 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
             cols = [c for c in df.columns if c not in ("id_student", "dropout", "enrol_key")]
             n = train.count()
             lr = LogisticRegression(maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
-                                    elasticNetParam=0.0, standardization=False, weightCol="w_balanced")
+                                    elasticNetParam=0.0, standardization=False, weightCol="w_balanced",
+                                    tol=LOGISTIC_TOL)
             model = Pipeline(stages=[*logistic_stages(train, cols), lr]).fit(train)
             params, rule = {"C": LOGISTIC_C, "max_iter": LOGISTIC_MAX_ITER, "class_weight": "balanced"}, ">"
         elif kind == "random_forest":
@@ -266,9 +280,15 @@ def permutation_importance(model, df: DataFrame, feature_cols: list[str], key: s
     x = df.withColumn("_bk", b)
     x = (x.withColumn("_r", F.row_number().over(Window.partitionBy("_bk").orderBy(key)))
           .withColumn("_r2", F.row_number().over(Window.partitionBy("_bk").orderBy(key_hash(key, seed + 7), key))))
-    rows = []
+    # all permuted copies in one frame, tagged by feature: one scoring job and
+    # one grouped exact-AUC aggregation instead of a job per feature
+    copies = None
     for c in feature_cols:
         donor = x.select("_bk", F.col("_r2").alias("_r"), F.col(c).alias("_v"))
-        perm = x.join(donor, ["_bk", "_r"]).withColumn(c, F.col("_v")).drop("_v", "_r", "_r2", "_bk")
-        rows.append((c, float((base or 0.0) - (auc_of(perm) or 0.0))))
-    return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
+        perm = (x.join(donor, ["_bk", "_r"]).withColumn(c, F.col("_v"))
+                 .drop("_v", "_r", "_r2", "_bk").withColumn("feature", F.lit(c)))
+        copies = perm if copies is None else copies.unionByName(perm)
+    s = model.transform(copies).withColumn("probability", vector_to_array("probability").getItem(1))
+    aucs = exact_auc(s, ["feature"], "probability", "dropout")
+    return aucs.select("feature", (F.lit(float(base or 0.0)) - F.col("auc")).alias("auc_drop"))
+
