@@ -66,15 +66,16 @@ def complete_requests(req: DataFrame, defaults: DataFrame, feature_cols: list[st
     """I1 (+F15, F16): fill each missing feature of a request from the
     one-row defaults profile and flag invalid requests.
 
-    The defaults row is a single row by construction (a global aggregate),
-    so it is attached with a broadcast join on a constant key.
-    """
-    d = defaults.select(*[F.col(c).alias("_d_" + c) for c in feature_cols]).withColumn("_one", F.lit(1))
-    x = req.withColumn("_one", F.lit(1)).join(F.broadcast(d), "_one", "left")
+    The profile is a fitted one-row statistic (like an imputer's surrogate
+    values): it is read once and applied as literals, so the request side is
+    a narrow projection with no join at all."""
+    row = defaults.first()
+    d = row.asDict() if row is not None else {}
     filled = {}
     for c in feature_cols:
-        filled[c] = F.coalesce(F.col(c).cast(d.schema["_d_" + c].dataType), F.col("_d_" + c))
-    x = x.withColumns(filled).drop("_one", *["_d_" + c for c in feature_cols])
+        dt = defaults.schema[c].dataType
+        filled[c] = F.coalesce(F.col(c).cast(dt), F.lit(d.get(c)).cast(dt))
+    x = req.withColumns(filled)
     x = x.withColumns({"id_student": parse_student_id("student_id_text"),
                        "id_valid": student_id_valid("student_id_text")})
     if bounds:

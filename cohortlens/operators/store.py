@@ -99,7 +99,7 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
     if done is None:
         staged = cand.withColumn("batch_id", F.lit(batch))
         sink_append_live(staged.drop("batch_id"), live_path)
-        spark.createDataFrame([(batch, ",".join(sorted(parts)), int(n_cand), _dt.datetime.utcnow())],
+        spark.createDataFrame([(batch, ",".join(sorted(parts)), int(n_cand), _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))],
                               "batch_id string, partitions string, n_rows long, at timestamp") \
              .write.mode("append").parquet(marker)
         inserted = n_cand
@@ -150,7 +150,7 @@ def record_run(spark: SparkSession, path: str, experiment: str, params: dict, me
                status: str = "FINISHED", artifact_uri: str | None = None) -> str:
     """M9: append one run row (params, metrics, artifact location)."""
     run_id = uuid.uuid4().hex
-    row = (run_id, experiment, status, _dt.datetime.utcnow(), artifact_uri or f"{SERVER_ARTIFACTS}/{run_id}",
+    row = (run_id, experiment, status, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), artifact_uri or f"{SERVER_ARTIFACTS}/{run_id}",
            {str(k): str(v) for k, v in params.items()}, {str(k): float(v) for k, v in metrics.items()})
     spark.createDataFrame([row], S.RUNS_SCHEMA).write.mode("append").parquet(path)
     return run_id
