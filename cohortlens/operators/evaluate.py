@@ -16,36 +16,40 @@ def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
               label: str = "label", buckets: int = AUC_BUCKETS) -> DataFrame:
     """A5: exact rank AUC (ties count 1/2) per group, fully distributed.
 
-    1. collapse rows to distinct (group, score) with positive / negative
-       counts (partial aggregation: the raw rows never reach one task);
-    2. per (group, bucket) negative totals, bucket = floor(score*B), B = 2^20;
-       their running sum over buckets gives each bucket's offset -- a table
-       of at most B rows per group, never the raw data;
-    3. the running sum within (group, bucket) finishes the count of
-       negatives below each score, so no window holds a whole group.
-
-    AUC = sum(pos * (neg_below + neg_tied/2)) / (P * N); NULL when a group
-    has only one class. Scores outside [0, 1] are clamped into the end buckets
-    (ordering inside a bucket is still by exact score).
+    AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N), NULL when a group
+    has only one class. With scores cut into B = 2^20 equal-width buckets
+    (clamped to [0, 1]; order inside a bucket is by exact score):
+
+      sum(pos * neg_below) = sum over scores of pos * (negatives below it in
+                             its own bucket)                       -- term 1
+                           + sum over buckets of P_b * N_(buckets below b)
+                                                                   -- term 2
+    1. rows collapse to distinct (group, score) with positive / negative
+       counts (partial aggregation: raw rows never reach one task);
+    2. term 1 is a running sum inside (group, bucket) -- no window spans a
+       whole group, however large one model's share of the rows is;
+    3. term 2 needs only the per-bucket totals (at most B rows per group).
+    The two per-group sums are joined on the group key only.
     """
     if not group_cols:
         return exact_auc(df.withColumn("_all", F.lit(1)), ["_all"], score, label, buckets).drop("_all")
+    b = F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("long")
     g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .groupBy(*group_cols, score)
            .agg(F.sum(F.col(label).cast("long")).alias("_np"),
-                F.sum(1 - F.col(label).cast("long")).alias("_nn")))
-    b = F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("long")
-    g = g.withColumn("_b", b)
-    bt = g.groupBy(*group_cols, "_b").agg(F.sum("_nn").alias("_bn"))
-    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+                F.sum(1 - F.col(label).cast("long")).alias("_nn"))
+           .withColumn("_b", b))
     wi = Window.partitionBy(*group_cols, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    h = (g.join(bt, [*group_cols, "_b"])
-          .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_nn").over(wi), F.lit(0))))
-    agg = h.groupBy(*group_cols).agg(
-        F.sum(F.col("_np") * (F.col("_below") + F.col("_nn") / 2.0)).alias("_num"),
-        F.sum("_np").alias("_p"), F.sum("_nn").alias("_n"))
-    return agg.select(*group_cols, safe_ratio("_num", F.col("_p") * F.col("_n")).alias("auc"))
+    t1 = (g.withColumn("_below", F.coalesce(F.sum("_nn").over(wi), F.lit(0)))
+           .groupBy(*group_cols)
+           .agg(F.sum(F.col("_np") * (F.col("_below") + F.col("_nn") / 2.0)).alias("_t1"),
+                F.sum("_np").alias("_p"), F.sum("_nn").alias("_n")))
+    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    t2 = (g.groupBy(*group_cols, "_b").agg(F.sum("_np").alias("_pb"), F.sum("_nn").alias("_nb"))
+           .withColumn("_nbelow", F.coalesce(F.sum("_nb").over(wb), F.lit(0)))
+           .groupBy(*group_cols).agg(F.sum(F.col("_pb") * F.col("_nbelow")).alias("_t2")))
+    j = t1.join(t2, group_cols)
+    return j.select(*group_cols, safe_ratio(F.col("_t1") + F.col("_t2"), F.col("_p") * F.col("_n")).alias("auc"))
 
 
 def _counts(df: DataFrame, group_cols, label, pred):
