@@ -47,12 +47,15 @@ def label_encode(df: DataFrame, cols=S.NOMINAL_FEATURES) -> DataFrame:
 
 
 def one_hot_stages(cols=S.NOMINAL_FEATURES) -> list:
-    """Index + one-hot; all seen categories kept, unknown / NULL -> all zeros
-    (dropLast removes only the extra 'unknown' slot of handleInvalid='keep')."""
+    """Index + one-hot; all seen categories kept, unknown / NULL -> all zeros.
+
+    The indexer (handleInvalid='keep') appends an '__unknown' label, so its
+    metadata has n + 1 values; dropLast then removes exactly that slot and the
+    vectors have one position per seen category."""
     idx = [StringIndexer(inputCol=c, outputCol=c + "_idx", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in cols]
     ohe = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + "_ohe" for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     return idx + [ohe]
 
 

@@ -603,6 +603,25 @@ def q_ingest_checks(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.6 encoding and splitting
 # ----------------------------------------------------------------------------
+def _enc_sql(c):
+    """SQL of one tree-model feature (F7 / E1 / E2 encodings as in ``tree_stages``)."""
+    if c == "gender":
+        return "CAST(coalesce(CASE WHEN gender = 'M' THEN 1 WHEN gender = 'F' THEN 0 END, -1) AS DOUBLE)"
+    if c == "disability":
+        return "CAST(coalesce(CASE WHEN disability = 'Y' THEN 1 WHEN disability = 'N' THEN 0 END, -1) AS DOUBLE)"
+    if c in S.ORDINAL_FEATURES:
+        return f"CAST({G.ordinal_sql(c, enc.ORDERS[c])} AS DOUBLE)"
+    if c in S.NOMINAL_FEATURES:
+        return f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({c} AS VARCHAR), 'None')) - 1 AS DOUBLE)"
+    return f"CAST({c} AS DOUBLE)"
+
+
+def _onehot_sql(c):
+    code = f"(dense_rank() OVER (ORDER BY {c}) - 1)"
+    return (f"[CASE WHEN {c} IS NOT NULL AND x = {code} THEN 1e0 ELSE 0e0 END "
+            f"FOR x IN range((SELECT count(DISTINCT {c}) FROM students))]")
+
+
 @query("ordinal_encode", "E1", "SELECT enrol_key, {c} FROM students".format(
     c=", ".join(f"{G.ordinal_sql(c, enc.ORDERS[c])} AS {c}" for c in S.ORDINAL_FEATURES)), ("students",))
 def q_ordinal_encode(spark, sf_dir):
@@ -616,7 +635,8 @@ def q_label_encode(spark, sf_dir):
     return enc.label_encode(_t(spark, sf_dir).students).select("enrol_key", *S.NOMINAL_FEATURES)
 
 
-@query("one_hot", "E3")
+@query("one_hot", "E3", "SELECT enrol_key, {c} FROM students".format(
+    c=", ".join(f"{_onehot_sql(c)} AS {c}" for c in S.NOMINAL_FEATURES)), ("students",))
 def q_one_hot(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -673,20 +693,34 @@ def _assembled(df, stages):
     return m.transform(df).select("enrol_key", vector_to_array("features").alias("features"))
 
 
-@query("assemble_full_course", "E7")
+@query("assemble_full_course", "E7", "SELECT enrol_key, [{f}] AS features FROM students".format(
+    f=", ".join(_enc_sql(c) for c in S.FEATURE_COLS)), ("students",))
 def q_assemble_full_course(spark, sf_dir):
     from cohortlens.operators.train import tree_stages
     return _assembled(_t(spark, sf_dir).students, tree_stages(S.FEATURE_COLS))
 
 
-@query("assemble_early", "E8")
+@query("assemble_early", "E8", "SELECT enrol_key, [{f}] AS features FROM ({j}) e".format(
+    f=", ".join(_enc_sql(c) for c in S.EARLY_FEATURE_COLS), j=JOIN_FEATURES_SQL), ("students", "studentVle"),
+       extra={"vf": VLE_AGG_SQL})
 def q_assemble_early(spark, sf_dir):
     from cohortlens.operators.train import tree_stages
     t = _t(spark, sf_dir)
     return _assembled(feat.early_frame(t.students, t.student_vle), tree_stages(S.EARLY_FEATURE_COLS))
 
 
-@query("feature_select_logistic", "E9")
+def _logistic_sql():
+    ordinal, nominal, numeric = enc.logistic_columns(
+        [c for c in S.STUDENT_COLS if c not in ("id_student", "dropout")])
+    ords = "[" + ", ".join(f"CAST({G.ordinal_sql(c, enc.ORDERS[c])} AS DOUBLE)" for c in ordinal) + "]"
+    nums = "[" + ", ".join(f"CAST({c} AS DOUBLE) / coalesce(nullif(st.s_{c}, 0), 1)" for c in numeric) + "]"
+    ohe = ", ".join(_onehot_sql(c) for c in nominal)
+    stats = ", ".join(f"stddev_pop({c}) AS s_{c}" for c in numeric)
+    return (f"SELECT enrol_key, list_concat({ords}, {ohe}, {nums}) AS features "
+            f"FROM students, (SELECT {stats} FROM students) st")
+
+
+@query("feature_select_logistic", "E9", _logistic_sql(), ("students",))
 def q_feature_select_logistic(spark, sf_dir):
     from cohortlens.operators.train import logistic_stages
     s = _t(spark, sf_dir).students

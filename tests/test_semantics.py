@@ -138,3 +138,15 @@ def test_latest_run_respects_top_window(spark):
     from cohortlens.operators.store import latest_run
     got = {r.experiment: r.run_id for r in latest_run(df).collect()}
     assert got == {"f": "ok"}  # 'e' has 30 newer finished runs without server artifacts
+
+
+def test_one_hot_keeps_all_seen_categories(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from cohortlens.operators.encode import one_hot_stages
+    fit = spark.createDataFrame([("a",), ("b",), ("c",)], "region string")
+    m = Pipeline(stages=one_hot_stages(["region"])).fit(fit)
+    new = spark.createDataFrame([("b",), ("zzz",), (None,)], "region string")
+    got = [r.v for r in m.transform(new).select(vector_to_array("region_ohe").alias("v")).collect()]
+    assert got == [[0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
