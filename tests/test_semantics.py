@@ -150,3 +150,29 @@ def test_one_hot_keeps_all_seen_categories(spark):
     new = spark.createDataFrame([("b",), ("zzz",), (None,)], "region string")
     got = [r.v for r in m.transform(new).select(vector_to_array("region_ohe").alias("v")).collect()]
     assert got == [[0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def test_click_feature_variants_agree(spark, tables):
+    from cohortlens.operators.features import KEYS, click_features
+    a = {tuple(r[k] for k in KEYS): r for r in click_features(tables.student_vle, 60, distinct="sets").collect()}
+    b = {tuple(r[k] for k in KEYS): r for r in click_features(tables.student_vle, 60, distinct="expand").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k].vle_active_days == b[k].vle_active_days
+        assert a[k].vle_unique_resources == b[k].vle_unique_resources
+        assert a[k].vle_total_clicks == b[k].vle_total_clicks
+        assert abs(a[k].vle_std_clicks - b[k].vle_std_clicks) < 1e-9
+
+
+def test_click_features_handle_a_hot_enrolment(spark):
+    """One enrolment with a third of all rows: exact features, no row dropped."""
+    from cohortlens.operators.features import click_features
+    rows = [("AAA", "2014B", 1, i % 50, i % 90 - 10, i % 7) for i in range(600)]
+    rows += [("BBB", "2014J", k, k, k % 60, 3) for k in range(2, 1202)]
+    df = spark.createDataFrame(rows, "code_module string, code_presentation string, id_student long, "
+                                     "id_site long, date int, sum_click int")
+    hot = click_features(df).where("id_student = 1").first()
+    kept = [r for r in rows[:600] if r[4] <= 60]
+    assert hot.vle_total_clicks == sum(r[5] for r in kept)
+    assert hot.vle_active_days == len({r[4] for r in kept})
+    assert hot.vle_unique_resources == len({r[3] for r in kept})
