@@ -75,6 +75,14 @@ def main():
     for name, fn in queries.items():
         timed(name, fn)
 
+    # model work (MLlib): k-means on the pruned scan, logistic fit + hold-out scoring
+    from cohortlens.operators import cluster as clu
+    from cohortlens.operators import train as tr
+    from cohortlens.sources.readers import scan_pruned
+    timed("kmeans_fit", lambda: run(clu.fit_clusters(scan_pruned(t.students))[0]))
+    timed("train_logistic", lambda: run(tr.emit_predictions(
+        tr.train_model("logistic", t.students)["test_scored"], "logistic_dropout", "bench")))
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     total = round(sum(times.values()), 3)

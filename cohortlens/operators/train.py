@@ -188,6 +188,17 @@ def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, par
     return cvm.bestModel, cands[best], cands, list(cvm.avgMetrics)
 
 
+def max_bins_for(df: DataFrame, floor: int = 32) -> int:
+    """A20 applied: tree ``maxBins`` must cover the largest nominal arity
+    (+1 for the 'None' / unknown code). One aggregation, one row."""
+    from cohortlens.operators.score import cardinalities
+    cols = [c for c in S.NOMINAL_FEATURES if c in df.columns]
+    if not cols:
+        return floor
+    row = cardinalities(df, cols).first()
+    return max([floor] + [int(row[c]) + 1 for c in cols])
+
+
 def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
                 space: dict | None = None, parallelism: int = 2):
     """Train one of the five model slots and score its test split.
@@ -209,18 +220,21 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
             params, rule = {"C": LOGISTIC_C, "max_iter": LOGISTIC_MAX_ITER, "class_weight": "balanced"}, ">"
         elif kind == "random_forest":
             n_iter, folds = search or SEARCH_SIZES["random_forest"]
-            est = RandomForestClassifier(seed=S.RANDOM_STATE, featureSubsetStrategy="sqrt")
+            est = RandomForestClassifier(seed=S.RANDOM_STATE, featureSubsetStrategy="sqrt",
+                                         maxBins=max_bins_for(train))
             model, params, _, _ = _fit_search(tree_stages(S.FEATURE_COLS), est, rf_params,
                                               space or RF_SPACE, n_iter, folds, train, parallelism)
             rule = ">"
         elif kind in ("boosted_a", "boosted_b"):
             n_iter, folds = search or SEARCH_SIZES[kind]
+            bins = max_bins_for(train)
             if kind == "boosted_a":
-                est = GBTClassifier(seed=S.RANDOM_STATE, weightCol="w_pos")
+                est = GBTClassifier(seed=S.RANDOM_STATE, weightCol="w_pos", maxBins=bins)
                 fn, sp = boosted_a_params, space or BOOSTED_A_SPACE
             else:
-                est = GBTClassifier(seed=S.RANDOM_STATE, maxBins=64)
-                fn, sp = boosted_b_params, space or BOOSTED_B_SPACE
+                est = GBTClassifier(seed=S.RANDOM_STATE, maxBins=bins)
+                fn = lambda e, p: boosted_b_params(e, p, bins)
+                sp = space or BOOSTED_B_SPACE
             model, params, _, _ = _fit_search(tree_stages(S.EARLY_FEATURE_COLS), est, fn, sp,
                                               n_iter, folds, train, parallelism)
             rule = ">="

@@ -2,14 +2,17 @@
 
 Stateless (each request is scored on its own), so no watermark or state
 store is involved; ``foreachBatch`` applies the batch pipeline (complete ->
-score -> append) to every micro-batch, and the checkpoint makes the sink
-restartable: a batch whose commit was not recorded is replayed."""
+score -> write) to every micro-batch. The checkpoint replays a batch whose
+commit was not recorded, and each batch is written to its own
+``stream=<checkpoint name>/stream_epoch=<id>`` partition with dynamic
+partition overwrite, so a
+replay replaces its earlier attempt instead of appending twice
+(exactly-once at the table level)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.operators.score import complete_requests, score
-from cohortlens.operators.store import sink_append_live
 
 
 def stream_requests(spark: SparkSession, source_dir: str, schema, defaults: DataFrame, model,
@@ -19,14 +22,20 @@ def stream_requests(spark: SparkSession, source_dir: str, schema, defaults: Data
     from pyspark.sql import functions as F
 
     defaults = defaults.cache()  # one row, reused by every micro-batch
+    stream_name = checkpoint.rstrip("/").rsplit("/", 1)[-1]  # stable across restarts of this stream
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         done = complete_requests(batch, defaults, list(feature_cols), bounds)
         ok = done.where(F.col("accepted"))
         scored = score(model, ok, rule)
-        out = scored.select("id_student", F.lit(model_name).alias("model_name"), "predicted",
-                            "probability", F.lit(run_id).alias("run_id"))
-        sink_append_live(out, live_path)
+        out = scored.select(
+            (F.lit(epoch_id) * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("id"),
+            F.col("id_student").cast("long"), F.lit(model_name).alias("model_name"),
+            F.col("predicted").cast("int"), F.col("probability").cast("double"),
+            F.lit(run_id).alias("run_id"), F.current_timestamp().alias("created_at"),
+            F.lit(stream_name).alias("stream"), F.lit(epoch_id).cast("long").alias("stream_epoch"))
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        out.write.mode("overwrite").partitionBy("stream", "stream_epoch").parquet(live_path)
 
     stream = spark.readStream.schema(schema).parquet(source_dir)
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

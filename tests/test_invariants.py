@@ -83,3 +83,25 @@ def test_kmeans_inertia_decreases(spark, tables):
     inertia = [r.inertia for r in rows]
     assert [r.k for r in rows] == [1, 2, 3]
     assert inertia[0] >= inertia[1] * 0.999 and inertia[1] >= inertia[2] * 0.999
+
+
+def test_stream_scoring_is_replay_safe(spark, tables):
+    """Re-running the stream on the same checkpoint scores nothing twice."""
+    from cohortlens.operators import score as sc
+    from cohortlens.operators import train as tr
+    from cohortlens.streaming import stream_requests
+    src = scratch_path(spark, "t-req")
+    tables.requests.repartition(3).write.parquet(src)
+    r = tr.train_model("random_forest", tables.students, search=(1, 2),
+                       space={**tr.RF_SPACE, "n_estimators": ("int", 5, 8)})
+    d = sc.defaults_profile(tables.students, S.FEATURE_COLS)
+    live, ckpt = scratch_path(spark, "t-live"), scratch_path(spark, "t-ckpt")
+    args = (spark, src, tables.requests.schema, d, r["model"], S.FEATURE_COLS, live, ckpt, "rf", "run-x",
+            S.REQUEST_BOUNDS_FULL, r["rule"])
+    stream_requests(*args).awaitTermination()
+    n1 = spark.read.parquet(live).count()
+    stream_requests(*args).awaitTermination()
+    n2 = spark.read.parquet(live).count()
+    accepted = sc.complete_requests(tables.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL) \
+                 .where(F.col("accepted")).count()
+    assert n1 == n2 == accepted
