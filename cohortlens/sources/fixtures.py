@@ -243,3 +243,25 @@ class Tables:
                 cols.append(F.when(keep, F.col(c)).alias(c))
             return s.select(*cols)
         return self._derived("requests", build)
+
+    def materialize(self, names=("student_vle", "students", "predictions", "clusters", "requests"),
+                    base: str | None = None) -> "Tables":
+        """Ingest job: write the derived tables as parquet (in the shared
+        checkpoint folder unless ``base`` is given) and read them back, so
+        later queries scan files instead of recomputing the derivations.
+
+        The line-item x order join feeds both the click log and the
+        enrolment aggregates; it is persisted for the duration of the job
+        (disk-backed) and computed once."""
+        from pyspark import StorageLevel
+
+        from cohortlens.session import scratch_path
+        shared = self._lines_enrol.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for name in names:  # order matters: later tables derive from earlier ones
+                path = f"{base.rstrip('/')}/{name}" if base else scratch_path(self.spark, f"ingest-{name}")
+                getattr(self, name).write.mode("overwrite").parquet(path)
+                self.use(name, self.spark.read.parquet(path))
+        finally:
+            shared.unpersist()
+        return self
