@@ -17,24 +17,111 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NUMERIC)
 
 
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 1_000_000) -> dict:
+    """Exact interpolated medians of numeric columns without gathering a
+    column's values (or a value -> count map) into one task.
+
+    1. one aggregation: count and ``percentile_approx`` at 0.5 -/+ 3/accuracy
+       per column -- a window [lo, hi] that provably holds the two middle
+       ranks (the sketch's rank error is at most n/accuracy);
+    2. one aggregation: rows below lo and rows inside [lo, hi] per column;
+    3. only the distinct values inside the windows (about 6n/accuracy rows
+       per column) are counted and ranked -- a bounded table.
+    A window that misses a middle rank (not expected) is widened to the
+    whole column for that column only. Returns {column: median or None}.
+    """
+    from pyspark.sql import Window
+    d = 3.0 / accuracy
+    probes = [max(0.0, 0.5 - d), min(1.0, 0.5 + d)]
+    st = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+                *[F.percentile_approx(F.col(c).cast("double"), probes, accuracy).alias(f"q_{i}")
+                  for i, c in enumerate(cols)]).first()
+    n = {c: int(st[f"n_{i}"]) for i, c in enumerate(cols)}
+    win = {c: (st[f"q_{i}"][0], st[f"q_{i}"][1]) if st[f"q_{i}"] else (None, None) for i, c in enumerate(cols)}
+    live = [c for c in cols if n[c] > 0]
+    if not live:
+        return {c: None for c in cols}
+
+    def inside(c, lo, hi):
+        x = F.col(c).cast("double")
+        return x.between(F.lit(lo), F.lit(hi)) if lo is not None else x.isNotNull()
+
+    cnt = df.agg(*[F.count(F.when(F.col(c).cast("double") < F.lit(win[c][0]), 1)).alias(f"b_{i}")
+                   for i, c in enumerate(live)],
+                 *[F.count(F.when(inside(c, *win[c]), 1)).alias(f"w_{i}") for i, c in enumerate(live)]).first()
+    below = {}
+    for i, c in enumerate(live):
+        b, w = int(cnt[f"b_{i}"]), int(cnt[f"w_{i}"])
+        k1, k2 = (n[c] - 1) // 2, n[c] // 2
+        if not (b <= k1 and k2 < b + w):
+            win[c], b = (None, None), 0          # widen to the whole column
+        below[c] = b
+    parts = None
+    for c in live:
+        x = F.col(c).cast("double")
+        p = (df.where(inside(c, *win[c])).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+               .withColumn("col", F.lit(c)))
+        parts = p if parts is None else parts.unionByName(p)
+    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = parts.withColumn("cum", F.sum("cnt").over(w))
+    conds = None
+    for c in live:
+        k1, k2 = (n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]
+        cond = (F.col("col") == c) & (F.col("cum") > k1) & (F.col("cum") - F.col("cnt") <= k2)
+        conds = cond if conds is None else conds | cond
+    picked = {}
+    for r in ranked.where(conds).select("col", "v", "cum", "cnt").collect():   # <= 2 rows per column
+        picked.setdefault(r.col, []).append((r.v, r.cum, r.cnt))
+    out = {c: None for c in cols}
+    for c in live:
+        k1, k2 = (n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]
+        vals = sorted(picked.get(c, []))
+        at = lambda k: next(v for v, cum, cnt in vals if cum - cnt <= k < cum)
+        lo, hi = at(k1), at(k2)
+        out[c] = lo + (hi - lo) * 0.5
+    return out
+
+
+MAX_EXACT_MAP = 200_000
+
+
+def medians(df: DataFrame, cols: list[str], max_map: int = MAX_EXACT_MAP) -> dict:
+    """Exact medians with bounded task memory, chosen per column:
+    low-cardinality columns (approx. distinct count <= ``max_map``) use the
+    built-in ``median`` (a value -> count map, bounded by that cardinality);
+    high-cardinality columns use the windowed method of ``exact_medians``."""
+    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
+    small = [c for c in cols if (card.get(c) or 0) <= max_map]
+    wide = [c for c in cols if c not in small]
+    out = {}
+    if small:
+        out.update(df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in small]).first().asDict())
+    if wide:
+        out.update(exact_medians(df, wide))
+    return out
+
+
 def defaults_profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """One row; numeric column -> median (interpolated), other -> mode
     (smallest value on ties), NULLs skipped.
 
-    Exact ``median`` / ``mode`` are partial aggregates over value -> count maps,
-    so their memory grows with the number of distinct values, not rows.
-    ``approx=True`` switches the medians to ``percentile_approx`` (bounded
-    memory) for high-cardinality continuous columns.
+    Medians are exact with bounded task memory (``medians``); ``approx=True``
+    uses ``percentile_approx`` alone. Modes are partial aggregates over
+    value -> count maps of categorical columns (bounded by their categories).
     """
-    exprs = []
-    for c in cols:
-        if _is_numeric(df, c):
-            m = (F.percentile_approx(F.col(c).cast("double"), 0.5, 100000) if approx
-                 else F.median(F.col(c).cast("double")))
-            exprs.append(m.cast("double").alias(c))
-        else:
-            exprs.append(F.mode(c, deterministic=True).alias(c))
-    return df.agg(*exprs)
+    num = [c for c in cols if _is_numeric(df, c)]
+    cat = [c for c in cols if c not in num]
+    if approx:
+        med = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c) for c in num]).first()
+        med = med.asDict() if med is not None else {}
+    else:
+        med = medians(df, num) if num else {}
+    modes = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cat]).first().asDict() if cat else {}
+    values = [float(med[c]) if med.get(c) is not None else None for c in num] + [modes.get(c) for c in cat]
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in num]
+                          + [T.StructField(c, df.schema[c].dataType) for c in cat])
+    out = df.sparkSession.createDataFrame([tuple(values)], schema)
+    return out.select(*cols)
 
 
 def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:

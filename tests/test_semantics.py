@@ -176,3 +176,18 @@ def test_click_features_handle_a_hot_enrolment(spark):
     assert hot.vle_total_clicks == sum(r[5] for r in kept)
     assert hot.vle_active_days == len({r[4] for r in kept})
     assert hot.vle_unique_resources == len({r[3] for r in kept})
+
+
+def test_exact_medians_match_builtin(spark):
+    import random
+
+    from cohortlens.operators.score import exact_medians, medians
+    rnd = random.Random(3)
+    rows = [(rnd.random() * 100, float(rnd.randint(0, 5)), None if i % 9 == 0 else rnd.gauss(0, 1))
+            for i in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    ref = df.agg(*[F.median(c).alias(c) for c in "abc"]).first().asDict()
+    got = exact_medians(df, ["a", "b", "c"], accuracy=100)        # coarse sketch: windows still exact
+    assert all(abs(got[c] - ref[c]) < 1e-12 for c in "abc")
+    got2 = medians(df, ["a", "b", "c"], max_map=10)               # 'a' and 'c' take the windowed path
+    assert all(abs(got2[c] - ref[c]) < 1e-12 for c in "abc")
