@@ -902,6 +902,51 @@ def q_complete_requests(spark, sf_dir):
     return sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
 
 
+_NUMERIC_EARLY = {"num_of_prev_attempts", "studied_credits", "module_presentation_length", *S.VLE_COLS}
+
+
+def _complete_early_sql():
+    cols = [f"coalesce(CAST(r.{c} AS DOUBLE), d.{c}) AS {c}" if c in _NUMERIC_EARLY else f"coalesce(r.{c}, d.{c}) AS {c}"
+            for c in S.EARLY_FEATURE_COLS]
+    idv = "coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true)"
+    checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
+                        for c, (lo, hi) in S.REQUEST_BOUNDS_EARLY.items())
+    return f"""
+SELECT *, id_valid AND in_range AS accepted FROM (
+ SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
+  SELECT r.request_id, r.student_id_text, {', '.join(cols)},
+   CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
+   {idv} AS id_valid
+  FROM requests_early r, d) a) b"""
+
+
+def _early_defaults_sql():
+    ef = "SELECT * FROM ({j}) e".format(j=JOIN_FEATURES_SQL)
+    return _defaults_sql(S.EARLY_FEATURE_COLS, _NUMERIC_EARLY, src="ef"), ef
+
+
+@query("defaults_profile_early", "A16", _early_defaults_sql()[0], ("students", "studentVle"),
+       extra={"vf": VLE_AGG_SQL, "ef": _early_defaults_sql()[1]})
+def q_defaults_profile_early(spark, sf_dir):
+    return sc.defaults_profile(_early(spark, sf_dir), S.EARLY_FEATURE_COLS)
+
+
+@query("validate_ranges_early", "F16", _bounds_sql(S.REQUEST_BOUNDS_EARLY).replace("FROM requests", "FROM requests_early"),
+       ("requests_early",))
+def q_validate_ranges_early(spark, sf_dir):
+    from cohortlens.operators.score import validate_ranges
+    return validate_ranges(_t(spark, sf_dir).requests_early, S.REQUEST_BOUNDS_EARLY).select(
+        "request_id", "n_out_of_range", "in_range")
+
+
+@query("complete_requests_early", "I1", _complete_early_sql(), ("requests_early", "students", "studentVle"),
+       extra={"vf": VLE_AGG_SQL, "ef": _early_defaults_sql()[1], "d": _early_defaults_sql()[0]})
+def q_complete_requests_early(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    d = sc.defaults_profile(_early(spark, sf_dir), S.EARLY_FEATURE_COLS)
+    return sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY)
+
+
 def _scored_requests(spark, sf_dir):
     t = _t(spark, sf_dir)
     r = tr.train_model("random_forest", t.students, (1, 2), QUICK_RF)
@@ -944,3 +989,14 @@ def q_stream_requests(spark, sf_dir):
                         S.REQUEST_BOUNDS_FULL, r["rule"])
     q.awaitTermination()
     return spark.read.parquet(live)
+
+
+@query("score_requests_early", "I2")
+def q_score_requests_early(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ef = _early(spark, sf_dir)
+    r = tr.train_model("boosted_a", ef, (1, 2), QUICK_A)
+    d = sc.defaults_profile(ef, S.EARLY_FEATURE_COLS)
+    req = sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY)
+    return sc.score(r["model"], req, r["rule"]).select("request_id", "id_student", "accepted", "probability",
+                                                      "predicted")

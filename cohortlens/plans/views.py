@@ -116,6 +116,27 @@ FROM students"""
 _view("requests", ["students"], _requests_sql())
 
 
+def _requests_early_sql() -> str:
+    from cohortlens.schemas import EARLY_FEATURE_COLS, LEAKAGE_COLS, STUDENT_COLS, VLE_COLS
+    static = [c for c in STUDENT_COLS if c not in LEAKAGE_COLS]
+    vf = """SELECT id_student, code_module, code_presentation, CAST(SUM(sum_click) AS DOUBLE) AS vle_total_clicks,
+ CAST(COUNT(DISTINCT date) AS DOUBLE) AS vle_active_days, CAST(COUNT(DISTINCT id_site) AS DOUBLE) AS vle_unique_resources,
+ AVG(sum_click) AS vle_avg_clicks_per_day, CAST(MAX(sum_click) AS DOUBLE) AS vle_max_clicks,
+ COALESCE(STDDEV_POP(sum_click), 0) AS vle_std_clicks FROM studentVle WHERE date <= 60 GROUP BY 1, 2, 3"""
+    ef = "SELECT {s}, s.enrol_key, {v} FROM students s LEFT JOIN ({vf}) vf USING (id_student, code_module, code_presentation)".format(
+        s=", ".join(f"s.{c}" for c in static), v=", ".join(f"coalesce(vf.{c}, 0) AS {c}" for c in VLE_COLS), vf=vf)
+    cols = ",\n ".join(f"CASE WHEN (enrol_key + {2 * i}) % 4 <> 0 THEN {c} END AS {c}"
+                       for i, c in enumerate(EARLY_FEATURE_COLS))
+    return f"""
+SELECT enrol_key AS request_id,
+ CASE WHEN enrol_key % 5 = 0 THEN ' ' WHEN enrol_key % 5 = 1 THEN 'x' ELSE CAST(id_student AS VARCHAR) END AS student_id_text,
+ {cols}
+FROM ({ef}) e"""
+
+
+_view("requests_early", ["students", "studentVle"], _requests_early_sql())
+
+
 def _order(names):
     seen, out = set(), []
 

@@ -244,6 +244,22 @@ class Tables:
             return s.select(*cols)
         return self._derived("requests", build)
 
+    @functools.cached_property
+    def requests_early(self) -> DataFrame:
+        """Early-click-form scoring requests: enrolments with early features,
+        a hash-chosen subset left NULL and a free-text student id."""
+        def build():
+            from cohortlens.operators.features import early_frame
+            e = early_frame(self.students, self.student_vle)
+            ek = F.col("enrol_key")
+            sid = (F.when(ek % 5 == 0, F.lit(" ")).when(ek % 5 == 1, F.lit("x" )).otherwise(
+                F.col("id_student").cast("string")))
+            cols = [ek.alias("request_id"), sid.alias("student_id_text")]
+            for i, c in enumerate(S.EARLY_FEATURE_COLS):
+                cols.append(F.when(F.pmod(ek + F.lit(2 * i), F.lit(4)) != 0, F.col(c)).alias(c))
+            return e.select(*cols)
+        return self._derived("requests_early", build)
+
     def materialize(self, names=("student_vle", "students", "predictions", "clusters", "requests"),
                     base: str | None = None) -> "Tables":
         """Ingest job: write the derived tables as parquet (in the shared
