@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_SPACE = 1 << 32
-HIST_SHIFT = 16  # 2^16 histogram buckets per class
+HIST_SHIFT = 12  # 2^20 histogram buckets per class
 
 
 def key_hash(key: str, seed: int) -> Column:
@@ -25,7 +25,7 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.2,
     exact=False: ``hash < frac * 2^32`` -- each class gets frac in expectation.
     exact=True : exactly ceil(frac * n_c) test rows per class: the rows with the
     smallest (hash, key). The cutoff is found from a per-class histogram of
-    the hash's top 16 bits (at most 65,536 rows per class, prefix-summed),
+    the hash's top 20 bits (at most 2^20 rows per class, prefix-summed),
     and only rows inside the one boundary bucket per class are ranked. No
     window ever spans a whole class.
     """

@@ -191,3 +191,19 @@ def test_exact_medians_match_builtin(spark):
     assert all(abs(got[c] - ref[c]) < 1e-12 for c in "abc")
     got2 = medians(df, ["a", "b", "c"], max_map=10)               # 'a' and 'c' take the windowed path
     assert all(abs(got2[c] - ref[c]) < 1e-12 for c in "abc")
+
+
+def test_csv_reader_maps_missing_tokens(spark):
+    from cohortlens.session import scratch_path
+    from cohortlens.sources.readers import scan_sites
+    path = scratch_path(spark, "t-csv")
+    import os
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "part-0.csv"), "w") as f:
+        f.write("id_site,code_module,code_presentation,activity_type,week_from,week_to\n")
+        f.write("1,AAA,NA,resource,,3\n2,NULL,2014J,n/a,1,2\n3,BBB,2014B,quiz,4,5\n")
+    rows = sorted(scan_sites(spark, path).collect())
+    assert rows[0].code_presentation is None and rows[0].week_from is None and rows[0].week_to == 3
+    assert rows[1].code_module is None and rows[1].activity_type is None
+    assert rows[2].activity_type == "quiz"
