@@ -46,7 +46,7 @@ def main():
     # warm-up: JVM, parquet footers (not timed)
     run(t.base("nation"))
 
-    timed("ingest", lambda: t.materialize())
+    timed("ingest", lambda: t.materialize(buckets=max(8, 2 * cpus)))
 
     pj = lambda: rep.predictions_view(t.predictions, t.students)
     cj = lambda: rep.clusters_view(t.clusters, t.students)

@@ -85,12 +85,13 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 1_000_000) ->
 MAX_EXACT_MAP = 200_000
 
 
-def medians(df: DataFrame, cols: list[str], max_map: int = MAX_EXACT_MAP) -> dict:
+def medians(df: DataFrame, cols: list[str], max_map: int = MAX_EXACT_MAP, card: dict | None = None) -> dict:
     """Exact medians with bounded task memory, chosen per column:
     low-cardinality columns (approx. distinct count <= ``max_map``) use the
     built-in ``median`` (a value -> count map, bounded by that cardinality);
     high-cardinality columns use the windowed method of ``exact_medians``."""
-    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
+    if card is None:
+        card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
     small = [c for c in cols if (card.get(c) or 0) <= max_map]
     wide = [c for c in cols if c not in small]
     out = {}
@@ -107,16 +108,20 @@ def defaults_profile(df: DataFrame, cols: list[str], approx: bool = False) -> Da
 
     Medians are exact with bounded task memory (``medians``); ``approx=True``
     uses ``percentile_approx`` alone. Modes are partial aggregates over
-    value -> count maps of categorical columns (bounded by their categories).
+    value -> count maps of categorical columns (bounded by their categories)
+    and share one pass with the numeric columns' cardinality sketch.
     """
     num = [c for c in cols if _is_numeric(df, c)]
     cat = [c for c in cols if c not in num]
+    first = df.agg(*[F.mode(c, deterministic=True).alias("m_" + c) for c in cat],
+                   *[(F.percentile_approx(F.col(c).cast("double"), 0.5, 100000) if approx
+                      else F.approx_count_distinct(c)).alias("n_" + c) for c in num]).first()
+    first = first.asDict() if first is not None else {}
+    modes = {c: first.get("m_" + c) for c in cat}
     if approx:
-        med = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c) for c in num]).first()
-        med = med.asDict() if med is not None else {}
+        med = {c: first.get("n_" + c) for c in num}
     else:
-        med = medians(df, num) if num else {}
-    modes = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cat]).first().asDict() if cat else {}
+        med = medians(df, num, card={c: first.get("n_" + c) for c in num}) if num else {}
     values = [float(med[c]) if med.get(c) is not None else None for c in num] + [modes.get(c) for c in cat]
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in num]
                           + [T.StructField(c, df.schema[c].dataType) for c in cat])

@@ -261,23 +261,38 @@ class Tables:
         return self._derived("requests_early", build)
 
     def materialize(self, names=("student_vle", "students", "predictions", "clusters", "requests"),
-                    base: str | None = None) -> "Tables":
+                    base: str | None = None, buckets: int | None = None) -> "Tables":
         """Ingest job: write the derived tables as parquet (in the shared
         checkpoint folder unless ``base`` is given) and read them back, so
         later queries scan files instead of recomputing the derivations.
 
+        With ``buckets``, the click log and the enrolments are written as
+        external tables bucketed (and sorted) on the three enrolment keys:
+        the click-feature aggregation and its join onto enrolments then run
+        without any exchange -- the click log is shuffled once, at ingest.
+
         The line-item x order join feeds both the click log and the
         enrolment aggregates; it is persisted for the duration of the job
         (disk-backed) and computed once."""
+        import uuid
+
         from pyspark import StorageLevel
 
         from cohortlens.session import scratch_path
+        keys = ["id_student", "code_module", "code_presentation"]
         shared = self._lines_enrol.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for name in names:  # order matters: later tables derive from earlier ones
                 path = f"{base.rstrip('/')}/{name}" if base else scratch_path(self.spark, f"ingest-{name}")
-                getattr(self, name).write.mode("overwrite").parquet(path)
-                self.use(name, self.spark.read.parquet(path))
+                df = getattr(self, name)
+                if buckets and name in ("student_vle", "students"):
+                    table = f"cohortlens_{name}_{uuid.uuid4().hex[:8]}"
+                    (df.write.mode("overwrite").format("parquet").option("path", path)
+                       .bucketBy(int(buckets), *keys).sortBy(*keys).saveAsTable(table))
+                    self.use(name, self.spark.table(table))
+                else:
+                    df.write.mode("overwrite").parquet(path)
+                    self.use(name, self.spark.read.parquet(path))
         finally:
             shared.unpersist()
         return self

@@ -40,3 +40,21 @@ def test_no_python_udf_or_cartesian(spark, sf_dir, name):
 def test_aggregations_are_partial_before_the_shuffle(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "partial_" in p, f"{name}: no map-side partial aggregate"
+
+
+def test_bucketed_ingest_removes_the_click_shuffle(spark, sf_dir):
+    from cohortlens.operators.features import early_frame
+    from cohortlens.sources import Tables
+    t = Tables(spark, sf_dir).materialize(("student_vle", "students"), buckets=4)
+    p = plan(early_frame(t.students, t.student_vle))
+    assert "Exchange hashpartitioning" not in p, p          # no shuffle (a small side may be broadcast)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:                                                    # large-table case: co-located sort-merge join
+        p2 = plan(early_frame(t.students, t.student_vle))
+        assert "SortMergeJoin" in p2 and "Exchange" not in p2, p2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    bucketed = early_frame(t.students, t.student_vle).count()
+    plain = early_frame(Tables(spark, sf_dir).students, Tables(spark, sf_dir).student_vle).count()
+    assert bucketed == plain
