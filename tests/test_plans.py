@@ -36,7 +36,7 @@ def test_no_python_udf_or_cartesian(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", ["click_features", "dedup_students", "model_kpis", "group_rates",
-                                  "exact_auc", "cluster_summary", "defaults_profile"])
+                                  "exact_auc", "cluster_summary", "cardinalities"])
 def test_aggregations_are_partial_before_the_shuffle(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "partial_" in p, f"{name}: no map-side partial aggregate"
