@@ -261,7 +261,8 @@ class Tables:
         return self._derived("requests_early", build)
 
     def materialize(self, names=("student_vle", "students", "predictions", "clusters", "requests"),
-                    base: str | None = None, buckets: int | None = None) -> "Tables":
+                    base: str | None = None, buckets: int | None = None,
+                    max_bucket_skew: float = 2.0) -> "Tables":
         """Ingest job: write the derived tables as parquet (in the shared
         checkpoint folder unless ``base`` is given) and read them back, so
         later queries scan files instead of recomputing the derivations.
@@ -271,6 +272,12 @@ class Tables:
         the click-feature aggregation and its join onto enrolments then run
         without any exchange -- the click log is shuffled once, at ingest.
 
+        A bucket holds all rows of its keys, so one hot enrolment (say a
+        third of all clicks) would make one bucket -- one task -- a third of
+        the scan. Rows per bucket are checked after the write (from parquet
+        footers); above ``max_bucket_skew`` x the mean, the files are read
+        unbucketed, and the partial-aggregation path spreads the hot key.
+
         The line-item x order join feeds both the click log and the
         enrolment aggregates; it is persisted for the duration of the job
         (disk-backed) and computed once."""
@@ -280,7 +287,9 @@ class Tables:
 
         from cohortlens.session import scratch_path
         keys = ["id_student", "code_module", "code_presentation"]
-        shared = self._lines_enrol.persist(StorageLevel.MEMORY_AND_DISK)
+        needs_join = [n for n in names if n in ("student_vle", "students", "raw_students")
+                      and n not in self._overrides]
+        shared = self._lines_enrol.persist(StorageLevel.MEMORY_AND_DISK) if needs_join else None
         try:
             for name in names:  # order matters: later tables derive from earlier ones
                 path = f"{base.rstrip('/')}/{name}" if base else scratch_path(self.spark, f"ingest-{name}")
@@ -289,10 +298,28 @@ class Tables:
                     table = f"cohortlens_{name}_{uuid.uuid4().hex[:8]}"
                     (df.write.mode("overwrite").format("parquet").option("path", path)
                        .bucketBy(int(buckets), *keys).sortBy(*keys).saveAsTable(table))
-                    self.use(name, self.spark.table(table))
+                    if bucket_skew(self.spark, path) <= max_bucket_skew:
+                        self.use(name, self.spark.table(table))
+                    else:  # a hot key filled one bucket: read the same files unbucketed
+                        self.use(name, self.spark.read.parquet(path))
                 else:
                     df.write.mode("overwrite").parquet(path)
                     self.use(name, self.spark.read.parquet(path))
         finally:
-            shared.unpersist()
+            if shared is not None:
+                shared.unpersist()
         return self
+
+
+def bucket_skew(spark, path: str) -> float:
+    """Largest bucket's row count / mean bucket row count of a bucketed
+    parquet folder. Rows are counted per file with no column read (parquet
+    footers only) and summed per bucket id, the file-name suffix."""
+    f = F.input_file_name()
+    b = F.regexp_extract(f, r"_(\d{5})(\.c\d+)?\.[^/]*$", 1)
+    counts = [r["n"] for r in spark.read.parquet(path).select(b.alias("b"))
+              .groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()]   # one row per bucket
+    if not counts:
+        return 1.0
+    mean = sum(counts) / len(counts)
+    return max(counts) / mean if mean else 1.0

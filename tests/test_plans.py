@@ -58,3 +58,27 @@ def test_bucketed_ingest_removes_the_click_shuffle(spark, sf_dir):
     bucketed = early_frame(t.students, t.student_vle).count()
     plain = early_frame(Tables(spark, sf_dir).students, Tables(spark, sf_dir).student_vle).count()
     assert bucketed == plain
+
+
+def test_hot_key_falls_back_to_unbucketed_read(spark):
+    """One enrolment with a third of all rows: the bucketed copy is detected
+    as skewed and read unbucketed (partial aggregation spreads the hot key)."""
+    from cohortlens.operators.features import click_features
+    from cohortlens.sources import Tables
+    rows = [("AAA", "2014B", 1, i % 40, i % 70 - 5, 2) for i in range(3000)]
+    rows += [("BBB", "2014J", k, k % 40, k % 70 - 5, 1) for k in range(2, 6002)]
+    df = spark.createDataFrame(rows, "code_module string, code_presentation string, id_student long, "
+                                     "id_site long, date int, sum_click int")
+    t = Tables(spark, "/nonexistent").use("student_vle", df)
+    t.materialize(("student_vle",), buckets=8)
+    p = plan(click_features(t.student_vle))
+    assert "Bucketed: true" not in p
+    expected = sum(r[5] for r in rows if r[2] == 1 and r[4] <= 60)
+    assert click_features(t.student_vle).where("id_student = 1").first().vle_total_clicks == expected
+
+
+def test_bucket_skew_of_balanced_table_is_small(spark, tables):
+    from cohortlens.sources import Tables
+    from cohortlens.sources.fixtures import bucket_skew  # noqa: F401
+    t = Tables(spark, tables.sf_dir).materialize(("student_vle",), buckets=4)
+    assert "Bucketed: true" in plan(t.student_vle.groupBy("id_student", "code_module", "code_presentation").count())
