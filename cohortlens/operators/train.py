@@ -174,18 +174,32 @@ def split(df: DataFrame, key: str = "enrol_key", label: str = "dropout", materia
 
 
 def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, parallelism):
-    """M2-M5: CrossValidator over sampled ParamMaps with hash folds (M6)."""
+    """M2-M5: random search with k-fold CV (hash folds, M6) on MLlib.
+
+    The feature stages are fitted once on the training split (the
+    reference also fits its encoders before splitting), and the assembled
+    vectors are persisted; ``CrossValidator`` then refits only the
+    classifier for each fold x candidate instead of re-running the encoder
+    fits and the assembly every time."""
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
     cands = sample_space(space, n_iter)
     maps = [param_fn(est, p) for p in cands]
-    pipe = Pipeline(stages=[*pipeline_prefix, est])
+    prep = Pipeline(stages=list(pipeline_prefix)).fit(train)
+    cols = ["features", "label", "w_balanced", "w_pos", "w_one"]
     if len(maps) == 1:  # a single candidate is the best one: no need to cross-validate
-        return pipe.fit(train, maps[0]), cands[0], cands, [float("nan")]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=f1_evaluator(),
-                        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=S.RANDOM_STATE)
-    tr = assign_folds(train, "enrol_key", folds, S.RANDOM_STATE)
-    cvm = cv.fit(tr)
+        model = est.copy(maps[0]).fit(prep.transform(train).select(*cols))
+        return PipelineModel(stages=[*prep.stages, model]), cands[0], cands, [float("nan")]
+    data = assign_folds(prep.transform(train), "enrol_key", folds, S.RANDOM_STATE)
+    data = data.select(*cols, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=f1_evaluator(),
+                            numFolds=folds, foldCol="fold", parallelism=parallelism, seed=S.RANDOM_STATE)
+        cvm = cv.fit(data)
+    finally:
+        data.unpersist()
     best = max(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
-    return cvm.bestModel, cands[best], cands, list(cvm.avgMetrics)
+    return PipelineModel(stages=[*prep.stages, cvm.bestModel]), cands[best], cands, list(cvm.avgMetrics)
 
 
 def max_bins_for(df: DataFrame, floor: int = 32) -> int:
