@@ -65,13 +65,14 @@ def sink_append_live(scored: DataFrame, path: str) -> DataFrame:
         m = spark.read.parquet(path).agg(F.max("id")).first()[0]
         base = (m or 0) + 1
     # monotonically_increasing_id is partition-id << 33 | row index: unique, ordered per partition
+    extra = [F.col("batch_id").cast("string")] if "batch_id" in scored.columns else []
     out = scored.select(
         (F.lit(base) + F.monotonically_increasing_id()).cast("long").alias("id"),
         F.col("id_student").cast("long"), F.col("model_name").cast("string"),
         F.col("predicted").cast("int"), F.col("probability").cast("double"),
-        F.col("run_id").cast("string"), F.current_timestamp().alias("created_at"))
+        F.col("run_id").cast("string"), F.current_timestamp().alias("created_at"), *extra)
     out.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 # ---------------------------------------------------------------------- K6
@@ -81,35 +82,73 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
     predictions table to the live table; returns candidate / inserted /
     deleted counts (all 0 when there is nothing to move).
 
-    Parquet has no cross-table transaction, so the job is made restartable:
-    (1) append the candidates to the live table tagged with a batch id,
-    (2) write a marker row for the batch to the runs table,
-    (3) drop the moved partitions. On re-run a marker without deleted
-    partitions means step (1) already committed: only (3) is redone, so a
-    crash between the steps neither loses nor doubles rows."""
+    Parquet has no cross-table transaction, so the job is a small state
+    machine recorded in a marker table:
+      (1) append the candidates to the live table,
+      (2) mark the batch 'appended' (with its row count),
+      (3) drop the moved partitions from the predictions table,
+      (4) mark the batch 'done'.
+    A re-run first looks for a batch of the same partitions that is
+    'appended' but not 'done' (a crash between (2) and (4)): it redoes only
+    (3)-(4). A crash before (2) leaves the predictions untouched and the
+    live rows of the failed attempt are skipped by the next run, which
+    appends again -- so rows are neither lost nor doubled."""
     preds = read_predictions(spark, pred_path)
     cand = preds.where(F.col("model_name").isin(list(names)))
-    parts = [r.model_name for r in cand.select("model_name").distinct().collect()]  # <= len(names) rows
-    n_cand = cand.count() if parts else 0
-    if n_cand == 0:
-        return spark.createDataFrame([(0, 0, 0)], "candidates long, inserted long, deleted long")
-    batch = uuid.uuid4().hex
+    parts = sorted(r.model_name for r in cand.select("model_name").distinct().collect())  # <= len(names)
     marker = runs_path or (live_path.rstrip("/") + "_batches")
-    done = _batch_done(spark, marker, parts)
-    if done is None:
-        staged = cand.withColumn("batch_id", F.lit(batch))
-        sink_append_live(staged.drop("batch_id"), live_path)
-        spark.createDataFrame([(batch, ",".join(sorted(parts)), int(n_cand), _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))],
-                              "batch_id string, partitions string, n_rows long, at timestamp") \
-             .write.mode("append").parquet(marker)
+    key = ",".join(parts)
+    pending = _pending_batch(spark, marker, key) if parts else None
+    if pending is not None:
+        batch, n_cand = pending
         inserted = n_cand
     else:
-        inserted = done
+        n_cand = cand.count() if parts else 0
+        if n_cand == 0:
+            return spark.createDataFrame([(0, 0, 0)], "candidates long, inserted long, deleted long")
+        batch = uuid.uuid4().hex
+        sink_append_live(cand.withColumn("batch_id", F.lit(batch)), live_path)
+        _mark(spark, marker, batch, key, n_cand, "appended")
+        inserted = n_cand
     drop_partitions(spark, pred_path, "model_name", parts)
+    _mark(spark, marker, batch, key, n_cand, "done")
     return spark.createDataFrame([(int(n_cand), int(inserted), int(n_cand))],
                                  "candidates long, inserted long, deleted long")
 
 
+def read_live(spark: SparkSession, live_path: str, marker: str | None = None) -> DataFrame:
+    """The live table as committed: rows of a move batch count only once
+    the batch has an 'appended' marker; rows written outside a move (no
+    batch id) always count."""
+    live = spark.read.option("mergeSchema", "true").parquet(live_path)
+    if "batch_id" not in live.columns:
+        return live
+    marker = marker or (live_path.rstrip("/") + "_batches")
+    if not path_exists(spark, marker):
+        return live.where(F.col("batch_id").isNull())
+    ok = spark.read.parquet(marker).where(F.col("state") == "appended").select("batch_id").distinct()
+    return live.where(F.col("batch_id").isNull()).unionByName(live.join(ok, "batch_id", "left_semi"))
+
+
+def _mark(spark, marker, batch, key, n, state):
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    spark.createDataFrame([(batch, key, int(n), state, now)],
+                          "batch_id string, partitions string, n_rows long, state string, at timestamp") \
+         .write.mode("append").parquet(marker)
+
+
+def _pending_batch(spark, marker, key):
+    """(batch_id, n_rows) of a batch of these partitions that was appended
+    but not finished, else None."""
+    if not path_exists(spark, marker):
+        return None
+    m = spark.read.parquet(marker).where(F.col("partitions") == key)
+    st = m.groupBy("batch_id").agg(F.max("n_rows").alias("n"),
+                                   F.max(F.when(F.col("state") == "done", 1).otherwise(0)).alias("done"))
+    r = st.where(F.col("done") == 0).select("batch_id", "n").first()
+    return (r.batch_id, int(r.n)) if r is not None else None
+
+
 def drop_partitions(spark: SparkSession, path: str, column: str, values) -> int:
     """Delete the partition folders ``column=value`` of a parquet table.
     Folder names are matched after undoing Spark's %XX path escaping."""
@@ -125,14 +164,6 @@ def drop_partitions(spark: SparkSession, path: str, column: str, values) -> int:
     return n
 
 
-def _batch_done(spark, marker, parts):
-    if not path_exists(spark, marker):
-        return None
-    key = ",".join(sorted(parts))
-    r = spark.read.parquet(marker).where(F.col("partitions") == key).agg(F.max("n_rows")).first()
-    return r[0] if r and r[0] is not None else None
-
-
 # ---------------------------------------------------------------------- K7
 def ingest_checks(students: DataFrame, vle: DataFrame, clicks: DataFrame) -> DataFrame:
     """K7: row counts of the three base tables and the number of dropouts."""
