@@ -128,3 +128,8 @@ def test_move_recovers_from_crashes(spark, tables):
     again = st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES).first()
     assert (again.candidates, again.inserted, again.deleted) == (0, 0, 0)
     assert st.read_live(spark, live_path).count() == n
+
+
+def test_split_count_is_exact_on_multiples(spark):
+    df = spark.createDataFrame([(i, 1) for i in range(35)], "k long, y int")
+    assert sp.stratified_split(df, "k", "y", 0.2, 42).where("is_test").count() == 7
