@@ -45,7 +45,7 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.2,
     wc = wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (hist.withColumn("_cum", F.sum("_cnt").over(wc))
                 # exact decimal product: 35 * 0.2 is 7, not 7.000000000000001
-                .withColumn("_k", F.ceil(F.sum("_cnt").over(wl) * F.lit(Decimal(str(frac))))))
+                .withColumn("_k", F.ceil(F.sum("_cnt").over(wl) * F.lit(Decimal(str(frac)))))
                 .withColumn("_before", F.col("_cum") - F.col("_cnt")))
     # per class: buckets fully inside, the boundary bucket and how many of it to take
     cut = hist.select(label, "_b", "_before", "_cnt", "_k",
