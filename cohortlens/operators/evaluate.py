@@ -47,9 +47,11 @@ def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     t2 = (g.groupBy(*group_cols, "_b").agg(F.sum("_np").alias("_pb"), F.sum("_nn").alias("_nb"))
            .withColumn("_nbelow", F.coalesce(F.sum("_nb").over(wb), F.lit(0)))
-           .groupBy(*group_cols).agg(F.sum(F.col("_pb") * F.col("_nbelow")).alias("_t2")))
+           .groupBy(*group_cols).agg(F.sum(F.col("_pb").cast("double") * F.col("_nbelow")).alias("_t2")))
     j = t1.join(t2, group_cols)
-    return j.select(*group_cols, safe_ratio(F.col("_t1") + F.col("_t2"), F.col("_p") * F.col("_n")).alias("auc"))
+    # products in double: P * N overflows a long beyond ~3e9 rows per class
+    den = F.col("_p").cast("double") * F.col("_n").cast("double")
+    return j.select(*group_cols, safe_ratio(F.col("_t1") + F.col("_t2"), den).alias("auc"))
 
 
 def _counts(df: DataFrame, group_cols, label, pred):
