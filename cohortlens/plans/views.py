@@ -69,10 +69,10 @@ _view("predictions", ["students"], """
 SELECT CASE WHEN enrol_key % 97 = 0 THEN id_student + 1000000 ELSE id_student END AS id_student, model_name,
  CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS predicted, probability, concat('run-', model_name) AS run_id FROM (
  SELECT s.id_student, s.enrol_key, m.model_name,
-   (3000 * dropout + 7 * (((enrol_key + 1) * (2654435761 + m.k)) % 1000)) / 10000e0 AS probability
+   (3000 * dropout + 7 * CAST(((CAST(enrol_key AS HUGEINT) + 1) * (2654435761 + m.k)) % 1000 AS BIGINT)) / 10000e0 AS probability
  FROM students s CROSS JOIN (SELECT * FROM (VALUES ('logistic_dropout',1),('random_forest',2),('xgboost_dropout',3),
    ('catboost_dropout',4),('tabnet',5),('Random Forest',6),('XGBoost',7)) AS t(model_name,k)) m
- WHERE ((enrol_key * 2654435761) % 4294967296) / 4294967296e0 < 0.2) x""")
+ WHERE CAST((CAST(enrol_key AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT) / 4294967296e0 < 0.2) x""")
 
 _view("cluster_assign", ["students"], """
 SELECT id_student, enrol_key, dropout,

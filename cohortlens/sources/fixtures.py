@@ -172,13 +172,15 @@ class Tables:
     def predictions(self) -> DataFrame:
         """Held-out predictions of seven stored model names (synthetic scores)."""
         def build():
+            wide = F.col("enrol_key").cast("decimal(38,0)")   # products exceed a long at large scale
             s = self.students.where(
-                F.pmod(F.col("enrol_key") * GOLDEN, F.lit(4294967296)) / F.lit(4294967296.0) < 0.2)
+                (F.pmod(wide * F.lit(GOLDEN), F.lit(4294967296)).cast("long") / F.lit(4294967296.0)) < 0.2)
             models = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(k).cast("long").alias("k"))
                                for n, k in FIXTURE_MODELS])
             x = s.select("id_student", "enrol_key", "dropout", F.explode(models).alias("m"))
+            wide_key = F.col("enrol_key").cast("decimal(38,0)") + 1
             num = (F.lit(3000) * F.col("dropout")
-                   + F.lit(7) * F.pmod((F.col("enrol_key") + 1) * (F.lit(GOLDEN) + F.col("m.k")), F.lit(1000)))
+                   + F.lit(7) * F.pmod(wide_key * (F.lit(GOLDEN) + F.col("m.k")), F.lit(1000)).cast("long"))
             prob = num / F.lit(10000.0)
             return x.select(
                 F.when(F.col("enrol_key") % 97 == 0, F.col("id_student") + 1000000)
