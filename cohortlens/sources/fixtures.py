@@ -298,7 +298,10 @@ class Tables:
                 df = getattr(self, name)
                 if buckets and name in ("student_vle", "students"):
                     table = f"cohortlens_{name}_{uuid.uuid4().hex[:8]}"
-                    (df.write.mode("overwrite").format("parquet").option("path", path)
+                    # hash-partition into exactly the buckets first: each task then
+                    # writes one bucket file instead of one file per bucket
+                    (df.repartition(int(buckets), *keys)
+                       .write.mode("overwrite").format("parquet").option("path", path)
                        .bucketBy(int(buckets), *keys).sortBy(*keys).saveAsTable(table))
                     if bucket_skew(self.spark, path) <= max_bucket_skew:
                         self.use(name, self.spark.table(table))
