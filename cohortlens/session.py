@@ -8,12 +8,34 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (100 TB inputs). Shuffles start with many
+# partitions and AQE coalesces them to ~256 MB each; skewed join partitions
+# are split; broadcasts happen only after AQE has measured a side at runtime
+# below the threshold; input splits are 256 MB.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.shuffle.partitions": "16384",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true",
+}
+
+
 def get_spark(app: str = "cohortlens", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, scale: bool = False) -> SparkSession:
     """Build (or reuse) a session with adaptive execution on.
 
-    On a cluster the master and partition counts come from spark-submit;
-    ``master``/``shuffle_partitions`` are only for local runs and tests.
+    On a cluster the master comes from spark-submit; ``scale=True`` applies
+    ``SCALE_CONF`` for keys spark-submit did not set. ``master`` and
+    ``shuffle_partitions`` are for local runs and tests.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
@@ -23,6 +45,12 @@ def get_spark(app: str = "cohortlens", master: str | None = None,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
          .config("spark.sql.session.timeZone", "UTC"))
+    if scale:
+        from pyspark import SparkConf
+        given = dict(SparkConf().getAll())
+        for k, v in SCALE_CONF.items():
+            if k not in given:
+                b = b.config(k, v)
     if master:
         b = b.master(master)
     if shuffle_partitions:
