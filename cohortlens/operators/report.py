@@ -36,9 +36,15 @@ def predictions_view(predictions: DataFrame, students: DataFrame) -> DataFrame:
     unmatched predictions keep NULL attributes)."""
     s = dedup_students(students, PRED_ATTRS)
     p = predictions.select("id_student", "model_name", "predicted", "probability", "run_id")
-    return p.join(s, "id_student", "left").select(
-        "id_student", "model_name", "predicted", "probability", "run_id",
-        "gender", "age_band", "region", "highest_education", "imd_band", "studied_credits", "dropout")
+    out = ["id_student", "model_name", "predicted", "probability", "run_id",
+           "gender", "age_band", "region", "highest_education", "imd_band", "studied_credits", "dropout"]
+    # Rows without a student id (allowed by the live-prediction schema) can
+    # never match; they bypass the join instead of all hashing to one
+    # shuffle partition as a hot NULL key.
+    matched = p.where(F.col("id_student").isNotNull()).join(s, "id_student", "left").select(*out)
+    nulls = p.where(F.col("id_student").isNull()).select(
+        *[F.col(c) if c in p.columns else F.lit(None).cast(s.schema[c].dataType).alias(c) for c in out])
+    return matched.unionByName(nulls)
 
 
 def clusters_view(clusters: DataFrame, students: DataFrame) -> DataFrame:

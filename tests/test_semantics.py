@@ -207,3 +207,16 @@ def test_csv_reader_maps_missing_tokens(spark):
     assert rows[0].code_presentation is None and rows[0].week_from is None and rows[0].week_to == 3
     assert rows[1].code_module is None and rows[1].activity_type is None
     assert rows[2].activity_type == "quiz"
+
+
+def test_null_student_ids_bypass_the_join(spark):
+    s = spark.createDataFrame([(1, "AAA", "2014B", "M", "0-35", "R", "HE Qualification", "0-10%", 60, 1)],
+                              "id_student long, code_module string, code_presentation string, gender string, "
+                              "age_band string, region string, highest_education string, imd_band string, "
+                              "studied_credits int, dropout int")
+    p = spark.createDataFrame([(None, "tabnet", 1, 0.9, "r")] * 5 + [(1, "tabnet", 0, 0.1, "r")],
+                              "id_student long, model_name string, predicted int, probability double, run_id string")
+    rows = rep.predictions_view(p, s).collect()
+    assert len(rows) == 6
+    assert sum(1 for r in rows if r.id_student is None and r.gender is None) == 5
+    assert [r.gender for r in rows if r.id_student == 1] == ["M"]
