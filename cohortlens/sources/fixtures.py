@@ -262,6 +262,12 @@ class Tables:
             return e.select(*cols)
         return self._derived("requests_early", build)
 
+    def register_views(self, names=("students", "student_vle", "vle", "predictions", "clusters", "runs")) -> None:
+        """Temp views under the learner-table names, for Spark SQL users
+        (``studentVle`` keeps its original spelling)."""
+        for n in names:
+            getattr(self, n).createOrReplaceTempView("studentVle" if n == "student_vle" else n)
+
     def materialize(self, names=("student_vle", "students", "predictions", "clusters", "requests"),
                     base: str | None = None, buckets: int | None = None,
                     max_bucket_skew: float = 2.0) -> "Tables":

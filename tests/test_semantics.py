@@ -220,3 +220,11 @@ def test_null_student_ids_bypass_the_join(spark):
     assert len(rows) == 6
     assert sum(1 for r in rows if r.id_student is None and r.gender is None) == 5
     assert [r.gender for r in rows if r.id_student == 1] == ["M"]
+
+
+def test_registered_views_answer_sql(spark, tables):
+    tables.register_views()
+    n = spark.sql("SELECT count(*) AS n FROM predictions p JOIN students s ON p.id_student = s.id_student").first().n
+    assert n > 0
+    assert spark.sql("SELECT count(*) AS n FROM studentVle WHERE date <= 60").first().n == \
+        tables.student_vle.where("date <= 60").count()
