@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens import functions as X
 from cohortlens import schemas as S
+from cohortlens.operators import cleaning, cluster as clu, encode as enc, evaluate as ev
 from cohortlens.operators import features as feat
+from cohortlens.operators import report as rep, score as sc, split as sp, store as st, train as tr
+from cohortlens.plans import sqlgen as G
 from cohortlens.plans.registry import query
+from cohortlens.session import scratch_path
 from cohortlens.sources import Tables
 from cohortlens.sources import readers
 
@@ -64,9 +69,6 @@ def q_join_features(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.2 projection / filter / scalar expressions
 # ----------------------------------------------------------------------------
-from cohortlens import functions as X  # noqa: E402
-from cohortlens.operators import cleaning, encode as enc, evaluate as ev, report as rep, split as sp  # noqa: E402
-from cohortlens.plans import sqlgen as G  # noqa: E402
 
 
 def _t(spark, sf_dir):
@@ -220,7 +222,6 @@ def q_rounding(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.3 joins, 2.4 aggregations, 2.5 sorts / top-k
 # ----------------------------------------------------------------------------
-from cohortlens.operators import cluster as clu, score as sc  # noqa: E402
 
 
 def _pj(spark, sf_dir):
@@ -499,8 +500,6 @@ def q_latest_run(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.1 sources and sinks that write (into the shared checkpoint folder)
 # ----------------------------------------------------------------------------
-from cohortlens.operators import store as st  # noqa: E402
-from cohortlens.session import scratch_path  # noqa: E402
 
 RAW_COLS_SQL = ", ".join(f.name for f in S.RAW_STUDENTS_SCHEMA.fields)
 LIVE = list(S.LIVE_MODEL_NAMES)
@@ -731,7 +730,6 @@ def q_feature_select_logistic(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.7 training (rows-only: model outputs cannot equal the reference's RNG)
 # ----------------------------------------------------------------------------
-from cohortlens.operators import train as tr  # noqa: E402
 
 # Registered queries run a reduced search budget (2 candidates x 2 folds,
 # tens of trees); the library defaults are the reference's full search.
