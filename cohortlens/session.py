@@ -1,7 +1,6 @@
 """Spark session and shared-storage helpers."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -88,29 +87,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/cohortlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for driver-side existence checks in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of the path (any scheme)."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    """Recursive delete through the Hadoop FileSystem (used by the move job)."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(jpath, True))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
