@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from cohortlens.functions import round_to
 from cohortlens.functions.expressions import safe_ratio
 
-# Number of equal-width score buckets per group for the AUC prefix sums.
-AUC_BUCKETS = 1 << 20
+# AUC score buckets: logit(score) clamped to +-LOGIT_RANGE, LOGIT_RES buckets per
+# unit -- about 1.3M buckets per group, finer where probabilities crowd (tails).
+LOGIT_RANGE, LOGIT_RES = 40.0, 1 << 14
+AUC_BUCKETS = LOGIT_RES  # kept as the resolution parameter name
+
+
+def score_bucket(score: str, res: int = LOGIT_RES):
+    """Monotone bucket of a probability: floor(logit(p) * res), clamped; p <= 0
+    and p >= 1 take the end buckets. Monotone non-decreasing in p (division
+    and log are semi-monotonic), so bucket order never contradicts score
+    order; ties inside a bucket are ordered by the exact score."""
+    pc = F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0))
+    lg = F.log(F.try_divide(pc, F.lit(1.0) - pc))
+    top = int(LOGIT_RANGE * res) + 1
+    raw = F.floor(F.least(F.greatest(lg, F.lit(-LOGIT_RANGE)), F.lit(LOGIT_RANGE)) * F.lit(float(res)))
+    return (F.when(pc <= 0.0, F.lit(-top)).when(pc >= 1.0, F.lit(top))
+             .otherwise(F.coalesce(raw, F.lit(-top)))).cast("long")
 
 
 def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
@@ -17,8 +32,10 @@ def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
     """A5: exact rank AUC (ties count 1/2) per group, fully distributed.
 
     AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N), NULL when a group
-    has only one class. With scores cut into B = 2^20 equal-width buckets
-    (clamped to [0, 1]; order inside a bucket is by exact score):
+    has only one class. Scores are cut into monotone buckets on the logit
+    scale (``score_bucket``: fine where probabilities crowd near 0 or 1, so
+    a confident model's scores do not pile into one bucket); order inside a
+    bucket is by exact score:
 
       sum(pos * neg_below) = sum over scores of pos * (negatives below it in
                              its own bucket)                       -- term 1
@@ -28,12 +45,12 @@ def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
        counts (partial aggregation: raw rows never reach one task);
     2. term 1 is a running sum inside (group, bucket) -- no window spans a
        whole group, however large one model's share of the rows is;
-    3. term 2 needs only the per-bucket totals (at most B rows per group).
+    3. term 2 needs only the per-bucket totals (about 1.3M rows per group at most).
     The two per-group sums are joined on the group key only.
     """
     if not group_cols:
         return exact_auc(df.withColumn("_all", F.lit(1)), ["_all"], score, label, buckets).drop("_all")
-    b = F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("long")
+    b = score_bucket(score, buckets)
     g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .groupBy(*group_cols, score)
            .agg(F.sum(F.col(label).cast("long")).alias("_np"),

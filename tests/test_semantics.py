@@ -69,7 +69,7 @@ def test_auc_equals_brute_force(spark):
     pos = [p for p, y in rows if y == 1]
     neg = [p for p, y in rows if y == 0]
     brute = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
-    got = ev.exact_auc(df, ["g"], buckets=8).first().auc
+    got = ev.exact_auc(df, ["g"], buckets=1).first().auc
     assert got == pytest.approx(brute, abs=1e-12)
     got2 = ev.exact_auc(df, ["g"]).first().auc
     assert got2 == pytest.approx(brute, abs=1e-12)
@@ -228,3 +228,19 @@ def test_registered_views_answer_sql(spark, tables):
     assert n > 0
     assert spark.sql("SELECT count(*) AS n FROM studentVle WHERE date <= 60").first().n == \
         tables.student_vle.where("date <= 60").count()
+
+
+def test_auc_with_crowded_and_extreme_scores(spark):
+    import random
+    rnd = random.Random(11)
+    pool = [0.0, 1.0, 1e-12, 2e-12, 0.5, 1 - 1e-12] + [rnd.random() * 1e-9 for _ in range(50)]
+    rows = [(rnd.choice(pool), rnd.randint(0, 1)) for _ in range(600)]
+    df = spark.createDataFrame([("m", p, y) for p, y in rows], "g string, probability double, label int")
+    pos = [p for p, y in rows if y == 1]
+    neg = [p for p, y in rows if y == 0]
+    brute = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert ev.exact_auc(df, ["g"]).first().auc == pytest.approx(brute, abs=1e-12)
+    b = df.select(ev.score_bucket("probability").alias("b"), "probability").orderBy("probability").collect()
+    assert all(x.b <= y.b for x, y in zip(b, b[1:]))            # monotone
+    tiny = {r.b for r in b if 0 < r.probability < 1e-9}
+    assert len(tiny) > 1 or len({r.probability for r in b if 0 < r.probability < 1e-9}) <= 1
