@@ -44,18 +44,17 @@ def get_spark(app: str = "cohortlens", master: str | None = None,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
          .config("spark.sql.session.timeZone", "UTC"))
-    if scale:
-        from pyspark import SparkConf
-        given = dict(SparkConf().getAll())
-        for k, v in SCALE_CONF.items():
-            if k not in given:
-                b = b.config(k, v)
     if master:
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if scale:  # runtime SQL settings; anything given to spark-submit (--conf) wins
+        given = spark.sparkContext.getConf()
+        for k, v in SCALE_CONF.items():
+            if not given.contains(k):
+                spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
