@@ -226,3 +226,20 @@ def rank_rates(rates: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("display_model", "attribute").orderBy(F.desc("rate_pct"), "value")
     return rates.withColumn("rank", F.row_number().over(w))
+
+
+def prediction_reports(predictions: DataFrame, students: DataFrame, materialize: bool = True) -> dict:
+    """The prediction page in one go: J1 is built once (written as parquet in
+    the shared checkpoint folder, cutting its lineage) and the KPIs, scores,
+    group rates, histogram and predicted counts are computed from it for all
+    models at once, instead of re-joining per report."""
+    from cohortlens.operators.evaluate import model_scores
+    j = predictions_view(predictions, students)
+    if materialize:
+        from cohortlens.session import scratch_path
+        spark = j.sparkSession
+        path = scratch_path(spark, "prediction-view")
+        j.write.parquet(path)
+        j = spark.read.parquet(path)
+    return {"model_kpis": model_kpis(j), "model_scores": model_scores(j), "group_rates": group_rates(j),
+            "prob_histogram": prob_histogram(j), "predicted_counts": predicted_counts(j)}

@@ -244,3 +244,13 @@ def test_auc_with_crowded_and_extreme_scores(spark):
     assert all(x.b <= y.b for x, y in zip(b, b[1:]))            # monotone
     tiny = {r.b for r in b if 0 < r.probability < 1e-9}
     assert len(tiny) > 1 or len({r.probability for r in b if 0 < r.probability < 1e-9}) <= 1
+
+
+def test_prediction_reports_equal_the_single_reports(spark, tables):
+    bundle = rep.prediction_reports(tables.predictions, tables.students)
+    j = rep.predictions_view(tables.predictions, tables.students)
+    single = {"model_kpis": rep.model_kpis(j), "group_rates": rep.group_rates(j),
+              "prob_histogram": rep.prob_histogram(j), "model_scores": ev.model_scores(j)}
+    for k, df in single.items():
+        a, b = bundle[k], df
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, k
