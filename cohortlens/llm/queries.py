@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join
+from cohortlens.llm import jaccard_join, suffix_dedup
 from cohortlens.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents (five-word shingles, Jaccard 0.8)."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that lie in a 200-byte string found elsewhere."""
+    scratch = Scratch(spark, "op3")
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), scratch)
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["n"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
