@@ -61,6 +61,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         self.live.add(name)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -4,14 +4,14 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link when
 ``100 * |A & B| >= percent * |A | B|``. The join runs in four steps:
 
 1. Equal sets collapse to one representative, and only representatives that
-   share a prefix token with another go on (of any two sets that link, the
-   rarest ``n - ceil(percent * n / 100) + 1`` tokens of both have one in common).
-   Rarity comes from a counting sketch of fixed size over all documents; it
+   share enough prefix tokens with others go on: of any two sets that link, the
+   rarest ``n - ceil(percent * n / 100) + l`` tokens of both have ``l`` in common,
+   where ``l`` grows with the smaller set (``shared_tokens``). Rarity comes from a counting sketch of fixed size over all documents; it
    only decides the order of tokens, so collisions cost time, never links.
 2. Similar sets are partitioned into groups: sets with a common minimum hash are
    compared with the smallest key among them, and the links found make groups.
 3. The token-group matrix holds each group's token union. A set of the smaller
-   group queries a larger group it shares a prefix token with; the overlap with
+   group queries a larger group it shares enough prefix tokens with; the overlap with
    the union bounds the overlap with every member, and only groups that can
    still reach the threshold are opened.
 4. Members of opened groups are compared exactly with their queries.
@@ -125,8 +125,18 @@ def _signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Da
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """Tokens of an ``n``-set of which any set that links with it must hold one."""
-    return n - (n * percent + 99) // 100 + 1 if n else 0
+    """Tokens of an ``n``-set of which a set that links with it holds ``shared_tokens``."""
+    return min(n, n - (n * percent + 99) // 100 + shared_tokens(n)) if n else 0
+
+
+def shared_tokens(n):
+    """Prefix tokens that a set of ``n`` must share with a linked set that is no smaller."""
+    return n * 4 // 100 + 1
+
+
+def _needed(n: str, percent: int):
+    """Prefix tokens that a set of size column ``n`` shares with any set it links with."""
+    return F.floor(F.ceil(F.col(n) * percent / 100) * 4 / 100) + 1
 
 
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -182,15 +192,15 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
 
     sets = scratch.save(sig.where("n > 0").groupBy("set_key").agg(F.min("node").alias("rep")), "sets")
     spread = sig.select("node", F.explode("prefix").alias("token"))
-    shared = spread.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    busy = spread.join(shared.select("token"), "token", "left_semi").select("node").distinct()
-    busy = scratch.save(busy.join(sets.select(F.col("rep").alias("node")), "node", "left_semi"), "busy")
-    scratch.release()
+    shared = spread.groupBy("token").count().where("count > 1").select("token")
+    hits = spread.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    reps = sig.join(sets.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n")
+    busy = scratch.save(hits.join(reps, "node").where(F.col("hits") >= _needed("n", percent)).select("node").distinct(),
+                        "busy")
 
     tokens = scratch.save(_token_sets(docs.join(busy, "node", "left_semi"), k), "tokens")
     chosen = scratch.save(sig.join(busy, "node", "left_semi").dropDuplicates(["node"])
                           .select("node", "n", "mins", "prefix"), "chosen")
-    scratch.release()
 
     # groups of similar sets: the star of each minimum hash, verified
     keys = chosen.select("node", "n", F.posexplode("mins").alias("i", "key"))
@@ -200,7 +210,6 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     grouped = connected_components(links, scratch, "groups")
     member = scratch.save(chosen.join(grouped, "node", "left")
                           .select("node", "n", F.coalesce("center", "node").alias("grp"), "prefix"), "member")
-    scratch.release()
 
     # token-group matrix, restricted to prefix tokens that meet several groups
     cells = member.select("node", "n", "grp", F.explode("prefix").alias("token"))
@@ -214,7 +223,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     asks = (ranked.join(targets, "token")
             .where("struct(g_members, g) > struct(members, grp)")
             .where(f"g_hi * 100 >= n * {percent} and n * 100 >= g_lo * {percent}")
-            .select("node", "n", "g").distinct())
+            .groupBy("node", "n", "g").agg(F.count_distinct("token").alias("hits"))
+            .where(F.col("hits") >= _needed("n", percent)).select("node", "n", "g"))
     asks = scratch.save(asks, "asks")
 
     union = (tokens.join(member.join(asks.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi")
@@ -227,7 +237,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     inside = cells.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"), "token")
     pairs = (opened.join(cells.select("node", "token"), "node").join(inside, ["g", "token"])
              .where(_near_size("n", "nb", percent))
-             .select(F.col("node").alias("a"), "b").distinct())
+             .groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("hits"))
+             .where(F.col("hits") >= _needed("n", percent)).select("a", "b"))
     links = scratch.save(links.unionByName(_verify(pairs, tokens, percent)), "links")
 
     found = connected_components(links, scratch, "components")
