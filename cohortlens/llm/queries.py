@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, suffix_dedup
-from cohortlens.llm.common import Scratch, table
+from cohortlens.llm import jaccard_join, langid, quality, suffix_dedup, token_counts
+from cohortlens.llm.common import Scratch, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def id_checksum(modulus: int):
+    """crc32 of the document id written as text, modulo a number (NULL ids: NULL)."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_checksum(5) == 0, F.lit(False)))
+    model = langid.fit(docs.where("not held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents (five-word shingles, Jaccard 0.8)."""
@@ -32,3 +46,23 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["n"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"),
                       F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact byte-level BPE token counts of all documents."""
+    import public_tokenizers
+
+    ship_package(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, ["doc_id"], budget=1024)
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_checksum(3) == 1, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").where(id_checksum(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model, ["doc_id", "held_out"])
