@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, langid, quality, suffix_dedup, token_counts
+from cohortlens.llm import jaccard_join, langid, mixing, quality, suffix_dedup, token_counts
 from cohortlens.llm.common import Scratch, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(id_checksum(3) != 1).select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs, labels)
     return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, sources drawn to their targets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.mix(docs, Scratch(spark, "op8"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op8_source_mixing"] = mixing.MIX_SQL
