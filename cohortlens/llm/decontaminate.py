@@ -116,8 +116,10 @@ class SegmentIndex:
         # bands are two widths wide and start every width: a hit lies in two of them;
         # a q-gram of the segment counts once a band, however often the text repeats it
         key = seg << 40 | band << 8
-        key = np.unique(np.concatenate((key | off, key - (1 << 8) | off))) >> 8
-        key, count = np.unique(key, return_counts=True)
+        key = np.sort(np.concatenate((key | off, key - (1 << 8) | off)))
+        key = key[np.diff(key, prepend=-1) != 0] >> 8
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        key, count = key[edge], np.diff(edge, append=len(key))
         seg, band = key >> 32, key & ((1 << 32) - 1)
         good = count >= self.least[seg]
         seg, band = seg[good], band[good]

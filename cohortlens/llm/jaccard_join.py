@@ -178,9 +178,13 @@ def _near_size(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int = 5,
+                       with_row: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
+    ``with_row`` adds ``node``, the row's ``row_key``, and ``center``, the key
+    that stands for its component.
+
     ``component_id`` is the smallest non-null doc_id of the rows reachable by
     links, the row itself included. NULL and word-less texts have size 0 and
     stand alone; NULL doc_ids are linked like any row and are never a component's
@@ -245,9 +249,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     per_row = (sig.select("node", "doc_id", "n", "set_key")
                .join(sets, "set_key", "left")
                .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-               .select("doc_id", "n", F.coalesce("center", "rep", "node").alias("center")))
+               .select("node", "doc_id", "n", F.coalesce("center", "rep", "node").alias("center")))
     lowest = per_row.groupBy("center").agg(F.min("doc_id").alias("component_id"))
-    out = per_row.join(lowest, "center").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = per_row.join(lowest, "center").withColumnRenamed("n", "n_shingles").select(
+        "doc_id", "n_shingles", "component_id", *(["node", "center"] if with_row else []))
     out = scratch.save(out, "result")
     scratch.drop(*(scratch.live - {"result"}))
     return out

@@ -6,7 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, langid, mixing, quality, suffix_dedup, token_counts
+from cohortlens.llm import (
+    decontaminate,
+    hamming,
+    html_extract,
+    jaccard_join,
+    langid,
+    mixing,
+    quality,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from cohortlens.llm.common import Scratch, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +59,34 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with place and edits."""
+    ship_package(spark)
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 20."""
+    ship_package(spark)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    codes = hamming.binary_codes(vectors)
+    return hamming.top_k(codes, codes.where("id % 20 = 0"), k=10).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op5_exact_top_k"] = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+    list_sum(list_transform(range(1, len(q.embedding) + 1),
+      lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(e.embedding[i] > 0, false))::INT))::INT AS distance
+  FROM embeddings q JOIN embeddings e ON len(q.embedding) = len(e.embedding) AND q.vec_id <> e.vec_id
+  WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact byte-level BPE token counts of all documents."""
@@ -77,3 +116,18 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_source_mixing"] = mixing.MIX_SQL
+
+
+@query
+def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the page archive in which a decayed copy differs, located by Merkle trees."""
+    return warc.audit_pages(table(spark, sf_dir, "pages"), Scratch(spark, "op9"))
+
+
+ORACLES["op9_warc_merkle_audit"] = warc.AUDIT_SQL
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the style tree of its host."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"), Scratch(spark, "op10"), ["page_id", "url"])

@@ -278,18 +278,19 @@ def covered_runs(starts, width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 200) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, rk, n_bytes, runs, kept_sha256, kept text.
+def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 200, carry: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: the ``carry`` columns, n_bytes, runs, kept_sha256, kept text.
 
     ``runs`` are the maximal removed runs (byte offsets); ``kept`` is the text
-    of the characters that keep at least one byte. NULL and empty texts have no
-    bytes; texts shorter than ``width`` lose nothing; equal rows, also under one
+    of the characters that keep at least one byte (NULL for a NULL text). NULL and
+    empty texts have no bytes; texts shorter than ``width`` lose nothing; equal rows, also under one
     id, are copies of each other, so all of their strings repeat. Other columns
     of ``docs`` are ignored.
     """
-    docs = docs.select("doc_id", "text").withColumn("rk", row_key("doc_id", "text"))
+    inner = {c: f"in_{i}" for i, c in enumerate(carry)}
+    docs = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], "text", row_key("doc_id", "text").alias("rk"))
     spans = repeated_spans(docs.select("rk", "text"), scratch, width)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = "".join(f"{x} {docs.schema[x].dataType.simpleString()}, " for x in inner.values())
 
     def run(batches):
         for batch in batches:
@@ -316,12 +317,13 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 200) -> DataF
                 size.append(len(raw))
                 runs.append([{"at": a, "n": b - a} for a, b in gone])
                 sha.append(hashlib.sha256(b"".join(rest)).hexdigest())
-                kept.append(b"".join(soft).decode("utf-8", "ignore"))
+                kept.append(b"".join(soft).decode("utf-8", "ignore") if batch.column("text")[i].is_valid else None)
             span = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("rk"), pa.array(size, pa.int64()), pa.array(runs, span),
+                *(batch.column(x) for x in inner.values()), pa.array(size, pa.int64()), pa.array(runs, span),
                 pa.array(sha, pa.string()), pa.array(kept, pa.string())],
-                ["doc_id", "rk", "n_bytes", "runs", "kept_sha256", "kept"])
+                [*inner.values(), "n_bytes", "runs", "kept_sha256", "kept"])
 
-    return (docs.join(spans, "rk", "left").select("doc_id", "rk", "text", "starts").mapInArrow(
-        run, f"doc_id {kind}, rk long, n_bytes long, runs array<struct<at:long,n:long>>, kept_sha256 string, kept string"))
+    out = docs.join(spans, "rk", "left").select(*inner.values(), "text", "starts").mapInArrow(
+        run, f"{kinds}n_bytes long, runs array<struct<at:long,n:long>>, kept_sha256 string, kept string")
+    return out.select(*[F.col(x).alias(c) for c, x in inner.items()], "n_bytes", "runs", "kept_sha256", "kept")
