@@ -9,7 +9,8 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link when
    where ``l`` grows with the smaller set (``shared_tokens``). Rarity comes from a counting sketch of fixed size over all documents; it
    only decides the order of tokens, so collisions cost time, never links.
 2. Similar sets are partitioned into groups: sets with a common minimum hash are
-   compared with the smallest key among them, and the links found make groups.
+   compared with the one among them that shares the largest part of its prefix
+   (an original shares more than its edited copies), and the links make groups.
 3. The token-group matrix holds each group's token union. A set of the smaller
    group queries a larger group it shares enough prefix tokens with; the overlap with
    the union bounds the overlap with every member, and only groups that can
@@ -199,16 +200,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     shared = spread.groupBy("token").count().where("count > 1").select("token")
     hits = spread.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
     reps = sig.join(sets.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n")
-    busy = scratch.save(hits.join(reps, "node").where(F.col("hits") >= _needed("n", percent)).select("node").distinct(),
-                        "busy")
+    busy = scratch.save(hits.join(reps, "node").where(F.col("hits") >= _needed("n", percent))
+                        .groupBy("node").agg(F.max("hits").alias("hits")), "busy")
 
     tokens = scratch.save(_token_sets(docs.join(busy, "node", "left_semi"), k), "tokens")
-    chosen = scratch.save(sig.join(busy, "node", "left_semi").dropDuplicates(["node"])
-                          .select("node", "n", "mins", "prefix"), "chosen")
+    chosen = scratch.save(sig.join(busy, "node").dropDuplicates(["node"])
+                          .select("node", "n", "mins", "prefix", (F.col("hits") / F.size("prefix")).alias("share")), "chosen")
 
     # groups of similar sets: the star of each minimum hash, verified
-    keys = chosen.select("node", "n", F.posexplode("mins").alias("i", "key"))
-    leader = keys.groupBy("i", "key").agg(F.min("node").alias("b"))
+    keys = chosen.select("node", "share", F.posexplode("mins").alias("i", "key"))
+    leader = keys.groupBy("i", "key").agg(F.max_by("node", "share").alias("b"))
     stars = (keys.join(leader, ["i", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     links = scratch.save(_verify(stars, tokens, percent), "star_links")
     grouped = connected_components(links, scratch, "groups")
