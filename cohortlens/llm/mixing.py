@@ -32,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Document weight from 0.1 to 1: the share of characters that are not signs of markup or noise."""
-    plain = F.length(F.translate(text, SIGNS, "")) / F.length(text)
+    plain = F.try_divide(F.length(F.translate(text, SIGNS, "")).cast("double"), F.length(text).cast("double"))
     return F.lit(0.1) + F.lit(0.9) * F.coalesce(plain, F.lit(1.0))
 
 
@@ -77,14 +77,14 @@ def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None) -> Data
     new = ["size", "source_size", "target", "taken"]
     carried = [c for c in docs.columns if c not in new]
     inner = {c: f"in_{i}" for i, c in enumerate(carried)}
-    size = word_count(F.col("text"))
-    uniform = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+    uniform = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(inner["doc_id"]).cast("string"), F.lit("null")),
                                                     F.col("size").cast("string"))), 1, 12), 16, 10)
                .cast("double") + 0.5) / float(1 << 48)
-    rows = docs.select(*carried).withColumn("size", size).withColumn("w", quality_weight(F.col("text")) if weight is None else weight)
+    rows = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], word_count(F.col("text")).alias("size"),
+                       (quality_weight(F.col("text")) if weight is None else weight).alias("w"))
     rows = rows.withColumn("key", -F.log(uniform) / F.col("w"))
     rows = rows.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES).cast("int"))
-    rows = rows.select(*[F.col(c).alias(inner[c]) for c in carried], "size", "key", "range")
+    rows = rows.drop("w")
     rows = scratch.save(rows, "sized")
     by, doc_id = inner["source"], inner["doc_id"]
 
