@@ -103,16 +103,21 @@ def risk_badge(rate_pct) -> Column:
              .otherwise(F.lit(stable)))
 
 
+def _stripped(c) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(col_or_lit(c), r"(?U)^\s+|\s+$", "")
+
+
 def parse_student_id(c="student_id_text") -> Column:
     """blank -> NULL, digits -> bigint, anything else -> NULL (see student_id_valid)."""
-    t = F.trim(col_or_lit(c))
+    t = _stripped(c)
     return F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint"))
 
 
 def student_id_valid(c="student_id_text") -> Column:
-    """True for blank/NULL or an all-digit id; False means the request is rejected."""
-    t = F.trim(col_or_lit(c))
-    return F.coalesce((t == "") | t.rlike("^[0-9]+$"), F.lit(True))
+    """True for blank/NULL or an all-digit id that fits a bigint; False means the request is rejected."""
+    t = _stripped(c)
+    return F.coalesce((t == "") | (t.rlike("^[0-9]+$") & t.try_cast("bigint").isNotNull()), F.lit(True))
 
 
 def round1(c) -> Column:

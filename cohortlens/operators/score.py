@@ -158,9 +158,11 @@ def validate_ranges(req: DataFrame, bounds: dict) -> DataFrame:
 
 
 def complete_requests(req: DataFrame, defaults: DataFrame, feature_cols: list[str],
-                      bounds: dict | None = None) -> DataFrame:
+                      bounds: dict | None = None, options: dict[str, list[str]] | None = None) -> DataFrame:
     """I1 (+F15, F16): fill each missing feature of a request from the
-    one-row defaults profile and flag invalid requests.
+    one-row defaults profile and flag invalid requests (``accepted``, and
+    ``reject_reason`` for those that are not). ``options`` are the categories
+    allowed for a column.
 
     The profile is a fitted one-row statistic (like an imputer's surrogate
     values): it is read once and applied as literals, so the request side is
@@ -178,7 +180,18 @@ def complete_requests(req: DataFrame, defaults: DataFrame, feature_cols: list[st
         x = validate_ranges(x, bounds)
     else:
         x = x.withColumns({"n_out_of_range": F.lit(0), "in_range": F.lit(True)})
-    return x.withColumn("accepted", F.col("id_valid") & F.col("in_range"))
+    reason = F.concat_ws("; ", F.when(~F.col("id_valid"), "student id"), F.when(~F.col("in_range"), "feature out of range"),
+                         *([F.when(~known_values(x, options), "unknown category")] if options else []))
+    return x.withColumns({"accepted": reason == "", "reject_reason": F.when(reason != "", reason)})
+
+
+def known_values(req: DataFrame, options: dict[str, list[str]]):
+    """Whether every category of a request is NULL or one of the listed options."""
+    ok = F.lit(True)
+    for c, values in options.items():
+        if c in req.columns:
+            ok = ok & F.coalesce(F.col(c).cast("string").isin(list(values)), F.lit(True))
+    return ok
 
 
 def decision(prob_col: str = "probability", rule: str = ">=", threshold: float = 0.5):

@@ -2,7 +2,8 @@
 
 Per-model results live in one table partitioned by ``model_name``; replacing
 a model's rows is a dynamic partition overwrite, which leaves every other
-model's partition untouched and is idempotent on re-run."""
+model's partition untouched and is idempotent on re-run. The live table is
+partitioned by batch; every writer names its batch, so a replay replaces it."""
 from __future__ import annotations
 
 import datetime as _dt
@@ -33,137 +34,181 @@ def sink_create_if_absent(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- K3
-def sink_replace_model(preds: DataFrame, path: str) -> DataFrame:
-    """K3: replace the rows of the model(s) present in ``preds``; other
-    models' partitions are not touched (dynamic partition overwrite)."""
+def sink_replace_model(preds: DataFrame, path: str, model_names: list[str] | None = None) -> DataFrame:
+    """K3: replace the rows of ``model_names`` (default: the models present in
+    ``preds``); other models' partitions are not touched.
+
+    Rows are rebalanced, not gathered by model, so one large model is written
+    by many tasks. A named model without rows in ``preds`` is emptied."""
     spark = preds.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (preds.select(*[F.col(f.name).cast(f.dataType) for f in S.PREDICTIONS_SCHEMA.fields])
-              .repartition("model_name")
-              .write.mode("overwrite").partitionBy("model_name").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    rows = preds.select(*[F.col(f.name).cast(f.dataType) for f in S.PREDICTIONS_SCHEMA.fields])
+    if model_names is not None:
+        rows = rows.where(F.col("model_name").isin(list(model_names)))
+    _overwrite_partitions(rows.hint("rebalance"), path, ["model_name"])
+    if model_names is not None and path_exists(spark, path):
+        present = {r.model_name for r in rows.groupBy("model_name").count().collect()}  # <= len(model_names)
+        drop_partitions(spark, path, "model_name", [m for m in model_names if m not in present])
     return read_predictions(spark, path)
 
 
+def _overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Dynamic partition overwrite by a write option; the session's setting stays as it is."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The predictions table, with its declared schema (also when it holds no files)."""
     cols = [f.name for f in S.PREDICTIONS_SCHEMA.fields]
-    return spark.read.parquet(path).select(*cols)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], S.PREDICTIONS_SCHEMA)
+    return spark.read.schema(S.PREDICTIONS_SCHEMA).parquet(path).select(*cols)
 
 
 # ---------------------------------------------------------------------- K5
-def sink_append_live(scored: DataFrame, path: str) -> DataFrame:
-    """K5: append scored rows to the live table with a unique id and a
-    creation time. The id is ``monotonically_increasing_id`` offset by a
-    per-batch base (current max id + 1), so no global sort or single
-    partition is needed however large the batch."""
-    spark = scored.sparkSession
-    base = 0
-    if path_exists(spark, path):
-        m = spark.read.parquet(path).agg(F.max("id")).first()[0]
-        base = (m or 0) + 1
-    # monotonically_increasing_id is partition-id << 33 | row index: unique, ordered per partition
-    extra = [F.col("batch_id").cast("string")] if "batch_id" in scored.columns else []
+def sink_append_live(scored: DataFrame, path: str, batch_id: str | None = None) -> DataFrame:
+    """K5: write scored rows as one batch of the live table.
+
+    The live table has one layout for saved, moved and streamed rows: a
+    partition per batch. A batch that is written again replaces its earlier
+    attempt. Row ids are the batch id and a row index, so concurrent batches
+    need no common counter. ``request_id`` is carried if the rows have one."""
+    write_live(scored, path, batch_id or uuid.uuid4().hex)
+    return read_live(scored.sparkSession, path)
+
+
+def write_live(scored: DataFrame, path: str, batch_id: str) -> None:
+    request = F.col("request_id").cast("string") if "request_id" in scored.columns else F.lit(None).cast("string")
     out = scored.select(
-        (F.lit(base) + F.monotonically_increasing_id()).cast("long").alias("id"),
+        F.concat_ws("-", F.lit(batch_id), F.monotonically_increasing_id().cast("string")).alias("id"),
         F.col("id_student").cast("long"), F.col("model_name").cast("string"),
         F.col("predicted").cast("int"), F.col("probability").cast("double"),
-        F.col("run_id").cast("string"), F.current_timestamp().alias("created_at"), *extra)
-    out.write.mode("append").parquet(path)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+        F.col("run_id").cast("string"), F.current_timestamp().alias("created_at"),
+        request.alias("request_id"), F.lit(batch_id).alias("batch_id"))
+    _overwrite_partitions(out, path, ["batch_id"])
+
+
+def write_rejected(completed: DataFrame, path: str, batch_id: str) -> None:
+    """The requests of a batch that were not accepted, with the reason."""
+    out = completed.where(~F.col("accepted")).select(
+        F.col("request_id").cast("string"), F.col("student_id_text").cast("string"), "reject_reason",
+        F.current_timestamp().alias("created_at"), F.lit(batch_id).alias("batch_id"))
+    _overwrite_partitions(out, path, ["batch_id"])
 
 
 # ---------------------------------------------------------------------- K6
 def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_MODEL_NAMES,
-              runs_path: str | None = None) -> DataFrame:
-    """K6: move rows of the given display-model names from the partitioned
-    predictions table to the live table; returns candidate / inserted /
-    deleted counts (all 0 when there is nothing to move).
-
-    Parquet has no cross-table transaction, so the job is a small state
-    machine recorded in a marker table:
-      (1) append the candidates to the live table,
-      (2) mark the batch 'appended' (with its row count),
-      (3) drop the moved partitions from the predictions table,
-      (4) mark the batch 'done'.
-    A re-run first looks for a batch of the same partitions that is
-    'appended' but not 'done' (a crash between (2) and (4)): it redoes only
-    (3)-(4). A crash before (2) leaves the predictions untouched and the
-    live rows of the failed attempt are skipped by the next run, which
-    appends again -- so rows are neither lost nor doubled."""
-    preds = read_predictions(spark, pred_path)
-    cand = preds.where(F.col("model_name").isin(list(names)))
-    parts = sorted(r.model_name for r in cand.select("model_name").distinct().collect())  # <= len(names)
-    marker = runs_path or (live_path.rstrip("/") + "_batches")
-    key = ",".join(parts)
-    pending = _pending_batch(spark, marker, key) if parts else None
-    if pending is not None:
-        batch, n_cand = pending
-        inserted = n_cand
-    else:
-        n_cand = cand.count() if parts else 0
-        if n_cand == 0:
-            return spark.createDataFrame([(0, 0, 0)], "candidates long, inserted long, deleted long")
+              marker: str | None = None) -> DataFrame:
+    """K6: move the rows of the given display-model names from the predictions
+    table to the live table; returns candidate / inserted / deleted counts.
+
+    Parquet has no cross-table transaction, so each move is a batch recorded
+    in a marker table together with the exact files it moves:
+      (1) 'planned': the batch id and its input files,
+      (2) the files' rows are written as the batch's partition of the live table,
+      (3) 'appended': from here readers count the batch,
+      (4) those files, and no others, are deleted,
+      (5) 'done'.
+    A re-run first finishes the batches that are not done: a planned one from
+    (2), which replaces its partial partition, an appended one from (4). Files
+    that arrive in the meantime belong to the next batch, so no row is lost,
+    doubled or deleted unmoved at any crash point."""
+    marker = marker or batches_path(live_path)
+    todo = _open_batches(spark, marker)
+    fresh = partition_files(spark, pred_path, "model_name", names)
+    claimed = {f for _, _, files in todo for f in files}
+    fresh = [f for f in fresh if f not in claimed]
+    if fresh:
         batch = uuid.uuid4().hex
-        sink_append_live(cand.withColumn("batch_id", F.lit(batch)), live_path)
-        _mark(spark, marker, batch, key, n_cand, "appended")
-        inserted = n_cand
-    drop_partitions(spark, pred_path, "model_name", parts)
-    _mark(spark, marker, batch, key, n_cand, "done")
-    return spark.createDataFrame([(int(n_cand), int(inserted), int(n_cand))],
-                                 "candidates long, inserted long, deleted long")
+        _mark(spark, marker, batch, "planned", fresh)
+        todo.append((batch, "planned", fresh))
+    moved = 0
+    for batch, state, files in todo:
+        if state == "planned":
+            rows = (spark.read.schema(S.PREDICTIONS_SCHEMA).option("basePath", pred_path).parquet(*files))
+            write_live(rows, live_path, batch)
+            _mark(spark, marker, batch, "appended", files)
+        moved += _live_table(spark, live_path).where(F.col("batch_id") == batch).count()
+        delete_files(spark, files)
+        _mark(spark, marker, batch, "done", files)
+    left = read_predictions(spark, pred_path).where(F.col("model_name").isin(list(names))).count()
+    return spark.createDataFrame([(moved + left, moved, moved)], "candidates long, inserted long, deleted long")
+
+
+def batches_path(live_path: str) -> str:
+    return live_path.rstrip("/") + "_batches"
+
+
+def _live_table(spark: SparkSession, live_path: str) -> DataFrame:
+    if not path_exists(spark, live_path):
+        return spark.createDataFrame([], S.LIVE_PREDICTIONS_SCHEMA)
+    return spark.read.schema(S.LIVE_PREDICTIONS_SCHEMA).parquet(live_path)
 
 
 def read_live(spark: SparkSession, live_path: str, marker: str | None = None) -> DataFrame:
-    """The live table as committed: rows of a move batch count only once
-    the batch has an 'appended' marker; rows written outside a move (no
-    batch id) always count."""
-    live = spark.read.option("mergeSchema", "true").parquet(live_path)
-    if "batch_id" not in live.columns:
-        return live
-    marker = marker or (live_path.rstrip("/") + "_batches")
+    """The live table as committed: a batch of a move counts once it is
+    marked 'appended'; batches written outside a move always count."""
+    live, marker = _live_table(spark, live_path), marker or batches_path(live_path)
     if not path_exists(spark, marker):
-        return live.where(F.col("batch_id").isNull())
-    ok = spark.read.parquet(marker).where(F.col("state") == "appended").select("batch_id").distinct()
-    return live.where(F.col("batch_id").isNull()).unionByName(live.join(ok, "batch_id", "left_semi"))
+        return live
+    state = spark.read.parquet(marker).groupBy("batch_id").agg(
+        F.max(F.when(F.col("state") == "planned", 0).otherwise(1)).alias("committed"))
+    return live.join(F.broadcast(state.where("committed = 0").select("batch_id")), "batch_id", "left_anti").select(
+        *[f.name for f in S.LIVE_PREDICTIONS_SCHEMA.fields])
 
 
-def _mark(spark, marker, batch, key, n, state):
+def _mark(spark, marker, batch, state, files):
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    spark.createDataFrame([(batch, key, int(n), state, now)],
-                          "batch_id string, partitions string, n_rows long, state string, at timestamp") \
+    spark.createDataFrame([(batch, state, files, now)], "batch_id string, state string, files array<string>, at timestamp") \
          .write.mode("append").parquet(marker)
 
 
-def _pending_batch(spark, marker, key):
-    """(batch_id, n_rows) of a batch of these partitions that was appended
-    but not finished, else None."""
+def _open_batches(spark, marker) -> list[tuple[str, str, list[str]]]:
+    """(batch id, last state, files) of every batch that is not done, oldest first."""
     if not path_exists(spark, marker):
-        return None
-    m = spark.read.parquet(marker).where(F.col("partitions") == key)
-    st = m.groupBy("batch_id").agg(F.max("n_rows").alias("n"),
-                                   F.max(F.when(F.col("state") == "done", 1).otherwise(0)).alias("done"))
-    r = st.where(F.col("done") == 0).select("batch_id", "n").first()
-    return (r.batch_id, int(r.n)) if r is not None else None
+        return []
+    last = (spark.read.parquet(marker).groupBy("batch_id")
+            .agg(F.min("at").alias("at"), F.collect_set("state").alias("states"), F.first("files").alias("files")))
+    open_ = last.where(~F.array_contains("states", "done")).orderBy("at").collect()
+    return [(r.batch_id, "appended" if "appended" in r.states else "planned", list(r.files)) for r in open_]
 
 
-def drop_partitions(spark: SparkSession, path: str, column: str, values) -> int:
-    """Delete the partition folders ``column=value`` of a parquet table.
-    Folder names are matched after undoing Spark's %XX path escaping."""
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _partition_folders(spark: SparkSession, path: str, column: str, values):
+    """Folders ``column=value`` of a table, names compared after undoing Spark's %XX escaping."""
     from urllib.parse import unquote
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    wanted, n = set(values), 0
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(column + "=") and unquote(name[len(column) + 1:]) in wanted:
-            n += bool(fs.delete(st.getPath(), True))
+    fs, root = _folder(spark, path)
+    wanted = set(values)
+    if fs.exists(root):
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith(column + "=") and unquote(name[len(column) + 1:]) in wanted:
+                yield fs, st.getPath()
+
+
+def partition_files(spark: SparkSession, path: str, column: str, values) -> list[str]:
+    """Data files of the partitions ``column=value`` of a parquet table, sorted."""
+    return sorted(f.getPath().toString() for fs, folder in _partition_folders(spark, path, column, values)
+                  for f in fs.listStatus(folder) if f.isFile() and f.getPath().getName().endswith(".parquet"))
+
+
+def delete_files(spark: SparkSession, files: list[str]) -> int:
+    """Delete files; those already gone are skipped."""
+    n = 0
+    for f in files:
+        fs, at = _folder(spark, f)
+        n += bool(fs.exists(at) and fs.delete(at, False))
     return n
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, values) -> int:
+    """Delete the partition folders ``column=value`` of a parquet table."""
+    return sum(bool(fs.delete(folder, True)) for fs, folder in _partition_folders(spark, path, column, values))
+
+
 # ---------------------------------------------------------------------- K7
 def ingest_checks(students: DataFrame, vle: DataFrame, clicks: DataFrame) -> DataFrame:
     """K7: row counts of the three base tables and the number of dropouts."""
@@ -178,10 +223,12 @@ def ingest_checks(students: DataFrame, vle: DataFrame, clicks: DataFrame) -> Dat
 
 # ------------------------------------------------------------------ M9, O2
 def record_run(spark: SparkSession, path: str, experiment: str, params: dict, metrics: dict,
-               status: str = "FINISHED", artifact_uri: str | None = None) -> str:
-    """M9: append one run row (params, metrics, artifact location)."""
-    run_id = uuid.uuid4().hex
-    row = (run_id, experiment, status, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), artifact_uri or f"{SERVER_ARTIFACTS}/{run_id}",
+               status: str = "FINISHED", artifact_uri: str | None = None,
+               start_time: _dt.datetime | None = None, run_id: str | None = None) -> str:
+    """M9: append one run row (params, metrics, artifact location); ``start_time``
+    is when training began (UTC, default: now)."""
+    run_id = run_id or uuid.uuid4().hex
+    row = (run_id, experiment, status, start_time or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), artifact_uri or f"{SERVER_ARTIFACTS}/{run_id}",
            {str(k): str(v) for k, v in params.items()}, {str(k): float(v) for k, v in metrics.items()})
     spark.createDataFrame([row], S.RUNS_SCHEMA).write.mode("append").parquet(path)
     return run_id
@@ -202,7 +249,7 @@ def latest_run(runs: DataFrame, top: int = 20, artifact_prefix: str = SERVER_ART
                .agg(F.max_by(F.struct("run_id", "start_time", "artifact_uri"), key).alias("b")))
     best = best.select("experiment", "b.run_id", "b.start_time", "b.artifact_uri")
     cand_key = best.select("experiment", F.struct("start_time", "run_id").alias("_bk"))
-    newer = (fin.join(cand_key, "experiment")
+    newer = (fin.join(F.broadcast(cand_key), "experiment")  # one row an experiment
                 .where(key > F.col("_bk"))
                 .groupBy("experiment").agg(F.count(F.lit(1)).alias("_newer")))
     return (best.join(newer, "experiment", "left")

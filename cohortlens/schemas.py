@@ -136,8 +136,9 @@ PREDICTIONS_SCHEMA = _struct([
     ("id_student", _L), ("model_name", _S), ("predicted", _I),
     ("probability", _D), ("run_id", _S)])
 LIVE_PREDICTIONS_SCHEMA = _struct([
-    ("id", _L), ("id_student", _L), ("model_name", _S), ("predicted", _I),
-    ("probability", _D), ("run_id", _S), ("created_at", T.TimestampType())])
+    ("id", _S), ("id_student", _L), ("model_name", _S), ("predicted", _I),
+    ("probability", _D), ("run_id", _S), ("created_at", T.TimestampType()),
+    ("request_id", _S), ("batch_id", _S)])
 CLUSTERS_SCHEMA = _struct([("id_student", _L), ("cluster_id", _I), ("dropout_rate", _D)])
 KMEANS_METRICS_SCHEMA = _struct([("k", _I), ("inertia", _D)])
 RUNS_SCHEMA = T.StructType([

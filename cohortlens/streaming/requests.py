@@ -3,39 +3,35 @@
 Stateless (each request is scored on its own), so no watermark or state
 store is involved; ``foreachBatch`` applies the batch pipeline (complete ->
 score -> write) to every micro-batch. The checkpoint replays a batch whose
-commit was not recorded, and each batch is written to its own
-``stream=<checkpoint name>/stream_epoch=<id>`` partition with dynamic
-partition overwrite, so a
-replay replaces its earlier attempt instead of appending twice
-(exactly-once at the table level)."""
+commit was not recorded; every micro-batch is one batch of the live table,
+named by the stream's persistent query id and the epoch, so a replay replaces
+its earlier attempt and two streams, or one restarted on a new checkpoint,
+never share a batch. Rejected requests go to a table of their own with the
+reason, under the same batch names."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.operators.score import complete_requests, score
+from cohortlens.operators.store import write_live, write_rejected
 
 
 def stream_requests(spark: SparkSession, source_dir: str, schema, defaults: DataFrame, model,
                     feature_cols, live_path: str, checkpoint: str, model_name: str, run_id: str,
-                    bounds: dict | None = None, rule: str = ">=", available_now: bool = True):
+                    bounds: dict | None = None, rule: str = ">=", available_now: bool = True,
+                    rejected_path: str | None = None):
     """Start the scoring stream; returns the StreamingQuery."""
     from pyspark.sql import functions as F
 
     defaults = defaults.cache()  # one row, reused by every micro-batch
-    stream_name = checkpoint.rstrip("/").rsplit("/", 1)[-1]  # stable across restarts of this stream
-
     def handle(batch: DataFrame, epoch_id: int) -> None:
+        # the query id that the checkpoint keeps for the life of the stream
+        stream = spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        batch_id = f"{stream}-{epoch_id}"
         done = complete_requests(batch, defaults, list(feature_cols), bounds)
-        ok = done.where(F.col("accepted"))
-        scored = score(model, ok, rule)
-        out = scored.select(
-            (F.lit(epoch_id) * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("id"),
-            F.col("id_student").cast("long"), F.lit(model_name).alias("model_name"),
-            F.col("predicted").cast("int"), F.col("probability").cast("double"),
-            F.lit(run_id).alias("run_id"), F.current_timestamp().alias("created_at"),
-            F.lit(stream_name).alias("stream"), F.lit(epoch_id).cast("long").alias("stream_epoch"))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out.write.mode("overwrite").partitionBy("stream", "stream_epoch").parquet(live_path)
+        scored = score(model, done.where(F.col("accepted")), rule)
+        write_live(scored.withColumns({"model_name": F.lit(model_name), "run_id": F.lit(run_id)}), live_path, batch_id)
+        write_rejected(done, rejected_path or live_path.rstrip("/") + "_rejected", batch_id)
 
     stream = spark.readStream.schema(schema).parquet(source_dir)
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -1,4 +1,5 @@
 """Invariants for the write paths, split and model outputs."""
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
@@ -107,27 +108,116 @@ def test_stream_scoring_is_replay_safe(spark, tables):
     assert n1 == n2 == accepted
 
 
-def test_move_recovers_from_crashes(spark, tables):
-    """Crash after the live append but before the marker, and crash after
-    the marker but before the partitions were dropped: no row lost or doubled."""
-    p = tables.predictions
+def _small_store(spark, n=24):
+    rows = [(i, "XGBoost" if i % 2 else "tabnet", i % 2, i / n, "r") for i in range(n)]
+    df = spark.createDataFrame(rows, S.PREDICTIONS_SCHEMA)
     pred_path, live_path = scratch_path(spark, "t-preds"), scratch_path(spark, "t-live")
-    marker = live_path + "_batches"
-    st.sink_replace_model(p, pred_path)
-    total = p.count()
-    cand = st.read_predictions(spark, pred_path).where(F.col("model_name").isin(S.LIVE_MODEL_NAMES))
-    n = cand.count()
-    key = ",".join(sorted(r.model_name for r in cand.select("model_name").distinct().collect()))
-    st.sink_append_live(cand.withColumn("batch_id", F.lit("crashed-before-marker")), live_path)
-    st.sink_append_live(cand.withColumn("batch_id", F.lit("crashed-after-marker")), live_path)
-    st._mark(spark, marker, "crashed-after-marker", key, n, "appended")
-    c = st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES).first()
-    assert (c.candidates, c.inserted, c.deleted) == (n, n, n)
-    assert st.read_live(spark, live_path).count() == n
-    assert st.read_predictions(spark, pred_path).count() == total - n
+    st.sink_replace_model(df, pred_path)
+    return df, pred_path, live_path
+
+
+def _both(spark, pred_path, live_path):
+    ids = lambda d: sorted(r.id_student for r in d.select("id_student").collect())
+    return ids(st.read_predictions(spark, pred_path)), ids(st.read_live(spark, live_path))
+
+
+@pytest.mark.parametrize("crash", ["write_live", "append_mark", "delete_files", "done_mark"])
+def test_move_recovers_from_every_crash_point(spark, monkeypatch, crash):
+    """A crash anywhere, rows that arrive before the re-run, and a second move: no row lost or doubled."""
+    _, pred_path, live_path = _small_store(spark)
+    real = {k: getattr(st, k) for k in ("write_live", "delete_files", "_mark")}
+
+    def fail(name):
+        def run(*args, **kw):
+            if name in ("write_live", "delete_files"):
+                if name == "delete_files":
+                    real[name](args[0], args[1][:1])          # some files are gone already
+                else:
+                    real[name](args[0].limit(3), *args[1:])   # part of the rows are there already
+                raise RuntimeError("crash")
+            if args[3] == name:
+                raise RuntimeError("crash")
+            return real["_mark"](*args, **kw)
+        return run
+    if crash.endswith("_mark"):
+        monkeypatch.setattr(st, "_mark", fail("appended" if crash == "append_mark" else "done"))
+    else:
+        monkeypatch.setattr(st, crash, fail(crash))
+    with pytest.raises(RuntimeError):
+        st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES)
+    for k, f in real.items():
+        monkeypatch.setattr(st, k, f)
+    late = spark.createDataFrame([(100 + i, "XGBoost", 1, 0.5, "late") for i in range(5)], S.PREDICTIONS_SCHEMA)
+    late.write.mode("append").partitionBy("model_name").parquet(pred_path)
+    st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES)
+    want = (list(range(0, 24, 2)), [*range(1, 24, 2), *range(100, 105)])
+    assert _both(spark, pred_path, live_path) == want
     again = st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES).first()
     assert (again.candidates, again.inserted, again.deleted) == (0, 0, 0)
-    assert st.read_live(spark, live_path).count() == n
+    assert _both(spark, pred_path, live_path) == want
+
+
+def test_moving_everything_leaves_an_empty_table(spark):
+    df, pred_path, live_path = _small_store(spark)
+    st.move_live(spark, pred_path, live_path, ["XGBoost", "tabnet"])
+    assert _both(spark, pred_path, live_path) == ([], list(range(24)))
+    assert st.move_live(spark, pred_path, live_path, ["XGBoost", "tabnet"]).first().candidates == 0
+
+
+def test_replacing_a_model_by_nothing_empties_it(spark):
+    df, pred_path, _ = _small_store(spark)
+    left = st.sink_replace_model(df.where("false"), pred_path, ["XGBoost"])
+    assert {r.model_name for r in left.collect()} == {"tabnet"} and left.count() == 12
+
+
+def test_one_model_is_written_by_many_tasks(spark):
+    rows = spark.range(400_000).selectExpr("id as id_student", "'tabnet' as model_name", "1 as predicted",
+                                           "rand(3) as probability", "uuid() as run_id")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        path = scratch_path(spark, "t-preds")
+        st.sink_replace_model(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(st.partition_files(spark, path, "model_name", ["tabnet"])) > 1
+
+
+def test_live_batches_share_one_layout(spark):
+    """Saved and moved rows, many partitions, and a batch that is written again."""
+    df, pred_path, live_path = _small_store(spark)
+    st.sink_append_live(df.repartition(150), live_path, "saved")
+    st.sink_append_live(df.repartition(150), live_path, "saved")
+    st.sink_append_live(df, live_path)
+    st.move_live(spark, pred_path, live_path, S.LIVE_MODEL_NAMES)
+    live = st.read_live(spark, live_path)
+    assert live.count() == live.select("id").distinct().count() == 24 + 24 + 12
+
+
+def test_streams_with_equal_checkpoint_names_keep_their_rows(spark, tables):
+    from cohortlens.operators import score as sc
+    from cohortlens.streaming import stream_requests
+    d = sc.defaults_profile(tables.students, S.FEATURE_COLS)
+    model = _constant_model(spark)
+    live, src = scratch_path(spark, "t-live"), scratch_path(spark, "t-req")
+    tables.requests.repartition(2).write.parquet(src)
+    done = sc.complete_requests(tables.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    n = {a: done.where(F.col("accepted") == a).count() for a in (True, False)}
+    for k in (1, 2):
+        stream_requests(spark, src, tables.requests.schema, d, model, S.FEATURE_COLS, live,
+                        scratch_path(spark, "x") + "/ckpt", "rf", "run", S.REQUEST_BOUNDS_FULL).awaitTermination()
+        rows = st.read_live(spark, live)
+        assert rows.count() == rows.select("id").distinct().count() == k * n[True]
+        assert spark.read.parquet(live + "_rejected").count() == k * n[False]
+
+
+def _constant_model(spark):
+    """A fitted model that gives every row the same probability vector."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    stages = [SQLTransformer(statement="SELECT *, 0.25D AS p0, 0.75D AS p1 FROM __THIS__"),
+              VectorAssembler(inputCols=["p0", "p1"], outputCol="probability")]
+    return Pipeline(stages=stages).fit(spark.range(1))
 
 
 def test_split_count_is_exact_on_multiples(spark):
