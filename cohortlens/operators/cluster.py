@@ -14,11 +14,10 @@ from cohortlens.operators.encode import minmax_features
 def attach_cluster_rate(assign: DataFrame) -> DataFrame:
     """Per-cluster mean dropout attached to every row.
 
-    A tiny aggregate (one row per cluster) joined back -- AQE broadcasts it
-    at runtime -- instead of a window partitioned by cluster id, which would
-    put each cluster (a third of all rows, or more) into a single task."""
+    The aggregate has one row per cluster, so it is broadcast: neither a window
+    by cluster id nor a shuffle on it puts a cluster into a single task."""
     rates = assign.groupBy("cluster_id").agg(F.avg(F.col("dropout").cast("double")).alias("dropout_rate"))
-    return assign.join(rates, "cluster_id", "left")
+    return assign.join(F.broadcast(rates), "cluster_id", "left")
 
 
 def cluster_features(df: DataFrame, cols=S.CLUSTER_FEATURES) -> DataFrame:

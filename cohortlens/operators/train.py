@@ -32,9 +32,9 @@ from cohortlens.plans.sqlgen import ordinal_sql
 # ---------------------------------------------------------------------------
 MODEL_NAMES = {"logistic": "logistic_dropout", "random_forest": "random_forest",
                "boosted_a": "xgboost_dropout", "boosted_b": "catboost_dropout", "neural": "tabnet"}
-EXPERIMENTS = {"logistic": "logistic-regression-prediction", "random_forest": "random-forest-prediction-v2",
-               "boosted_a": "xgboost_stu_vle_v2", "boosted_b": "catboost_stu_vle",
-               "neural": "tabnet-dropout-prediction"}
+EXPERIMENTS = {"logistic": "student_dropout_logistic_v2", "random_forest": "random-forest-prediction-v2",
+               "boosted_a": "xgboost_stu_vle_v2", "boosted_b": "catboost_stu_vle_v2",
+               "neural": "tabnet-dropout-prediction", "clustering": "student-clustering-analysis"}
 LOGISTIC_C, LOGISTIC_MAX_ITER, LOGISTIC_TOL = 0.5, 1000, 1e-4
 # random forest: ("int", lo, hi) is a uniform integer range, a list is a choice
 RF_SPACE = {"n_estimators": ("int", 100, 300), "max_depth": [5, 8, 10, 12, 15],
@@ -187,10 +187,7 @@ def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, par
     maps = [param_fn(est, p) for p in cands]
     prep = Pipeline(stages=list(pipeline_prefix)).fit(train)
     cols = ["features", "label", "w_balanced", "w_pos", "w_one"]
-    if len(maps) == 1:  # a single candidate is the best one: no need to cross-validate
-        model = est.copy(maps[0]).fit(prep.transform(train).select(*cols))
-        return PipelineModel(stages=[*prep.stages, model]), cands[0], cands, [float("nan")]
-    data = assign_folds(prep.transform(train), "enrol_key", folds, S.RANDOM_STATE)
+    data = assign_folds(prep.transform(train), "enrol_key", "label", folds, S.RANDOM_STATE)
     data = data.select(*cols, "fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=f1_evaluator(),
@@ -202,6 +199,14 @@ def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, par
     return PipelineModel(stages=[*prep.stages, cvm.bestModel]), cands[best], cands, list(cvm.avgMetrics)
 
 
+def _fit_given(pipeline_prefix, est, param_fn, params: dict, train):
+    """One fit with stated hyperparameters, without a search."""
+    from pyspark.ml import PipelineModel
+    prep = Pipeline(stages=list(pipeline_prefix)).fit(train)
+    model = est.copy(param_fn(est, params)).fit(prep.transform(train))
+    return PipelineModel(stages=[*prep.stages, model]), params
+
+
 def max_bins_for(df: DataFrame, floor: int = 32) -> int:
     """A20 applied: tree ``maxBins`` must cover the largest nominal arity
     (+1 for the 'None' / unknown code). One aggregation, one row."""
@@ -214,9 +219,12 @@ def max_bins_for(df: DataFrame, floor: int = 32) -> int:
 
 
 def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
-                space: dict | None = None, parallelism: int = 2):
+                space: dict | None = None, parallelism: int = 2, params: dict | None = None):
     """Train one of the five model slots and score its test split.
 
+    ``params`` states the hyperparameters of a forest or boosted model; without
+    them they are searched for.
+
     ``df`` is the students frame (full-course models) or the early frame
     (boosted models). Returns dict(model, test_scored, metrics, params).
     """
@@ -236,8 +244,7 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
             n_iter, folds = search or SEARCH_SIZES["random_forest"]
             est = RandomForestClassifier(seed=S.RANDOM_STATE, featureSubsetStrategy="sqrt",
                                          maxBins=max_bins_for(train))
-            model, params, _, _ = _fit_search(tree_stages(S.FEATURE_COLS), est, rf_params,
-                                              space or RF_SPACE, n_iter, folds, train, parallelism)
+            stages, fn, sp = tree_stages(S.FEATURE_COLS), rf_params, space or RF_SPACE
             rule = ">"
         elif kind in ("boosted_a", "boosted_b"):
             n_iter, folds = search or SEARCH_SIZES[kind]
@@ -249,20 +256,31 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
                 est = GBTClassifier(seed=S.RANDOM_STATE, maxBins=bins)
                 fn = lambda e, p: boosted_b_params(e, p, bins)
                 sp = space or BOOSTED_B_SPACE
-            model, params, _, _ = _fit_search(tree_stages(S.EARLY_FEATURE_COLS), est, fn, sp,
-                                              n_iter, folds, train, parallelism)
+            stages = tree_stages(S.EARLY_FEATURE_COLS)
             rule = ">="
         elif kind == "neural":
-            cols = [c for c in S.FEATURE_COLS]
-            stages = tree_stages(cols, imd_default=S.DEFAULT_IMD)
-            mlp = MultilayerPerceptronClassifier(layers=[len(cols), 16, 16, 2], maxIter=100,
+            # nominal columns enter one-hot, the others as codes and numbers
+            from pyspark.ml import PipelineModel
+            from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+            nominal = [c for c in S.NOMINAL_FEATURES if c in S.FEATURE_COLS]
+            rest = tree_stages([c for c in S.FEATURE_COLS if c not in nominal], imd_default=S.DEFAULT_IMD)
+            rest[-1] = rest[-1].copy().setOutputCol("plain")
+            stages = [*rest, *one_hot_stages(nominal),
+                      VectorAssembler(inputCols=["plain", *[f"{c}_ohe" for c in nominal]], outputCol="features"),
+                      MinMaxScaler(inputCol="features", outputCol="features_sc")]
+            prep = Pipeline(stages=stages).fit(train)
+            width = len(prep.stages[-1].originalMin)
+            mlp = MultilayerPerceptronClassifier(layers=[width, 16, 16, 2], maxIter=100,
                                                  seed=S.RANDOM_STATE, featuresCol="features_sc")
-            from pyspark.ml.feature import MinMaxScaler
-            model = Pipeline(stages=[*stages, MinMaxScaler(inputCol="features", outputCol="features_sc"),
-                                     mlp]).fit(train)
+            model = PipelineModel(stages=[*prep.stages, mlp.fit(prep.transform(train))])
             params, rule = {"layers": "16x16", "max_iter": 100}, ">="
         else:
             raise ValueError(kind)
+        if kind not in ("logistic", "neural"):
+            if params:
+                model, params = _fit_given(stages, est, fn, params, train)
+            else:
+                model, params, _, _ = _fit_search(stages, est, fn, sp, n_iter, folds, train, parallelism)
     finally:
         train.unpersist()
     scored = model.transform(test).withColumn("probability", vector_to_array("probability").getItem(1))

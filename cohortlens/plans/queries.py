@@ -6,6 +6,7 @@ registered next to it; model-fitting operators have none (rows-only check).
 """
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens import functions as X
@@ -189,8 +190,8 @@ def q_profile_text(spark, sf_dir):
 @query("validate_student_id", "F15",
        "SELECT request_id, student_id_text, "
        "CASE WHEN regexp_full_match(trim(student_id_text), '[0-9]+') THEN TRY_CAST(trim(student_id_text) AS BIGINT) END "
-       "AS id_student, coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true) "
-       "AS id_valid FROM requests", ("requests",))
+       "AS id_student, coalesce(trim(student_id_text) = '' OR (regexp_full_match(trim(student_id_text), '[0-9]+') "
+       "AND TRY_CAST(trim(student_id_text) AS BIGINT) IS NOT NULL), true) AS id_valid FROM requests", ("requests",))
 def q_validate_student_id(spark, sf_dir):
     r = _t(spark, sf_dir).requests
     return r.select("request_id", "student_id_text", X.parse_student_id().alias("id_student"),
@@ -573,21 +574,31 @@ def q_sink_replace_table(spark, sf_dir):
     return st.sink_recreate(t.clusters, path)
 
 
-@query("sink_append_live", "K5")
+_LIVE_ROWS = f"SELECT id_student, model_name, predicted, probability, run_id FROM predictions WHERE model_name IN {G.list_sql(LIVE)}"
+
+
+@query("sink_append_live", "K5", f"SELECT *, 2 AS n_batches FROM ({_LIVE_ROWS} UNION ALL {_LIVE_ROWS}) x", ("predictions",))
 def q_sink_append_live(spark, sf_dir):
-    p = _t(spark, sf_dir).predictions.where(F.col("model_name") == "Random Forest")
+    p = _t(spark, sf_dir).predictions.where(F.col("model_name").isin(list(LIVE)))
     path = scratch_path(spark, "live")
-    st.sink_append_live(p, path)
-    return st.sink_append_live(p, path)
+    st.sink_append_live(p, path, "first")
+    st.sink_append_live(p, path, "first")                            # written again: replaces its attempt
+    live = st.sink_append_live(p, path, "second")
+    n = live.agg(F.count_distinct("batch_id").cast("int").alias("n_batches"))
+    return live.dropDuplicates(["id"]).select("id_student", "model_name", "predicted", "probability", "run_id").crossJoin(F.broadcast(n))
 
 
-@query("move_live_rows", "K6", """
-SELECT count(*) AS candidates, count(*) AS inserted, count(*) AS deleted FROM predictions
-WHERE model_name IN {n}""".format(n=G.list_sql(LIVE)), ("predictions",))
+@query("move_live_rows", "K6", f"""
+SELECT CASE WHEN model_name IN {G.list_sql(LIVE)} THEN 'live' ELSE 'predictions' END AS stored_in,
+ id_student, model_name, predicted, probability, run_id FROM predictions""", ("predictions",))
 def q_move_live_rows(spark, sf_dir):
     pred_path, live_path = scratch_path(spark, "predictions"), scratch_path(spark, "live")
     st.sink_replace_model(_t(spark, sf_dir).predictions, pred_path)
-    return st.move_live(spark, pred_path, live_path, LIVE)
+    st.move_live(spark, pred_path, live_path, LIVE)
+    st.move_live(spark, pred_path, live_path, LIVE)                  # nothing left to move
+    cols = ["id_student", "model_name", "predicted", "probability", "run_id"]
+    return (st.read_live(spark, live_path).select(F.lit("live").alias("stored_in"), *cols)
+            .unionByName(st.read_predictions(spark, pred_path).select(F.lit("predictions").alias("stored_in"), *cols)))
 
 
 @query("ingest_checks", "K7", """
@@ -658,11 +669,13 @@ def q_stratified_split(spark, sf_dir):
 
 
 @query("stratified_folds", "M6", f"""
-SELECT enrol_key, dropout, CAST({_md5_hash_sql('enrol_key', 43)} % 5 AS INTEGER) AS fold FROM students""",
-       ("students",))
+SELECT enrol_key, dropout, CAST((SELECT count(*) FROM range(1, 5) j(f) WHERE rn > ceil(cnt * CAST(f AS DECIMAL(4, 1)) * 0.2)) AS INTEGER) AS fold
+FROM (SELECT enrol_key, dropout,
+  row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 43)}, enrol_key) AS rn,
+  count(*) OVER (PARTITION BY dropout) AS cnt FROM students) x""", ("students",))
 def q_stratified_folds(spark, sf_dir):
     s = _t(spark, sf_dir).students.select("enrol_key", "dropout")
-    return sp.assign_folds(s, "enrol_key", 5, 42)
+    return sp.assign_folds(s, "enrol_key", "dropout", 5, 42)
 
 
 _LOGISTIC_NUMERIC = enc.logistic_columns([c for c in S.STUDENT_COLS if c not in ("id_student", "dropout")])[2]
@@ -689,18 +702,25 @@ def _assembled(df, stages):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     m = Pipeline(stages=stages).fit(df)
-    return m.transform(df).select("enrol_key", vector_to_array("features").alias("features"))
+    return (m.transform(df).select("enrol_key", F.posexplode(vector_to_array("features")).alias("position", "value"))
+            .select("enrol_key", "position", "value"))
 
 
-@query("assemble_full_course", "E7", "SELECT enrol_key, [{f}] AS features FROM students".format(
-    f=", ".join(_enc_sql(c) for c in S.FEATURE_COLS)), ("students",))
+def _long_sql(features: str, source: str) -> str:
+    """One row per feature of a vector: position and value."""
+    return (f"SELECT enrol_key, CAST(unnest(range(len(features))) AS INTEGER) AS position, unnest(features) AS value "
+            f"FROM (SELECT enrol_key, {features} AS features FROM {source}) v")
+
+
+@query("assemble_full_course", "E7", _long_sql(f"[{', '.join(_enc_sql(c) for c in S.FEATURE_COLS)}]", "students"),
+       ("students",))
 def q_assemble_full_course(spark, sf_dir):
     from cohortlens.operators.train import tree_stages
     return _assembled(_t(spark, sf_dir).students, tree_stages(S.FEATURE_COLS))
 
 
-@query("assemble_early", "E8", "SELECT enrol_key, [{f}] AS features FROM ({j}) e".format(
-    f=", ".join(_enc_sql(c) for c in S.EARLY_FEATURE_COLS), j=JOIN_FEATURES_SQL), ("students", "studentVle"),
+@query("assemble_early", "E8", _long_sql(f"[{', '.join(_enc_sql(c) for c in S.EARLY_FEATURE_COLS)}]",
+                                         f"({JOIN_FEATURES_SQL}) e"), ("students", "studentVle"),
        extra={"vf": VLE_AGG_SQL})
 def q_assemble_early(spark, sf_dir):
     from cohortlens.operators.train import tree_stages
@@ -715,8 +735,7 @@ def _logistic_sql():
     nums = "[" + ", ".join(f"CAST({c} AS DOUBLE) / coalesce(nullif(st.s_{c}, 0), 1)" for c in numeric) + "]"
     ohe = ", ".join(_onehot_sql(c) for c in nominal)
     stats = ", ".join(f"stddev_pop({c}) AS s_{c}" for c in numeric)
-    return (f"SELECT enrol_key, list_concat({ords}, {ohe}, {nums}) AS features "
-            f"FROM students, (SELECT {stats} FROM students) st")
+    return _long_sql(f"list_concat({ords}, {ohe}, {nums})", f"students, (SELECT {stats} FROM students) st")
 
 
 @query("feature_select_logistic", "E9", _logistic_sql(), ("students",))
@@ -731,12 +750,16 @@ def q_feature_select_logistic(spark, sf_dir):
 # 2.7 training (rows-only: model outputs cannot equal the reference's RNG)
 # ----------------------------------------------------------------------------
 
-# Registered queries run a reduced search budget (2 candidates x 2 folds,
-# tens of trees); the library defaults are the reference's full search.
-QUICK_SEARCH = (2, 2)
-QUICK_RF = {**tr.RF_SPACE, "n_estimators": ("int", 20, 40)}
-QUICK_A = {**tr.BOOSTED_A_SPACE, "n_estimators": [15, 20]}
-QUICK_B = {**tr.BOOSTED_B_SPACE, "iterations": [15, 20]}
+# The registered searches keep the reference's spaces but fewer candidates, folds and
+# trees than it fits (README, "Search sizes", with measured times); the library
+# defaults are the full sizes. Queries that need one model state its parameters.
+SEARCH = (2, 2)
+RF_SPACE = {**tr.RF_SPACE, "n_estimators": ("int", 20, 40)}
+A_SPACE = {**tr.BOOSTED_A_SPACE, "n_estimators": [15, 20]}
+B_SPACE = {**tr.BOOSTED_B_SPACE, "iterations": [15, 20]}
+RF_PARAMS = {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 2, "bootstrap": True, "class_weight": "balanced"}
+A_PARAMS = {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.7,
+            "min_child_weight": 1, "gamma": 0}
 
 
 def _early(spark, sf_dir):
@@ -744,29 +767,44 @@ def _early(spark, sf_dir):
     return feat.early_frame(t.students, t.student_vle)
 
 
+def _checked(preds, rule):
+    """Predictions with their model-dependent values checked instead of shown: the probability is one, the class follows it."""
+    sure = F.col("probability") >= 0.5 if rule == ">=" else F.col("probability") > 0.5
+    return preds.select("id_student", "model_name", "run_id", F.col("probability").between(0, 1).alias("is_probability"),
+                        (F.col("predicted") == sure.cast("int")).alias("follows_rule"))
+
+
 def _train_and_emit(spark, kind, df, search=None, space=None):
     r = tr.train_model(kind, df, search=search, space=space)
-    return tr.emit_predictions(r["test_scored"], tr.MODEL_NAMES[kind], f"run-{kind}")
+    return _checked(tr.emit_predictions(r["test_scored"], tr.MODEL_NAMES[kind], f"run-{kind}"), r["rule"])
+
+
+def _holdout_sql(kind, source="students"):
+    """The held-out enrolments (E4) of a model's frame, with checks that hold for any fitted model."""
+    return f"""
+SELECT id_student, '{tr.MODEL_NAMES[kind]}' AS model_name, 'run-{kind}' AS run_id, true AS is_probability, true AS follows_rule
+FROM (SELECT id_student, row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 42)}, enrol_key) AS rn,
+  count(*) OVER (PARTITION BY dropout) AS cnt FROM {source}) x WHERE rn <= ceil(cnt * 0.2)"""
 
 
-@query("train_logistic", "M1")
+@query("train_logistic", "M1", _holdout_sql("logistic"), ("students",))
 def q_train_logistic(spark, sf_dir):
     return _train_and_emit(spark, "logistic", _t(spark, sf_dir).students)
 
 
-@query("train_random_forest", "M2")
+@query("train_random_forest", "M2", _holdout_sql("random_forest"), ("students",))
 def q_train_random_forest(spark, sf_dir):
-    return _train_and_emit(spark, "random_forest", _t(spark, sf_dir).students, QUICK_SEARCH, QUICK_RF)
+    return _train_and_emit(spark, "random_forest", _t(spark, sf_dir).students, SEARCH, RF_SPACE)
 
 
-@query("train_boosted_a", "M3")
+@query("train_boosted_a", "M3", _holdout_sql("boosted_a"), ("students",))
 def q_train_boosted_a(spark, sf_dir):
-    return _train_and_emit(spark, "boosted_a", _early(spark, sf_dir), QUICK_SEARCH, QUICK_A)
+    return _train_and_emit(spark, "boosted_a", _early(spark, sf_dir), SEARCH, A_SPACE)
 
 
-@query("train_boosted_b", "M4")
+@query("train_boosted_b", "M4", _holdout_sql("boosted_b"), ("students",))
 def q_train_boosted_b(spark, sf_dir):
-    return _train_and_emit(spark, "boosted_b", _early(spark, sf_dir), QUICK_SEARCH, QUICK_B)
+    return _train_and_emit(spark, "boosted_b", _early(spark, sf_dir), SEARCH, B_SPACE)
 
 
 @query("random_search", "M5")
@@ -774,9 +812,9 @@ def q_random_search(spark, sf_dir):
     from pyspark.ml.classification import RandomForestClassifier
     d = tr.with_weights(_t(spark, sf_dir).students)
     train, _ = tr.split(d)
-    est = RandomForestClassifier(seed=S.RANDOM_STATE)
-    _, best, cands, metrics = tr._fit_search(tr.tree_stages(S.FEATURE_COLS), est, tr.rf_params, QUICK_RF,
-                                             QUICK_SEARCH[0], QUICK_SEARCH[1], train, 2)
+    est = RandomForestClassifier(seed=S.RANDOM_STATE, maxBins=tr.max_bins_for(train))
+    _, best, cands, metrics = tr._fit_search(tr.tree_stages(S.FEATURE_COLS), est, tr.rf_params, RF_SPACE,
+                                             SEARCH[0], SEARCH[1], train, 2)
     rows = [(i, str(sorted(c.items())), float(m), c == best) for i, (c, m) in enumerate(zip(cands, metrics))]
     return spark.createDataFrame(rows, "candidate int, params string, cv_f1 double, is_best boolean")
 
@@ -791,10 +829,11 @@ def q_decision_rule(spark, sf_dir):
                     decision("probability", ">").alias("predicted_gt"))
 
 
-@query("emit_predictions", "M8")
+@query("emit_predictions", "M8", _holdout_sql("logistic"), ("students",))
 def q_emit_predictions(spark, sf_dir):
-    preds = _train_and_emit(spark, "logistic", _t(spark, sf_dir).students)
-    return st.sink_replace_model(preds, scratch_path(spark, "predictions"))
+    r = tr.train_model("logistic", _t(spark, sf_dir).students)
+    preds = tr.emit_predictions(r["test_scored"], tr.MODEL_NAMES["logistic"], "run-logistic")
+    return _checked(st.sink_replace_model(preds, scratch_path(spark, "predictions"), [tr.MODEL_NAMES["logistic"]]), r["rule"])
 
 
 @query("record_run", "M9")
@@ -806,32 +845,35 @@ def q_record_run(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("save_load_model", "M10")
+@query("save_load_model", "M10", f"""
+SELECT enrol_key, true AS same FROM (SELECT enrol_key,
+  row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 42)}, enrol_key) AS rn,
+  count(*) OVER (PARTITION BY dropout) AS cnt FROM students) x WHERE rn <= ceil(cnt * 0.2)""", ("students",))
 def q_save_load_model(spark, sf_dir):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
-    r = tr.train_model("random_forest", _t(spark, sf_dir).students, (1, 2), QUICK_RF)
+    r = tr.train_model("random_forest", _t(spark, sf_dir).students, params=RF_PARAMS)
     path = scratch_path(spark, "model-rf")
     r["model"].write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     again = loaded.transform(r["test_scored"].select(*_t(spark, sf_dir).students.columns, "label", "w_balanced",
                                                      "w_pos", "w_one"))
     again = again.select("enrol_key", vector_to_array("probability").getItem(1).alias("reloaded_probability"))
-    first = r["test_scored"].select("enrol_key", "id_student", "probability")
-    return first.join(again, "enrol_key").withColumn(
-        "same", F.abs(F.col("probability") - F.col("reloaded_probability")) < 1e-12)
+    first = r["test_scored"].select("enrol_key", "probability")
+    return first.join(again, "enrol_key").select(
+        "enrol_key", (F.abs(F.col("probability") - F.col("reloaded_probability")) < 1e-12).alias("same"))
 
 
 @query("feature_importance", "M11")
 def q_feature_importance(spark, sf_dir):
-    r = tr.train_model("boosted_a", _early(spark, sf_dir), (1, 2), QUICK_A)
+    r = tr.train_model("boosted_a", _early(spark, sf_dir), params=A_PARAMS)
     imp = spark.createDataFrame(tr.importances(r["model"], S.EARLY_FEATURE_COLS), "feature string, importance double")
     test = r["test_scored"].select(*_early(spark, sf_dir).columns)
     perm = tr.permutation_importance(r["model"], test, S.EARLY_FEATURE_COLS)
     return imp.join(perm, "feature", "left")
 
 
-@query("train_neural", "M12")
+@query("train_neural", "M12", _holdout_sql("neural"), ("students",))
 def q_train_neural(spark, sf_dir):
     return _train_and_emit(spark, "neural", _t(spark, sf_dir).students)
 
@@ -839,15 +881,21 @@ def q_train_neural(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.8 clustering
 # ----------------------------------------------------------------------------
-@query("kmeans_fit", "C1")
+@query("kmeans_fit", "C1", """
+SELECT id_student, dropout, true AS is_cluster, true AS in_score_order FROM students""", ("students",))
 def q_kmeans_fit(spark, sf_dir):
+    """Every enrolment in one of k clusters, clusters numbered by ascending mean score."""
     out, _, _ = clu.fit_clusters(readers.scan_pruned(_t(spark, sf_dir).students))
-    return out
+    means = out.groupBy("cluster_id").agg(F.avg("avg_score").alias("mean"))
+    means = means.withColumn("mean_below", F.max("mean").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)))
+    return (out.join(F.broadcast(means), "cluster_id")  # k rows
+            .select("id_student", "dropout", F.col("cluster_id").between(0, S.K_CLUSTERS - 1).alias("is_cluster"),
+                    F.coalesce(F.col("mean_below") <= F.col("mean"), F.lit(True)).alias("in_score_order")))
 
 
 @query("kmeans_elbow", "C2")
 def q_kmeans_elbow(spark, sf_dir):
-    return clu.elbow(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=range(1, 5))
+    return clu.elbow(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=range(1, 11))
 
 
 @query("kmeans_inertia_k1", "C2", "SELECT 1 AS k, ({s}) * count(*) AS inertia FROM ({x}) z".format(
@@ -860,10 +908,12 @@ def q_kmeans_inertia_k1(spark, sf_dir):
     return clu.inertia_k1(readers.scan_pruned(_t(spark, sf_dir).students))
 
 
-@query("clusters_table", "C3")
+@query("clusters_table", "C3", "SELECT id_student, true AS is_cluster, true AS is_rate FROM students", ("students",))
 def q_clusters_table(spark, sf_dir):
     df = clu.clusters_table(readers.scan_pruned(_t(spark, sf_dir).students))
-    return st.sink_recreate(df, scratch_path(spark, "clusters"), S.CLUSTERS_SCHEMA)
+    stored = st.sink_recreate(df, scratch_path(spark, "clusters"), S.CLUSTERS_SCHEMA)
+    return stored.select("id_student", F.col("cluster_id").between(0, S.K_CLUSTERS - 1).alias("is_cluster"),
+                         F.col("dropout_rate").between(0, 1).alias("is_rate"))
 
 
 @query("cluster_scatter", "C4", "SELECT id_student, active_days, avg_score, total_clicks, {l} AS cluster, dropout FROM cj".format(
@@ -875,16 +925,22 @@ def q_cluster_scatter(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.9 scoring
 # ----------------------------------------------------------------------------
+_ID_VALID_SQL = ("coalesce(trim(student_id_text) = '' OR (regexp_full_match(trim(student_id_text), '[0-9]+') "
+                 "AND TRY_CAST(trim(student_id_text) AS BIGINT) IS NOT NULL), true)")
+_REASON_SQL = ("nullif(concat_ws('; ', CASE WHEN NOT id_valid THEN 'student id' END, "
+               "CASE WHEN NOT in_range THEN 'feature out of range' END), '') AS reject_reason")
+
+
 def _complete_sql():
     cols = []
     for c in S.FEATURE_COLS:
         cols.append(f"coalesce(CAST(r.{c} AS DOUBLE), d.{c}) AS {c}" if c in _NUMERIC_FULL
                     else f"coalesce(r.{c}, d.{c}) AS {c}")
-    idv = ("coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true)")
+    idv = _ID_VALID_SQL
     checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
                         for c, (lo, hi) in S.REQUEST_BOUNDS_FULL.items())
     return f"""
-SELECT *, id_valid AND in_range AS accepted FROM (
+SELECT *, id_valid AND in_range AS accepted, {_REASON_SQL} FROM (
  SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
   SELECT r.request_id, r.student_id_text, {', '.join(cols)},
    CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
@@ -906,11 +962,11 @@ _NUMERIC_EARLY = {"num_of_prev_attempts", "studied_credits", "module_presentatio
 def _complete_early_sql():
     cols = [f"coalesce(CAST(r.{c} AS DOUBLE), d.{c}) AS {c}" if c in _NUMERIC_EARLY else f"coalesce(r.{c}, d.{c}) AS {c}"
             for c in S.EARLY_FEATURE_COLS]
-    idv = "coalesce(trim(student_id_text) = '' OR regexp_full_match(trim(student_id_text), '[0-9]+'), true)"
+    idv = _ID_VALID_SQL
     checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
                         for c, (lo, hi) in S.REQUEST_BOUNDS_EARLY.items())
     return f"""
-SELECT *, id_valid AND in_range AS accepted FROM (
+SELECT *, id_valid AND in_range AS accepted, {_REASON_SQL} FROM (
  SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
   SELECT r.request_id, r.student_id_text, {', '.join(cols)},
    CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
@@ -947,24 +1003,60 @@ def q_complete_requests_early(spark, sf_dir):
 
 def _scored_requests(spark, sf_dir):
     t = _t(spark, sf_dir)
-    r = tr.train_model("random_forest", t.students, (1, 2), QUICK_RF)
+    r = tr.train_model("random_forest", t.students, params=RF_PARAMS)
     d = sc.defaults_profile(t.students, S.FEATURE_COLS)
     req = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
     return sc.score(r["model"], req, r["rule"]), r
 
 
-@query("score_requests", "I2")
+_REQUEST_VIEWS = {"d": _defaults_sql(S.FEATURE_COLS, _NUMERIC_FULL)}
+
+
+@query("score_requests", "I2", f"SELECT request_id, id_student, accepted, true AS is_probability FROM ({_complete_sql()}) c",
+       ("requests", "students"), extra=_REQUEST_VIEWS)
 def q_score_requests(spark, sf_dir):
     scored, _ = _scored_requests(spark, sf_dir)
-    return scored.select("request_id", "id_student", "accepted", "probability", "predicted")
+    return scored.select("request_id", "id_student", "accepted", F.col("probability").between(0, 1).alias("is_probability"))
 
 
-@query("save_scored", "I3")
+@query("train_and_score_latest", "M9", 
+       f"SELECT request_id, true AS is_probability, true AS is_latest FROM ({_complete_sql()}) c WHERE accepted",
+       ("requests", "students"), extra=_REQUEST_VIEWS)
+def q_train_and_score_latest(spark, sf_dir):
+    """Two recorded runs end to end; the newest has lost its artifact, so requests are scored with the other."""
+    from cohortlens.operators import lifecycle as lc
+    t = _t(spark, sf_dir)
+    runs, models, preds = (scratch_path(spark, n) for n in ("runs", "models", "predictions"))
+    first = lc.train(spark, "random_forest", t.students, runs, models, preds, params=RF_PARAMS)
+    st.record_run(spark, runs, tr.EXPERIMENTS["random_forest"], {}, {}, artifact_uri=f"{models}/lost")
+    d = sc.defaults_profile(t.students, S.FEATURE_COLS)
+    done = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    out = lc.score_latest(spark, runs, "random_forest", done)
+    return out.select("request_id", F.col("probability").between(0, 1).alias("is_probability"), (F.col("run_id") == first).alias("is_latest"))
+
+
+_STORED_SQL = f"""
+SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN accepted THEN 'live' ELSE 'rejected' END AS stored_in,
+ CASE WHEN accepted THEN id_student END AS id_student, reject_reason FROM ({_complete_sql()}) c"""
+
+
+def _stored_requests(spark, live, rejected):
+    """Where each request went: the live table, or the rejected ones with the reason."""
+    none = F.lit(None)
+    return (st.read_live(spark, live).select("request_id", F.lit("live").alias("stored_in"), "id_student",
+                                             none.cast("string").alias("reject_reason"))
+            .unionByName(spark.read.parquet(rejected).select("request_id", F.lit("rejected").alias("stored_in"),
+                                                             none.cast("long").alias("id_student"), "reject_reason")))
+
+
+@query("save_scored", "I3", _STORED_SQL, ("requests", "students"), extra=_REQUEST_VIEWS)
 def q_save_scored(spark, sf_dir):
     scored, _ = _scored_requests(spark, sf_dir)
-    out = scored.where(F.col("accepted")).select("id_student", F.lit("Random Forest").alias("model_name"),
-                                                 "predicted", "probability", F.lit("run-random_forest").alias("run_id"))
-    return st.sink_append_live(out, scratch_path(spark, "live"))
+    live, rejected = scratch_path(spark, "live"), scratch_path(spark, "rejected")
+    st.sink_append_live(scored.where("accepted").withColumns({"model_name": F.lit("Random Forest"), "run_id": F.lit("run-random_forest")}),
+                        live, "form")
+    st.write_rejected(scored, rejected, "form")
+    return _stored_requests(spark, live, rejected)
 
 
 @query("early_frame", "I4", JOIN_FEATURES_SQL, ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
@@ -973,28 +1065,30 @@ def q_early_frame(spark, sf_dir):
     return feat.early_frame(t.students, t.student_vle)
 
 
-@query("stream_requests", "I5")
+@query("stream_requests", "I5", _STORED_SQL, ("requests", "students"), extra=_REQUEST_VIEWS)
 def q_stream_requests(spark, sf_dir):
     from cohortlens.streaming import stream_requests
     t = _t(spark, sf_dir)
     src = scratch_path(spark, "requests-in")
     t.requests.repartition(4).write.parquet(src)                       # request files landing
-    r = tr.train_model("random_forest", t.students, (1, 2), QUICK_RF)
+    r = tr.train_model("random_forest", t.students, params=RF_PARAMS)
     d = sc.defaults_profile(t.students, S.FEATURE_COLS)
     live = scratch_path(spark, "live")
     q = stream_requests(spark, src, t.requests.schema, d, r["model"], S.FEATURE_COLS, live,
                         scratch_path(spark, "stream-ckpt"), "Random Forest", "run-random_forest",
                         S.REQUEST_BOUNDS_FULL, r["rule"])
     q.awaitTermination()
-    return spark.read.parquet(live)
+    return _stored_requests(spark, live, live + "_rejected")
 
 
-@query("score_requests_early", "I2")
+@query("score_requests_early", "I2", f"SELECT request_id, id_student, accepted, true AS is_probability FROM ({_complete_early_sql()}) c",
+       ("requests_early", "students", "studentVle"),
+       extra={"vf": VLE_AGG_SQL, "ef": _early_defaults_sql()[1], "d": _early_defaults_sql()[0]})
 def q_score_requests_early(spark, sf_dir):
     t = _t(spark, sf_dir)
     ef = _early(spark, sf_dir)
-    r = tr.train_model("boosted_a", ef, (1, 2), QUICK_A)
+    r = tr.train_model("boosted_a", ef, params=A_PARAMS)
     d = sc.defaults_profile(ef, S.EARLY_FEATURE_COLS)
     req = sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY)
-    return sc.score(r["model"], req, r["rule"]).select("request_id", "id_student", "accepted", "probability",
-                                                      "predicted")
+    return sc.score(r["model"], req, r["rule"]).select(
+        "request_id", "id_student", "accepted", F.col("probability").between(0, 1).alias("is_probability"))

@@ -92,7 +92,7 @@ FROM part""")
 
 _view("runs", [], """
 SELECT concat('run-', CAST(o_orderkey AS VARCHAR)) AS run_id,
- (['logistic-regression-prediction','random-forest-prediction-v2','xgboost_stu_vle_v2','catboost_stu_vle',
+ (['student_dropout_logistic_v2','random-forest-prediction-v2','xgboost_stu_vle_v2','catboost_stu_vle_v2',
    'tabnet-dropout-prediction'])[CAST(o_orderkey % 5 AS INT) + 1] AS experiment,
  CASE WHEN o_orderstatus = 'F' THEN 'FINISHED' WHEN o_orderstatus = 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
  o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS start_time,

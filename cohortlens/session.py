@@ -21,7 +21,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # estimates from compressed files decide nothing; sizes measured at run time do
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.sources.bucketing.autoBucketedScan.enabled": "true",
@@ -62,8 +63,8 @@ def get_spark(app: str = "cohortlens", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster configured.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (a local test session) is a private folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset in
+    a local test session is a private folder created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -71,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -27,8 +27,8 @@ FIXTURE_MODELS = [("logistic_dropout", 1), ("random_forest", 2), ("xgboost_dropo
                   ("catboost_dropout", 4), ("tabnet", 5), ("Random Forest", 6), ("XGBoost", 7)]
 MODULE_CODES = ["AAA", "BBB", "CCC", "DDD", "EEE"]
 GOLDEN = 2654435761
-RUN_EXPERIMENTS = ["logistic-regression-prediction", "random-forest-prediction-v2",
-                   "xgboost_stu_vle_v2", "catboost_stu_vle", "tabnet-dropout-prediction"]
+RUN_EXPERIMENTS = ["student_dropout_logistic_v2", "random-forest-prediction-v2",
+                   "xgboost_stu_vle_v2", "catboost_stu_vle_v2", "tabnet-dropout-prediction"]
 
 
 def _case(c, pairs, default):

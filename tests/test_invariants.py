@@ -7,6 +7,8 @@ from cohortlens.operators import split as sp
 from cohortlens.operators import store as st
 from cohortlens.session import scratch_path
 
+SMALL_FOREST = {"n_estimators": 6, "max_depth": 5, "min_samples_leaf": 1, "bootstrap": True, "class_weight": None}
+
 
 def test_exact_split_per_class(spark, tables):
     s = tables.students.select("enrol_key", "dropout")
@@ -64,8 +66,7 @@ def test_model_probabilities_and_reload(spark, tables):
     from pyspark.ml.functions import vector_to_array
 
     from cohortlens.operators import train as tr
-    r = tr.train_model("random_forest", tables.students, search=(1, 2),
-                       space={**tr.RF_SPACE, "n_estimators": ("int", 5, 8)})
+    r = tr.train_model("random_forest", tables.students, params=SMALL_FOREST)
     sc = r["test_scored"]
     assert sc.where((F.col("probability") < 0) | (F.col("probability") > 1)).count() == 0
     path = scratch_path(spark, "t-model")
@@ -93,8 +94,7 @@ def test_stream_scoring_is_replay_safe(spark, tables):
     from cohortlens.streaming import stream_requests
     src = scratch_path(spark, "t-req")
     tables.requests.repartition(3).write.parquet(src)
-    r = tr.train_model("random_forest", tables.students, search=(1, 2),
-                       space={**tr.RF_SPACE, "n_estimators": ("int", 5, 8)})
+    r = tr.train_model("random_forest", tables.students, params=SMALL_FOREST)
     d = sc.defaults_profile(tables.students, S.FEATURE_COLS)
     live, ckpt = scratch_path(spark, "t-live"), scratch_path(spark, "t-ckpt")
     args = (spark, src, tables.requests.schema, d, r["model"], S.FEATURE_COLS, live, ckpt, "rf", "run-x",
