@@ -37,6 +37,7 @@ from cohortlens.llm.kernels import shingle_sets
 SKETCH_BITS = 22          # 2^22 counters of 4 bytes: the only broadcast, 16 MB at any input size
 BLOCK_BITS = 16           # the sketch travels in blocks of 2^16 counters
 MIN_HASHES = 4
+SIZE_BAND = 1.05          # sets of a group differ in size by less than this factor
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -213,32 +214,47 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     stars = (keys.join(leader, ["i", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     links = scratch.save(_verify(stars, tokens, percent), "star_links")
     grouped = connected_components(links, scratch, "groups")
+    # a group is one size band of a component: its smallest member then says much about all
+    band = F.floor(F.log("n") / np.log(SIZE_BAND))
     member = scratch.save(chosen.join(grouped, "node", "left")
-                          .select("node", "n", F.coalesce("center", "node").alias("grp"), "prefix"), "member")
+                          .select("node", "n", F.coalesce("center", "node").alias("comp"), "prefix")
+                          .withColumn("grp", F.xxhash64("comp", band)), "member")
 
-    # token-group matrix, restricted to prefix tokens that meet several groups
-    cells = member.select("node", "n", "grp", F.explode("prefix").alias("token"))
-    multi = cells.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
+    # token-group matrix, restricted to prefix tokens that meet several components
+    cells = member.select("node", "n", "comp", "grp", F.explode("prefix").alias("token"))
+    multi = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     cells = scratch.save(cells.join(multi.select("token"), "token", "left_semi"), "cells")
-    size = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    ranked = cells.join(size, "grp")
-    targets = (ranked.select("token", "grp", "members", "n_lo", "n_hi").distinct()
-               .select("token", F.col("grp").alias("g"), F.col("members").alias("g_members"),
-                       F.col("n_lo").alias("g_lo"), F.col("n_hi").alias("g_hi")))
+    # no overlap of a set exceeds the tokens it shares with any set left, which caps its partners' sizes
+    flat = tokens.select("node", "n", "tokens").join(cells.select("node").distinct(), "node", "left_semi").select(
+        "node", "n", F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").count().where("count > 1").select("token")
+    caps = (flat.join(common, "token", "left_semi").groupBy("node", "n").agg(F.count("*").alias("most"))
+            .withColumn("cap", F.floor(F.col("most") * (100 + percent) / percent) - F.col("n"))
+            .where(F.col("cap") * 100 >= F.col("n") * percent).select("node", "cap"))
+    cells = scratch.save(cells.join(caps, "node"), "capped")
+    sizes = member.groupBy("comp").agg(F.count("*").alias("members"))
+    ranked = cells.join(sizes, "comp")
+    targets = ranked.groupBy("token", "grp").agg(
+        F.first("comp").alias("g_comp"), F.first("members").alias("g_members"), F.min("n").alias("g_lo"),
+        F.max("n").alias("g_hi"), F.max("cap").alias("g_cap")).withColumnRenamed("grp", "g")
     asks = (ranked.join(targets, "token")
-            .where("struct(g_members, g) > struct(members, grp)")
-            .where(f"g_hi * 100 >= n * {percent} and n * 100 >= g_lo * {percent}")
+            .where("struct(g_members, g_comp) > struct(members, comp)")
+            .where(f"g_hi * 100 >= n * {percent} and n * 100 >= g_lo * {percent} and g_lo <= cap and n <= g_cap")
             .groupBy("node", "n", "g").agg(F.count_distinct("token").alias("hits"))
             .where(F.col("hits") >= _needed("n", percent)).select("node", "n", "g"))
     asks = scratch.save(asks, "asks")
 
-    union = (tokens.join(member.join(asks.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi")
-                         .select("node", F.col("grp").alias("g")), "node")
+    wanted = asks.select(F.col("g").alias("grp")).distinct()
+    held = member.join(wanted, "grp", "left_semi").select("node", "n", F.col("grp").alias("g"))
+    least = held.groupBy("g").agg(F.min("n").alias("g_lo"))
+    union = (tokens.select("node", "tokens").join(held.select("node", "g"), "node")
              .select("g", F.explode("tokens").alias("token")).distinct())
     asked = tokens.select("node", "tokens").join(asks, "node").select("node", "n", "g", F.explode("tokens").alias("token"))
-    opened = scratch.save(asked.join(union, ["g", "token"]).groupBy("node", "n", "g")
-                          .agg(F.count("*").alias("bound"))
-                          .where(F.col("bound") * 100 >= F.col("n") * percent).select("node", "n", "g"), "opened")
+    # J >= p / 100 means 100 + p times the overlap is at least p times both sizes together
+    reach = F.greatest("g_lo", F.ceil(F.col("n") * percent / 100))
+    opened = scratch.save(asked.join(union, ["g", "token"]).groupBy("node", "n", "g").agg(F.count("*").alias("bound"))
+                          .join(least, "g").where(F.col("bound") * (100 + percent) >= (F.col("n") + reach) * percent)
+                          .select("node", "n", "g"), "opened")
     inside = cells.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"), "token")
     pairs = (opened.join(cells.select("node", "token"), "node").join(inside, ["g", "token"])
              .where(_near_size("n", "nb", percent))
