@@ -528,7 +528,7 @@ def q_scan_clicks(spark, sf_dir):
     clicks = _csv_roundtrip(spark, _t(spark, sf_dir).student_vle, "clicks-csv", readers.scan_clicks)
     out = scratch_path(spark, "clicks-parquet")
     readers.ingest_clicks(clicks, out)
-    return readers.scan_table(spark, out)
+    return readers.scan_table(spark, out).select(*S.STUDENT_VLE_SCHEMA.names)
 
 
 @query("sink_recreate", "K1", f"SELECT {STUDENT_COLS_SQL} FROM students", ("students",))
@@ -584,8 +584,9 @@ def q_sink_append_live(spark, sf_dir):
     st.sink_append_live(p, path, "first")
     st.sink_append_live(p, path, "first")                            # written again: replaces its attempt
     live = st.sink_append_live(p, path, "second")
-    n = live.agg(F.count_distinct("batch_id").cast("int").alias("n_batches"))
-    return live.dropDuplicates(["id"]).select("id_student", "model_name", "predicted", "probability", "run_id").crossJoin(F.broadcast(n))
+    n = live.select("batch_id").distinct().count()
+    return live.dropDuplicates(["id"]).select("id_student", "model_name", "predicted", "probability", "run_id",
+                                              F.lit(n).alias("n_batches"))
 
 
 @query("move_live_rows", "K6", f"""

@@ -193,20 +193,71 @@ def test_exact_medians_match_builtin(spark):
     assert all(abs(got2[c] - ref[c]) < 1e-12 for c in "abc")
 
 
-def test_csv_reader_maps_missing_tokens(spark):
-    from cohortlens.session import scratch_path
-    from cohortlens.sources.readers import scan_sites
-    path = scratch_path(spark, "t-csv")
-    import os
-    local = path[len("file:"):] if path.startswith("file:") else path
-    os.makedirs(local, exist_ok=True)
-    with open(os.path.join(local, "part-0.csv"), "w") as f:
-        f.write("id_site,code_module,code_presentation,activity_type,week_from,week_to\n")
-        f.write("1,AAA,NA,resource,,3\n2,NULL,2014J,n/a,1,2\n3,BBB,2014B,quiz,4,5\n")
+def _csv(tmp_path, name, text):
+    (tmp_path / name).mkdir()
+    (tmp_path / name / "part-0.csv").write_text(text)
+    return str(tmp_path / name)
+
+
+def test_csv_reader_takes_columns_by_name_and_maps_missing_tokens(spark, tmp_path):
+    from cohortlens import schemas as S
+    from cohortlens.sources.readers import csv_rejects, scan_sites
+    path = _csv(tmp_path, "sites", "week_to,extra,code_presentation,id_site,activity_type,code_module,week_from\n"
+                                   "3,x,NA,1,resource,AAA,\n2,y,2014J,2,n/a,NULL,NA\n5,z,2014B,3,quiz,BBB, 4\nsix,,2014B,4,quiz,BBB,nan\n")
     rows = sorted(scan_sites(spark, path).collect())
+    assert [r.id_site for r in rows] == [1, 2, 3, 4] and rows[0].code_module == "AAA" and rows[2].code_presentation == "2014B"
     assert rows[0].code_presentation is None and rows[0].week_from is None and rows[0].week_to == 3
-    assert rows[1].code_module is None and rows[1].activity_type is None
-    assert rows[2].activity_type == "quiz"
+    assert rows[1].code_module is None and rows[1].activity_type is None and rows[1].week_from is None
+    assert rows[2].week_from == 4 and rows[3].week_to is None and rows[3].week_from is None
+    rejects = {r.column_name: r.rejected for r in csv_rejects(spark, path, S.VLE_SCHEMA).collect()}
+    assert rejects["week_to"] == 1 and sum(rejects.values()) == 1
+    with pytest.raises(ValueError, match="no column named"):
+        scan_sites(spark, _csv(tmp_path, "short", "id_site\n1\n"))
+
+
+def test_ingest_of_the_three_files(spark, tables, tmp_path):
+    from cohortlens.sources.readers import ingest_tables, scan_early_clicks
+    raw = tables.raw_students.drop("enrol_key")
+    raw.select(*reversed(raw.columns)).write.option("header", True).csv(str(tmp_path / "e"))
+    tables.vle.write.option("header", True).csv(str(tmp_path / "s"))
+    tables.student_vle.write.option("header", True).csv(str(tmp_path / "c"))
+    out = str(tmp_path / "out")
+    checks = {r.table_name: r for r in ingest_tables(spark, *(str(tmp_path / x) for x in "esc"), out).collect()}
+    assert checks["students"].n_rows == tables.students.count() and checks["studentVle"].n_rows == tables.student_vle.count()
+    assert checks["students"].n_dropout == tables.students.where("dropout = 1").count()
+    keys = spark.read.parquet(f"{out}/students").select("enrol_key", "id_student", "code_module", "code_presentation").distinct()
+    assert keys.select("enrol_key").distinct().count() == keys.count()
+    early = scan_early_clicks(spark, f"{out}/studentVle")
+    assert early.count() == tables.student_vle.where("date <= 60").count()
+    text = early._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day_band" in text and "day_band#" in text
+
+
+def test_student_ids(spark):
+    from cohortlens.functions import expressions as X
+    rows = [("12\t", 12, True), (" 7 ", 7, True), ("", None, True), (" \n ", None, True), (None, None, True),
+            ("12a", None, False), ("9" * 20, None, False), ("-3", None, False), (str(2**63 - 1), 2**63 - 1, True)]
+    df = spark.createDataFrame(rows, "student_id_text string, want long, ok boolean")
+    got = df.select("want", "ok", X.parse_student_id().alias("id"), X.student_id_valid().alias("valid")).collect()
+    assert all(r.id == r.want and r.valid == r.ok for r in got)
+
+
+def test_requests_with_unknown_categories_are_rejected(spark):
+    from cohortlens.operators.score import complete_requests
+    req = spark.createDataFrame([(1, "5", "R1"), (2, "6", "Atlantis"), (3, "x", None)], "request_id long, student_id_text string, region string")
+    d = spark.createDataFrame([("R2",)], "region string")
+    got = {r.request_id: r for r in complete_requests(req, d, ["region"], None, {"region": ["R1", "R2"]}).collect()}
+    assert (got[1].accepted, got[1].reject_reason) == (True, None)
+    assert (got[2].accepted, got[2].reject_reason) == (False, "unknown category")
+    assert (got[3].accepted, got[3].reject_reason, got[3].region) == (False, "student id", "R2")
+
+
+def test_folds_are_stratified_by_label(spark):
+    from cohortlens.operators.split import assign_folds
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else int(i % 5 == 0)) for i in range(1000)], "k long, y int")
+    for r in assign_folds(df, "k", "y", 4).groupBy("y").pivot("fold", [0, 1, 2, 3]).count().collect():
+        sizes = [r[str(j)] for j in range(4)]
+        assert max(sizes) - min(sizes) <= 1
 
 
 def test_null_student_ids_bypass_the_join(spark):
