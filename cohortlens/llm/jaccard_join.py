@@ -91,9 +91,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return total
 
 
-def _signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Per row: node, doc_id, set size, set identity, minimum hashes and the rarest tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _signatures(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
+    """Per row: node, doc_id, set size, set identity, minimum hashes and the rarest tokens by the broadcast sketch."""
 
     def run(batches):
         counts = shared.value
@@ -194,7 +193,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("node", row_key("doc_id", "text"))
-    sig = scratch.save(_signatures(docs, _sketch(docs, k), k, percent), "signatures")
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
+    sig = scratch.save(_signatures(docs, sketch, k, percent), "signatures")
+    sketch.destroy()  # what follows reads the written table
 
     sets = scratch.save(sig.where("n > 0").groupBy("set_key").agg(F.min("node").alias("rep")), "sets")
     spread = sig.select("node", F.explode("prefix").alias("token"))
