@@ -46,6 +46,7 @@ BOOSTED_A_SPACE = {"n_estimators": [500, 700, 1000], "max_depth": [4, 5, 6], "le
 BOOSTED_B_SPACE = {"iterations": [500, 700, 1000], "depth": [4, 5, 6, 8], "learning_rate": [0.01, 0.05, 0.1],
                    "l2_leaf_reg": [1, 3, 5, 10], "bagging_temperature": [0, 0.5, 1.0],
                    "border_count": [32, 64, 128]}
+ROWS_PER_BUCKET = 50_000  # rows that permutation importance ranks in one task, about
 SEARCH_SIZES = {"random_forest": (10, 5), "boosted_a": (20, 3), "boosted_b": (20, 3)}  # (candidates, folds)
 
 # ---------------------------------------------------------------------------
@@ -304,7 +305,7 @@ def importances(model, feature_cols: list[str]) -> list[tuple[str, float]]:
 
 
 def permutation_importance(model, df: DataFrame, feature_cols: list[str], key: str = "enrol_key",
-                           seed: int = S.RANDOM_STATE, buckets: int = 1024) -> DataFrame:
+                           seed: int = S.RANDOM_STATE, buckets: int | None = None) -> DataFrame:
     """Distributed permutation importance: per feature, the column is
     permuted and the drop in exact AUC reported.
 
@@ -322,19 +323,17 @@ def permutation_importance(model, df: DataFrame, feature_cols: list[str], key: s
         return exact_auc(s, [], "probability", "dropout").first()["auc"]
 
     base = auc_of(df)
+    if buckets is None:  # a bounded number of rows is ranked in one task
+        buckets = max(16, -(-df.count() // ROWS_PER_BUCKET))
     b = F.pmod(key_hash(key, seed), F.lit(buckets))
     x = df.withColumn("_bk", b)
     x = (x.withColumn("_r", F.row_number().over(Window.partitionBy("_bk").orderBy(key)))
           .withColumn("_r2", F.row_number().over(Window.partitionBy("_bk").orderBy(key_hash(key, seed + 7), key))))
-    # all permuted copies in one frame, tagged by feature: one scoring job and
-    # one grouped exact-AUC aggregation instead of a job per feature
-    copies = None
-    for c in feature_cols:
-        donor = x.select("_bk", F.col("_r2").alias("_r"), F.col(c).alias("_v"))
-        perm = (x.join(donor, ["_bk", "_r"]).withColumn(c, F.col("_v"))
-                 .drop("_v", "_r", "_r2", "_bk").withColumn("feature", F.lit(c)))
-        copies = perm if copies is None else copies.unionByName(perm)
+    # every row meets its donor once; the permuted copies, tagged by feature, are made after the join
+    donor = x.select("_bk", F.col("_r2").alias("_r"), F.struct(*feature_cols).alias("_v"))
+    copies = x.join(donor, ["_bk", "_r"]).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in feature_cols])))
+    copies = copies.withColumns({c: F.when(F.col("feature") == c, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in feature_cols})
+    copies = copies.drop("_v", "_r", "_r2", "_bk")
     s = model.transform(copies).withColumn("probability", vector_to_array("probability").getItem(1))
     aucs = exact_auc(s, ["feature"], "probability", "dropout")
     return aucs.select("feature", (F.lit(float(base or 0.0)) - F.col("auc")).alias("auc_drop"))
-

@@ -287,17 +287,18 @@ class Tables:
         unbucketed, and the partial-aggregation path spreads the hot key.
 
         The line-item x order join feeds both the click log and the
-        enrolment aggregates; it is persisted for the duration of the job
-        (disk-backed) and computed once."""
+        enrolment aggregates; it is written once to the shared checkpoint
+        folder, and that copy is deleted when the job ends."""
         import uuid
 
-        from pyspark import StorageLevel
-
-        from cohortlens.session import scratch_path
+        from cohortlens.session import remove_path, scratch_path
         keys = ["id_student", "code_module", "code_presentation"]
         needs_join = [n for n in names if n in ("student_vle", "students", "raw_students")
                       and n not in self._overrides]
-        shared = self._lines_enrol.persist(StorageLevel.MEMORY_AND_DISK) if needs_join else None
+        shared = scratch_path(self.spark, "ingest-lines") if needs_join else None
+        if shared:
+            self._lines_enrol.write.parquet(shared)
+            self.__dict__["_lines_enrol"] = self.spark.read.parquet(shared)
         try:
             for name in names:  # order matters: later tables derive from earlier ones
                 path = f"{base.rstrip('/')}/{name}" if base else scratch_path(self.spark, f"ingest-{name}")
@@ -317,8 +318,9 @@ class Tables:
                     df.write.mode("overwrite").parquet(path)
                     self.use(name, self.spark.read.parquet(path))
         finally:
-            if shared is not None:
-                shared.unpersist()
+            if shared:
+                self.__dict__.pop("_lines_enrol", None)
+                remove_path(self.spark, shared)
         return self
 
 
