@@ -23,7 +23,8 @@ from cohortlens.operators import features as feat  # noqa: E402
 from cohortlens.operators import report as rep  # noqa: E402
 from cohortlens.operators import score as sc  # noqa: E402
 from cohortlens.operators import split as sp  # noqa: E402
-from cohortlens.session import get_spark  # noqa: E402
+from cohortlens.operators import store as st  # noqa: E402
+from cohortlens.session import get_spark, scratch_path  # noqa: E402
 from cohortlens.sources import Tables  # noqa: E402
 
 
@@ -83,6 +84,15 @@ def main():
     timed("train_logistic", lambda: run(tr.emit_predictions(
         tr.train_model("logistic", t.students)["test_scored"], "logistic_dropout", "bench")))
 
+    # heavier work: forest with stated parameters, elbow curve, sinks
+    forest = {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 2, "bootstrap": True, "class_weight": "balanced"}
+    timed("train_forest", lambda: run(tr.emit_predictions(
+        tr.train_model("random_forest", t.students, params=forest)["test_scored"], "random_forest", "bench")))
+    timed("kmeans_elbow", lambda: run(clu.elbow(spark, scan_pruned(t.students))))
+    pred_path, live_path = scratch_path(spark, "bench-predictions"), scratch_path(spark, "bench-live")
+    timed("sink_replace_model", lambda: st.sink_replace_model(t.predictions, pred_path))
+    timed("move_live", lambda: st.move_live(spark, pred_path, live_path))
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     total = round(sum(times.values()), 3)
