@@ -59,9 +59,9 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.release()  # what the jobs before this one shuffled
         df.write.parquet(path)
         self.live.add(name)
-        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -10,7 +10,8 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link when
    only decides the order of tokens, so collisions cost time, never links.
 2. Similar sets are partitioned into groups: sets with a common minimum hash are
    compared with the one among them that shares the largest part of its prefix
-   (an original shares more than its edited copies), and the links make groups.
+   (an original shares more than its edited copies), then each set with the one
+   that holds its rarest shared tokens, and the links make groups.
 3. The token-group matrix holds each group's token union. A set of the smaller
    group queries a larger group it shares enough prefix tokens with; the overlap with
    the union bounds the overlap with every member, and only groups that can
@@ -174,6 +175,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _best_partners(chosen: DataFrame, grouped: DataFrame) -> DataFrame:
+    """For each set the set of another component that its prefix says is nearest: (a, b).
+
+    A token offers the holder that shares most; tokens weigh by rarity, so two
+    copies that share an edit find each other. One comparison a set, whatever
+    the number of holders.
+    """
+    rows = (chosen.join(grouped, "node", "left")
+            .select("node", "share", F.coalesce("center", "node").alias("comp"), F.explode("prefix").alias("token")))
+    best = (rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                      F.max_by("node", "share").alias("b"), F.max_by("comp", "share").alias("b_comp"))
+            .where("lo < hi").select("token", "holders", "b", "b_comp"))
+    near = (rows.join(best, "token").where("comp <> b_comp")
+            .groupBy(F.col("node").alias("a"), "b").agg(F.sum(1 / F.col("holders")).alias("weight")))
+    return near.groupBy("a").agg(F.max_by("b", "weight").alias("b"))
+
+
 def _near_size(a: str, b: str, percent: int):
     """Sizes that allow the threshold."""
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
@@ -214,7 +232,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     leader = keys.groupBy("i", "key").agg(F.max_by("node", "share").alias("b"))
     stars = (keys.join(leader, ["i", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     links = scratch.save(_verify(stars, tokens, percent), "star_links")
+    stars_of = connected_components(links, scratch, "stars")
+    links = scratch.save(links.unionByName(_verify(_best_partners(chosen, stars_of), tokens, percent)), "near_links")
     grouped = connected_components(links, scratch, "groups")
+
     # a group is one size band of a component: its smallest member then says much about all
     band = F.floor(F.log("n") / np.log(SIZE_BAND))
     member = scratch.save(chosen.join(grouped, "node", "left")
