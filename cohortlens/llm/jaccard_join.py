@@ -247,7 +247,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     multi = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     cells = scratch.save(cells.join(multi.select("token"), "token", "left_semi"), "cells")
     # no overlap of a set exceeds the tokens it shares with any set left, which caps its partners' sizes
-    flat = tokens.select("node", "n", "tokens").join(cells.select("node").distinct(), "node", "left_semi").select(
+    # (only sets with enough prefix tokens that another component holds can link with one)
+    able = cells.groupBy("node", "n").count().where(F.col("count") >= _needed("n", percent)).select("node")
+    flat = tokens.select("node", "n", "tokens").join(able, "node", "left_semi").select(
         "node", "n", F.explode("tokens").alias("token"))
     common = flat.groupBy("token").count().where("count > 1").select("token")
     caps = (flat.join(common, "token", "left_semi").groupBy("node", "n").agg(F.count("*").alias("most"))
