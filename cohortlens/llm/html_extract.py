@@ -1,11 +1,13 @@
 """Main text of web pages with a site style tree.
 
-The pages of a host are merged into one tree of element paths. An element's
-importance has two parts: the entropy of the ways its children are laid out over
-the host's pages (presentation) and the entropy of its texts over the pages that
-hold it (content). A branch whose texts repeat from page to page has low entropy
-and is removed, as are branches that HTML itself marks as navigation, headers,
-footers, forms, notices, adverts or comments.
+The pages of a host are merged into one tree of element paths. An element has
+the entropy of the ways its children are laid out over the host's pages
+(presentation) and the entropy of its own texts over the pages that hold it
+(content). Its importance is the largest of these and of its children's
+importances, bottom-up. A branch of low importance is removed; where only the
+direct text of an element repeats, that text alone is removed. Branches that HTML
+itself marks as navigation, headers, footers, forms, notices, adverts or comments
+are removed too.
 
 Node statistics are counts by host and path, combined before they are shuffled;
 a page then meets only its own nodes' importances. A host that holds a third of
@@ -25,6 +27,7 @@ from cohortlens.llm.common import Scratch
 
 LEAST_PAGES = 4        # pages of a host that must hold a node before its entropy tells anything
 LEAST_IMPORTANCE = 0.2
+LEVELS = 32            # elements below this depth are judged one by one, and count in the branches above it
 VARIETY = 0.5          # content entropy that some node of a host must have: a site of copies has no boilerplate
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -70,7 +73,7 @@ def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class Page:
-    """Blocks of one page in order: (path, text, marked), the paths' parents and each path's layout of children."""
+    """Blocks of one page in order: (path, text, marked), the paths' parents and each unmarked path's layout of children."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool]] = []
@@ -153,7 +156,8 @@ class Page:
             marked = marked or _marked(tag, attrs, article > 0)
             if tag not in _INLINE:
                 name = tag + "".join(f".{_SPACE.sub('.', attrs[k]).replace('/', '_')}" for k in ("id", "class") if attrs.get(k))
-                self.layout.setdefault(path, []).append(name)
+                if not stack[-1][2]:
+                    self.layout.setdefault(path, []).append(name)
                 path = f"{path}/{name}"
         close(0)
         flush()
@@ -188,10 +192,13 @@ def _node_rows(pages: DataFrame) -> DataFrame:
 def style_tree(pages: DataFrame) -> DataFrame:
     """Importance of every node of the tree of each host in ``pages(host, html)``.
 
-    Columns: host, path, pages, content, presentation, variety (the host's largest content entropy).
+    Columns: host, path, pages, content, presentation (NULL for a node without
+    texts or children), seen (pages with either), importance (NULL below
+    ``LEVELS``), variety (the host's largest content entropy).
 
     Entropies are taken to the base of the number of pages that hold the node,
     so they run from 0 (the same on every page) to 1 (different on every page).
+    The importance is the largest entropy in the branch.
     """
     values = _node_rows(pages).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     nodes = (values.groupBy("host", "path", "kind")
@@ -201,7 +208,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = nodes.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("pages"))).alias("pages"),
         F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("content"),
-        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("presentation"))
+        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("presentation"),
+        F.max("pages").alias("seen"))
+    # every node counts in the branches that hold it: children's importances bottom-up, in one aggregation
+    steps = F.slice(F.split("path", "/"), 2, LEVELS)
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)),
+                        lambda i: F.concat(F.lit("/"), F.concat_ws("/", F.slice(steps, 1, i))))
+    branches = (nodes.where("path <> ''")
+                .select("host", F.explode(above).alias("path"), F.greatest("content", "presentation").alias("entropy"))
+                .groupBy("host", "path").agg(F.max("entropy").alias("importance")))
+    nodes = nodes.join(branches, ["host", "path"], "left")
     variety = nodes.groupBy("host").agg(F.max(F.when(F.col("pages") >= LEAST_PAGES, F.col("content"))).alias("variety"))
     return nodes.join(variety, "host")
 
@@ -213,33 +229,35 @@ def main_text(pages: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
     is one space; nothing else is dropped. If a page has an article element,
     only blocks inside one count. NULL or empty html gives an empty text; pages
     without a host form a site of their own; a node on fewer than
-    ``LEAST_PAGES`` pages of its host is judged by HTML's own marks alone;
-    repeated pages repeat their rows and count as pages of the site.
+    ``LEAST_PAGES`` pages of its host is judged by HTML's own marks and by the
+    branches that hold it; repeated pages repeat their rows and count as pages of the site.
     """
     host = F.lower(F.regexp_replace(
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][\w+.-]*://([^/?#]*)", 1), "^.*@", ""))
     rows = pages.select(*dict.fromkeys([*keep, "url", "html"])).withColumn("host", host)
-    low = (style_tree(rows).where(f"pages >= {LEAST_PAGES} and variety >= {VARIETY} and content < {LEAST_IMPORTANCE}")
-           .groupBy("host").agg(F.collect_set("path").alias("low")))
+    branch = F.expr(f"coalesce(seen >= {LEAST_PAGES} and importance < {LEAST_IMPORTANCE}, false)")
+    direct = F.expr(f"coalesce(pages >= {LEAST_PAGES} and content < {LEAST_IMPORTANCE}, false)")
+    low = (style_tree(rows).where(F.col("variety") >= VARIETY).where(branch | direct)
+           .groupBy("host").agg(F.collect_set(F.when(branch, F.col("path"))).alias("low"),
+                                F.collect_set(F.when(direct, F.col("path"))).alias("own")))
     low = scratch.save(low, "low_nodes")
 
     def run(batches):
         for batch in batches:
             texts = []
-            lows = batch.column("low").to_pylist()
-            for source, low in zip(batch.column("html").to_pylist(), lows):
-                texts.append("\n".join(kept_blocks(Page(source or ""), set(low or ()))))
+            for source, low, own in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "own"))):
+                texts.append("\n".join(kept_blocks(Page(source or ""), set(low or ()), set(own or ()))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.join(low, "host", "left").select(*dict.fromkeys([*keep, "html", "low"])).mapInArrow(
+    return rows.join(low, "host", "left").select(*dict.fromkeys([*keep, "html", "low", "own"])).mapInArrow(
         run, f"{kinds}, text string, n_chars long")
 
 
-def kept_blocks(page: Page, low: set[str]) -> list[str]:
-    """Texts of a page's important blocks, given the unimportant paths of its host."""
+def kept_blocks(page: Page, low: set[str], own: set[str] = frozenset()) -> list[str]:
+    """Texts of a page's important blocks, given its host's unimportant branches and the paths whose own text repeats."""
     scope = _ARTICLE if page.has_article else _MAIN if any(_MAIN.search(b[0]) for b in page.blocks) else None
     out = []
     for path, text, marked in page.blocks:
@@ -247,8 +265,10 @@ def kept_blocks(page: Page, low: set[str]) -> list[str]:
         if marked or (scope and not inside):
             continue
         start = inside.end() if inside else 0
-        steps = [i for i in range(start, len(path) + 1) if i == len(path) or path[i] == "/"]
-        if low and any(path[:i] in low and (not inside or "." in path[path.rindex("/", 0, i):i]) for i in steps if i):
+        # inside an article, only elements with a class or id are judged
+        steps = [i for i in range(start, len(path) + 1) if i and (i == len(path) or path[i] == "/")
+                 and (not inside or "." in path[path.rindex("/", 0, i):i])] if low or own else ()
+        if any(path[:i] in low for i in steps) or (steps and steps[-1] == len(path) and path in own):
             continue
         out.append(text)
     return out

@@ -57,6 +57,21 @@ def test_main_text_branches():
     assert html_extract.kept_blocks(html_extract.Page(source), set()) == ["T", "One", "a", "b", "— tail"]
 
 
+def test_main_text_under_a_repeated_label(spark, scratch):
+    words = lambda i: f"Words of page {i * 7}"
+    rows = [(i, f"http://a.example/{i}", f"<article class=post>By our staff<p>{words(i)}</p></article>") for i in range(8)]
+    rows += [(20 + i, f"http://b.example/{i}", f"<div class=content>Published by X<p>{words(i)}</p><div class=box><b>Same</b>"
+              f"<p>box</p></div></div>") for i in range(8)]
+    rows += [(40 + i, f"http://c.example/{i}", f"<div class=content>Published by X<div id=p{i}>{words(i)}</div></div>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.main_text(df, scratch, ["page_id"]).collect()
+    # no measured text of the third host varies, so nothing of it is boilerplate
+    assert {r.page_id: r.text for r in got} == {r[0]: ("Published by X\n" if r[0] >= 40 else "") + words(r[0] % 20) for r in rows}
+    tree = {(r.host, r.path): r for r in html_extract.style_tree(df.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    assert tree["b.example", "/div.content"].content < 0.2 < tree["b.example", "/div.content"].importance
+    assert tree["b.example", "/div.content/div.box"].importance < 0.2
+
+
 def test_warc_round_trip(spark, tmp_path):
     ship_package(spark)
     rows = [(f"http://h/{i}", "a\r\nWARC/1.1 é" * i) for i in range(5)]
