@@ -41,7 +41,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                       "h5 h6 header hr main menu nav ol p pre section table ul".split())
 # elements and names that are no part of an article
-_AROUND = frozenset("nav footer aside form head button select dialog menu object canvas audio video map datalist".split())
+_AROUND = frozenset("nav footer aside head button select dialog menu object canvas audio video map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adslot|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|"
@@ -50,6 +50,7 @@ _NAMES = re.compile(
     r"replies|pagination|pager|skip|hidden|search\w*|tags?|tagcloud|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"/article(?:\.[^/]*)?(?=/|$)")
 _MAIN = re.compile(r"/main(?:\.[^/]*)?(?=/|$)")
+_PARAGRAPH = re.compile(r"/p(?:\.[^/]*)?$")
 _SPACE = re.compile(r"\s+")
 
 
@@ -73,14 +74,19 @@ def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class Page:
-    """Blocks of one page in order: (path, text, marked), the paths' parents and each unmarked path's layout of children."""
+    """Blocks of one page in order: (path, text, marked), whether it has an unmarked article, and each unmarked path's layout of children.
+
+    A form is marked as a whole at the end, unless it is the page's frame: it holds
+    an unmarked article, or most of the unmarked text or of that in paragraphs.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool]] = []
         self.layout: dict[str, list[str]] = {}
         self.has_article = False
-        path, stack, buffer = "", [], []   # stack: (tag, path before, marked before)
-        marked, article, last, at, n = False, 0, 0, 0, len(source)
+        path, stack, buffer = "", [], []   # stack: (tag, path before, marked before, form before)
+        marked, article, at, n = False, 0, 0, len(source)
+        form, forms, frames, holders = 0, 0, set(), []   # number of the outermost open form, of forms, framing forms, each block's form
 
         def flush():
             if buffer:
@@ -88,16 +94,17 @@ class Page:
                 buffer.clear()
                 if text:
                     self.blocks.append((path, text, marked))
+                    holders.append(form)
 
         def close(depth):
-            nonlocal path, marked, article
+            nonlocal path, marked, article, form
             while len(stack) > depth:
-                tag, path_, marked_ = stack.pop()
+                tag, path_, marked_, form_ = stack.pop()
                 if tag not in _INLINE:
                     flush()
                 if tag == "article":
                     article -= 1
-                path, marked = path_, marked_
+                path, marked, form = path_, marked_, form_
 
         while at < n:
             m = _TOKEN.search(source, at)
@@ -149,11 +156,16 @@ class Page:
                         if stack[depth][0] in ("ul", "ol", "table", "dl", "select"):
                             break
             attrs = _attributes(m[3])
-            stack.append((tag, path, marked))
+            stack.append((tag, path, marked, form))
             if tag == "article":
                 article += 1
-                self.has_article = True
             marked = marked or _marked(tag, attrs, article > 0)
+            if tag == "article" and not marked:
+                self.has_article = True
+                frames.add(form)
+            elif tag == "form" and not form:
+                forms += 1
+                form = forms
             if tag not in _INLINE:
                 name = tag + "".join(f".{_SPACE.sub('.', attrs[k]).replace('/', '_')}" for k in ("id", "class") if attrs.get(k))
                 if not stack[-1][2]:
@@ -161,6 +173,17 @@ class Page:
                 path = f"{path}/{name}"
         close(0)
         flush()
+        if forms:
+            everything, paragraphs = [0] * (forms + 1), [0] * (forms + 1)
+            for (path, text, marked), form in zip(self.blocks, holders):
+                if not marked:
+                    everything[form] += len(text)
+                    if _PARAGRAPH.search(path):
+                        paragraphs[form] += len(text)
+            for sizes in (everything, paragraphs):
+                frames.update(i for i in range(1, forms + 1) if 2 * sizes[i] > sum(sizes))
+            self.blocks = [(path, text, marked or (form > 0 and form not in frames))
+                           for (path, text, marked), form in zip(self.blocks, holders)]
 
 
 def _node_rows(pages: DataFrame) -> DataFrame:
@@ -226,8 +249,9 @@ def main_text(pages: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row of ``pages(url, html, ...)`` with text and n_chars.
 
     Blocks are joined by one newline in page order; white space inside a block
-    is one space; nothing else is dropped. If a page has an article element,
-    only blocks inside one count. NULL or empty html gives an empty text; pages
+    is one space; nothing else is dropped. If the articles of a page,
+    or else its main element, hold half or more of its important text, only blocks
+    inside them count. NULL or empty html gives an empty text; pages
     without a host form a site of their own; a node on fewer than
     ``LEAST_PAGES`` pages of its host is judged by HTML's own marks and by the
     branches that hold it; repeated pages repeat their rows and count as pages of the site.
@@ -258,17 +282,23 @@ def main_text(pages: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
 
 def kept_blocks(page: Page, low: set[str], own: set[str] = frozenset()) -> list[str]:
     """Texts of a page's important blocks, given its host's unimportant branches and the paths whose own text repeats."""
-    scope = _ARTICLE if page.has_article else _MAIN if any(_MAIN.search(b[0]) for b in page.blocks) else None
-    out = []
+    for scope, there in ((_ARTICLE, page.has_article), (_MAIN, any(not b[2] and _MAIN.search(b[0]) for b in page.blocks))):
+        if there:
+            blocks = list(_important(page, low, own, scope))
+            if 2 * sum(len(text) for inside, text in blocks if inside) >= sum(len(text) for _, text in blocks):
+                return [text for inside, text in blocks if inside]
+    return [text for _, text in _important(page, low, own, None)]
+
+
+def _important(page: Page, low: set[str], own: set[str], scope: re.Pattern | None):
+    """(whether in the scope, text) of the blocks that neither marks nor repetition remove."""
     for path, text, marked in page.blocks:
-        inside = scope.search(path) if scope else None
-        if marked or (scope and not inside):
+        if marked:
             continue
+        inside = scope.search(path) if scope else None
         start = inside.end() if inside else 0
-        # inside an article, only elements with a class or id are judged
+        # inside the scope, only elements with a class or id are judged
         steps = [i for i in range(start, len(path) + 1) if i and (i == len(path) or path[i] == "/")
                  and (not inside or "." in path[path.rindex("/", 0, i):i])] if low or own else ()
-        if any(path[:i] in low for i in steps) or (steps and steps[-1] == len(path) and path in own):
-            continue
-        out.append(text)
-    return out
+        if not any(path[:i] in low for i in steps) and not (steps and steps[-1] == len(path) and path in own):
+            yield inside is not None, text

@@ -57,6 +57,21 @@ def test_main_text_branches():
     assert html_extract.kept_blocks(html_extract.Page(source), set()) == ["T", "One", "a", "b", "— tail"]
 
 
+def test_main_text_scope():
+    kept = lambda source: html_extract.kept_blocks(html_extract.Page(source), set())
+    long = "The text of the page itself, which is longer than anything around it."
+    assert kept(f"<div><p>{long}</p></div><aside><article>Teaser</article></aside>") == [long]
+    assert kept(f"<div><p>{long}</p></div><section id=comments><article>{long * 3}</article></section>") == [long]
+    assert kept(f"<div><p>{long}</p></div><article>Teaser</article>") == [long, "Teaser"]
+    assert kept(f"<p>{long}</p><main>Short</main>") == [long, "Short"]
+    assert kept(f"Menu<main><p>{long}</p></main>") == [long]
+    assert kept(f"Menu<article><p>{long}</p></article>") == [long]
+    assert kept(f"<form id=aspnetForm><div>Menu</div><p>{long}</p></form><footer>f</footer>") == ["Menu", long]
+    assert kept(f"<form><article>{long}</article></form><div>{long}</div><div>Outside</div>")[0] == long
+    assert kept(f"<p>{long}</p><form><p>Your mail</p></form>") == [long]
+    assert kept(f"<p>{long}</p><form class=search><article>{long}</article></form>") == [long]
+
+
 def test_main_text_under_a_repeated_label(spark, scratch):
     words = lambda i: f"Words of page {i * 7}"
     rows = [(i, f"http://a.example/{i}", f"<article class=post>By our staff<p>{words(i)}</p></article>") for i in range(8)]
