@@ -86,6 +86,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(s, offsets)
 
 
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every line, its newline included, and the offsets of each row's lines.
+
+    ``offsets`` are as in ``word_hashes``. What follows a row's last newline is
+    a line, even if empty.
+    """
+    newline = np.flatnonzero(data == 10) + 1
+    seen = np.searchsorted(newline, offsets, side="right")
+    lo = seen + np.arange(len(offsets))
+    cuts = np.zeros(int(lo[-1]), bool)
+    cuts[lo[:-1]] = True
+    s = np.empty(len(cuts), np.int64)
+    s[cuts], s[~cuts] = offsets[:-1], newline
+    e = np.empty_like(s)
+    e[:-1] = s[1:]
+    e[lo[1:] - 1] = offsets[1:]
+    sums = prefix_sums(data)
+    _, down = _powers(len(data) + 1)
+    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)), lo
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingle hashes of every row, concatenated, and their offsets.
 

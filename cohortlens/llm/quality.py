@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import row_chunks, text_bytes
-from cohortlens.llm.kernels import word_hashes
+from cohortlens.llm.kernels import line_hashes, word_hashes
 
 FIT_ROWS = 4_000      # documented bound on the labelled rows (the broadcast vectors)
 TERMS = 4096          # hashed shape terms
@@ -46,21 +46,18 @@ def term_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         gram = gram * np.uint32(0x01000193) ^ shape[j:j + len(gram)]
     gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(20)
     words, wo = word_hashes(data, offsets)
-    newline = np.flatnonzero(data == 10)
+    lines, lo = line_hashes(data, offsets)
     for i in range(len(out)):
         a, b = int(offsets[i]), int(offsets[i + 1])
         if b - a >= 4:
             n = np.bincount(gram[a:b - 3], minlength=TERMS)
             out[i, :TERMS] = np.sqrt(n / (b - a - 3))
         w = words[wo[i]:wo[i + 1]]
-        ends = newline[np.searchsorted(newline, a):np.searchsorted(newline, b)]
-        cuts = np.concatenate(([a], ends + 1, [b]))
-        lines = np.array([hash(data[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:])] if len(cuts) < 4000 else
-                         cuts, np.int64)
+        line = lines[lo[i]:lo[i + 1]]
         up = np.count_nonzero(shape[a:b] == ord("A")) / max(b - a, 1)
         near = np.count_nonzero(w[1:] == w[:-1]) / max(len(w) - 1, 1)
         measures = (_recurrence(w) * (BINS - 1), near * (BINS - 1),
-                    (_recurrence(lines) if len(lines) > 1 else 0.0) * (BINS - 1),
+                    (_recurrence(line) if len(line) > 1 else 0.0) * (BINS - 1),
                     np.log2(len(w) + 1), up * (BINS - 1))
         for m, value in enumerate(measures):
             low = min(int(value), BINS - 1)

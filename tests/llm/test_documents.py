@@ -248,6 +248,19 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.score(docs, empty, ["doc_id"]).collect()} == {0.5}
 
 
+def test_lines_recur_at_every_size():
+    texts = [b"same line\n" * 10_000, b"same line\n" * 3_900, b"", b"a\nb\n\nb\na", b"\n" * 5_000,
+             b"".join(b"line %d\n" % i for i in range(9_000))]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    hashes, lo = kernels.line_hashes(data, offsets)
+    for i, t in enumerate(texts):
+        lines = [x + b"\n" for x in t.split(b"\n")[:-1]] + [t.split(b"\n")[-1]]
+        assert lo[i + 1] - lo[i] == len(lines) and len(np.unique(hashes[lo[i]:lo[i + 1]])) == len(set(lines))
+    recurrence = quality.term_vectors(data, offsets)[:, quality.TERMS + 2 * quality.BINS:quality.TERMS + 3 * quality.BINS]
+    assert recurrence[0, -2:].sum() == recurrence[1, -2:].sum() == 0.5 and recurrence[5, 0] > 0.49
+
+
 def test_quality_votes_are_exact():
     rng = np.random.default_rng(1)
     known, labels = quality._unit(rng.normal(size=(50, 8))), rng.integers(0, 2, 50).astype(np.float32)
