@@ -6,18 +6,23 @@ serves the whole corpus. Inside a word the table is built prefix by prefix: the
 encoding of ``w[:j]`` is that of ``w[:j - len(t)]`` and its last token ``t``,
 where ``t`` is the only suffix whose pair with the token before it the merges
 leave as it is. The table answers how many tokens any prefix has, how far a
-budget reaches and where a cut falls, without encoding again.
+budget reaches and where a cut falls, without encoding again. Prefixes of short
+words are remembered by their letters; a long word has its table by position, so
+time and memory grow with its length.
 """
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 CACHE_PIECES = 800_000     # pieces and word prefixes remembered by a worker; more only cost time
+CACHE_LETTERS = 16_000_000 # letters of the pieces remembered
+SHORT = 64                 # letters of a word up to which its prefixes are remembered
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # cuts are made at these characters alone; texts with other white space are one piece
 _PIECE = re.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
@@ -49,6 +54,8 @@ class PrefixCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         # per word prefix (in vocabulary letters): token count * 2^16 + length of its last token
         self.table: dict[str, int] = {}
+        # the last longer word with the token count and the length of the last token of each of its prefixes
+        self.long: tuple[str, array, array] = ("", array("q"), array("i"))
         self.pieces = _Pieces(self)
 
     # -- inside a word
@@ -89,14 +96,35 @@ class PrefixCounter:
                 raise ValueError(f"no encoding of {w!r}: the vocabulary lacks a byte")
         return rows[-1]
 
+    def _by_position(self, w: str) -> tuple[array, array]:
+        """Token count and length of the last token of every prefix of a word longer than ``SHORT``."""
+        if self.long[0] != w:
+            vocab, longest, stays = self.vocab, self.longest, self._stays
+            counts, lasts = array("q", [0]), array("i", [0])
+            for j in range(1, len(w) + 1):
+                for i in range(max(0, j - longest), j):
+                    token = w[i:j]
+                    if token in vocab and (not i or stays(w[i - lasts[i]:i], token)):
+                        counts.append(counts[i] + 1)
+                        lasts.append(len(token))
+                        break
+                else:
+                    raise ValueError(f"no encoding of {w[max(0, j - longest):j]!r}: the vocabulary lacks a byte")
+            self.long = w, counts, lasts
+        return self.long[1:]
+
     def word_prefixes(self, word: str) -> list[int]:
         """Token count of every byte prefix of one pre-split word (index 0: none)."""
         w = self._letters(word)
+        if len(w) > SHORT:
+            return self._by_position(w)[0].tolist()
         self._extend(w)
         return [0] + [(self.table.get(w[:j]) or self._extend(w[:j])) >> 16 for j in range(1, len(w) + 1)]
 
     def word(self, word: str) -> int:
         w = self._letters(word)
+        if len(w) > SHORT:
+            return self._by_position(w)[0][-1]
         return (self.table.get(w) or self._extend(w)) >> 16
 
     # -- whole texts
@@ -148,9 +176,11 @@ class PrefixCounter:
 
     def _reach(self, word: str, budget: int) -> int:
         w, ends = self._letters(word), []
-        while w:
-            ends.append(len(w))
-            w = w[:-((self.table.get(w) or self._extend(w)) & 0xFFFF)]
+        lasts = self._by_position(w)[1] if len(w) > SHORT else None
+        at = len(w)
+        while at:
+            ends.append(at)
+            at -= lasts[at] if lasts else (self.table.get(w[:at]) or self._extend(w[:at])) & 0xFFFF
         return ends[-budget] if budget else 0
 
 
@@ -159,14 +189,16 @@ class _Pieces(dict):
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.letters = counter, 0
 
     def __missing__(self, piece: str) -> int:
         n = sum(map(self.counter.word, _WORDS.findall(piece)))
         if len(piece) < 256:
-            if len(self) > CACHE_PIECES:
+            if len(self) > CACHE_PIECES or self.letters > CACHE_LETTERS:
                 self.clear()
+                self.letters = 0
             self[piece] = n
+            self.letters += len(piece)
         return n
 
 

@@ -233,6 +233,27 @@ def test_token_prefix_table(text):
                 assert table[len(word[:j].encode())] == len(lib.encode(word[:j], add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("unit, n", [("x", 100_000), ("ACGT", 3_000), ("-=", 3_000), ("日本語の文", 700), ("word", 16), ("word", 17)])
+def test_long_words(unit, n):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    lib, counter = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    encode = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(3)
+    text = "".join(rng.permutation(list(unit * n)))
+    total = counter.count(text)
+    assert total == encode(text)
+    assert all(len(w) <= 64 for w in counter.table)        # no string key for every prefix of a long word
+    table = counter.word_prefixes(text)
+    assert len(table) == len(text.encode()) + 1 and table[-1] == total
+    for j in (1, 7, 63, 64, 65, 66, 1_000, len(text) - 1):
+        assert j > len(text) or table[len(text[:j].encode())] == encode(text[:j])
+    for budget in (0, 1, total // 2, total - 1, total):
+        cut = counter.within(text, budget)
+        assert table[cut] == budget
+
+
 def test_quality(spark, docs, none):
     ship_package(spark)
     good = [(i, " ".join(f"w{i * k % 97}or" for k in range(1, 80)), 1) for i in range(40)]
