@@ -1,0 +1,20 @@
+"""The registered forest searches have the reference's sizes."""
+import pytest
+
+from cohortlens.operators import train as tr
+from cohortlens.plans import queries
+
+
+@pytest.mark.parametrize("query", [queries.q_train_random_forest, queries.q_random_search])
+def test_forest_searches_are_full(spark, sf_dir, monkeypatch, query):
+    class Seen(Exception):
+        pass
+
+    def search(prefix, est, param_fn, space, n_iter, folds, *rest):
+        raise Seen(space, n_iter, folds)
+
+    monkeypatch.setattr(tr, "_fit_search", search)
+    with pytest.raises(Seen) as seen:
+        query(spark, sf_dir)
+    space, n_iter, folds = seen.value.args
+    assert (n_iter, folds) == (10, 5) and space["n_estimators"] == ("int", 100, 300)
