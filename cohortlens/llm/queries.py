@@ -12,6 +12,7 @@ from cohortlens.llm import (
     html_extract,
     jaccard_join,
     langid,
+    license_scan,
     mixing,
     quality,
     suffix_dedup,
@@ -131,3 +132,13 @@ ORACLES["op9_warc_merkle_audit"] = warc.AUDIT_SQL
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the style tree of its host."""
     return html_extract.main_text(table(spark, sf_dir, "pages"), Scratch(spark, "op10"), ["page_id", "url"])
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License and rights notices of every document, by ordered signature rules."""
+    found = license_scan.detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    return license_scan.digest(found, ["doc_id"])
+
+
+ORACLES["op11_license_scan"] = license_scan.scan_sql()
