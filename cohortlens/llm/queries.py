@@ -17,6 +17,7 @@ from cohortlens.llm import (
     quality,
     suffix_dedup,
     token_counts,
+    vector_codes,
     warc,
 )
 from cohortlens.llm.common import Scratch, ship_package, table
@@ -142,3 +143,15 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_license_scan"] = license_scan.scan_sql()
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector from exact integer codebooks, with its error and its label's."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    codes, books = vector_codes.compress(vectors, Scratch(spark, "op13"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.CODES_SQL
