@@ -16,6 +16,7 @@ from cohortlens.llm import (
     mixing,
     quality,
     suffix_dedup,
+    token_align,
     token_counts,
     vector_codes,
     warc,
@@ -145,6 +146,15 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_license_scan"] = license_scan.scan_sql()
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups, links and pair counts between a byte-level and a piece tokenizer over all documents."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_align.align(table(spark, sf_dir, "documents"), Scratch(spark, "op12"), *paths, ["doc_id"])
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code of every vector from exact integer codebooks, with its error and its label's."""

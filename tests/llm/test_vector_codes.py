@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import vector_codes as V
+from cohortlens.llm.common import Scratch
 
 SCHEMA = "id long, vector array<float>, label int"
 
@@ -81,11 +82,11 @@ def test_other_lengths_empty_table_and_clashing_columns(spark, scratch):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("code", F.lit("x")).withColumn("n", F.lit(1))
     out, books = V.compress(df, scratch)
     assert [r.id for r in out.collect()] == [1] and books.shape == (16, 1, 2)
-    out, books = V.compress(df.limit(0), scratch)
+    out, books = V.compress(df.limit(0), Scratch(spark, "none"))
     assert out.count() == 0 and books is None and len(V.books_sha256(books)) == 64
     assert out.columns == ["id", "label", "code", "error", "label_error"]
     with pytest.raises(ValueError):
-        V.compress(spark.createDataFrame([(1, [0.1] * 17, 0)], SCHEMA), scratch)
+        V.compress(spark.createDataFrame([(1, [0.1] * 17, 0)], SCHEMA), Scratch(spark, "odd"))
 
 
 def test_too_large_components_are_refused():
