@@ -65,14 +65,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete these tables; no names, nothing deleted."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names or tuple(self.live):
+        for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
             self.live.discard(name)
         self.release()
 
+    def drop_all(self) -> None:
+        self.drop(*tuple(self.live))
+
     def release(self) -> None:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

@@ -52,4 +52,4 @@ def scratch(spark):
     from cohortlens.llm.common import Scratch
     s = Scratch(spark, "test")
     yield s
-    s.drop()
+    s.drop_all()
