@@ -59,12 +59,14 @@ class MultiIndex:
     def _values(unpacked: np.ndarray, a: int, b: int) -> np.ndarray:
         return unpacked[:, a:b].astype(np.int64) @ (1 << np.arange(b - a - 1, -1, -1))
 
-    def search(self, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest by (distance, id)."""
-        m, n = len(self.cuts), len(self.codes)
+    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of the k nearest by (distance, id) among rows of other ids than ``own``."""
+        m, n = len(self.cuts), int(np.count_nonzero(ids != own))
         bits = np.unpackbits(query[None], axis=1)[:, :self.bits]
-        seen = np.zeros(n, bool)
+        seen = np.zeros(len(ids), bool)
         rows, dist = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not n:
+            return rows, dist
         for radius in range(max(b - a for a, b in self.cuts) + 1):
             fresh = []
             for (a, b), (order, starts) in zip(self.cuts, self.tables):
@@ -77,6 +79,7 @@ class MultiIndex:
             found = np.unique(np.concatenate(fresh))
             found = found[~seen[found]]
             seen[found] = True
+            found = found[ids[found] != own]
             rows = np.concatenate((rows, found))
             dist = np.concatenate((dist, np.bitwise_count(self.codes[found] ^ query).sum(axis=1, dtype=np.int64)))
             if len(rows) >= k or len(rows) == n:
@@ -110,17 +113,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ``codes`` and ``queries`` have (id long, bits, code). Codes of different
     lengths are not compared; ties go to the smaller id; rows without an id are
     not indexed and ask nothing; repeated rows count once an id, and other rows
-    of a query's own id are left out of its answer.
+    of a query's own id are passed over in the search, so they cost no neighbour.
     """
     codes = codes.where("id is not null").dropDuplicates(["id", "code"])
     queries = queries.where("id is not null").dropDuplicates(["id", "code"])
     entries = _smallest(codes, k + 1, ["code", "bits"], ["id"]).drop("place")
-    asked = queries.select("bits", "code").distinct()
+    asked = queries.select("id", "bits", "code")
     blocks = lambda rows, size, key: rows.withColumn(
         key, F.pmod(F.xxhash64("code"), F.lit(max(1, -(-rows.count() // size)))))
     index = (blocks(entries, INDEX_BLOCK, "ib").groupBy("bits", "ib")
              .agg(F.collect_list(F.struct("code", "id")).alias("entries")))
-    asking = blocks(asked, QUERY_BLOCK, "qb").groupBy("bits", "qb").agg(F.collect_list("code").alias("asked"))
+    asking = blocks(asked, QUERY_BLOCK, "qb").groupBy("bits", "qb").agg(F.collect_list(F.struct("code", "id")).alias("asked"))
     pairs = index.join(asking, "bits").repartition("bits", "ib", "qb")
 
     def run(batches):
@@ -131,19 +134,18 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     matrix = np.frombuffer(b"".join(e["code"] for e in entries_), np.uint8).reshape(len(entries_), -1)
                     kept = ((bits, ib), MultiIndex(matrix, bits), np.array([e["id"] for e in entries_], np.int64))
                 _, tree, ids = kept
-                out = [[], [], []]
-                for code in asked_:
-                    rows, dist = tree.search(np.frombuffer(code, np.uint8), ids, k + 1)
-                    out[0] += [code] * len(rows)
-                    out[1].append(ids[rows])
-                    out[2].append(dist)
+                out = [[], [], [], []]
+                for q in asked_:
+                    rows, dist = tree.search(np.frombuffer(q["code"], np.uint8), ids, q["id"], k)
+                    out[0] += [q["id"]] * len(rows)
+                    out[1] += [q["code"]] * len(rows)
+                    out[2].append(ids[rows])
+                    out[3].append(dist)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bits] * len(out[0]), pa.int32()), pa.array(out[0], pa.binary()),
-                     pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]).astype(np.int32))],
-                    ["bits", "code", "id", "distance"])
-
-    near = pairs.mapInArrow(run, "bits int, code binary, id long, distance int")
-    near = _smallest(near, k + 1, ["code", "bits"], ["distance", "id"]).drop("place")
-    answers = (queries.withColumnRenamed("id", "query_id").join(near, ["bits", "code"]).where("id <> query_id"))
-    return _smallest(answers, k, ["query_id", "code"], ["distance", "id"]).select(
+                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
+                     pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]).astype(np.int32))],
+                    ["query_id", "code", "id", "distance"])
+
+    near = pairs.mapInArrow(run, "query_id long, code binary, id long, distance int")
+    return _smallest(near, k, ["query_id", "code"], ["distance", "id"]).select(
         "query_id", F.col("place").cast("int").alias("rank"), "id", "distance")
