@@ -21,7 +21,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of lower-cased words, one space around each, and row offsets."""
     clean = [" " + _NOT_LETTER.sub(" ", t.lower()).strip() + " " for t in texts]
     raw = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return raw, np.concatenate(([0], np.cumsum([len(t) for t in clean])))
+    return raw, np.concatenate(([0], np.cumsum([len(t) for t in clean], dtype=np.int64)))
 
 
 def _features(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -86,6 +86,7 @@ def fit(labelled: DataFrame, alpha: float = 0.5, fit_rows: int = FIT_ROWS):
 
     counts = (chosen.select("text", "lang").mapInArrow(count, "lang string, feature int, n long")
               .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas())  # at most the matrix
+    langs = sorted(counts.lang.unique())  # a language without a letter was not learned
     matrix = np.full((width, len(langs)), alpha)
     column = {x: i for i, x in enumerate(langs)}
     matrix[counts.feature.to_numpy(np.int64), counts.lang.map(column).to_numpy(np.int64)] += counts.n.to_numpy()
