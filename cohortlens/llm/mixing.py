@@ -71,16 +71,18 @@ def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None) -> Data
     ``taken`` is the words the mix takes of the row: its size times the source's
     complete epochs, plus its part of the rest. The last document drawn may be
     taken in part. NULL and empty texts have size 0 and give nothing; NULL is a
-    source of its own; equal rows tie and share the draw in any order; columns
-    that carry one of the new names are replaced.
+    source of its own; a draw depends on doc_id and text, so only rows equal in
+    both tie, and it does not matter which of them goes first; columns that carry
+    one of the new names are replaced.
     """
     new = ["size", "source_size", "target", "taken"]
     carried = [c for c in docs.columns if c not in new]
     inner = {c: f"in_{i}" for i, c in enumerate(carried)}
     uniform = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(inner["doc_id"]).cast("string"), F.lit("null")),
-                                                    F.col("size").cast("string"))), 1, 12), 16, 10)
+                                                    F.col("mark"))), 1, 12), 16, 10)
                .cast("double") + 0.5) / float(1 << 48)
     rows = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], word_count(F.col("text")).alias("size"),
+                       F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark"),
                        (quality_weight(F.col("text")) if weight is None else weight).alias("w"))
     rows = rows.withColumn("key", -F.log(uniform) / F.col("w"))
     rows = rows.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES).cast("int"))
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None) -> Data
             .withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
             .select("named", F.col("range").alias("of_range"), "source_no", "source_size", "target", "epochs", "rest", "lead"))
     joined = rows.join(plan, F.col(by).eqNullSafe(F.col("named")) & (F.col("range") == F.col("of_range")))
-    drawn = Window.partitionBy("source_no", "range").orderBy("key", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = Window.partitionBy("source_no", "range").orderBy("key", doc_id, "mark").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("lead") + F.coalesce(F.sum("size").over(drawn), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
     return joined.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).select(
@@ -110,8 +112,8 @@ MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 keyed AS (
-  SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5)
+  SELECT doc_id, source, size, md5(coalesce(text, '')) AS mark,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5)
         / 281474976710656.0)
       / (0.1 + 0.9 * coalesce(length(translate(text, '{SIGNS}', ''))::DOUBLE / nullif(length(text), 0), 1.0)) AS key
   FROM sized),
@@ -136,7 +138,7 @@ targets AS (
 drawn AS (
   SELECT r.doc_id, r.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS epochs,
-    coalesce(sum(r.size) OVER (PARTITION BY t.source_no ORDER BY r.range, r.key, r.doc_id, r.size
+    coalesce(sum(r.size) OVER (PARTITION BY t.source_no ORDER BY r.range, r.key, r.doc_id, r.mark
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM ranged r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
