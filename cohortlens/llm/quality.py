@@ -94,26 +94,68 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
         for batch in batches:
             labels = batch.column("label").cast(pa.int32())
             for a, b, x in _rows(batch):
+                x = x.astype(np.float16)
+                row, term = np.nonzero(x)
+                cuts = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [labels.slice(a, b - a), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())],
-                    ["label", "terms"])
+                    [labels.slice(a, b - a), pa.ListArray.from_arrays(cuts, pa.array(term.astype(np.int32))),
+                     pa.ListArray.from_arrays(cuts, pa.array(x[row, term].astype(np.float32)))], ["label", "terms", "weights"])
 
-    rows = chosen.select("text", "label").mapInArrow(run, "label int, terms binary").orderBy("terms").toPandas()
-    if rows.empty:
+    rows = (chosen.select("text", "label").mapInArrow(run, "label int, terms array<int>, weights array<float>")
+            .orderBy("terms", "weights").toArrow())
+    if not rows.num_rows:
         return None
-    x = np.stack([np.frombuffer(r, np.float16) for r in rows.terms]).astype(np.float32)
-    labels = rows.label.to_numpy(np.float32)
-    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)).astype(np.float32) + 1
-    x *= idf
+    x = SparseRows(rows["terms"].combine_chunks(), rows["weights"].combine_chunks())
+    labels = rows["label"].to_numpy().astype(np.float32)
+    idf = (np.log((len(x) + 1) / (x.frequencies() + 1)) + 1).astype(np.float32)
+    x.scale(idf)
     # truncated decomposition by a seeded randomised range finder with power steps
-    span = x @ np.random.default_rng(7).standard_normal((WIDTH, DIMENSIONS + 16), dtype=np.float32)
+    span = x.times(np.random.default_rng(7).standard_normal((WIDTH, DIMENSIONS + 16), dtype=np.float32))
     for _ in range(4):
-        span = x @ (x.T @ np.linalg.qr(span)[0])
+        span = x.times(x.transposed_times(np.linalg.qr(span)[0]))
     q = np.linalg.qr(span)[0]
-    _, values, rows_t = np.linalg.svd(q.T @ x, full_matrices=False)
+    _, values, rows_t = np.linalg.svd(x.transposed_times(q).T, full_matrices=False)
     basis = rows_t[:DIMENSIONS][values[:DIMENSIONS] > 1e-6 * max(float(values[0]), 1e-30)].T
     projection = (idf[:, None] * basis).astype(np.float32)
-    return projection, _unit(x @ basis), labels
+    return projection, _unit(x.times(basis.astype(np.float32))), labels
+
+
+class SparseRows:
+    """Term weights of the labelled sample; only a block of rows is ever dense."""
+
+    BLOCK = 256
+
+    def __init__(self, terms: pa.Array, weights: pa.Array):
+        self.cuts = terms.offsets.to_numpy().astype(np.int64)
+        self.terms = terms.flatten().to_numpy(zero_copy_only=False)
+        self.weights = weights.flatten().to_numpy(zero_copy_only=False).copy()
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def frequencies(self) -> np.ndarray:
+        """Rows that hold each term."""
+        return np.bincount(self.terms, minlength=WIDTH)
+
+    def scale(self, factors: np.ndarray) -> None:
+        self.weights *= factors[self.terms]
+
+    def _blocks(self):
+        for lo in range(0, len(self), self.BLOCK):
+            hi = min(lo + self.BLOCK, len(self))
+            dense, cuts = np.zeros((hi - lo, WIDTH), np.float32), self.cuts[lo:hi + 1] - self.cuts[0]
+            row = np.repeat(np.arange(hi - lo), np.diff(cuts))
+            dense[row, self.terms[cuts[0]:cuts[-1]]] = self.weights[cuts[0]:cuts[-1]]
+            yield lo, hi, dense
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        return np.concatenate([dense @ matrix for _, _, dense in self._blocks()])
+
+    def transposed_times(self, matrix: np.ndarray) -> np.ndarray:
+        out = np.zeros((WIDTH, matrix.shape[1]), np.float32)
+        for lo, hi, dense in self._blocks():
+            out += dense.T @ matrix[lo:hi]
+        return out
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
