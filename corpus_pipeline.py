@@ -85,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage_{i}")
-        scratch.drop(*(x for x in scratch.live - {f"stage_{i}"}))
+        scratch.drop(*(scratch.live - {f"stage_{i}"}))
     return docs
