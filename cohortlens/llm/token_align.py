@@ -35,6 +35,7 @@ SPACE_SIGN = "▁"
 B_BITS = 15                     # a pair of ids is one int: A id above, B id in the low bits
 KEPT_PARTS = 1 << 20            # bytes of parts whose result a worker keeps
 LONG_PART = 1 << 10             # parts above this many characters are not kept
+RUN = 1 << 12                   # characters of parts encoded together
 PAIR_BUFFER = 1 << 20           # distinct pairs a task holds before it hands their sums on
 HOT_PAIRS = 1 << 18             # pairs whose counts may be broadcast (12 bytes each)
 _PART = re.compile(r"(?<=\S)(?= \S)")
@@ -85,34 +86,70 @@ class Tokenizers:
                 self.same[i] = of_bytes.get(x, -1)
         self.a_length = np.array([len(x) for x in self.a_bytes])
         self.b_length = np.array([len(x) for x in self.b_bytes])
+        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+
+    def align(self, parts: list[str]) -> list[tuple | None]:
+        """Per part (tokens of A, of B, groups, links as pairs of ids, groups in writing); None where the bytes differ.
+
+        Parts that begin with one space and end with another character are encoded
+        in runs, because no token crosses from one into the next; a run whose
+        tokens do not give its parts back is encoded part by part.
+        """
+        runs, own, size = [], [], 0
+        for i, p in enumerate(parts):
+            if not self.by_parts or p[-1].isspace() or p[1:2].isspace() or len(p) > RUN:
+                runs.append([i])
+            else:
+                if size + len(p) > RUN and own:
+                    runs.append(own)
+                    own, size = [], 0
+                own.append(i)
+                size += len(p)
+        out: list[tuple | None] = [None] * len(parts)
+        for again in self._align_runs(parts, runs + [own] * bool(own), out):
+            self._align_runs(parts, [[i] for i in again], out)
+        return out
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both tokenizers for parts that start with a space."""
-        a = self.a.encode_batch(parts, add_special_tokens=False)
-        b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        for x, y in zip(a, b):
-            yield x.ids, y
-
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links as pairs of ids, groups in writing); None where the bytes differ."""
-        whole = part.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        if len(a) == 1 and len(b) == 1:
-            return 1, 1, 1, np.array([a[0] << B_BITS | b[0]], np.int32), f"{a[0]}|{b[0]}"
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+    def _align_runs(self, parts: list[str], runs: list[list[int]], out: list[tuple | None]) -> list[list[int]]:
+        """Align all parts of the runs into ``out``; returns the runs that did not come back whole."""
+        texts = ["".join([parts[i] for i in run]) for run in runs]
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([x[1:] for x in texts], num_threads=1)
+        failed, good = [], []
+        for k, run in enumerate(runs):
+            whole = texts[k].encode()
+            if b"".join([self.a_bytes[i] for i in a[k]]) == whole == b"".join([self.b_bytes[i] for i in b[k]]):
+                good.append(k)
+            elif len(run) > 1:
+                failed.append(run)
+        if not good:
+            return failed
+        who = [i for k in good for i in runs[k]]
+        ids_a, ids_b = (np.array([i for k in good for i in x[k]], np.int64) for x in (a, b))
         end_a, end_b = np.cumsum(self.a_length[ids_a]), np.cumsum(self.b_length[ids_b])
+        ends = np.cumsum([len(parts[i].encode()) for i in who])
         first = np.searchsorted(end_b, end_a - self.a_length[ids_a], side="right")
         last = np.searchsorted(end_b, end_a, side="left")
         times = last - first + 1
-        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        upto = np.cumsum(times)
+        other = np.arange(upto[-1]) - np.repeat(upto - times, times) + np.repeat(first, times)
         links = (np.repeat(ids_a, times) << B_BITS | ids_b[other]).astype(np.int32)
-        common, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        written, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            written.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+        closes = np.flatnonzero(end_b[last] == end_a)           # A tokens that end a group
+        cut_a, cut_b = closes + 1, last[closes] + 1
+        part_a, part_b = np.searchsorted(end_a, ends) + 1, np.searchsorted(end_b, ends) + 1
+        part_group = np.searchsorted(end_a[closes], ends) + 1
+        part_link = upto[part_a - 1]
+        word_a, word_b = [self.a_names[i] for i in ids_a.tolist()], [self.b_names[i] for i in ids_b.tolist()]
+        groups, i, j = [], 0, 0
+        for x, y in zip(cut_a.tolist(), cut_b.tolist()):
+            left = word_a[i] if x == i + 1 else ",".join(word_a[i:x])
+            groups.append(left + "|" + (word_b[j] if y == j + 1 else ",".join(word_b[j:y])))
             i, j = x, y
-        return len(a), len(b), len(common), links, ";".join(written)
+        i = j = g = n = 0
+        for w, x, y, h, m in zip(who, part_a.tolist(), part_b.tolist(), part_group.tolist(), part_link.tolist()):
+            out[w] = (x - i, y - j, h - g, links[n:m], groups[g] if h == g + 1 else ";".join(groups[g:h]))
+            i, j, g, n = x, y, h, m
+        return failed
 
 
 @lru_cache(maxsize=2)
@@ -137,14 +174,16 @@ class Aligner:
         if self.held > KEPT_PARTS:
             self.known, self.held = {}, 0
         new = list({p for parts in split if parts for p in parts if p not in self.known})
-        found = dict(zip(new, (self.t.align(p, a, b) for p, (a, b) in zip(new, self.t.encode(new)))))
+        known, found = self.known, dict(zip(new, self.t.align(new)))
+        known.update(found)
         out = []
         for parts in split:
-            aligned = [self.known[p] if p in self.known else found[p] for p in parts] if parts else None
+            aligned = [known[p] for p in parts] if parts else None
             out.append(None if aligned is None or None in aligned else aligned)
-        for p, x in found.items():
-            if len(p) <= LONG_PART:
-                self.known[p] = x
+        for p in found:
+            if len(p) > LONG_PART:
+                del known[p]
+            else:
                 self.held += len(p)
         return out
 

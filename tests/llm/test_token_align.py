@@ -71,14 +71,20 @@ def test_equals_plain_loops(spark, scratch, corpus, monkeypatch, hot):
     assert aligned(spark, scratch, texts) == brute(texts)
 
 
-def test_parts_encode_as_the_whole_text():
+def test_parts_encode_as_the_whole_text(corpus):
     t = T.load(*PATHS)
     assert t.by_parts
-    for x in TEXTS:
-        if x:
-            ids = list(t.encode(T.text_parts(x)))
-            assert [i for a, _ in ids for i in a] == t.a.encode(" " + x, add_special_tokens=False).ids
-            assert [i for _, b in ids for i in b] == t.b.encode(x), x
+    texts = [x for x in TEXTS + [r[1] for r in corpus] if x]
+    parts = [T.text_parts(x) for x in texts]
+    for x, aligned in zip(texts, T.Aligner(t).texts(texts)):
+        a, b = t.a.encode(" " + x, add_special_tokens=False).ids, t.b.encode(x)
+        if b"".join(t.b_bytes[i] for i in b) != (" " + x).encode():
+            assert aligned is None
+            continue
+        groups = [g.split("|") for p in aligned for g in p[4].split(";")]
+        assert [int(i) for g in groups for i in g[0].split(",")] == a
+        assert [int(i) for g in groups for i in g[1].split(",")] == b
+    assert all("".join(p) == " " + x for p, x in zip(parts, texts))
 
 
 def test_identity_map():
