@@ -4,7 +4,6 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from cohortlens import schemas as S
 from cohortlens.operators import store as st
 from cohortlens.operators import train as tr
 from cohortlens.operators.score import score
+from cohortlens.operators.tree_model import load_model
 from cohortlens.session import path_exists
 
 RULES = {"logistic": ">", "random_forest": ">", "boosted_a": ">=", "boosted_b": ">=", "neural": ">="}
@@ -34,13 +34,13 @@ def train(spark: SparkSession, kind: str, df: DataFrame, runs_path: str, models_
     return run_id
 
 
-def latest_model(spark: SparkSession, runs_path: str, kind: str, top: int = 20) -> tuple[str, PipelineModel] | None:
+def latest_model(spark: SparkSession, runs_path: str, kind: str, top: int = 20) -> tuple | None:
     """Newest finished run of a model slot whose artifact is there, among its ``top`` newest; None if there is none."""
     runs = (spark.read.parquet(runs_path).where((F.col("experiment") == tr.EXPERIMENTS[kind]) & (F.col("status") == "FINISHED"))
             .orderBy(F.desc("start_time"), F.desc("run_id")).select("run_id", "artifact_uri").limit(top).collect())
     for r in runs:
         if r.artifact_uri and not r.artifact_uri.startswith(st.SERVER_ARTIFACTS) and path_exists(spark, f"{r.artifact_uri}/metadata"):
-            return r.run_id, PipelineModel.load(r.artifact_uri)
+            return r.run_id, load_model(spark, r.artifact_uri)
     return None
 
 

@@ -1,6 +1,7 @@
-"""Distributed model training and tuning on MLlib.
+"""Distributed model training and tuning.
 
-Every model is a ``Pipeline``: stateless encodings as a ``SQLTransformer``
+Tree ensembles are grown by ``boosting``, the other models by MLlib. Every model's
+features come from a ``Pipeline``: stateless encodings as a ``SQLTransformer``
 (binary maps, ordinal codes, fixed scaling), fitted encoders
 (``StringIndexer`` / ``OneHotEncoder``), ``VectorAssembler`` and the
 classifier. The fitted ``PipelineModel`` therefore scores raw request rows
@@ -11,16 +12,14 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
+from cohortlens.operators.boosting import fit_trees
 from cohortlens.operators.encode import assembler, logistic_columns, one_hot_stages
 from cohortlens.operators.evaluate import holdout_metrics
 from cohortlens.operators.score import decision
@@ -115,28 +114,6 @@ def sample_space(space: dict, n: int, seed: int = S.RANDOM_STATE) -> list[dict]:
     return out
 
 
-def rf_params(est: RandomForestClassifier, p: dict) -> dict:
-    return {est.numTrees: int(p["n_estimators"]), est.maxDepth: int(p["max_depth"]),
-            est.minInstancesPerNode: int(p["min_samples_leaf"]), est.bootstrap: bool(p["bootstrap"]),
-            est.weightCol: "w_balanced" if p["class_weight"] == "balanced" else "w_one"}
-
-
-def boosted_a_params(est: GBTClassifier, p: dict) -> dict:
-    return {est.maxIter: int(p["n_estimators"]), est.maxDepth: int(p["max_depth"]),
-            est.stepSize: float(p["learning_rate"]), est.subsamplingRate: float(p["subsample"]),
-            est.featureSubsetStrategy: str(p["colsample_bytree"]),
-            est.minInstancesPerNode: int(p["min_child_weight"]), est.minInfoGain: float(p["gamma"])}
-
-
-def boosted_b_params(est: GBTClassifier, p: dict, min_bins: int = 32) -> dict:
-    return {est.maxIter: int(p["iterations"]), est.maxDepth: int(p["depth"]),
-            est.stepSize: float(p["learning_rate"]), est.maxBins: max(int(p["border_count"]), min_bins)}
-
-
-def f1_evaluator() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-
-
 # ---------------------------------------------------------------------------
 # Training entry points
 # ---------------------------------------------------------------------------
@@ -174,53 +151,8 @@ def split(df: DataFrame, key: str = "enrol_key", label: str = "dropout", materia
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
-def _fit_search(pipeline_prefix, est, param_fn, space, n_iter, folds, train, parallelism):
-    """M2-M5: random search with k-fold CV (hash folds, M6) on MLlib.
-
-    The feature stages are fitted once on the training split (the
-    reference also fits its encoders before splitting), and the assembled
-    vectors are persisted; ``CrossValidator`` then refits only the
-    classifier for each fold x candidate instead of re-running the encoder
-    fits and the assembly every time."""
-    from pyspark import StorageLevel
-    from pyspark.ml import PipelineModel
-    cands = sample_space(space, n_iter)
-    maps = [param_fn(est, p) for p in cands]
-    prep = Pipeline(stages=list(pipeline_prefix)).fit(train)
-    cols = ["features", "label", "w_balanced", "w_pos", "w_one"]
-    data = assign_folds(prep.transform(train), "enrol_key", "label", folds, S.RANDOM_STATE)
-    data = data.select(*cols, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=f1_evaluator(),
-                            numFolds=folds, foldCol="fold", parallelism=parallelism, seed=S.RANDOM_STATE)
-        cvm = cv.fit(data)
-    finally:
-        data.unpersist()
-    best = max(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
-    return PipelineModel(stages=[*prep.stages, cvm.bestModel]), cands[best], cands, list(cvm.avgMetrics)
-
-
-def _fit_given(pipeline_prefix, est, param_fn, params: dict, train):
-    """One fit with stated hyperparameters, without a search."""
-    from pyspark.ml import PipelineModel
-    prep = Pipeline(stages=list(pipeline_prefix)).fit(train)
-    model = est.copy(param_fn(est, params)).fit(prep.transform(train))
-    return PipelineModel(stages=[*prep.stages, model]), params
-
-
-def max_bins_for(df: DataFrame, floor: int = 32) -> int:
-    """A20 applied: tree ``maxBins`` must cover the largest nominal arity
-    (+1 for the 'None' / unknown code). One aggregation, one row."""
-    from cohortlens.operators.score import cardinalities
-    cols = [c for c in S.NOMINAL_FEATURES if c in df.columns]
-    if not cols:
-        return floor
-    row = cardinalities(df, cols).first()
-    return max([floor] + [int(row[c]) + 1 for c in cols])
-
-
 def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
-                space: dict | None = None, parallelism: int = 2, params: dict | None = None):
+                space: dict | None = None, params: dict | None = None):
     """Train one of the five model slots and score its test split.
 
     ``params`` states the hyperparameters of a forest or boosted model; without
@@ -241,24 +173,13 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
                                     tol=LOGISTIC_TOL)
             model = Pipeline(stages=[*logistic_stages(train, cols), lr]).fit(train)
             params, rule = {"C": LOGISTIC_C, "max_iter": LOGISTIC_MAX_ITER, "class_weight": "balanced"}, ">"
-        elif kind == "random_forest":
-            n_iter, folds = search or SEARCH_SIZES["random_forest"]
-            est = RandomForestClassifier(seed=S.RANDOM_STATE, featureSubsetStrategy="sqrt",
-                                         maxBins=max_bins_for(train))
-            stages, fn, sp = tree_stages(S.FEATURE_COLS), rf_params, space or RF_SPACE
-            rule = ">"
-        elif kind in ("boosted_a", "boosted_b"):
+        elif kind in SEARCH_SIZES:
             n_iter, folds = search or SEARCH_SIZES[kind]
-            bins = max_bins_for(train)
-            if kind == "boosted_a":
-                est = GBTClassifier(seed=S.RANDOM_STATE, weightCol="w_pos", maxBins=bins)
-                fn, sp = boosted_a_params, space or BOOSTED_A_SPACE
-            else:
-                est = GBTClassifier(seed=S.RANDOM_STATE, maxBins=bins)
-                fn = lambda e, p: boosted_b_params(e, p, bins)
-                sp = space or BOOSTED_B_SPACE
-            stages = tree_stages(S.EARLY_FEATURE_COLS)
-            rule = ">="
+            features = S.FEATURE_COLS if kind == "random_forest" else S.EARLY_FEATURE_COLS
+            space = space or {"random_forest": RF_SPACE, "boosted_a": BOOSTED_A_SPACE, "boosted_b": BOOSTED_B_SPACE}[kind]
+            candidates = None if params else sample_space(space, n_iter)
+            model, params, _ = fit_trees(kind, train, tree_stages(features), features, params, candidates, folds)
+            rule = ">" if kind == "random_forest" else ">="
         elif kind == "neural":
             # nominal columns enter one-hot, the others as codes and numbers
             from pyspark.ml import PipelineModel
@@ -277,11 +198,6 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
             params, rule = {"layers": "16x16", "max_iter": 100}, ">="
         else:
             raise ValueError(kind)
-        if kind not in ("logistic", "neural"):
-            if params:
-                model, params = _fit_given(stages, est, fn, params, train)
-            else:
-                model, params, _, _ = _fit_search(stages, est, fn, sp, n_iter, folds, train, parallelism)
     finally:
         train.unpersist()
     scored = model.transform(test).withColumn("probability", vector_to_array("probability").getItem(1))
@@ -297,13 +213,6 @@ def emit_predictions(scored: DataFrame, model_name: str, run_id: str) -> DataFra
                          F.lit(run_id).alias("run_id"))
 
 
-def importances(model, feature_cols: list[str]) -> list[tuple[str, float]]:
-    """Impurity-based importances of a fitted tree-ensemble pipeline."""
-    tree = model.stages[-1]
-    imp = tree.featureImportances.toArray()
-    return sorted(zip(feature_cols, [float(v) for v in imp]), key=lambda t: -t[1])
-
-
 def permutation_importance(model, df: DataFrame, feature_cols: list[str], key: str = "enrol_key",
                            seed: int = S.RANDOM_STATE, buckets: int | None = None) -> DataFrame:
     """Distributed permutation importance: per feature, the column is

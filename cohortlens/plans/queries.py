@@ -14,6 +14,8 @@ from cohortlens import schemas as S
 from cohortlens.operators import cleaning, cluster as clu, encode as enc, evaluate as ev
 from cohortlens.operators import features as feat
 from cohortlens.operators import report as rep, score as sc, split as sp, store as st, train as tr
+from cohortlens.operators.boosting import prepared_rows, search_scores
+from cohortlens.operators.tree_model import load_model
 from cohortlens.plans import sqlgen as G
 from cohortlens.plans.registry import query
 from cohortlens.session import scratch_path
@@ -751,14 +753,11 @@ def q_feature_select_logistic(spark, sf_dir):
 # 2.7 training (rows-only: model outputs cannot equal the reference's RNG)
 # ----------------------------------------------------------------------------
 
-# The forest searches (M2, M5) have the reference's sizes, which are the library
-# defaults. The boosted searches keep its spaces but fewer candidates, folds and rounds
-# (README, "Search sizes"). Queries that need one model state its parameters.
-SEARCH = (2, 2)
-A_SPACE = {**tr.BOOSTED_A_SPACE, "n_estimators": [15, 20]}
-B_SPACE = {**tr.BOOSTED_B_SPACE, "iterations": [15, 20]}
-RF_PARAMS = {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 2, "bootstrap": True, "class_weight": "balanced"}
-A_PARAMS = {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.7,
+# Searches have the reference's sizes and spaces, which are the library defaults.
+# Queries that need one model state its parameters.
+RF_PARAMS = {"n_estimators": 100, "max_depth": 8, "min_samples_split": 2, "min_samples_leaf": 2, "bootstrap": True,
+             "class_weight": "balanced"}
+A_PARAMS = {"n_estimators": 500, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.7,
             "min_child_weight": 1, "gamma": 0}
 
 
@@ -774,8 +773,8 @@ def _checked(preds, rule):
                         (F.col("predicted") == sure.cast("int")).alias("follows_rule"))
 
 
-def _train_and_emit(spark, kind, df, search=None, space=None):
-    r = tr.train_model(kind, df, search=search, space=space)
+def _train_and_emit(spark, kind, df):
+    r = tr.train_model(kind, df)
     return _checked(tr.emit_predictions(r["test_scored"], tr.MODEL_NAMES[kind], f"run-{kind}"), r["rule"])
 
 
@@ -799,23 +798,25 @@ def q_train_random_forest(spark, sf_dir):
 
 @query("train_boosted_a", "M3", _holdout_sql("boosted_a"), ("students",))
 def q_train_boosted_a(spark, sf_dir):
-    return _train_and_emit(spark, "boosted_a", _early(spark, sf_dir), SEARCH, A_SPACE)
+    return _train_and_emit(spark, "boosted_a", _early(spark, sf_dir))
 
 
 @query("train_boosted_b", "M4", _holdout_sql("boosted_b"), ("students",))
 def q_train_boosted_b(spark, sf_dir):
-    return _train_and_emit(spark, "boosted_b", _early(spark, sf_dir), SEARCH, B_SPACE)
+    return _train_and_emit(spark, "boosted_b", _early(spark, sf_dir))
 
 
 @query("random_search", "M5")
 def q_random_search(spark, sf_dir):
-    from pyspark.ml.classification import RandomForestClassifier
+    """Every sampled forest candidate with its mean F1 over the folds."""
     d = tr.with_weights(_t(spark, sf_dir).students)
     train, _ = tr.split(d)
-    est = RandomForestClassifier(seed=S.RANDOM_STATE, maxBins=tr.max_bins_for(train))
-    _, best, cands, metrics = tr._fit_search(tr.tree_stages(S.FEATURE_COLS), est, tr.rf_params, tr.RF_SPACE,
-                                             *tr.SEARCH_SIZES["random_forest"], train, 2)
-    rows = [(i, str(sorted(c.items())), float(m), c == best) for i, (c, m) in enumerate(zip(cands, metrics))]
+    n, folds = tr.SEARCH_SIZES["random_forest"]
+    candidates = tr.sample_space(tr.RF_SPACE, n)
+    _, rows, borders = prepared_rows("random_forest", train, tr.tree_stages(S.FEATURE_COLS), S.FEATURE_COLS, folds)
+    scores = search_scores(spark, "random_forest", rows, borders, candidates, folds)
+    best = max(range(n), key=lambda i: scores[i])
+    rows = [(i, str(sorted(c.items())), m, i == best) for i, (c, m) in enumerate(zip(candidates, scores))]
     return spark.createDataFrame(rows, "candidate int, params string, cv_f1 double, is_best boolean")
 
 
@@ -850,12 +851,11 @@ SELECT enrol_key, true AS same FROM (SELECT enrol_key,
   row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 42)}, enrol_key) AS rn,
   count(*) OVER (PARTITION BY dropout) AS cnt FROM students) x WHERE rn <= ceil(cnt * 0.2)""", ("students",))
 def q_save_load_model(spark, sf_dir):
-    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
     r = tr.train_model("random_forest", _t(spark, sf_dir).students, params=RF_PARAMS)
     path = scratch_path(spark, "model-rf")
     r["model"].write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+    loaded = load_model(spark, path)
     again = loaded.transform(r["test_scored"].select(*_t(spark, sf_dir).students.columns, "label", "w_balanced",
                                                      "w_pos", "w_one"))
     again = again.select("enrol_key", vector_to_array("probability").getItem(1).alias("reloaded_probability"))
@@ -866,11 +866,28 @@ def q_save_load_model(spark, sf_dir):
 
 @query("feature_importance", "M11")
 def q_feature_importance(spark, sf_dir):
+    """Per feature: share of split gains, mean absolute attribution on held-out rows, loss of AUC when permuted."""
     r = tr.train_model("boosted_a", _early(spark, sf_dir), params=A_PARAMS)
-    imp = spark.createDataFrame(tr.importances(r["model"], S.EARLY_FEATURE_COLS), "feature string, importance double")
+    imp = spark.createDataFrame(r["model"].importances(), "feature string, importance double")
     test = r["test_scored"].select(*_early(spark, sf_dir).columns)
+    mean = r["model"].attributions(test, "enrol_key").groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_attribution"))
     perm = tr.permutation_importance(r["model"], test, S.EARLY_FEATURE_COLS)
-    return imp.join(perm, "feature", "left")
+    return imp.join(mean, "feature", "left").join(perm, "feature", "left")
+
+
+@query("feature_attributions", "M11", f"""
+SELECT enrol_key, unnest([{', '.join(f"'{c}'" for c in S.EARLY_FEATURE_COLS)}]) AS feature, true AS row_adds_up
+FROM (SELECT enrol_key, row_number() OVER (PARTITION BY dropout ORDER BY {_md5_hash_sql('enrol_key', 42)}, enrol_key) AS rn,
+  count(*) OVER (PARTITION BY dropout) AS cnt FROM students) x WHERE rn <= ceil(cnt * 0.2)""", ("students",))
+def q_feature_attributions(spark, sf_dir):
+    """What each feature adds to each held-out row's margin; a row's values and the base are its margin to 1e-9."""
+    model = tr.train_model("boosted_a", _early(spark, sf_dir), params=A_PARAMS)
+    test = model["test_scored"].select(*_early(spark, sf_dir).columns)
+    values = model["model"].attributions(test, "enrol_key")
+    sums = values.groupBy("enrol_key").agg(F.sum("value").alias("total"))
+    sums = sums.join(model["model"].margins(test).select("enrol_key", "margin"), "enrol_key").select(
+        "enrol_key", (F.abs(F.col("total") + F.lit(model["model"].base()) - F.col("margin")) < 1e-9).alias("row_adds_up"))
+    return values.join(sums, "enrol_key").select("enrol_key", "feature", "row_adds_up")
 
 
 @query("train_neural", "M12", _holdout_sql("neural"), ("students",))

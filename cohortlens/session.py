@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -101,3 +103,19 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete a scratch copy that its job no longer reads."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's code to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="cohortlens-lib-")) / "cohortlens_lib.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)

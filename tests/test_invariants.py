@@ -62,16 +62,16 @@ def test_move_conserves_rows_and_empty_move(spark, tables):
 
 
 def test_model_probabilities_and_reload(spark, tables):
-    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
     from cohortlens.operators import train as tr
+    from cohortlens.operators.tree_model import load_model
     r = tr.train_model("random_forest", tables.students, params=SMALL_FOREST)
     sc = r["test_scored"]
     assert sc.where((F.col("probability") < 0) | (F.col("probability") > 1)).count() == 0
     path = scratch_path(spark, "t-model")
     r["model"].write().overwrite().save(path)
-    again = PipelineModel.load(path).transform(sc.drop("probability", "predicted", "features", "rawPrediction",
+    again = load_model(spark, path).transform(sc.drop("probability", "predicted", "features", "rawPrediction",
                                                        "prediction", *[c for c in sc.columns if c.endswith(("_idx", "_bin", "_ord", "_str"))]))
     a = {x.enrol_key: x.p for x in again.select("enrol_key", vector_to_array("probability")[1].alias("p")).collect()}
     b = {x.enrol_key: x.probability for x in sc.select("enrol_key", "probability").collect()}
