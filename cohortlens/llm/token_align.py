@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,7 @@ class Tokenizers:
     """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs the tasks side by side
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -163,28 +166,34 @@ def text_parts(text: str) -> list[str]:
 
 
 class Aligner:
-    """Aligns texts, remembering the parts they share."""
+    """Aligns texts, remembering the parts they share.
+
+    Two tables of bounded size: parts seen lately, and those of the table before,
+    from which a part that occurs again moves over.
+    """
 
     def __init__(self, tokenizers: Tokenizers):
-        self.t, self.known, self.held = tokenizers, {}, 0
+        self.t, self.known, self.older, self.held = tokenizers, {}, {}, 0
 
     def texts(self, texts: list[str | None]) -> list[list[tuple] | None]:
         """Aligned parts of every text; None for NULL, empty and texts whose bytes differ."""
         split = [(text_parts(x) if self.t.by_parts else [" " + x]) if x else None for x in texts]
         if self.held > KEPT_PARTS:
-            self.known, self.held = {}, 0
-        new = list({p for parts in split if parts for p in parts if p not in self.known})
-        known, found = self.known, dict(zip(new, self.t.align(new)))
-        known.update(found)
+            self.known, self.older, self.held = {}, self.known, 0
+        known = self.known
+        missing = set().union(*[x for x in split if x]).difference(known)
+        again = missing & self.older.keys()
+        known.update({p: self.older[p] for p in again})
+        new = list(missing - again)
+        known.update(zip(new, self.t.align(new)))
         out = []
         for parts in split:
             aligned = [known[p] for p in parts] if parts else None
             out.append(None if aligned is None or None in aligned else aligned)
-        for p in found:
-            if len(p) > LONG_PART:
-                del known[p]
-            else:
-                self.held += len(p)
+        for p in [p for p in new if len(p) > LONG_PART]:
+            del known[p]
+            missing.discard(p)
+        self.held += sum(map(len, missing))
         return out
 
 
@@ -197,7 +206,7 @@ def _documents(path_a: str, path_b: str, carry: list[str], with_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = Aligner(load(path_a, path_b)), TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes = [len(x) if x else 0 for x in batch.column("text").to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             at = 0
             while at < batch.num_rows:
                 stop, total = at, 0
@@ -213,13 +222,13 @@ def _documents(path_a: str, path_b: str, carry: list[str], with_groups: bool):
                         hashes.append("")
                         groups.append("")
                     else:
-                        links = np.concatenate([x[3] for x in aligned])
+                        n_a, n_b, n_groups, links, writings = zip(*aligned)
+                        links = np.concatenate(links)
                         distinct, n = np.unique(links, return_counts=True)
                         pairs.append(distinct)
                         times.append(n)
-                        counts.append((sum(x[0] for x in aligned), sum(x[1] for x in aligned),
-                                       sum(x[2] for x in aligned), len(links)))
-                        written = ";".join([x[4] for x in aligned])
+                        counts.append((sum(n_a), sum(n_b), sum(n_groups), len(links)))
+                        written = ";".join(writings)
                         hashes.append(hashlib.sha256(written.encode()).hexdigest())
                         groups.append(written if with_groups else "")
                     offsets.append(offsets[-1] + (len(pairs[-1]) if aligned is not None else 0))
