@@ -7,68 +7,46 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import round_to
 from cohortlens.functions.expressions import safe_ratio
+from cohortlens.session import scratch_path
 
-# AUC score buckets: logit(score) clamped to +-LOGIT_RANGE, LOGIT_RES buckets per
-# unit -- about 1.3M buckets per group, finer where probabilities crowd (tails).
-LOGIT_RANGE, LOGIT_RES = 40.0, 1 << 14
-AUC_BUCKETS = LOGIT_RES  # kept as the resolution parameter name
 
-
-def score_bucket(score: str, res: int = LOGIT_RES):
-    """Monotone bucket of a probability: floor(logit(p) * res), clamped; p <= 0
-    and p >= 1 take the end buckets. Monotone non-decreasing in p (division
-    and log are semi-monotonic), so bucket order never contradicts score
-    order; ties inside a bucket are ordered by the exact score."""
-    pc = F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0))
-    lg = F.log(F.try_divide(pc, F.lit(1.0) - pc))
-    top = int(LOGIT_RANGE * res) + 1
-    raw = F.floor(F.least(F.greatest(lg, F.lit(-LOGIT_RANGE)), F.lit(LOGIT_RANGE)) * F.lit(float(res)))
-    return (F.when(pc <= 0.0, F.lit(-top)).when(pc >= 1.0, F.lit(top))
-             .otherwise(F.coalesce(raw, F.lit(-top)))).cast("long")
-
-
-def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability",
-              label: str = "label", buckets: int = AUC_BUCKETS) -> DataFrame:
+def exact_auc(df: DataFrame, group_cols: list[str], score: str = "probability", label: str = "label") -> DataFrame:
     """A5: exact rank AUC (ties count 1/2) per group, fully distributed.
 
     AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N), NULL when a group
-    has only one class. Scores are cut into monotone buckets on the logit
-    scale (``score_bucket``: fine where probabilities crowd near 0 or 1, so
-    a confident model's scores do not pile into one bucket); order inside a
-    bucket is by exact score:
-
-      sum(pos * neg_below) = sum over scores of pos * (negatives below it in
-                             its own bucket)                       -- term 1
-                           + sum over buckets of P_b * N_(buckets below b)
-                                                                   -- term 2
-    1. rows collapse to distinct (group, score) with positive / negative
-       counts (partial aggregation: raw rows never reach one task);
-    2. term 1 is a running sum inside (group, bucket) -- no window spans a
-       whole group, however large one model's share of the rows is;
-    3. term 2 needs only the per-bucket totals (about 1.3M rows per group at most).
-    The two per-group sums are joined on the group key only.
+    has only one class.
+
+    1. Rows collapse to distinct (group, score) with positive and negative counts
+       (partial aggregation: raw rows never reach one task).
+    2. These are range-partitioned by (group, score) and written; a row keeps the
+       number of its range. Each score is there once, so ranges are of like size
+       however the scores crowd, and no score lies on both sides of an edge.
+    3. ``neg_below`` is the negatives of the group's earlier ranges, from one row a
+       range and group, and a running sum within the range.
     """
     if not group_cols:
-        return exact_auc(df.withColumn("_all", F.lit(1)), ["_all"], score, label, buckets).drop("_all")
-    b = score_bucket(score, buckets)
-    g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-           .groupBy(*group_cols, score)
-           .agg(F.sum(F.col(label).cast("long")).alias("_np"),
-                F.sum(1 - F.col(label).cast("long")).alias("_nn"))
-           .withColumn("_b", b))
-    wi = Window.partitionBy(*group_cols, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t1 = (g.withColumn("_below", F.coalesce(F.sum("_nn").over(wi), F.lit(0)))
-           .groupBy(*group_cols)
-           .agg(F.sum(F.col("_np") * (F.col("_below") + F.col("_nn") / 2.0)).alias("_t1"),
-                F.sum("_np").alias("_p"), F.sum("_nn").alias("_n")))
-    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    t2 = (g.groupBy(*group_cols, "_b").agg(F.sum("_np").alias("_pb"), F.sum("_nn").alias("_nb"))
-           .withColumn("_nbelow", F.coalesce(F.sum("_nb").over(wb), F.lit(0)))
-           .groupBy(*group_cols).agg(F.sum(F.col("_pb").cast("double") * F.col("_nbelow")).alias("_t2")))
-    j = t1.join(t2, group_cols)
+        return exact_auc(df.withColumn("_all", F.lit(1)), ["_all"], score, label).drop("_all")
+    distinct = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+                .groupBy(*group_cols, score)
+                .agg(F.sum(F.col(label).cast("long")).alias("_np"), F.sum(1 - F.col(label).cast("long")).alias("_nn")))
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "auc-ranges")
+    ranged = distinct.repartitionByRange(*group_cols, score).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    earlier = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*group_cols, "_range").agg(F.sum("_nn").alias("_total"))
+               .withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))))
+    inside = Window.partitionBy(*group_cols, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    within = (ranged.withColumn("_below", F.coalesce(F.sum("_nn").over(inside), F.lit(0)))
+              .groupBy(*group_cols, "_range")
+              .agg(F.sum(F.col("_np") * (F.col("_below") + F.col("_nn") / 2.0)).alias("_pairs"), F.sum("_np").alias("_p")))
+    same = [within[c].eqNullSafe(offsets[c]) for c in (*group_cols, "_range")]
+    joined = within.join(offsets, same).select(*[within[c] for c in group_cols], "_pairs", "_p", "_before", "_total")
     # products in double: P * N overflows a long beyond ~3e9 rows per class
-    den = F.col("_p").cast("double") * F.col("_n").cast("double")
-    return j.select(*group_cols, safe_ratio(F.col("_t1") + F.col("_t2"), den).alias("auc"))
+    sums = joined.groupBy(*group_cols).agg(
+        F.sum(F.col("_pairs") + F.col("_p").cast("double") * F.col("_before")).alias("_won"),
+        F.sum("_p").alias("_p"), F.sum("_total").alias("_n"))
+    return sums.select(*group_cols, safe_ratio(F.col("_won"), F.col("_p").cast("double") * F.col("_n")).alias("auc"))
 
 
 def _counts(df: DataFrame, group_cols, label, pred):

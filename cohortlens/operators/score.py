@@ -3,7 +3,11 @@ request validation and completion (F15, F16, I1), scoring (I2, M7) and
 saving scored rows (I3)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,116 +21,124 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NUMERIC)
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 1_000_000) -> dict:
-    """Exact interpolated medians of numeric columns without gathering a
-    column's values (or a value -> count map) into one task.
-
-    1. one aggregation: count and ``percentile_approx`` at 0.5 -/+ 3/accuracy
-       per column -- a window [lo, hi] that provably holds the two middle
-       ranks (the sketch's rank error is at most n/accuracy);
-    2. one aggregation: rows below lo and rows inside [lo, hi] per column;
-    3. only the distinct values inside the windows (about 6n/accuracy rows
-       per column) are counted and ranked -- a bounded table.
-    A window that misses a middle rank (not expected) is widened to the
-    whole column for that column only. Returns {column: median or None}.
-    """
-    from pyspark.sql import Window
-    d = 3.0 / accuracy
-    probes = [max(0.0, 0.5 - d), min(1.0, 0.5 + d)]
-    st = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-                *[F.percentile_approx(F.col(c).cast("double"), probes, accuracy).alias(f"q_{i}")
-                  for i, c in enumerate(cols)]).first()
-    n = {c: int(st[f"n_{i}"]) for i, c in enumerate(cols)}
-    win = {c: (st[f"q_{i}"][0], st[f"q_{i}"][1]) if st[f"q_{i}"] else (None, None) for i, c in enumerate(cols)}
-    live = [c for c in cols if n[c] > 0]
-    if not live:
-        return {c: None for c in cols}
-
-    def inside(c, lo, hi):
-        x = F.col(c).cast("double")
-        return x.between(F.lit(lo), F.lit(hi)) if lo is not None else x.isNotNull()
-
-    cnt = df.agg(*[F.count(F.when(F.col(c).cast("double") < F.lit(win[c][0]), 1)).alias(f"b_{i}")
-                   for i, c in enumerate(live)],
-                 *[F.count(F.when(inside(c, *win[c]), 1)).alias(f"w_{i}") for i, c in enumerate(live)]).first()
-    below = {}
-    for i, c in enumerate(live):
-        b, w = int(cnt[f"b_{i}"]), int(cnt[f"w_{i}"])
-        k1, k2 = (n[c] - 1) // 2, n[c] // 2
-        if not (b <= k1 and k2 < b + w):
-            win[c], b = (None, None), 0          # widen to the whole column
-        below[c] = b
-    parts = None
-    for c in live:
-        x = F.col(c).cast("double")
-        p = (df.where(inside(c, *win[c])).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-               .withColumn("col", F.lit(c)))
-        parts = p if parts is None else parts.unionByName(p)
-    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = parts.withColumn("cum", F.sum("cnt").over(w))
-    conds = None
-    for c in live:
-        k1, k2 = (n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]
-        cond = (F.col("col") == c) & (F.col("cum") > k1) & (F.col("cum") - F.col("cnt") <= k2)
-        conds = cond if conds is None else conds | cond
-    picked = {}
-    for r in ranked.where(conds).select("col", "v", "cum", "cnt").collect():   # <= 2 rows per column
-        picked.setdefault(r.col, []).append((r.v, r.cum, r.cnt))
-    out = {c: None for c in cols}
-    for c in live:
-        k1, k2 = (n[c] - 1) // 2 - below[c], n[c] // 2 - below[c]
-        vals = sorted(picked.get(c, []))
-        at = lambda k: next(v for v, cum, cnt in vals if cum - cnt <= k < cum)
-        lo, hi = at(k1), at(k2)
-        out[c] = lo + (hi - lo) * 0.5
-    return out
-
+DIGIT = 16                 # bits that one pass of a selection settles
 
-MAX_EXACT_MAP = 200_000
 
+def with_order_code(rows: DataFrame, x: str, code: str) -> DataFrame:
+    """``rows`` with a 64-bit integer that orders the doubles of column ``x``: equal for equal values, larger for larger ones.
 
-def medians(df: DataFrame, cols: list[str], max_map: int = MAX_EXACT_MAP, card: dict | None = None) -> dict:
-    """Exact medians with bounded task memory, chosen per column:
-    low-cardinality columns (approx. distinct count <= ``max_map``) use the
-    built-in ``median`` (a value -> count map, bounded by that cardinality);
-    high-cardinality columns use the windowed method of ``exact_medians``."""
-    if card is None:
-        card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
-    small = [c for c in cols if (card.get(c) or 0) <= max_map]
-    wide = [c for c in cols if c not in small]
+    Exponent and fraction of the magnitude side by side, with its sign: the
+    exponent from a logarithm, put right by comparison with the powers of two
+    around it; values below the normal range are multiples of 2^-1074. NULL and
+    NaN have no code.
+    """
+    size, power, near = (F.col(f"__{n}") for n in ("size", "power", "near"))
+    rows = (rows.withColumn("__size", F.abs(x)).withColumn("__near", F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int"))
+            .withColumn("__power", F.when(size < F.pow(F.lit(2.0), near), near - 1)
+                        .when(size >= F.pow(F.lit(2.0), near + 1), near + 1).otherwise(near)))
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)).cast("long")
+    tiny = (size * float(2 ** 537) * float(2 ** 537)).cast("long")
+    rows = rows.withColumn("__size", F.when(size == 0, F.lit(0).cast("long")).when(size < 2.0 ** -1022, tiny)
+                           .when(size == float("inf"), F.lit(2047 << 52)).otherwise((power + 1023).cast("long") * (1 << 52) + fraction))
+    rows = rows.withColumn(code, F.when(~F.isnan(x), F.when(F.col(x) < 0, -size).otherwise(size)))
+    return rows.drop("__size", "__power", "__near")
+
+
+def coded_value(code: int) -> float:
+    """The double of an :func:`order_code`."""
+    size = struct.unpack("<d", struct.pack("<q", abs(code)))[0]
+    return -size if code < 0 else size
+
+
+def medians(df: DataFrame, cols: list[str]) -> dict:
+    """Exact interpolated medians of numeric columns by radix selection, whatever the number of values.
+
+    Values become 64-bit codes in their order. A pass counts, for all columns
+    together, the next 16 bits of the codes that share the bits settled so far
+    with a middle rank, and settles them; four passes give the whole code. No
+    value is sorted or kept: a pass leaves at most 65,536 counts a column and
+    rank, and partial counts combine before the shuffle. NULL and NaN are no values.
+    """
+    if not cols:
+        return {}
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
+    codes = df.select(F.explode(values).alias("v")).select("v.i", "v.x")
+    codes = with_order_code(codes, "x", "code").where("code is not null")
+    # a generator keeps the passes' filters from being pushed into, and so repeating, the code's expression
+    codes = codes.select(F.explode(F.array(F.struct("i", "code"))).alias("v")).select("v.i", "v.code")
+    # (column, which middle rank) -> (bits settled, rank left among the codes that share them)
+    ranks: dict[tuple[int, int], tuple[int, int | None]] = {(i, m): (0, None) for i in range(len(cols)) for m in (0, 1)}
+    for step in range(64 // DIGIT):
+        shift = 64 - DIGIT * (step + 1)
+        rows = codes
+        if step:
+            settled = [(F.col("i") == i) & (F.shiftright("code", shift + DIGIT) == p) for i, p in sorted({(i, p) for (i, _), (p, _) in ranks.items()})]
+            rows = codes.where(reduce(or_, settled))
+        counts = rows.groupBy("i", F.shiftright("code", shift).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+        group = Window.partitionBy("i", F.shiftright("digits", DIGIT) if step else F.lit(0))
+        upto = group.orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(group))
+        wanted = F.lit(False)
+        if step == 0:    # the number of values gives the middle ranks
+            for rank in (F.expr("(all - 1) div 2"), F.expr("all div 2")):
+                wanted = wanted | ((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")))
+        else:
+            for (i, _), (prefix, rank) in ranks.items():
+                wanted = wanted | ((F.col("i") == i) & (F.shiftright("digits", DIGIT) == prefix)
+                                   & (F.lit(rank) >= F.col("upto") - F.col("n")) & (F.lit(rank) < F.col("upto")))
+        found = counts.where(wanted).collect()          # at most two rows a column
+        settled_now = {}
+        for (i, m), (prefix, rank) in ranks.items():
+            for r in found:
+                left = ((r["all"] - 1) // 2 if m == 0 else r["all"] // 2) if step == 0 else rank
+                if r["i"] == i and (step == 0 or r["digits"] >> DIGIT == prefix) and r["upto"] - r["n"] <= left < r["upto"]:
+                    settled_now[i, m] = (r["digits"], left - (r["upto"] - r["n"]))
+        ranks = settled_now
+        if not ranks:
+            break
     out = {}
-    if small:
-        out.update(df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in small]).first().asDict())
-    if wide:
-        out.update(exact_medians(df, wide))
+    for i, c in enumerate(cols):
+        if (i, 0) in ranks:
+            low, high = (coded_value(ranks[i, m][0]) for m in (0, 1))
+            out[c] = low if low == high else low + (high - low) * 0.5
+        else:
+            out[c] = None
     return out
 
 
+def modes(df: DataFrame, cols: list[str]) -> dict:
+    """The most frequent value of each column (ties: the smallest; NULL skipped), counted by value in one unpivot."""
+    if not cols:
+        return {}
+    values = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")))
+                                       for i, c in enumerate(cols)]))
+    counts = df.select(F.explode(values).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v")).collect()     # a row a column
+    found = {cols[r["i"]]: r["v"] for r in best}
+    return {c: found.get(c) for c in cols}
+
+
 def defaults_profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """One row; numeric column -> median (interpolated), other -> mode
     (smallest value on ties), NULLs skipped.
 
-    Medians are exact with bounded task memory (``medians``); ``approx=True``
-    uses ``percentile_approx`` alone. Modes are partial aggregates over
-    value -> count maps of categorical columns (bounded by their categories)
-    and share one pass with the numeric columns' cardinality sketch.
+    Medians are exact (``medians``); ``approx=True`` uses ``percentile_approx``.
     """
     num = [c for c in cols if _is_numeric(df, c)]
     cat = [c for c in cols if c not in num]
-    first = df.agg(*[F.mode(c, deterministic=True).alias("m_" + c) for c in cat],
-                   *[(F.percentile_approx(F.col(c).cast("double"), 0.5, 100000) if approx
-                      else F.approx_count_distinct(c)).alias("n_" + c) for c in num]).first()
-    first = first.asDict() if first is not None else {}
-    modes = {c: first.get("m_" + c) for c in cat}
-    if approx:
-        med = {c: first.get("n_" + c) for c in num}
+    if approx and num:
+        med = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c) for c in num]).first().asDict()
+        most = modes(df, cat)
     else:
-        med = medians(df, num, card={c: first.get("n_" + c) for c in num}) if num else {}
-    values = [float(med[c]) if med.get(c) is not None else None for c in num] + [modes.get(c) for c in cat]
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in num]
-                          + [T.StructField(c, df.schema[c].dataType) for c in cat])
+        kept = df.select(*cols).persist()      # five passes read it; it may be a join
+        try:
+            med, most = medians(kept, num), modes(kept, cat)
+        finally:
+            kept.unpersist()
+    values = [float(med[c]) if med.get(c) is not None else None for c in num] + [most[c] for c in cat]
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in num] + [T.StructField(c, T.StringType()) for c in cat])
     out = df.sparkSession.createDataFrame([tuple(values)], schema)
-    return out.select(*cols)
+    return out.select(*[F.col(c).cast(df.schema[c].dataType) if c in cat else F.col(c) for c in cols])
 
 
 def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:

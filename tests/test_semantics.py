@@ -69,7 +69,7 @@ def test_auc_equals_brute_force(spark):
     pos = [p for p, y in rows if y == 1]
     neg = [p for p, y in rows if y == 0]
     brute = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
-    got = ev.exact_auc(df, ["g"], buckets=1).first().auc
+    got = ev.exact_auc(df, ["g"]).first().auc
     assert got == pytest.approx(brute, abs=1e-12)
     got2 = ev.exact_auc(df, ["g"]).first().auc
     assert got2 == pytest.approx(brute, abs=1e-12)
@@ -179,18 +179,42 @@ def test_click_features_handle_a_hot_enrolment(spark):
 
 
 def test_exact_medians_match_builtin(spark):
+    """Radix selection against the built-in median: crowded, signed, tiny, huge, missing and few values."""
     import random
 
-    from cohortlens.operators.score import exact_medians, medians
-    rnd = random.Random(3)
-    rows = [(rnd.random() * 100, float(rnd.randint(0, 5)), None if i % 9 == 0 else rnd.gauss(0, 1))
-            for i in range(2001)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    ref = df.agg(*[F.median(c).alias(c) for c in "abc"]).first().asDict()
-    got = exact_medians(df, ["a", "b", "c"], accuracy=100)        # coarse sketch: windows still exact
-    assert all(abs(got[c] - ref[c]) < 1e-12 for c in "abc")
-    got2 = medians(df, ["a", "b", "c"], max_map=10)               # 'a' and 'c' take the windowed path
-    assert all(abs(got2[c] - ref[c]) < 1e-12 for c in "abc")
+    from cohortlens.operators.score import medians, modes
+    rng = random.Random(5)
+    cols = {"a": lambda i: rng.gauss(0, 1), "b": lambda i: None if i % 3 else rng.choice([-1.5, -0.0, 0.0, 2.0]),
+            "c": lambda i: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-308, 308), "d": lambda i: float(i) if i < 2 else None,
+            "e": lambda i: None, "f": lambda i: 5e-324 * rng.randint(0, 9), "g": lambda i: float("nan") if i % 2 else i / 7}
+    rows = [tuple(f(i) for f in cols.values()) for i in range(501)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).withColumn("n", F.col("a").cast("int")).repartition(3)
+    got = medians(df, [*cols, "n"])
+    for j, c in enumerate(cols):
+        want = sorted(r[j] for r in rows if r[j] is not None and r[j] == r[j])
+        if want:
+            low, high = want[(len(want) - 1) // 2], want[len(want) // 2]
+            assert got[c] == (low if low == high else low + (high - low) * 0.5), c
+        else:
+            assert got[c] is None
+    assert got["n"] == df.agg(F.median("n")).first()[0]
+    assert medians(df.limit(0), ["a", "n"]) == {"a": None, "n": None} and medians(df, []) == {}
+    texts = spark.createDataFrame([("x", None), ("y", "b"), ("x", "a"), (None, "b"), ("y", "a")], "s string, t string")
+    assert modes(texts, ["s", "t"]) == {"s": "x", "t": "a"} and modes(texts.limit(0), ["s"]) == {"s": None}
+
+
+def test_order_codes_keep_the_order_and_the_value(spark):
+    import math
+
+    from cohortlens.operators.score import coded_value, with_order_code
+    values = sorted({s * v for e in range(-1074, 1024) for s in (1.0, -1.0)
+                     for v in (math.ldexp(1.0, e), math.nextafter(math.ldexp(1.0, e), 0), math.nextafter(math.ldexp(1.0, e), math.inf))})
+    df = spark.createDataFrame([(v,) for v in [*values, math.inf, -math.inf]], "x double")
+    got = {r.x: r.c for r in with_order_code(df, "x", "c").collect()}
+    codes = [got[v] for v in [-math.inf, *values, math.inf]]
+    assert all(a < b for a, b in zip(codes, codes[1:]))
+    assert all(coded_value(got[v]) == v for v in got)
+
 
 
 def _csv(tmp_path, name, text):
@@ -291,10 +315,27 @@ def test_auc_with_crowded_and_extreme_scores(spark):
     neg = [p for p, y in rows if y == 0]
     brute = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in pos for b in neg) / (len(pos) * len(neg))
     assert ev.exact_auc(df, ["g"]).first().auc == pytest.approx(brute, abs=1e-12)
-    b = df.select(ev.score_bucket("probability").alias("b"), "probability").orderBy("probability").collect()
-    assert all(x.b <= y.b for x, y in zip(b, b[1:]))            # monotone
-    tiny = {r.b for r in b if 0 < r.probability < 1e-9}
-    assert len(tiny) > 1 or len({r.probability for r in b if 0 < r.probability < 1e-9}) <= 1
+
+
+def test_auc_where_all_scores_crowd_at_an_end(spark):
+    """All scores beyond a logit of 40, over many ranges, with groups that lie in one range or have one class."""
+    import random
+    rnd = random.Random(2)
+    rows = [("a", 1e-20 * rnd.randint(1, 300), rnd.randint(0, 1)) for _ in range(900)]
+    rows += [("b", 1 - 2.0 ** -53 * rnd.randint(0, 3), rnd.randint(0, 1)) for _ in range(80)] + [("c", 0.5, 1), (None, 0.1, 0), (None, 0.2, 1)]
+    df = spark.createDataFrame(rows, "g string, probability double, label int").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r.auc for r in ev.exact_auc(df, ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for g in ("a", "b", None):
+        pos, neg = ([p for k, p, y in rows if k == g and y == c] for c in (1, 0))
+        brute = sum((1.0 if x > z else 0.5 if x == z else 0.0) for x in pos for z in neg) / (len(pos) * len(neg))
+        assert got[g] == pytest.approx(brute, abs=1e-12)
+    assert got["c"] is None
+    assert ev.exact_auc(df.where("false"), ["g"]).count() == 0
 
 
 def test_prediction_reports_equal_the_single_reports(spark, tables):
