@@ -898,21 +898,41 @@ def q_train_neural(spark, sf_dir):
 # ----------------------------------------------------------------------------
 # 2.8 clustering
 # ----------------------------------------------------------------------------
-@query("kmeans_fit", "C1", """
-SELECT id_student, dropout, true AS is_cluster, true AS in_score_order FROM students""", ("students",))
+_PRUNED = "SELECT id_student, avg_score, active_days, total_clicks, dropout FROM students"
+
+
+def _kmeans_sql(ks, final):
+    return f"WITH {clu.kmeans_sql(_PRUNED, ks)}\n{final}"
+
+
+# rows of the k-means fit with ids that ascend with the mean score
+_CLUSTERED = """placed AS (SELECT pts.id_student, pts.avg_score, pts.dropout, near.j FROM pts JOIN near USING (row_no)),
+numbered AS (SELECT j, CAST(row_number() OVER (ORDER BY avg(avg_score), j) - 1 AS INTEGER) AS cluster_id FROM placed GROUP BY j)"""
+
+
+@query("kmeans_fit", "C1", f"""SELECT * FROM (WITH {clu.kmeans_sql(_PRUNED, [S.K_CLUSTERS])}, {_CLUSTERED}
+SELECT id_student, dropout, cluster_id FROM placed JOIN numbered USING (j)) x""", ("students",))
 def q_kmeans_fit(spark, sf_dir):
-    """Every enrolment in one of k clusters, clusters numbered by ascending mean score."""
+    """Every enrolment with its cluster, clusters numbered by ascending mean score."""
     out, _, _ = clu.fit_clusters(readers.scan_pruned(_t(spark, sf_dir).students))
-    means = out.groupBy("cluster_id").agg(F.avg("avg_score").alias("mean"))
-    means = means.withColumn("mean_below", F.max("mean").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)))
-    return (out.join(F.broadcast(means), "cluster_id")  # k rows
-            .select("id_student", "dropout", F.col("cluster_id").between(0, S.K_CLUSTERS - 1).alias("is_cluster"),
-                    F.coalesce(F.col("mean_below") <= F.col("mean"), F.lit(True)).alias("in_score_order")))
+    return out.select("id_student", "dropout", "cluster_id")
 
 
-@query("kmeans_elbow", "C2")
+_KS = list(range(1, 11))
+
+
+@query("kmeans_elbow", "C2", f"""SELECT * FROM ({_kmeans_sql(_KS, f"SELECT CAST(k AS INTEGER) AS k, CAST(sum(d) AS DOUBLE) / {clu.GRID}e0 / {clu.GRID}e0 AS inertia FROM near GROUP BY k")}) x""",
+       ("students",))
 def q_kmeans_elbow(spark, sf_dir):
-    return clu.elbow(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=range(1, 11))
+    return clu.elbow(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=_KS)
+
+
+@query("kmeans_centres", "C2", f"""SELECT * FROM ({_kmeans_sql(_KS, "SELECT CAST(f.k AS INTEGER) AS k, CAST(f.j AS INTEGER) AS centre, coalesce(n.n_rows, 0) AS n_rows, "
+       + ", ".join(f"c{i} / {clu.GRID}e0 AS {c}" for i, c in enumerate(S.CLUSTER_FEATURES))
+       + " FROM fitted f LEFT JOIN (SELECT k, j, count(*) AS n_rows FROM near GROUP BY k, j) n USING (k, j)")}) x""", ("students",))
+def q_kmeans_centres(spark, sf_dir):
+    """Centres and sizes of the fits for k = 1..10."""
+    return clu.elbow_centres(spark, readers.scan_pruned(_t(spark, sf_dir).students), ks=_KS)
 
 
 @query("kmeans_inertia_k1", "C2", "SELECT 1 AS k, ({s}) * count(*) AS inertia FROM ({x}) z".format(
@@ -925,12 +945,12 @@ def q_kmeans_inertia_k1(spark, sf_dir):
     return clu.inertia_k1(readers.scan_pruned(_t(spark, sf_dir).students))
 
 
-@query("clusters_table", "C3", "SELECT id_student, true AS is_cluster, true AS is_rate FROM students", ("students",))
+@query("clusters_table", "C3", f"""SELECT * FROM (WITH {clu.kmeans_sql(_PRUNED, [S.K_CLUSTERS])}, {_CLUSTERED}
+SELECT id_student, cluster_id, avg(CAST(dropout AS DOUBLE)) OVER (PARTITION BY cluster_id) AS dropout_rate FROM placed JOIN numbered USING (j)) x""",
+       ("students",))
 def q_clusters_table(spark, sf_dir):
     df = clu.clusters_table(readers.scan_pruned(_t(spark, sf_dir).students))
-    stored = st.sink_recreate(df, scratch_path(spark, "clusters"), S.CLUSTERS_SCHEMA)
-    return stored.select("id_student", F.col("cluster_id").between(0, S.K_CLUSTERS - 1).alias("is_cluster"),
-                         F.col("dropout_rate").between(0, 1).alias("is_rate"))
+    return st.sink_recreate(df, scratch_path(spark, "clusters"), S.CLUSTERS_SCHEMA).select("id_student", "cluster_id", "dropout_rate")
 
 
 @query("cluster_scatter", "C4", "SELECT id_student, active_days, avg_score, total_clicks, {l} AS cluster, dropout FROM cj".format(

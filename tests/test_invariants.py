@@ -223,3 +223,47 @@ def _constant_model(spark):
 def test_split_count_is_exact_on_multiples(spark):
     df = spark.createDataFrame([(i, 1) for i in range(35)], "k long, y int")
     assert sp.stratified_split(df, "k", "y", 0.2, 42).where("is_test").count() == 7
+
+
+def test_shared_lloyd_passes_equal_plain_loops(spark):
+    """All k together against one plain fit a k; copies, a constant feature, a NULL row, more centres than points."""
+    import random
+
+    from cohortlens.operators import cluster as clu
+    rng = random.Random(8)
+    rows = [(i, rng.choice([10.0, 50.0, 90.0]) + rng.random() * 9, float(rng.randint(0, 30)), 7.0, i % 2) for i in range(240)]
+    rows += [rows[3]] * 20 + [(500, None, 1.0, 7.0, 1)]
+    df = spark.createDataFrame(rows, "id_student long, avg_score double, active_days double, total_clicks double, dropout int").repartition(4)
+    points = [tuple(r) for r in clu.grid_points(df).dropna().select("__p0", "__p1", "__p2", "__u").collect()]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    import math
+    seeds = [min((p[3], p[:3]) for p in points)[1]]
+    while len(seeds) < 6:
+        spread = [(p, min(gap(p[:3], s) for s in seeds)) for p in points]
+        seeds.append(min((-math.log(p[3]) / d, p[:3]) for p, d in spread if d)[1])
+    got = clu.lloyd(clu.grid_points(df).dropna(), [1, 3, 6], 3)
+    for k in (1, 3, 6):
+        centres = [list(s) for s in seeds[:k]]
+        for _ in range(clu.PASSES):
+            near = [min(range(k), key=lambda j: (gap(p[:3], centres[j]), j)) for p in points]
+            moved = []
+            for j in range(k):
+                own = [p for p, n in zip(points, near) if n == j]
+                moved.append([sum(p[i] for p in own) // len(own) for i in range(3)] if own else centres[j])
+            if moved == centres:
+                break
+            centres = moved
+        assert got[k][0] == centres
+        assert got[k][1] == [near.count(j) for j in range(k)]
+        assert got[k][2] == pytest.approx(sum(gap(p[:3], centres[n]) for p, n in zip(points, near)) / clu.GRID ** 2)
+    out, centres, _ = clu.fit_clusters(df, 3)
+    placed = out.collect()
+    assert len(placed) == len(rows) and [r.id_student for r in placed if r.cluster_id is None] == [500]
+    means = {}
+    for r in placed:
+        means.setdefault(r.cluster_id, []).append(r.avg_score)
+    order = [sum(means[c]) / len(means[c]) for c in sorted(c for c in means if c is not None)]
+    assert order == sorted(order) and len(centres) == 3
+    same = spark.createDataFrame([(1, 2.0, 2.0, 2.0, 0)] * 5, df.schema)
+    assert [len(c) for c, _, _ in clu.lloyd(clu.grid_points(same), [2, 4], 3).values()] == [1, 1]
+    assert clu.fit_clusters(df.limit(0), 3)[0].count() == 0
