@@ -16,7 +16,9 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link when
    group queries a larger group it shares enough prefix tokens with; the overlap with
    the union bounds the overlap with every member, and only groups that can
    still reach the threshold are opened.
-4. Members of opened groups are compared exactly with their queries.
+4. A query of an opened group is compared exactly with the member that shares most
+   prefix tokens with it, and, if they do not link, with the members that their
+   overlaps with one pivot of the group do not rule out.
 
 Components over all verified links are exact: a pair left out lies in one group
 already or is excluded by a bound. No step emits the pairs of a group: copies
@@ -192,6 +194,27 @@ def _best_partners(chosen: DataFrame, grouped: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.max_by("b", "weight").alias("b"))
 
 
+def _pivot_pairs(left: DataFrame, member: DataFrame, spoken: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of queries and members of their opened groups that a pivot does not rule out.
+
+    The pivot is one member a group, against which every query and member is
+    measured once. What two sets share lies inside the pivot, where neither has
+    more than its overlap with it, or outside, where neither has more than its rest.
+    """
+    pivots = (spoken.join(left.select("g").distinct(), "g").groupBy("g", "b").count()
+              .groupBy("g").agg(F.max_by("b", F.struct("count", "b")).alias("node"))
+              .join(tokens.select("node", F.col("tokens").alias("pivot")), "node").select("g", "pivot"))
+    inside = F.size(F.array_intersect("tokens", "pivot")).cast("long")
+    measured = lambda rows, name, size, both: (
+        rows.join(pivots, "g").join(tokens.select("node", "tokens"), "node")
+        .select(F.col("node").alias(name), F.col("n").alias(size), "g", inside.alias(both)))
+    asking = measured(left, "a", "na", "pa")
+    held = measured(member.select("node", "n", F.col("grp").alias("g")), "b", "nb", "pb")
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return (asking.join(held, "g").where(_near_size("na", "nb", percent))
+            .where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b").distinct())
+
+
 def _near_size(a: str, b: str, percent: int):
     """Sizes that allow the threshold."""
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
@@ -279,12 +302,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     opened = scratch.save(asked.join(union, ["g", "token"]).groupBy("node", "n", "g").agg(F.count("*").alias("bound"))
                           .join(least, "g").where(F.col("bound") * (100 + percent) >= (F.col("n") + reach) * percent)
                           .select("node", "n", "g"), "opened")
-    inside = cells.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"), "token")
-    pairs = (opened.join(cells.select("node", "token"), "node").join(inside, ["g", "token"])
-             .where(_near_size("n", "nb", percent))
-             .groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("hits"))
-             .where(F.col("hits") >= _needed("n", percent)).select("a", "b"))
-    links = scratch.save(links.unionByName(_verify(pairs, tokens, percent)), "links")
+    # one link with any member puts a query into the group's component, so it first meets the member that
+    # answers for most of its tokens; only groups in which that one does not link are searched member by member
+    queries = opened.join(cells.select("node", "token"), "node")
+    speakers = (cells.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"), "token")
+                .groupBy("g", "token").agg(F.min(F.struct("b", "nb")).alias("s")).select("g", "token", "s.b", "s.nb"))
+    spoken = scratch.save(queries.join(speakers, ["g", "token"]).groupBy("node", "g", "b").agg(F.count("*").alias("hits"))
+                          .groupBy(F.col("node").alias("a"), "g").agg(F.max_by("b", "hits").alias("b")), "spoken")
+    first = scratch.save(_verify(spoken.select("a", "b").distinct(), tokens, percent).join(spoken, ["a", "b"]), "first_links")
+    left = opened.join(first.select(F.col("a").alias("node"), "g"), ["node", "g"], "left_anti")
+    pairs = _pivot_pairs(left, member, spoken, tokens, percent)
+    links = scratch.save(links.unionByName(first.select("a", "b")).unionByName(_verify(pairs, tokens, percent)), "links")
 
     found = connected_components(links, scratch, "components")
     per_row = (sig.select("node", "doc_id", "n", "set_key")
