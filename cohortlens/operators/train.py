@@ -1,6 +1,7 @@
 """Distributed model training and tuning.
 
-Tree ensembles are grown by ``boosting``, the other models by MLlib. Every model's
+Tree ensembles are grown by ``boosting``, the logistic model is fitted by
+``linear_model`` and the neural one by MLlib. Every model's
 features come from a ``Pipeline``: stateless encodings as a ``SQLTransformer``
 (binary maps, ordinal codes, fixed scaling), fitted encoders
 (``StringIndexer`` / ``OneHotEncoder``), ``VectorAssembler`` and the
@@ -12,7 +13,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ from cohortlens import schemas as S
 from cohortlens.operators.boosting import fit_trees
 from cohortlens.operators.encode import assembler, logistic_columns, one_hot_stages
 from cohortlens.operators.evaluate import holdout_metrics
+from cohortlens.operators.linear_model import LinearModel, fit as fit_logistic, vector_names
 from cohortlens.operators.score import decision
 from cohortlens.operators.split import assign_folds, stratified_split
 from cohortlens.plans.sqlgen import ordinal_sql
@@ -34,7 +36,7 @@ MODEL_NAMES = {"logistic": "logistic_dropout", "random_forest": "random_forest",
 EXPERIMENTS = {"logistic": "student_dropout_logistic_v2", "random_forest": "random-forest-prediction-v2",
                "boosted_a": "xgboost_stu_vle_v2", "boosted_b": "catboost_stu_vle_v2",
                "neural": "tabnet-dropout-prediction", "clustering": "student-clustering-analysis"}
-LOGISTIC_C, LOGISTIC_MAX_ITER, LOGISTIC_TOL = 0.5, 1000, 1e-4
+LOGISTIC_C, LOGISTIC_MAX_ITER = 0.5, 1000
 # random forest: ("int", lo, hi) is a uniform integer range, a list is a choice
 RF_SPACE = {"n_estimators": ("int", 100, 300), "max_depth": [5, 8, 10, 12, 15],
             "min_samples_split": ("int", 2, 20), "min_samples_leaf": ("int", 1, 10),
@@ -167,11 +169,13 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
     try:
         if kind == "logistic":
             cols = [c for c in df.columns if c not in ("id_student", "dropout", "enrol_key")]
-            n = train.count()
-            lr = LogisticRegression(maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / (LOGISTIC_C * max(n, 1)),
-                                    elasticNetParam=0.0, standardization=False, weightCol="w_balanced",
-                                    tol=LOGISTIC_TOL)
-            model = Pipeline(stages=[*logistic_stages(train, cols), lr]).fit(train)
+            prep = Pipeline(stages=logistic_stages(train, cols)).fit(train)
+            rows = prep.transform(train)
+            names = vector_names(rows)
+            rows = rows.where("label is not null").select(vector_to_array("features").alias("x"), F.col("label").alias("y"),
+                                                          F.col("w_balanced").alias("weight"))
+            w, _ = fit_logistic(rows, len(names), LOGISTIC_C)
+            model = LinearModel(prep, names, w[:-1], w[-1])
             params, rule = {"C": LOGISTIC_C, "max_iter": LOGISTIC_MAX_ITER, "class_weight": "balanced"}, ">"
         elif kind in SEARCH_SIZES:
             n_iter, folds = search or SEARCH_SIZES[kind]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import attribution
 from cohortlens.operators.histogram_trees import Trees
+from cohortlens.operators.linear_model import LinearModel
 from cohortlens.session import path_exists, remove_path, ship_package
 
 MOST_BYTES = 256 << 20      # larger ensembles are refused rather than broadcast
@@ -107,5 +108,7 @@ class TreeModel:
 
 
 def load_model(spark: SparkSession, path: str):
-    """A saved model of either kind."""
-    return TreeModel.load(spark, path) if path_exists(spark, f"{path}/trees") else PipelineModel.load(path)
+    """A saved model of any kind."""
+    if path_exists(spark, f"{path}/trees"):
+        return TreeModel.load(spark, path)
+    return LinearModel.load(spark, path) if path_exists(spark, f"{path}/prep") else PipelineModel.load(path)

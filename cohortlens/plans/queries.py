@@ -791,6 +791,12 @@ def q_train_logistic(spark, sf_dir):
     return _train_and_emit(spark, "logistic", _t(spark, sf_dir).students)
 
 
+@query("logistic_coefficients", "M1")
+def q_logistic_coefficients(spark, sf_dir):
+    """The coefficients at which the penalised objective's gradient is zero, the intercept among them."""
+    return tr.train_model("logistic", _t(spark, sf_dir).students)["model"].table(spark)
+
+
 @query("train_random_forest", "M2", _holdout_sql("random_forest"), ("students",))
 def q_train_random_forest(spark, sf_dir):
     return _train_and_emit(spark, "random_forest", _t(spark, sf_dir).students)
