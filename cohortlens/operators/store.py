@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
+from cohortlens.operators.claims import LEASE_SECONDS, Claim, claimed
 from cohortlens.session import path_exists
 
 SERVER_ARTIFACTS = "server-artifacts:"
@@ -39,7 +40,14 @@ def sink_replace_model(preds: DataFrame, path: str, model_names: list[str] | Non
     ``preds``); other models' partitions are not touched.
 
     Rows are rebalanced, not gathered by model, so one large model is written
-    by many tasks. A named model without rows in ``preds`` is emptied."""
+    by many tasks. A named model without rows in ``preds`` is emptied. The table
+    is claimed meanwhile, so that two writers replace one after the other."""
+    spark = preds.sparkSession
+    with claimed(spark, path) as claim:
+        return _replace_model(preds, path, model_names, claim)
+
+
+def _replace_model(preds: DataFrame, path: str, model_names: list[str] | None, claim: Claim) -> DataFrame:
     spark = preds.sparkSession
     rows = preds.select(*[F.col(f.name).cast(f.dataType) for f in S.PREDICTIONS_SCHEMA.fields])
     if model_names is not None:
@@ -47,6 +55,7 @@ def sink_replace_model(preds: DataFrame, path: str, model_names: list[str] | Non
     _overwrite_partitions(rows.hint("rebalance"), path, ["model_name"])
     if model_names is not None and path_exists(spark, path):
         present = {r.model_name for r in rows.groupBy("model_name").count().collect()}  # <= len(model_names)
+        claim.check()
         drop_partitions(spark, path, "model_name", [m for m in model_names if m not in present])
     return read_predictions(spark, path)
 
@@ -97,7 +106,7 @@ def write_rejected(completed: DataFrame, path: str, batch_id: str) -> None:
 
 # ---------------------------------------------------------------------- K6
 def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_MODEL_NAMES,
-              marker: str | None = None) -> DataFrame:
+              marker: str | None = None, lease_seconds: float = LEASE_SECONDS) -> DataFrame:
     """K6: move the rows of the given display-model names from the predictions
     table to the live table; returns candidate / inserted / deleted counts.
 
@@ -111,8 +120,26 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
     A re-run first finishes the batches that are not done: a planned one from
     (2), which replaces its partial partition, an appended one from (4). Files
     that arrive in the meantime belong to the next batch, so no row is lost,
-    doubled or deleted unmoved at any crash point."""
-    marker = marker or batches_path(live_path)
+    doubled or deleted unmoved at any crash point.
+
+    One mover works at a time: it claims the live table, and asks before every
+    step whether it still holds it. A mover that finds another at work moves
+    nothing; one that finds an expired claim finishes what the dead one began."""
+    claim = Claim(spark, live_path, lease_seconds)
+    if not claim.take():
+        return _move_counts(spark, pred_path, names, 0)
+    try:
+        return _move_claimed(spark, pred_path, live_path, names, marker or batches_path(live_path), claim)
+    finally:
+        claim.release()
+
+
+def _move_counts(spark, pred_path, names, moved) -> DataFrame:
+    left = read_predictions(spark, pred_path).where(F.col("model_name").isin(list(names))).count()
+    return spark.createDataFrame([(moved + left, moved, moved)], "candidates long, inserted long, deleted long")
+
+
+def _move_claimed(spark, pred_path, live_path, names, marker, claim: Claim) -> DataFrame:
     todo = _open_batches(spark, marker)
     fresh = partition_files(spark, pred_path, "model_name", names)
     claimed = {f for _, _, files in todo for f in files}
@@ -124,14 +151,16 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
     moved = 0
     for batch, state, files in todo:
         if state == "planned":
+            claim.check()
             rows = (spark.read.schema(S.PREDICTIONS_SCHEMA).option("basePath", pred_path).parquet(*files))
             write_live(rows, live_path, batch)
+            claim.check()
             _mark(spark, marker, batch, "appended", files)
         moved += _live_table(spark, live_path).where(F.col("batch_id") == batch).count()
+        claim.check()
         delete_files(spark, files)
         _mark(spark, marker, batch, "done", files)
-    left = read_predictions(spark, pred_path).where(F.col("model_name").isin(list(names))).count()
-    return spark.createDataFrame([(moved + left, moved, moved)], "candidates long, inserted long, deleted long")
+    return _move_counts(spark, pred_path, names, moved)
 
 
 def batches_path(live_path: str) -> str:
