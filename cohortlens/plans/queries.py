@@ -6,12 +6,14 @@ registered next to it; model-fitting operators have none (rows-only check).
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens import functions as X
 from cohortlens import schemas as S
-from cohortlens.operators import cleaning, cluster as clu, encode as enc, evaluate as ev
+from cohortlens.operators import cleaning, click_states as cst, cluster as clu, encode as enc, evaluate as ev
 from cohortlens.operators import features as feat
 from cohortlens.operators import report as rep, score as sc, split as sp, store as st, train as tr
 from cohortlens.operators.boosting import prepared_rows, search_scores
@@ -63,6 +65,26 @@ def q_click_features(spark, sf_dir):
     return feat.click_features(Tables(spark, sf_dir).student_vle, 60)
 
 
+_CUTOFFS = [-5, 14, 29, 60, 200]
+
+
+@query("click_states", "A2", " UNION ALL ".join(
+    f"SELECT {c} AS cutoff_day, x.* FROM ({VLE_AGG_SQL.replace('date <= 60', f'date <= {c}')}) x" for c in _CUTOFFS), ("studentVle",))
+def q_click_states(spark, sf_dir):
+    """Click features at five cutoffs from one table of states by day band."""
+    clicks = Tables(spark, sf_dir).student_vle
+    states = cst.write_states(clicks)
+    out = [cst.features_at(states, clicks, c).select(F.lit(c).alias("cutoff_day"), "*") for c in _CUTOFFS]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("early_frame_states", "I4", JOIN_FEATURES_SQL, ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
+def q_early_frame_states(spark, sf_dir):
+    """The early frame at the reference's cutoff, from states by day band."""
+    t = Tables(spark, sf_dir)
+    return cst.early_frame_at(t.students, cst.write_states(t.student_vle), t.student_vle)
+
+
 @query("join_features", "J3", JOIN_FEATURES_SQL, ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
 def q_join_features(spark, sf_dir):
     t = Tables(spark, sf_dir)
