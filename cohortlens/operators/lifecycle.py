@@ -34,16 +34,27 @@ def train(spark: SparkSession, kind: str, df: DataFrame, runs_path: str, models_
     return run_id
 
 
-def latest_model(spark: SparkSession, runs_path: str, kind: str, top: int = 20) -> tuple | None:
+def latest_run_with_artifact(spark: SparkSession, runs_path: str, kind: str, top: int = 20) -> str | None:
     """Newest finished run of a model slot whose artifact is there, among its ``top`` newest; None if there is none."""
     runs = (spark.read.parquet(runs_path).where((F.col("experiment") == tr.EXPERIMENTS[kind]) & (F.col("status") == "FINISHED"))
             .orderBy(F.desc("start_time"), F.desc("run_id")).select("run_id", "artifact_uri").limit(top).collect())
     for r in runs:
         if r.artifact_uri and not r.artifact_uri.startswith(st.SERVER_ARTIFACTS) and path_exists(spark, f"{r.artifact_uri}/metadata"):
-            return r.run_id, load_model(spark, r.artifact_uri)
+            return r.run_id
     return None
 
 
+def model_of_run(spark: SparkSession, runs_path: str, run_id: str):
+    """The saved model of a recorded run."""
+    return load_model(spark, spark.read.parquet(runs_path).where(F.col("run_id") == run_id).first()["artifact_uri"])
+
+
+def latest_model(spark: SparkSession, runs_path: str, kind: str, top: int = 20) -> tuple | None:
+    """(run id, model) of the newest usable run of a model slot; None if there is none."""
+    run = latest_run_with_artifact(spark, runs_path, kind, top)
+    return None if run is None else (run, model_of_run(spark, runs_path, run))
+
+
 def score_latest(spark: SparkSession, runs_path: str, kind: str, completed: DataFrame) -> DataFrame:
     """Accepted requests scored with the newest usable model, with its run id and model name."""
     found = latest_model(spark, runs_path, kind)

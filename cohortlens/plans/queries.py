@@ -993,7 +993,20 @@ def q_cluster_scatter(spark, sf_dir):
 _ID_VALID_SQL = ("coalesce(trim(student_id_text) = '' OR (regexp_full_match(trim(student_id_text), '[0-9]+') "
                  "AND TRY_CAST(trim(student_id_text) AS BIGINT) IS NOT NULL), true)")
 _REASON_SQL = ("nullif(concat_ws('; ', CASE WHEN NOT id_valid THEN 'student id' END, "
-               "CASE WHEN NOT in_range THEN 'feature out of range' END), '') AS reject_reason")
+               "CASE WHEN NOT in_range THEN 'feature out of range' END, CASE WHEN NOT known THEN 'unknown category' END), '') AS reject_reason")
+
+
+def _known_sql(features, source):
+    """Whether every category of a completed request is one that the source has."""
+    return " AND ".join(f"({c} IS NULL OR {c} IN (SELECT o.{c} FROM {source} o WHERE o.{c} IS NOT NULL))" for c in features if c in _CATEGORICAL)
+
+
+def _options(df):
+    """The categories of a frame, as the request forms offer them."""
+    out = {}
+    for r in sc.distinct_values(df, _CATEGORICAL).collect():        # bounded by the categories
+        out.setdefault(r["column_name"], []).append(r["value"])
+    return out
 
 
 def _complete_sql():
@@ -1005,8 +1018,8 @@ def _complete_sql():
     checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
                         for c, (lo, hi) in S.REQUEST_BOUNDS_FULL.items())
     return f"""
-SELECT *, id_valid AND in_range AS accepted, {_REASON_SQL} FROM (
- SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
+SELECT * EXCLUDE (known), id_valid AND in_range AND known AS accepted, {_REASON_SQL} FROM (
+ SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range, {_known_sql(S.FEATURE_COLS, 'students')} AS known FROM (
   SELECT r.request_id, r.student_id_text, {', '.join(cols)},
    CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
    {idv} AS id_valid
@@ -1018,7 +1031,7 @@ SELECT *, id_valid AND in_range AS accepted, {_REASON_SQL} FROM (
 def q_complete_requests(spark, sf_dir):
     t = _t(spark, sf_dir)
     d = sc.defaults_profile(t.students, S.FEATURE_COLS)
-    return sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    return sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL, _options(t.students))
 
 
 _NUMERIC_EARLY = {"num_of_prev_attempts", "studied_credits", "module_presentation_length", *S.VLE_COLS}
@@ -1031,8 +1044,8 @@ def _complete_early_sql():
     checks = " + ".join(f"CASE WHEN {c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}) THEN 1 ELSE 0 END"
                         for c, (lo, hi) in S.REQUEST_BOUNDS_EARLY.items())
     return f"""
-SELECT *, id_valid AND in_range AS accepted, {_REASON_SQL} FROM (
- SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range FROM (
+SELECT * EXCLUDE (known), id_valid AND in_range AND known AS accepted, {_REASON_SQL} FROM (
+ SELECT *, CAST({checks} AS INTEGER) AS n_out_of_range, ({checks}) = 0 AS in_range, {_known_sql(S.EARLY_FEATURE_COLS, 'students')} AS known FROM (
   SELECT r.request_id, r.student_id_text, {', '.join(cols)},
    CASE WHEN regexp_full_match(trim(r.student_id_text), '[0-9]+') THEN TRY_CAST(trim(r.student_id_text) AS BIGINT) END AS id_student,
    {idv} AS id_valid
@@ -1063,14 +1076,14 @@ def q_validate_ranges_early(spark, sf_dir):
 def q_complete_requests_early(spark, sf_dir):
     t = _t(spark, sf_dir)
     d = sc.defaults_profile(_early(spark, sf_dir), S.EARLY_FEATURE_COLS)
-    return sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY)
+    return sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY, _options(t.students))
 
 
 def _scored_requests(spark, sf_dir):
     t = _t(spark, sf_dir)
     r = tr.train_model("random_forest", t.students, params=RF_PARAMS)
     d = sc.defaults_profile(t.students, S.FEATURE_COLS)
-    req = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    req = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL, _options(t.students))
     return sc.score(r["model"], req, r["rule"]), r
 
 
@@ -1095,7 +1108,7 @@ def q_train_and_score_latest(spark, sf_dir):
     first = lc.train(spark, "random_forest", t.students, runs, models, preds, params=RF_PARAMS)
     st.record_run(spark, runs, tr.EXPERIMENTS["random_forest"], {}, {}, artifact_uri=f"{models}/lost")
     d = sc.defaults_profile(t.students, S.FEATURE_COLS)
-    done = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL)
+    done = sc.complete_requests(t.requests, d, S.FEATURE_COLS, S.REQUEST_BOUNDS_FULL, _options(t.students))
     out = lc.score_latest(spark, runs, "random_forest", done)
     return out.select("request_id", F.col("probability").between(0, 1).alias("is_probability"), (F.col("run_id") == first).alias("is_latest"))
 
@@ -1141,11 +1154,31 @@ def q_stream_requests(spark, sf_dir):
     live = scratch_path(spark, "live")
     q = stream_requests(spark, src, t.requests.schema, d, r["model"], S.FEATURE_COLS, live,
                         scratch_path(spark, "stream-ckpt"), "Random Forest", "run-random_forest",
-                        S.REQUEST_BOUNDS_FULL, r["rule"])
+                        S.REQUEST_BOUNDS_FULL, r["rule"], options=_options(t.students))
     q.awaitTermination()
     return _stored_requests(spark, live, live + "_rejected")
 
 
+@query("stream_latest_model", "I5", f"""
+SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN request_id % 2 = 0 THEN 'first' ELSE 'second' END AS scored_by
+FROM ({_complete_sql()}) c WHERE accepted""", ("requests", "students"), extra=_REQUEST_VIEWS)
+def q_stream_latest_model(spark, sf_dir):
+    """Requests of one stream; a run recorded between its epochs scores those that come after."""
+    from cohortlens.operators import lifecycle as lc
+    from cohortlens.streaming import stream_latest
+    t = _t(spark, sf_dir)
+    runs, models, preds, src, live, ckpt = (scratch_path(spark, n) for n in ("runs", "models", "predictions", "requests-in", "live", "ckpt"))
+    d, options = sc.defaults_profile(t.students, S.FEATURE_COLS), _options(t.students)
+    names = {}
+    for half, label in ((0, "first"), (1, "second")):
+        names[lc.train(spark, "logistic", t.students, runs, models, preds)] = label
+        t.requests.where(F.col("request_id") % 2 == half).write.mode("append").parquet(src)
+        stream_latest(spark, src, t.requests.schema, d, runs, "logistic", S.FEATURE_COLS, live, ckpt,
+                      S.REQUEST_BOUNDS_FULL, options=options).awaitTermination()
+    label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return st.read_live(spark, live).select("request_id", label[F.col("run_id")].alias("scored_by"))
+
+
 @query("score_requests_early", "I2", f"SELECT request_id, id_student, accepted, true AS is_probability FROM ({_complete_early_sql()}) c",
        ("requests_early", "students", "studentVle"),
        extra={"vf": VLE_AGG_SQL, "ef": _early_defaults_sql()[1], "d": _early_defaults_sql()[0]})
@@ -1154,6 +1187,6 @@ def q_score_requests_early(spark, sf_dir):
     ef = _early(spark, sf_dir)
     r = tr.train_model("boosted_a", ef, params=A_PARAMS)
     d = sc.defaults_profile(ef, S.EARLY_FEATURE_COLS)
-    req = sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY)
+    req = sc.complete_requests(t.requests_early, d, S.EARLY_FEATURE_COLS, S.REQUEST_BOUNDS_EARLY, _options(t.students))
     return sc.score(r["model"], req, r["rule"]).select(
         "request_id", "id_student", "accepted", F.col("probability").between(0, 1).alias("is_probability"))

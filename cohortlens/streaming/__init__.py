@@ -1 +1 @@
-from cohortlens.streaming.requests import stream_requests  # noqa: F401
+from cohortlens.streaming.requests import stream_latest, stream_requests  # noqa: F401
