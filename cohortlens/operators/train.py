@@ -14,6 +14,7 @@ import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -47,6 +48,7 @@ BOOSTED_A_SPACE = {"n_estimators": [500, 700, 1000], "max_depth": [4, 5, 6], "le
 BOOSTED_B_SPACE = {"iterations": [500, 700, 1000], "depth": [4, 5, 6, 8], "learning_rate": [0.01, 0.05, 0.1],
                    "l2_leaf_reg": [1, 3, 5, 10], "bagging_temperature": [0, 0.5, 1.0],
                    "border_count": [32, 64, 128]}
+NEURAL_EPOCHS, NEURAL_STEP, NEURAL_PATIENCE = 200, 10, 30   # ours: the reference's epochs are minibatch passes
 ROWS_PER_BUCKET = 50_000  # rows that permutation importance ranks in one task, about
 SEARCH_SIZES = {"random_forest": (10, 5), "boosted_a": (20, 3), "boosted_b": (20, 3)}  # (candidates, folds)
 
@@ -153,6 +155,32 @@ def split(df: DataFrame, key: str = "enrol_key", label: str = "dropout", materia
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
+def fit_neural(rows: DataFrame, layers: list[int], epochs: int = NEURAL_EPOCHS, step: int = NEURAL_STEP,
+               patience: int = NEURAL_PATIENCE):
+    """(the network of the best validation AUC, its epochs), with early stopping.
+
+    A fifth of the training rows, by class, validates. Training goes on from the
+    last weights ``step`` epochs at a time and ends when ``patience`` epochs have
+    brought no better AUC, or after ``epochs``."""
+    split_rows = stratified_split(rows.where("label is not null"), "enrol_key", "label", S.TEST_SIZE, S.RANDOM_STATE + 5).persist()
+    teaching, checking = split_rows.where(~F.col("is_test")), split_rows.where(F.col("is_test"))
+    judge = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
+    best, best_auc, best_at, weights = None, -1.0, 0, None
+    try:
+        for done in range(step, epochs + step, step):
+            net = MultilayerPerceptronClassifier(layers=layers, maxIter=step, seed=S.RANDOM_STATE, featuresCol="features_sc")
+            model = (net.setInitialWeights(weights) if weights is not None else net).fit(teaching)
+            weights = model.weights
+            auc = judge.evaluate(model.transform(checking))
+            if auc > best_auc:
+                best, best_auc, best_at = model, auc, done
+            elif done - best_at >= patience:
+                break
+    finally:
+        split_rows.unpersist()
+    return best, best_at
+
+
 def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
                 space: dict | None = None, params: dict | None = None):
     """Train one of the five model slots and score its test split.
@@ -196,10 +224,9 @@ def train_model(kind: str, df: DataFrame, search: tuple[int, int] | None = None,
                       MinMaxScaler(inputCol="features", outputCol="features_sc")]
             prep = Pipeline(stages=stages).fit(train)
             width = len(prep.stages[-1].originalMin)
-            mlp = MultilayerPerceptronClassifier(layers=[width, 16, 16, 2], maxIter=100,
-                                                 seed=S.RANDOM_STATE, featuresCol="features_sc")
-            model = PipelineModel(stages=[*prep.stages, mlp.fit(prep.transform(train))])
-            params, rule = {"layers": "16x16", "max_iter": 100}, ">="
+            fitted, epochs = fit_neural(prep.transform(train).select("enrol_key", "label", "features_sc"), [width, 16, 16, 2])
+            model = PipelineModel(stages=[*prep.stages, fitted])
+            params, rule = {"layers": "16x16", "max_epochs": NEURAL_EPOCHS, "patience": NEURAL_PATIENCE, "epochs": epochs}, ">="
         else:
             raise ValueError(kind)
     finally:

@@ -865,13 +865,22 @@ def q_emit_predictions(spark, sf_dir):
     return _checked(st.sink_replace_model(preds, scratch_path(spark, "predictions"), [tr.MODEL_NAMES["logistic"]]), r["rule"])
 
 
-@query("record_run", "M9")
+@query("record_run", "M9", f"""
+SELECT '{tr.EXPERIMENTS["logistic"]}' AS experiment, 'FINISHED' AS status, 1 AS n_runs, true AS named, true AS timed, 'server-artifacts:' AS artifact_store,
+ '{tr.LOGISTIC_C}' AS c, '{tr.LOGISTIC_MAX_ITER}' AS max_iter, 'balanced' AS class_weight, unnest(['accuracy', 'auc', 'f1', 'precision', 'recall']) AS metric,
+ true AS is_share""")
 def q_record_run(spark, sf_dir):
+    """A recorded training run as the runs table holds it, one row a metric."""
     r = tr.train_model("logistic", _t(spark, sf_dir).students)
     path = scratch_path(spark, "runs")
     metrics = {k: v for k, v in r["metrics"].items() if isinstance(v, float)}
-    st.record_run(spark, path, tr.EXPERIMENTS["logistic"], r["params"], metrics)
-    return spark.read.parquet(path)
+    run_id = st.record_run(spark, path, tr.EXPERIMENTS["logistic"], r["params"], metrics)
+    runs = spark.read.parquet(path)
+    return runs.select(
+        "experiment", "status", F.lit(runs.count()).cast("int").alias("n_runs"), (F.col("run_id") == run_id).alias("named"), F.col("start_time").isNotNull().alias("timed"),
+        F.substring_index("artifact_uri", "/", 1).alias("artifact_store"), F.col("params")["C"].alias("c"),
+        F.col("params")["max_iter"].alias("max_iter"), F.col("params")["class_weight"].alias("class_weight"),
+        F.explode("metrics").alias("metric", "value")).withColumn("is_share", F.col("value").between(0, 1)).drop("value")
 
 
 @query("save_load_model", "M10", f"""

@@ -70,3 +70,22 @@ def test_derivatives_against_differences(spark):
     assert np.allclose(hessian, hessian.T) and (np.linalg.eigvalsh(hessian) >= 1 - 1e-9).all()
     best, left = L.fit(df, 3, 0.7)
     assert np.abs(left).max() < 1e-6 and plain(best) <= plain(best + 1e-3) and plain(best) <= plain(best - 1e-3)
+
+
+def test_the_network_stops_early_and_keeps_its_best_epoch(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(1)
+    rows = [(i, float(i % 2), Vectors.dense(rng.random(3) + [0.8 * (i % 2), 0, 0])) for i in range(300)]
+    df = spark.createDataFrame(rows, ["enrol_key", "label", "features_sc"])
+    seen = []
+
+    class Judge(tr.BinaryClassificationEvaluator):
+        def evaluate(self, scored, params=None):
+            seen.append(super().evaluate(scored))
+            return [0.6, 0.7, 0.65, 0.7][len(seen) - 1] if len(seen) <= 4 else 0.5
+    monkeypatch.setattr(tr, "BinaryClassificationEvaluator", Judge)
+    model, epochs = tr.fit_neural(df, [3, 4, 2], epochs=100, step=5, patience=10)
+    assert epochs == 10 and len(seen) == 4      # best after the second step, two more without a better one
+    assert seen[-1] > 0.5 and model.transform(df).count() == 300
+    seen.clear()
+    assert tr.fit_neural(df, [3, 4, 2], epochs=5, step=5, patience=10)[1] == 5 and len(seen) == 1
