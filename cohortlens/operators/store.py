@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
+from cohortlens.functions.collation import same_name
 from cohortlens.operators.claims import LEASE_SECONDS, Claim, claimed
 from cohortlens.session import path_exists
 
@@ -106,7 +107,7 @@ def write_rejected(completed: DataFrame, path: str, batch_id: str) -> None:
 
 # ---------------------------------------------------------------------- K6
 def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_MODEL_NAMES,
-              marker: str | None = None, lease_seconds: float = LEASE_SECONDS) -> DataFrame:
+              marker: str | None = None, lease_seconds: float = LEASE_SECONDS, without_case: bool = False) -> DataFrame:
     """K6: move the rows of the given display-model names from the predictions
     table to the live table; returns candidate / inserted / deleted counts.
 
@@ -124,24 +125,25 @@ def move_live(spark: SparkSession, pred_path: str, live_path: str, names=S.LIVE_
 
     One mover works at a time: it claims the live table, and asks before every
     step whether it still holds it. A mover that finds another at work moves
-    nothing; one that finds an expired claim finishes what the dead one began."""
+    nothing; one that finds an expired claim finishes what the dead one began.
+    ``without_case`` compares names as the reference's database does."""
     claim = Claim(spark, live_path, lease_seconds)
     if not claim.take():
-        return _move_counts(spark, pred_path, names, 0)
+        return _move_counts(spark, pred_path, names, 0, without_case)
     try:
-        return _move_claimed(spark, pred_path, live_path, names, marker or batches_path(live_path), claim)
+        return _move_claimed(spark, pred_path, live_path, names, marker or batches_path(live_path), claim, without_case)
     finally:
         claim.release()
 
 
-def _move_counts(spark, pred_path, names, moved) -> DataFrame:
-    left = read_predictions(spark, pred_path).where(F.col("model_name").isin(list(names))).count()
+def _move_counts(spark, pred_path, names, moved, without_case) -> DataFrame:
+    left = read_predictions(spark, pred_path).where(same_name(F.col("model_name"), names, without_case)).count()
     return spark.createDataFrame([(moved + left, moved, moved)], "candidates long, inserted long, deleted long")
 
 
-def _move_claimed(spark, pred_path, live_path, names, marker, claim: Claim) -> DataFrame:
+def _move_claimed(spark, pred_path, live_path, names, marker, claim: Claim, without_case: bool) -> DataFrame:
     todo = _open_batches(spark, marker)
-    fresh = partition_files(spark, pred_path, "model_name", names)
+    fresh = partition_files(spark, pred_path, "model_name", names, without_case)
     claimed = {f for _, _, files in todo for f in files}
     fresh = [f for f in fresh if f not in claimed]
     if fresh:
@@ -160,7 +162,7 @@ def _move_claimed(spark, pred_path, live_path, names, marker, claim: Claim) -> D
         claim.check()
         delete_files(spark, files)
         _mark(spark, marker, batch, "done", files)
-    return _move_counts(spark, pred_path, names, moved)
+    return _move_counts(spark, pred_path, names, moved, without_case)
 
 
 def batches_path(live_path: str) -> str:
@@ -206,21 +208,22 @@ def _folder(spark: SparkSession, path: str):
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
 
-def _partition_folders(spark: SparkSession, path: str, column: str, values):
+def _partition_folders(spark: SparkSession, path: str, column: str, values, without_case: bool = False):
     """Folders ``column=value`` of a table, names compared after undoing Spark's %XX escaping."""
     from urllib.parse import unquote
     fs, root = _folder(spark, path)
-    wanted = set(values)
+    written = str.lower if without_case else str
+    wanted = {written(v) for v in values}
     if fs.exists(root):
         for st in fs.listStatus(root):
             name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(column + "=") and unquote(name[len(column) + 1:]) in wanted:
+            if st.isDirectory() and name.startswith(column + "=") and written(unquote(name[len(column) + 1:])) in wanted:
                 yield fs, st.getPath()
 
 
-def partition_files(spark: SparkSession, path: str, column: str, values) -> list[str]:
+def partition_files(spark: SparkSession, path: str, column: str, values, without_case: bool = False) -> list[str]:
     """Data files of the partitions ``column=value`` of a parquet table, sorted."""
-    return sorted(f.getPath().toString() for fs, folder in _partition_folders(spark, path, column, values)
+    return sorted(f.getPath().toString() for fs, folder in _partition_folders(spark, path, column, values, without_case)
                   for f in fs.listStatus(folder) if f.isFile() and f.getPath().getName().endswith(".parquet"))
 
 

@@ -16,6 +16,7 @@ from cohortlens import schemas as S
 from cohortlens.operators import cleaning, click_states as cst, cluster as clu, encode as enc, evaluate as ev
 from cohortlens.operators import features as feat
 from cohortlens.operators import report as rep, score as sc, split as sp, store as st, train as tr
+from cohortlens.functions.collation import ignore_case
 from cohortlens.operators.boosting import prepared_rows, search_scores
 from cohortlens.operators.tree_model import load_model
 from cohortlens.plans import sqlgen as G
@@ -626,6 +627,36 @@ def q_move_live_rows(spark, sf_dir):
             .unionByName(st.read_predictions(spark, pred_path).select(F.lit("predictions").alias("stored_in"), *cols)))
 
 
+_MIXED = "CASE id_student % 3 WHEN 0 THEN lower(model_name) WHEN 1 THEN upper(model_name) ELSE model_name END"
+
+
+@query("move_live_nocase", "K6", f"""
+SELECT CASE WHEN lower(model_name) IN {G.list_sql([x.lower() for x in LIVE])} THEN 'live' ELSE 'predictions' END AS stored_in,
+ id_student, model_name, predicted, probability, run_id FROM (SELECT * REPLACE ({_MIXED} AS model_name) FROM predictions) p""", ("predictions",))
+def q_move_live_nocase(spark, sf_dir):
+    """The move over names in mixed case, compared without case."""
+    pred_path, live_path = scratch_path(spark, "predictions"), scratch_path(spark, "live")
+    st.sink_replace_model(_t(spark, sf_dir).predictions.withColumn("model_name", F.expr(_MIXED)), pred_path)
+    st.move_live(spark, pred_path, live_path, LIVE, without_case=True)
+    cols = ["id_student", "model_name", "predicted", "probability", "run_id"]
+    return (st.read_live(spark, live_path).select(F.lit("live").alias("stored_in"), *cols)
+            .unionByName(st.read_predictions(spark, pred_path).select(F.lit("predictions").alias("stored_in"), *cols)))
+
+
+_MIXED_CODE = "CASE {key} % 3 WHEN 0 THEN lower(code_{c}) ELSE code_{c} END"
+
+
+@query("early_frame_nocase", "A2", """SELECT s.enrol_key, {v} FROM students s LEFT JOIN vf USING (id_student, code_module, code_presentation)""".format(
+    v=", ".join(f"coalesce(vf.{c}, 0) AS {c}" for c in S.VLE_COLS)), ("students", "studentVle"), extra={"vf": VLE_AGG_SQL})
+def q_early_frame_nocase(spark, sf_dir):
+    """Click features and their join over codes in mixed case, compared without case: as if all were written alike."""
+    t = Tables(spark, sf_dir)
+    mixed = lambda df, key: ignore_case(df.withColumns(
+        {f"code_{c}": F.expr(_MIXED_CODE.format(key=key, c=c)) for c in ("module", "presentation")}))
+    frame = feat.early_frame(mixed(t.students, "enrol_key"), mixed(t.student_vle, "id_site"))
+    return frame.select("enrol_key", *S.VLE_COLS)
+
+
 @query("ingest_checks", "K7", """
 SELECT 'students' AS table_name, count(*) AS n_rows, CAST(coalesce(sum(dropout), 0) AS BIGINT) AS n_dropout FROM students
 UNION ALL SELECT 'vle', count(*), NULL FROM vle UNION ALL SELECT 'studentVle', count(*), NULL FROM studentVle""",

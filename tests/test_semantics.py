@@ -346,3 +346,27 @@ def test_prediction_reports_equal_the_single_reports(spark, tables):
     for k, df in single.items():
         a, b = bundle[k], df
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, k
+
+
+def test_names_and_codes_without_case(spark):
+    from cohortlens.functions.collation import ignore_case, same_name
+    from cohortlens.operators import store as st
+    from cohortlens.operators.features import KEYS, click_features, join_features
+    from cohortlens.session import scratch_path
+    clicks = spark.createDataFrame([("AAA", "2014B", 1, 5, 3, 2), ("aaa", "2014b", 1, 6, 4, 3), ("BBB", "2014B", 1, 6, 4, 9)],
+                                   "code_module string, code_presentation string, id_student long, id_site long, date int, sum_click int")
+    assert click_features(clicks).count() == 3
+    folded = click_features(ignore_case(clicks))
+    assert sorted(r.vle_total_clicks for r in folded.collect()) == [5.0, 9.0]
+    enrolled = spark.createDataFrame([("Aaa", "2014B", 1, 0), ("ÄÄÄ", "2014B", 1, 0)], "code_module string, code_presentation string, id_student long, dropout int")
+    got = {r.code_module: r.vle_total_clicks for r in join_features(ignore_case(enrolled), folded.select(*KEYS, *S.VLE_COLS)).collect()}
+    assert got == {"Aaa": 5.0, "ÄÄÄ": 0.0}
+    names = spark.createDataFrame([("xgboost",), ("XGBoost",), ("other",), (None,)], "model_name string")
+    assert names.where(same_name(names.model_name, ["XGBoost"], True)).count() == 2
+    assert names.where(same_name(names.model_name, ["XGBoost"], False)).count() == 1
+    pred, live = scratch_path(spark, "nc-pred"), scratch_path(spark, "nc-live")
+    st.sink_replace_model(spark.createDataFrame([(i, n, 1, 0.5, "r") for i, n in enumerate(["XGBOOST", "xgboost", "tabnet"])], S.PREDICTIONS_SCHEMA), pred)
+    assert tuple(st.move_live(spark, pred, live, ["XGBoost"]).first()) == (0, 0, 0)
+    assert tuple(st.move_live(spark, pred, live, ["XGBoost"], without_case=True).first()) == (2, 2, 2)
+    assert sorted(r.model_name for r in st.read_live(spark, live).collect()) == ["XGBOOST", "xgboost"]
+    assert [r.model_name for r in st.read_predictions(spark, pred).collect()] == ["tabnet"]
