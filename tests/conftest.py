@@ -25,3 +25,16 @@ def sf_dir():
 def tables(spark, sf_dir):
     from cohortlens.sources import Tables
     return Tables(spark, sf_dir)
+
+
+@pytest.fixture(scope="session")
+def frame_of(spark, sf_dir):
+    """A registered query's DataFrame by name, made once a session."""
+    import __spark_entry__ as E
+    made = {}
+
+    def get(name):
+        if name not in made:
+            made[name] = E.queries()[name](spark, sf_dir)
+        return made[name]
+    return get

@@ -13,9 +13,8 @@ def con(sf_dir):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_matches_duckdb(spark, sf_dir, con, name):
-    df = E.queries()[name](spark, sf_dir)
-    ok, msg = compare(df, con, ORACLES[name])
+def test_query_matches_duckdb(frame_of, con, name):
+    ok, msg = compare(frame_of(name), con, ORACLES[name])
     assert ok, f"{name}: {msg}"
 
 

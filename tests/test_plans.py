@@ -28,9 +28,8 @@ def test_pruned_scan_reads_five_columns(spark, tables):
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
-def test_no_python_udf_or_cartesian(spark, sf_dir, name):
-    df = E.queries()[name](spark, sf_dir)
-    p = plan(df)
+def test_no_python_udf_or_cartesian(frame_of, name):
+    p = plan(frame_of(name))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in p, f"{name} plan contains {bad}"
 
