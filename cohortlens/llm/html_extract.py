@@ -27,6 +27,7 @@ from cohortlens.llm.common import Scratch
 
 LEAST_PAGES = 4        # pages of a host that must hold a node before its entropy tells anything
 LEAST_IMPORTANCE = 0.2
+DEEPEST = 512          # as in browsers, elements nested deeper are part of the element at this depth
 LEVELS = 32            # elements below this depth are judged one by one, and count in the branches above it
 VARIETY = 0.5          # content entropy that some node of a host must have: a site of copies has no boilerplate
 _TOKEN = re.compile(
@@ -35,9 +36,12 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # fixed values of HTML
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg annotation "
+                 "annotation-xml".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s "
-                    "samp small span strike strong sub sup time tt u var wbr br img".split())
+                    "samp small span strike strong sub sup time tt u var wbr br img math maction menclose merror mfenced mfrac mi "
+                    "mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup "
+                    "msup mtable mtd mtext mtr munder munderover semantics".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                       "h5 h6 header hr main menu nav ol p pre section table ul".split())
 # elements and names that are no part of an article
@@ -168,9 +172,10 @@ class Page:
                 form = forms
             if tag not in _INLINE:
                 name = tag + "".join(f".{_SPACE.sub('.', attrs[k]).replace('/', '_')}" for k in ("id", "class") if attrs.get(k))
-                if not stack[-1][2]:
-                    self.layout.setdefault(path, []).append(name)
-                path = f"{path}/{name}"
+                if len(stack) <= DEEPEST:
+                    if not stack[-1][2]:
+                        self.layout.setdefault(path, []).append(name)
+                    path = f"{path}/{name}"
         close(0)
         flush()
         if forms:

@@ -179,3 +179,15 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.read.parquet(f"{path}/documents.parquet").where("false")
     for name, stage in cp.STAGES:
         assert stage(spark, empty, path).count() == 0, name
+
+
+def test_formulas_stay_and_deep_pages_stay_small():
+    import tracemalloc
+    page = html_extract.Page("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> ends"
+                             "<annotation>E=mc^2</annotation></p><p>next</p>")
+    assert [b[1] for b in page.blocks] == ["Energy E=mc2 ends", "next"]
+    tracemalloc.start()
+    deep = html_extract.Page("<div>" * 100_000 + "inner" + "</div>" * 100_000 + "<p>after</p>")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b[1] for b in deep.blocks] == ["inner", "after"] and peak < 100 << 20
