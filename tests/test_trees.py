@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
-from cohortlens.operators import attribution, boosting as B, train as tr
+from cohortlens.operators import attribution, boosting as B, histogram_trees as H, train as tr
 from cohortlens.operators.histogram_trees import UNIT, Growth, Trees, grow_here
 from cohortlens.operators.tree_model import load_model
 from cohortlens.plans import queries
@@ -191,3 +191,30 @@ def test_registered_searches_have_the_reference_sizes(spark, sf_dir, monkeypatch
     assert [(k, len(c), f) for k, c, f in seen] == [("random_forest", 10, 5), ("boosted_a", 20, 3), ("boosted_b", 20, 3), ("random_forest", 10, 5)]
     assert {c["n_estimators"] for c in seen[1][1]} <= {500, 700, 1000} and all(100 <= c["n_estimators"] <= 300 for c in seen[0][1])
     assert S.RANDOM_STATE == 42
+
+
+def test_codes_take_a_byte_and_rows_without_weight_are_led_but_not_counted(monkeypatch):
+    x, y = data(500)
+    borders, counted = borders_of(x), []
+    codes = B.coded(x, borders)
+    assert codes.dtype == np.uint8 and codes.flags.f_contiguous
+    plain = H.histogram
+    monkeypatch.setattr(H, "histogram", lambda codes, rows, *rest: (counted.append(rows), plain(codes, rows, *rest))[1])
+    taught = np.arange(500) % 5 > 0
+    sums = [np.rint(v * taught * UNIT) for v in (0.5 - y, np.full(500, 0.25))]
+    grower, leaf = grow_here(codes, sums, Growth(depth=3, bins=256, l2=1.0), np.arange(5))
+    assert all(taught[rows].all() for rows in counted) and len(counted[0]) == taught.sum()
+    assert np.array_equal(grower.trees(borders).sums(x), grower.trees(borders).value[leaf])
+
+
+def test_levels_run_over_cached_blocks(spark, monkeypatch):
+    x, y = data(300)
+    df = spark.createDataFrame([(i, float(y[i]), 1.0, 1.0, 0, [float(v) for v in x[i]]) for i in range(len(y))],
+                               "id long, y double, w_pos double, w_balanced double, fold int, x array<double>")
+    monkeypatch.setattr(B, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(B, "MOST_PARTS", 1)
+    blocks = B.row_blocks(df, "w_pos", borders_of(x)).collect()
+    assert len(blocks) > 1 and sorted(i for b in blocks for i in b[0]) == list(range(300))
+    many = B.boost_levels(spark, "boosted_a", df, borders_of(x), A)
+    here, _ = B.boost_here("boosted_a", A, B.Held(df.select("*").toArrow(), 5), borders_of(x))
+    assert all(np.array_equal(getattr(here, f), getattr(many, f)) for f in Trees.__dataclass_fields__)
