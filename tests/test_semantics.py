@@ -370,3 +370,43 @@ def test_names_and_codes_without_case(spark):
     assert tuple(st.move_live(spark, pred, live, ["XGBoost"], without_case=True).first()) == (2, 2, 2)
     assert sorted(r.model_name for r in st.read_live(spark, live).collect()) == ["XGBOOST", "xgboost"]
     assert [r.model_name for r in st.read_predictions(spark, pred).collect()] == ["tabnet"]
+
+
+def test_a_profile_reads_its_frame_once(spark, monkeypatch):
+    """Medians and modes come from one table of counts by value, whatever the frame is derived from."""
+    from cohortlens.operators import score as sc
+    df = spark.createDataFrame([(float(i % 5), i, "b" if i % 3 else "a") for i in range(30)], "a double, n int, s string")
+    seen, plain = [], sc.value_counts
+    monkeypatch.setattr(sc, "value_counts", lambda d, num, other: (seen.append((num, other)), plain(d, num, other))[1])
+    row = sc.defaults_profile(df, ["s", "a", "n"]).first()
+    assert seen == [(["a", "n"], ["s"])] and (row.s, row.a, row.n) == ("b", 2.0, 14.5)
+    assert sc.value_counts(df, ["a"], []).count() == 5
+
+
+def test_a_frame_that_many_passes_read_is_derived_once(spark, tables):
+    """Fits and request queries read a written copy, so the join behind it runs once."""
+    from cohortlens.operators import cluster as clu
+    from cohortlens.plans.queries import _landed
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    rows = tables.students.select("id_student", "avg_score", "active_days", "total_clicks", "dropout").limit(200).repartition(2)
+    clu.clusters_table(rows.mapInArrow(counted, rows.schema)).count()
+    assert runs.value == 200
+    t = _landed(spark, tables.sf_dir, "students")
+    for df in (t.students, t.requests):
+        assert "lineitem" not in " ".join(df.inputFiles()) and "students" in df.inputFiles()[0]
+
+
+def test_distances_on_the_grid_are_exact():
+    import numpy as np
+    from cohortlens.operators.cluster import GRID, squared
+    rng = np.random.default_rng(3)
+    p, c = rng.integers(0, GRID + 1, (300, 3)), rng.integers(0, GRID + 1, (40, 3))
+    p[0], c[0] = GRID, 0
+    want = [[sum((int(a) - int(b)) ** 2 for a, b in zip(x, y)) for y in c] for x in p]
+    assert squared(p, c).astype(np.int64).tolist() == want
