@@ -4,16 +4,20 @@ Documents are sets of distinct 5-word shingles (64-bit hashes); two link when
 ``100 * |A & B| >= percent * |A | B|``. The join runs in four steps:
 
 1. Equal sets collapse to one representative, and only representatives that
-   share enough prefix tokens with others go on: of any two sets that link, the
-   rarest ``n - ceil(percent * n / 100) + l`` tokens of both have ``l`` in common,
-   where ``l`` grows with the smaller set (``shared_tokens``). Rarity comes from a counting sketch of fixed size over all documents; it
-   only decides the order of tokens, so collisions cost time, never links.
+   share enough prefix tokens with others go on: in any order of tokens, the first
+   ``n - ceil(percent * n / 100) + l`` tokens of two sets that link have ``l`` in
+   common, where ``l`` grows with the smaller set (``shared_tokens``). The first
+   order is that of the hashes, under which a prefix says the same about its set
+   at any size of the input. Of the sets left every token is counted exactly:
+   those that hold ``percent`` of their tokens with others stay, and from here on
+   a prefix holds the rarest tokens.
 2. Similar sets are partitioned into groups: sets with a common minimum hash are
    compared with the one among them that shares the largest part of its prefix
    (an original shares more than its edited copies), then each set with the one
    that holds its rarest shared tokens, and the links make groups.
 3. The token-group matrix holds each group's token union. A set of the smaller
-   group queries a larger group it shares enough prefix tokens with; the overlap with
+   group queries a larger group it shares enough prefix tokens with, by the sizes
+   of both (``_pair_needed``); the overlap with
    the union bounds the overlap with every member, and only groups that can
    still reach the threshold are opened.
 4. A query of an opened group is compared exactly with the member that shares most
@@ -29,7 +33,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +40,8 @@ from cohortlens.llm.common import Scratch, list_column, row_chunks, row_key, tex
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.kernels import shingle_sets
 
-SKETCH_BITS = 22          # 2^22 counters of 4 bytes: the only broadcast, 16 MB at any input size
-BLOCK_BITS = 16           # the sketch travels in blocks of 2^16 counters
+HASH_SHARE = 10           # of a set: tokens that prefixes by hash share, in hundredths
+RARE_SHARE = 4            # and those that prefixes by rarity share
 MIN_HASHES = 4
 SIZE_BAND = 1.05          # sets of a group differ in size by less than this factor
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -51,58 +54,13 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield (lo, hi, *shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], k))
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counters of all shingles of all documents, by the low bits of their hash."""
-    size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
-
-    def count(batches):
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for _, _, tokens, _ in _sets(batch, k):
-                if len(tokens) * 8 < size:
-                    np.add.at(total, tokens & np.uint64(size - 1), np.uint32(1))
-                else:
-                    total += np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-        yield from emit(total)
-
-    def emit(total):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blocks = [(i, b) for i, b in enumerate(total.reshape(-1, block)) if b.any()]
-        if blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()),
-                                              pa.array([pack(b.tobytes()) for _, b in blocks], pa.binary())],
-                                             ["block", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint32)
-                have = sums.get(i)
-                sums[i] = part.copy() if have is None else np.minimum(
-                    have.astype(np.uint64) + part, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for i, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                                             ["block", "counts"])
-
-    kind = "block int, counts binary"
-    rows = (docs.select("text").mapInArrow(count, kind)
-            .repartition(size // block, "block").mapInArrow(add, kind).collect())
-    total = np.zeros(size, np.uint32)
-    for r in rows:
-        total[r.block * block:(r.block + 1) * block] = np.frombuffer(r.counts, np.uint32)
-    return total
-
-
-def _signatures(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
-    """Per row: node, doc_id, set size, set identity, minimum hashes and the rarest tokens by the broadcast sketch."""
+def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row: node, doc_id, set size, set identity, minimum hashes and the first tokens by hash."""
 
     def run(batches):
-        counts = shared.value
         for batch in batches:
             for lo, hi, tokens, offsets in _sets(batch, k):
                 n = np.diff(offsets)
-                order_by = counts[tokens & np.uint64(len(counts) - 1)]
                 signed = tokens.view(np.int64)
                 keep, sizes, mins, keys = [], np.zeros(len(n) + 1, np.int64), np.zeros((len(n), MIN_HASHES), np.uint64), []
                 if len(tokens):
@@ -112,9 +70,9 @@ def _signatures(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
                 for i in range(len(n)):
                     a, b = offsets[i], offsets[i + 1]
                     keys.append(xxhash.xxh3_128_digest(tokens[a:b].tobytes()) if b > a else None)
-                    p = prefix_length(int(b - a), percent)
+                    p = prefix_length(int(b - a), percent, HASH_SHARE)
                     if p:
-                        keep.append(signed[a:b][np.argsort(order_by[a:b], kind="stable")[:p]])
+                        keep.append(signed[a:a + p])
                     sizes[i + 1] = p
                 yield pa.RecordBatch.from_arrays([
                     batch.column("node").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo),
@@ -128,19 +86,60 @@ def _signatures(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
         run, f"node long, doc_id {kind}, n long, set_key binary, mins array<long>, prefix array<long>")
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n: int, percent: int, share: int = RARE_SHARE) -> int:
     """Tokens of an ``n``-set of which a set that links with it holds ``shared_tokens``."""
-    return min(n, n - (n * percent + 99) // 100 + shared_tokens(n)) if n else 0
+    return min(n, n - (n * percent + 99) // 100 + shared_tokens(n, share)) if n else 0
 
 
-def shared_tokens(n):
+def shared_tokens(n, share: int = RARE_SHARE):
     """Prefix tokens that a set of ``n`` must share with a linked set that is no smaller."""
-    return n * 4 // 100 + 1
+    return n * share // 100 + 1
+
+
+def _part(n, percent: int):
+    """The hundredths ``percent`` of a size column, rounded up."""
+    return F.ceil(n * percent / 100)
+
+
+def _needed(n: str, share: int):
+    """Prefix tokens that a set of size column ``n`` shares with any set it links with.
+
+    A smaller partner asks for fewer, but then its prefix ends later among the common tokens; rounding takes one.
+    """
+    return F.greatest(F.floor(F.col(n) * share / 100), F.lit(1))
+
+
+def _pair_needed(n: str, lo: str, hi: str, percent: int):
+    """Rare prefix tokens that a set of ``n`` shares with a linked set of ``lo`` to ``hi`` tokens.
+
+    Both prefixes hold the first common tokens in the order, each but for as many as its set has
+    without the other. That bound is linear in the partner's size but for rounding, which takes two.
+    """
+    n = F.col(n)
+    lo, hi = F.greatest(lo, _part(n, percent)), F.least(hi, F.floor(n * 100 / percent))
+    common = lambda m: F.ceil((n + m) * percent / (100 + percent))
+    spare = lambda m: F.floor(m * RARE_SHARE / 100) + 1 - _part(m, percent)
+    least = F.least(common(lo) + spare(n), common(lo) + spare(lo), common(hi) + spare(hi)) - 2
+    return F.greatest(least, F.lit(1))
+
 
+def _ranked(tokens: DataFrame, percent: int) -> DataFrame:
+    """Sets that hold enough tokens with others: (node, n, share, cap, prefix).
 
-def _needed(n: str, percent: int):
-    """Prefix tokens that a set of size column ``n`` shares with any set it links with."""
-    return F.floor(F.ceil(F.col(n) * percent / 100) * 4 / 100) + 1
+    ``share`` is the part of a set's tokens that another set holds, ``cap`` the largest size of a partner
+    that this allows. The prefix has the rarest tokens, without those that no other set holds.
+    """
+    flat = tokens.select("node", "n", F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    most = F.size("shared")
+    length = F.col("n") - _part(F.col("n"), percent) + F.floor(F.col("n") * RARE_SHARE / 100) + 1
+    rarest = F.slice("shared", F.lit(1), F.greatest(F.least(length, "n") - (F.col("n") - most), F.lit(0)).cast("int"))
+    return (flat.join(common, "token").groupBy("node", "n")
+            .agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("shared"))
+            .where(most * 100 >= F.col("n") * percent)
+            .select("node", "n", (most / F.col("n")).alias("share"),
+                    (F.floor(most * (100 + percent) / percent) - F.col("n")).alias("cap"),
+                    rarest["token"].alias("prefix")))
 
 
 def _token_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -234,21 +233,22 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("node", row_key("doc_id", "text"))
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
-    sig = scratch.save(_signatures(docs, sketch, k, percent), "signatures")
-    sketch.destroy()  # what follows reads the written table
-
+    sig = scratch.save(_signatures(docs, k, percent), "signatures")
     sets = scratch.save(sig.where("n > 0").groupBy("set_key").agg(F.min("node").alias("rep")), "sets")
     spread = sig.select("node", F.explode("prefix").alias("token"))
     shared = spread.groupBy("token").count().where("count > 1").select("token")
     hits = spread.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
     reps = sig.join(sets.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n")
-    busy = scratch.save(hits.join(reps, "node").where(F.col("hits") >= _needed("n", percent))
-                        .groupBy("node").agg(F.max("hits").alias("hits")), "busy")
+    busy = scratch.save(hits.join(reps, "node").where(F.col("hits") >= _needed("n", HASH_SHARE))
+                        .select("node").distinct(), "busy")
+    rows = scratch.save(sig.select("node", "doc_id", "n", "set_key"), "rows")
+    marks = scratch.save(sig.select("node", "mins").join(busy, "node", "left_semi").dropDuplicates(["node"]), "marks")
+    scratch.drop("signatures")
 
     tokens = scratch.save(_token_sets(docs.join(busy, "node", "left_semi"), k), "tokens")
-    chosen = scratch.save(sig.join(busy, "node").dropDuplicates(["node"])
-                          .select("node", "n", "mins", "prefix", (F.col("hits") / F.size("prefix")).alias("share")), "chosen")
+    chosen = scratch.save(_ranked(tokens, percent).join(marks, "node"), "chosen")
+    tokens = scratch.save(tokens.join(chosen.select("node"), "node", "left_semi"), "chosen_tokens")
+    scratch.drop("tokens", "busy", "marks")
 
     # groups of similar sets: the star of each minimum hash, verified
     keys = chosen.select("node", "share", F.posexplode("mins").alias("i", "key"))
@@ -257,28 +257,22 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     links = scratch.save(_verify(stars, tokens, percent), "star_links")
     stars_of = connected_components(links, scratch, "stars")
     links = scratch.save(links.unionByName(_verify(_best_partners(chosen, stars_of), tokens, percent)), "near_links")
+    scratch.drop("star_links")
     grouped = connected_components(links, scratch, "groups")
 
     # a group is one size band of a component: its smallest member then says much about all
     band = F.floor(F.log("n") / np.log(SIZE_BAND))
     member = scratch.save(chosen.join(grouped, "node", "left")
-                          .select("node", "n", F.coalesce("center", "node").alias("comp"), "prefix")
+                          .select("node", "n", "cap", F.coalesce("center", "node").alias("comp"), "prefix")
                           .withColumn("grp", F.xxhash64("comp", band)), "member")
 
     # token-group matrix, restricted to prefix tokens that meet several components
-    cells = member.select("node", "n", "comp", "grp", F.explode("prefix").alias("token"))
+    cells = member.select("node", "n", "cap", "comp", "grp", F.explode("prefix").alias("token"))
     multi = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     cells = scratch.save(cells.join(multi.select("token"), "token", "left_semi"), "cells")
-    # no overlap of a set exceeds the tokens it shares with any set left, which caps its partners' sizes
-    # (only sets with enough prefix tokens that another component holds can link with one)
-    able = cells.groupBy("node", "n").count().where(F.col("count") >= _needed("n", percent)).select("node")
-    flat = tokens.select("node", "n", "tokens").join(able, "node", "left_semi").select(
-        "node", "n", F.explode("tokens").alias("token"))
-    common = flat.groupBy("token").count().where("count > 1").select("token")
-    caps = (flat.join(common, "token", "left_semi").groupBy("node", "n").agg(F.count("*").alias("most"))
-            .withColumn("cap", F.floor(F.col("most") * (100 + percent) / percent) - F.col("n"))
-            .where(F.col("cap") * 100 >= F.col("n") * percent).select("node", "cap"))
-    cells = scratch.save(cells.join(caps, "node"), "capped")
+    # only sets with enough prefix tokens that another component holds can link with one
+    able = cells.groupBy("node", "n").count().where(F.col("count") >= _needed("n", RARE_SHARE)).select("node")
+    cells = scratch.save(cells.join(able, "node", "left_semi"), "able")
     sizes = member.groupBy("comp").agg(F.count("*").alias("members"))
     ranked = cells.join(sizes, "comp")
     targets = ranked.groupBy("token", "grp").agg(
@@ -287,8 +281,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     asks = (ranked.join(targets, "token")
             .where("struct(g_members, g_comp) > struct(members, comp)")
             .where(f"g_hi * 100 >= n * {percent} and n * 100 >= g_lo * {percent} and g_lo <= cap and n <= g_cap")
-            .groupBy("node", "n", "g").agg(F.count_distinct("token").alias("hits"))
-            .where(F.col("hits") >= _needed("n", percent)).select("node", "n", "g"))
+            .groupBy("node", "n", "g").agg(F.count_distinct("token").alias("hits"),
+                                           F.min("g_lo").alias("lo"), F.max("g_hi").alias("hi"))
+            .where(F.col("hits") >= _pair_needed("n", "lo", "hi", percent)).select("node", "n", "g"))
     asks = scratch.save(asks, "asks")
 
     wanted = asks.select(F.col("g").alias("grp")).distinct()
@@ -315,8 +310,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, percent: int = 80, k:
     links = scratch.save(links.unionByName(first.select("a", "b")).unionByName(_verify(pairs, tokens, percent)), "links")
 
     found = connected_components(links, scratch, "components")
-    per_row = (sig.select("node", "doc_id", "n", "set_key")
-               .join(sets, "set_key", "left")
+    per_row = (rows.join(sets, "set_key", "left")
                .join(found.withColumnRenamed("node", "rep"), "rep", "left")
                .select("node", "doc_id", "n", F.coalesce("center", "rep", "node").alias("center")))
     lowest = per_row.groupBy("center").agg(F.min("doc_id").alias("component_id"))

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with odd rows and empty tables."""
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import decontaminate, jaccard_join, kernels, langid, mixing, quality, suffix_dedup, token_counts
-from cohortlens.llm.common import ship_package
+from cohortlens.llm.common import Scratch, ship_package
 
 
 def shingles(text):
@@ -60,6 +61,46 @@ def test_prefixes_of_linked_sets_share_enough():
             assert shared >= -(-n * 80 // 100) * 4 // 100 + 1
 
 
+@pytest.mark.parametrize("share", [jaccard_join.HASH_SHARE, jaccard_join.RARE_SHARE])
+def test_needed_prefix_tokens_are_a_lower_bound(spark, share):
+    """Of linked sets of n and m tokens, prefixes share at least what the least favourable order leaves."""
+    rows = [(n, m) for n in range(1, 90) for m in range(-(-n * 80 // 100), n * 100 // 80 + 1)]
+    got = spark.createDataFrame(rows, "n long, m long").select(
+        "n", "m", jaccard_join._needed("n", share).alias("alone"),
+        jaccard_join._pair_needed("n", "m", "m", 80).alias("pair"), *[
+            jaccard_join._pair_needed("n", F.greatest(F.col("m") - d, F.lit(1)), F.col("m") + d, 80).alias(f"wide{d}") for d in (3, 40)])
+    for r in got.collect():
+        both = -(-80 * (r.n + r.m) // 180)
+        least = min(jaccard_join.prefix_length(x, 80, share) - x + both for x in (r.n, r.m))
+        assert r.alone <= least
+        if share == jaccard_join.RARE_SHARE:
+            assert max(r.pair, r.wide3, r.wide40) <= least
+
+
+def test_unlike_versions_of_a_text_do_not_ask_each_other(spark, monkeypatch):
+    """Versions that share most words but never link make no comparisons by the square of their number."""
+    rng = random.Random(4)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    seen = {}
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            seen[name] = out.count()
+            return out
+
+    out = Counting(spark, "versions")
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), out)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+    out.drop_all()
+    assert seen["asks"] <= 2 * len(rows)
+
+
 def brute_removed(rows, width=200):
     seen = Counter()
     raws = [(t or "").encode() for _, t in rows]
