@@ -50,11 +50,26 @@ def test_a_search_over_more_rows_than_a_task_holds_has_the_same_scores(spark, ki
     df, _ = rows(spark, 900)
     borders = B.feature_borders(df, 5, 64)
     held = B.search_scores(spark, kind, df, borders, sets, 3)
-    many = B.fit_boosted
+    many, forest = B.fit_boosted, B.fit_forest
     monkeypatch.setattr(B, "fit_boosted", lambda *a: many(*a, task_rows=100))
+    monkeypatch.setattr(B, "fit_forest", lambda *a: forest(*a, task_rows=100))
     assert B.search_scores(spark, kind, df, borders, sets, 3, held_rows=200) == pytest.approx(held, abs=1e-12)
 
 
+def test_a_forest_beyond_a_task_learns_from_all_rows(spark, monkeypatch):
+    df, held = rows(spark, 600)
+    borders = B.feature_borders(df, 5, 32)
+    here, _ = B.forest_here(FOREST, held, borders, range(5))
+    assert same(B.fit_forest(spark, df, borders, FOREST, task_rows=200), here.scaled(1 / 5))
+    monkeypatch.setattr(B, "LEVEL_NODES", 3)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 50)
+    assert same(B.fit_forest(spark, df, borders, FOREST, task_rows=200), here.scaled(1 / 5))
+    drawn = {**FOREST, "bootstrap": True, "class_weight": None}
+    forest = B.fit_forest(spark, df, borders, drawn, task_rows=200)
+    assert (forest.cover[forest.roots] == 600).all() and len(set(forest.value[forest.roots])) > 1
+    assert same(forest, B.fit_forest(spark, df.repartition(5), borders, drawn, task_rows=200))
+
+
 def test_codes_of_fewer_borders_come_from_the_codes_of_all(spark):
     df, held = rows(spark, 400)
     borders = B.feature_borders(df, 5, 64)
