@@ -70,6 +70,15 @@ def test_a_forest_beyond_a_task_learns_from_all_rows(spark, monkeypatch):
     assert same(forest, B.fit_forest(spark, df.repartition(5), borders, drawn, task_rows=200))
 
 
+def test_a_boosted_fit_within_a_task_needs_no_job_a_level(spark, monkeypatch):
+    df, held = rows(spark, 300_000)
+    borders, p = B.feature_borders(df, 5, 32), {**C, "iterations": 2}
+    here, _ = B.boost_here("boosted_b", p, held, borders)
+    assert same(B.fit_boosted(spark, "boosted_b", df, borders, p, task_rows=100_000), here)
+    monkeypatch.setattr(B, "boost_levels", None)
+    assert same(B.fit_boosted(spark, "boosted_b", df, borders, p), here)
+
+
 def test_codes_of_fewer_borders_come_from_the_codes_of_all(spark):
     df, held = rows(spark, 400)
     borders = B.feature_borders(df, 5, 64)
